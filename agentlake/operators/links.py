@@ -83,3 +83,15 @@ def links_to_matrix(links: DataFrame) -> DataFrame:
     nodes = F.sequence(F.lit(0), F.col("last"))
     matrix = F.transform(nodes, lambda i: F.transform(nodes, lambda j: F.col("grid")[i][j]))
     return grids.select("cluster_id", F.to_json(matrix).alias("matrix"))
+
+
+def first_valid(candidates: DataFrame, key: str) -> DataFrame:
+    """The candidate to use per key from ``(key, candidate, priority, valid)``.
+
+    The first valid one by priority, from 1 on; without any, the candidate of
+    priority 0. A combining minimum, so no group is ever gathered.
+    """
+    usable = F.col("valid") & (F.col("priority") > 0)
+    rank = F.when(usable, F.col("priority")).when(F.col("priority") == 0, F.lit(2147483647))
+    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "candidate")))
+    return candidates.groupBy(key).agg(best["candidate"].alias("candidate")).where("candidate IS NOT NULL")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agentlake.functions.bytes import SPM_SPACE, byte_alphabet, byte_level_bytes, decode_text, spm_bytes
 from agentlake.functions.text import THINK_MARKERS
+from agentlake.operators import scans
 
 # Token of unknown ids, and what a cleaned space may not stand before.
 UNKNOWN_TOKEN = "!"
@@ -199,3 +200,11 @@ def marker_support(models: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select(
         "model", chain["s"].alias("think_start"), chain["e"].alias("think_end"), tools.alias("tool_calling")
     )
+
+
+def last_segment(reads: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """Characters new since the previous read of a growing text: ``(key, order, segment)``."""
+    lengths = reads.withColumn("_n", F.length(text))
+    seen = scans.previous(lengths, [key], order, "_n", "_seen")
+    segment = F.substring(F.col(text), F.coalesce("_seen", F.lit(0)) + 1, F.greatest(F.length(text), F.lit(1)))
+    return seen.select(key, order, segment.alias("segment"))

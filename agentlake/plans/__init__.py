@@ -5,7 +5,16 @@ from __future__ import annotations
 
 def all_queries():
     """``(queries, oracles)`` of every family."""
-    from agentlake.plans import rule_queries, session_queries, text_queries  # noqa: F401
+    from agentlake.plans import (  # noqa: F401
+        session_queries,
+        rule_queries,
+        text_queries,
+        fleet_queries,
+        token_queries,
+        vector_queries,
+        source_queries,
+        stream_queries,
+    )
     from agentlake.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

@@ -129,7 +129,7 @@ RECEIVED_SQL = """received AS (
   FROM (SELECT transfer_id, path, CASE WHEN size % 13 = 1 THEN size - 1 ELSE size END AS size
         FROM manifest WHERE length(path) % 11 <> 0))"""
 
-CHUNK = 1_000_000
+CHUNK = 16 * 1024 * 1024
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,10 +135,10 @@ def pad_to(spark, sf_dir):
 
 
 @query(f"""WITH {MANIFEST_SQL} SELECT transfer_id, path,
-  CASE WHEN length(path) % 4 > 0 THEN round(size / (length(path) % 4)::DOUBLE / 1e9, 9) ELSE 0::DOUBLE END AS gbps FROM manifest""")
+  CASE WHEN length(path) % 4 > 0 THEN size / (length(path) % 4)::DOUBLE / 1e9 ELSE 0::DOUBLE END AS gbps FROM manifest""")
 def transfer_rate(spark, sf_dir):
     gbps = N.rate_gbps(F.col("size"), F.length("path") % 4)
-    return manifest(spark, sf_dir).select("transfer_id", "path", F.round(gbps, 9).alias("gbps"))
+    return manifest(spark, sf_dir).select("transfer_id", "path", gbps.alias("gbps"))
 
 
 @query("""SELECT event_id, CASE WHEN value / 10 >= 30 THEN 'TIMEOUT' ELSE 'HEALTHY' END AS health, value / 10 < 2 AS within_slo FROM events""")
