@@ -10,6 +10,8 @@ from agentlake.functions.json_text import (
     is_json,
     is_json_object,
     json_fields,
+    let,
+    opens_object,
     quote,
 )
 
@@ -71,16 +73,25 @@ def call_body(raw: Column) -> Column:
 
 
 def parse_call_json(raw: Column) -> Column:
-    """``STRUCT<name, arguments>``; NULL unless an object with both keys."""
-    body = call_body(raw)
-    valid = is_json_object(body) & has_keys(body, "name", "arguments")
-    return F.when(valid, json_fields(body, CALL_TYPE))
+    """``STRUCT<name, arguments>``; NULL unless an object with both keys.
+
+    Keys are looked up only where a value is missing: a null value still counts.
+    """
+
+    def call(body):
+        def checked(fields):
+            whole = fields["name"].isNotNull() & fields["arguments"].isNotNull()
+            return F.when(whole | has_keys(body, "name", "arguments"), fields)
+
+        return F.when(opens_object(body), let(json_fields(body, CALL_TYPE), checked))
+
+    return let(call_body(raw), call)
 
 
 def parse_calls(text: Column) -> Column:
     """All usable calls of one response, in order; empty when there are none."""
     none = F.array().cast(f"array<{CALL_TYPE}>")
-    parsed = F.transform(F.coalesce(matched_calls(text)["raws"], F.array().cast("array<string>")), parse_call_json)
+    parsed = F.transform(matched_calls(text)["raws"], parse_call_json)
     return F.coalesce(F.filter(parsed, lambda call: call.isNotNull()), none)
 
 

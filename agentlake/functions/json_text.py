@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -22,11 +24,26 @@ def is_json(raw: Column) -> Column:
     digest = F.md5(raw)
     wrapped = F.concat(F.lit("["), raw, F.lit(',"'), digest, F.lit('"]'))
     items = F.from_json(wrapped, "array<string>", _STRICT)
-    return F.coalesce((F.size(items) == 2) & (F.element_at(items, -1) == digest), F.lit(False))
+    # Second place means exactly one value came before it.
+    return F.coalesce(F.array_position(items, digest) == 2, F.lit(False))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression named several times, or inside a lambda, may otherwise be evaluated
+    at every mention.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def opens_object(raw: Column) -> Column:
+    """The first character that is not whitespace is a brace."""
+    return F.ltrim(F.translate(raw, "\t\r\n", "   ")).startswith("{")
 
 
 def is_json_object(raw: Column) -> Column:
-    return is_json(raw) & F.ltrim(F.translate(raw, "\t\r\n", "   ")).startswith("{")
+    return opens_object(raw) & is_json(raw)
 
 
 def json_fields(raw: Column, schema: str) -> Column:
@@ -40,11 +57,8 @@ def object_keys(raw: Column) -> Column:
 
 
 def has_keys(raw: Column, *names: str) -> Column:
-    keys = object_keys(raw)
-    found = F.lit(True)
-    for name in names:
-        found = found & F.array_contains(keys, name)
-    return found
+    wanted = F.array(*[F.lit(name) for name in names])
+    return F.size(F.array_intersect(wanted, object_keys(raw))) == len(names)
 
 
 def quote(text: Column) -> Column:
@@ -53,7 +67,7 @@ def quote(text: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - F.lit(6))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """Key-sorted text that keeps ``1`` and ``1.0`` apart; NULL for invalid JSON.
 

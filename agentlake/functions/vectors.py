@@ -6,16 +6,10 @@ values such as norms are bound with ``let`` before a lambda uses them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
+from agentlake.functions.json_text import let
 
 def _double(vec: Column) -> Column:
     return vec.cast("array<double>")

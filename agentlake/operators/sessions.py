@@ -129,12 +129,18 @@ def session_calls(turns: DataFrame, cap: int = MAX_ITERATIONS) -> DataFrame:
 
 
 def tool_histogram(calls: DataFrame) -> DataFrame:
-    """Uses per tool and session, most used first, ties in order of first use."""
+    """Uses per tool and session, most used first, ties in order of first use.
+
+    Each session's rows stand together and in order; there is no order among sessions,
+    which would cost a shuffle.
+    """
     position = F.struct("iteration", "call_no")
     counted = calls.groupBy("session_id", "name").agg(
         F.count(F.lit(1)).alias("uses"), F.min(position).alias("_first")
     )
-    return counted.orderBy("session_id", F.desc("uses"), "_first").drop("_first")
+    # By session only, so that its rows meet; they are one per tool by now.
+    counted = counted.repartition("session_id")
+    return counted.sortWithinPartitions("session_id", F.desc("uses"), "_first").drop("_first")
 
 
 def dispatch_lookup(calls: DataFrame, tools: Sequence[Tool]) -> DataFrame:

@@ -208,10 +208,12 @@ def tokens_and_vocab(spark: SparkSession, sf_dir: str, kind: str, longest: int |
     from agentlake.functions.bytes import byte_level_token
 
     spaced = F.when(F.col("pos") > 0, F.concat(F.lit(" "), F.col("word"))).otherwise(F.col("word"))
-    token = F.replace(spaced, F.lit(" "), F.lit("▁")) if kind == "spm" else byte_level_token(spaced)
-    streams = words(spark, sf_dir).withColumn("token", token).withColumn("id", word_id())
+    streams = words(spark, sf_dir).withColumn("spaced", spaced).withColumn("id", F.xxhash64("spaced"))
     known = streams if longest is None else streams.where(F.length("word") <= longest)
-    return streams.select("stream_id", "pos", "id"), known.select("id", "token").distinct()
+    text = F.col("spaced")
+    token = F.replace(text, F.lit(" "), F.lit("▁")) if kind == "spm" else byte_level_token(text)
+    vocab = known.select("id", "spaced").distinct().select("id", token.alias("token"))
+    return streams.select("stream_id", "pos", "id"), vocab
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

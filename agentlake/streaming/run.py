@@ -7,31 +7,37 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def drain(spark: SparkSession, stream: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+def drain(
+    spark: SparkSession, stream: DataFrame, path: str, mode: str = "append", partitions: int | None = None
+) -> DataFrame:
     """Process all available input into ``path`` and return what was written.
 
     Progress and state live under ``path`` too, in the shared folder, so a restart
     after a lost executor or driver goes on where it stopped. The number of state
     partitions is fixed at the first start; by default one per core of the cluster.
+    In ``update`` mode each batch writes its own folder, so a repeated batch replaces
+    its output.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
     }
     before = {key: spark.conf.get(key, None) for key in wanted}
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/out")
+    else:
+
+        def write(batch, number):
+            batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+        writer = writer.foreachBatch(write)
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        query = (
-            stream.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", f"{path}/out")
-            .option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+        query = writer.outputMode(mode).start()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)

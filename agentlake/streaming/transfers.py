@@ -2,79 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from agentlake.functions.numbers import rate_gbps
 
-_KEYS = ["transfer_id", "path"]
-_PARTIAL = "transfer_id bigint, path string, chunks bigint, bytes bigint, started double, ended double, end_no bigint"
-_CLOSED = "transfer_id bigint, path string, chunks bigint, bytes bigint, elapsed double"
 
-
-def _combine(batches):
-    """Sum chunks per file within each Arrow batch, so a hot file shrinks before the shuffle."""
-    for pdf in batches:
-        data = pdf.assign(chunks=(pdf["actual_size"] > 0).astype("int64"))
-        data["end_no"] = pdf["chunk_no"].where(pdf["actual_size"] == 0, -1)
-        yield data.groupby(_KEYS, as_index=False).agg(
-            chunks=("chunks", "sum"), bytes=("actual_size", "sum"), started=("started", "min"),
-            ended=("ended", "max"), end_no=("end_no", "max"),
-        )
-
-
-class TransferProcessor(StatefulProcessor):
-    """Totals of a file until its end marker and every chunk before it have arrived."""
-
-    def init(self, handle):
-        self.state = handle.getValueState(
-            "file", "chunks bigint, bytes bigint, started double, ended double, end_no bigint"
-        )
-
-    def handleInputRows(self, key, rows, timerValues):
-        parts = list(rows)
-        if self.state.exists():
-            held = self.state.get()
-            parts.append(pd.DataFrame([held], columns=["chunks", "bytes", "started", "ended", "end_no"]))
-        pdf = pd.concat(parts, ignore_index=True)
-        chunks, size, end_no = int(pdf["chunks"].sum()), int(pdf["bytes"].sum()), int(pdf["end_no"].max())
-        started, ended = float(pdf["started"].min()), float(pdf["ended"].max())
-        if end_no >= 0 and chunks >= end_no:
-            self.state.clear()
-            row = (*key, chunks, size, ended - started)
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in _CLOSED.split(", ")])
-        else:
-            self.state.update((chunks, size, started, ended, end_no))
-
-    def close(self):
-        pass
-
-
-def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, max_open: str | None = None) -> DataFrame:
     """One row per completed file: chunks, bytes, time, rate and whether the size is right.
 
     ``chunks`` is a stream of ``(transfer_id, path, chunk_no, actual_size, start_ts,
     ts)`` in any order, with a zero-size row as end marker; ``manifest`` a static
-    table of expected sizes.
+    table of expected sizes. To be run in update mode: a file's row appears in the
+    batch that completes it.
+
+    Chunk rows are combined before the shuffle, so a file with most of the rows costs
+    no more than others, and the state is one row per file. ``max_open``, such as "7
+    days", drops the state of files started that long before the newest; without it
+    every file is kept.
     """
-    slim = chunks.select(
-        F.col("transfer_id").cast("bigint").alias("transfer_id"),
-        "path",
-        F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        F.col("actual_size").cast("bigint").alias("actual_size"),
-        F.col("start_ts").cast("double").alias("started"),
-        F.col("ts").cast("double").alias("ended"),
-    )
-    closed = (
-        slim.mapInPandas(_combine, _PARTIAL)
-        .groupBy(*_KEYS)
-        .transformWithStateInPandas(TransferProcessor(), _CLOSED, "append", "None")
+    keys = ["transfer_id", "path", "start_ts"]
+    data = F.col("actual_size") > 0
+    timed = chunks.withWatermark("start_ts", max_open) if max_open else chunks
+    totals = timed.groupBy(*keys).agg(
+        F.count_if(data).alias("chunks"),
+        F.sum("actual_size").cast("bigint").alias("bytes"),
+        F.max(F.col("ts").cast("double")).alias("_ended"),
+        F.max(F.when(~data, F.col("chunk_no"))).alias("_end_no"),
     )
-    expected = manifest.select(*_KEYS, F.col("size").alias("expected"))
-    return (
-        closed.join(expected, _KEYS, "left")
-        .withColumn("gbps", rate_gbps(F.col("bytes"), F.col("elapsed")))
-        .withColumn("size_ok", F.coalesce(F.col("bytes") == F.col("expected"), F.lit(False)))
+    closed = totals.where("_end_no IS NOT NULL AND chunks >= _end_no")
+    expected = manifest.select("transfer_id", "path", F.col("size").alias("expected"))
+    return closed.join(expected, ["transfer_id", "path"], "left").select(
+        "transfer_id",
+        "path",
+        "chunks",
+        "bytes",
+        (F.col("_ended") - F.col("start_ts").cast("double")).alias("elapsed"),
+        "expected",
+        rate_gbps(F.col("bytes"), F.col("_ended") - F.col("start_ts").cast("double")).alias("gbps"),
+        F.coalesce(F.col("bytes") == F.col("expected"), F.lit(False)).alias("size_ok"),
     )
