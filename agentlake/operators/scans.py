@@ -142,8 +142,12 @@ def previous(
 
 
 def dense_index(
-    df: DataFrame, order: str, out: str = "idx", keys: Sequence[str] = (), levels: int = 3, block: int = BLOCK
+    df: DataFrame, order: str, out: str = "idx", keys: Sequence[str] = (), levels: int = 2, block: int = 1 << 20
 ) -> DataFrame:
-    """0-based position of each row by a unique non-negative integer column."""
+    """0-based position of each row by a unique non-negative integer column.
+
+    Two levels of 2**20 keep every window at or below a million rows for values up to
+    2**60, also without keys.
+    """
     counted = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running(counted, keys, order, "_one", out, False, levels, block).drop("_one")

@@ -32,9 +32,13 @@ def equal_bucket(idx: Column, total: Column, buckets: int) -> Column:
     )
 
 
-def equal_split(items: DataFrame, buckets: int) -> DataFrame:
-    """Items (one cluster, dense ``idx``) with their ``bucket``."""
-    total = items.select(F.count(F.lit(1)).alias("n")).scalar()
+def equal_split(items: DataFrame, buckets: int, total: Column | None = None) -> DataFrame:
+    """Items (one cluster, dense ``idx``) with their ``bucket``.
+
+    ``total`` is the number of items, counted here when not at hand.
+    """
+    if total is None:
+        total = items.select((F.max("idx") + 1).alias("n")).scalar()
     return items.withColumn("bucket", equal_bucket(F.col("idx"), total, buckets))
 
 

@@ -81,16 +81,23 @@ def stack_experts(tensors: DataFrame, n_experts: int, tied: bool = False) -> Dat
     )
     has_first = F.exists("e", lambda x: x["expert"] == 0)
     full = F.size(F.filter("e", lambda x: x["expert"] < n_experts)) == n_experts
-    # Without expert 0 the projection is left alone and its tensors keep their names.
-    whole = grouped.where((F.size("e") == 0) | has_first).select(
-        "checkpoint_id",
-        "name",
-        "nbytes",
-        F.when(F.size("e") > 0, F.transform("e", lambda x: x["nbytes"])).alias("experts"),
-        F.when((F.size("e") > 0) & ~full, F.lit("missing expert")).alias("error"),
+    stacked = F.array(
+        F.struct(
+            "name",
+            "nbytes",
+            F.when(F.size("e") > 0, F.transform("e", lambda x: x["nbytes"])).alias("experts"),
+            F.when((F.size("e") > 0) & ~full, F.lit("missing expert")).alias("error"),
+        )
     )
-    loose = grouped.where((F.size("e") > 0) & ~has_first).select("checkpoint_id", F.explode("e").alias("x"))
-    return whole.unionByName(
-        loose.select("checkpoint_id", F.col("x._own").alias("name"), F.col("x.nbytes").alias("nbytes")),
-        allowMissingColumns=True,
+    # Without expert 0 the projection is left alone and its tensors keep their names.
+    loose = F.transform(
+        "e",
+        lambda x: F.struct(
+            x["_own"].alias("name"),
+            x["nbytes"].alias("nbytes"),
+            F.lit(None).cast("array<bigint>").alias("experts"),
+            F.lit(None).cast("string").alias("error"),
+        ),
     )
+    rows = F.when((F.size("e") == 0) | has_first, stacked).otherwise(loose)
+    return grouped.select("checkpoint_id", F.inline(rows))

@@ -102,52 +102,67 @@ def detokenize(
     row. ``clean`` (byte level) drops spaces before punctuation.
     """
     spm = kind == "spm"
-    unknown = F.encode(F.lit("" if spm else UNKNOWN_TOKEN), "UTF-8")
-    pieces = vocab_join(tokens, vocab_pieces(vocab, kind), ("piece",)).select(
-        "stream_id",
-        "pos",
-        F.floor(F.col("pos") / segment).cast("bigint").alias("segment"),
-        F.coalesce("piece", unknown).alias("piece"),
-    )
-    space = F.encode(F.lit(" "), "UTF-8")
-    # Leading tokens that are nothing but a space vanish from SPM text one by one.
-    lone = F.when(F.col("segment") > 0, F.lit("")).otherwise(
-        F.when(F.col("piece") == space, "s").when(F.length("piece") == 0, "").otherwise("x")
-    )
+    strip = spm and trim_space
+    pieces = _segmented(tokens, vocab_pieces(vocab, kind), "" if spm else UNKNOWN_TOKEN, segment)
     if clean and not spm:
-        joined = F.concat(F.lit("|"), F.expr("listagg(hex(piece), '|') WITHIN GROUP (ORDER BY pos)"))
-        whole = F.unhex(F.replace(_tight_spaces(joined), F.lit("|"), F.lit("")))
+        hexed = F.concat(F.lit("|"), F.expr("listagg(hex(piece), '|') WITHIN GROUP (ORDER BY pos)"))
+        whole = F.unhex(F.replace(_tight_spaces(hexed), F.lit("|"), F.lit("")))
     else:
         whole = F.expr("listagg(piece) WITHIN GROUP (ORDER BY pos)")
     aggregates = [whole.alias("raw")]
-    if spm and trim_space:
-        pieces = pieces.withColumn("lone", lone)
-        aggregates.append(F.length(F.regexp_extract(F.expr("listagg(lone) WITHIN GROUP (ORDER BY pos)"), "^s*", 0)).alias("lead"))
+    if strip:
+        # Leading tokens that are nothing but a space vanish from SPM text one by one.
+        shape = F.when(F.col("piece") == F.encode(F.lit(" "), "UTF-8"), "s").when(F.length("piece") == 0, "").otherwise("x")
+        pieces = pieces.withColumn("shape", F.when(F.col("segment") == 0, shape).otherwise(F.lit("")))
+        spaces = F.regexp_extract(F.expr("listagg(shape) WITHIN GROUP (ORDER BY pos)"), "^s*", 0)
+        aggregates.append(F.length(spaces).alias("spaces"))
     parts = pieces.groupBy("stream_id", "segment").agg(*aggregates)
 
-    # Continuation bytes that open a later segment belong to the character before it.
-    opening = F.hex(F.substring("raw", 1, 3))
-    head = F.when(F.col("segment") > 0, F.length(F.regexp_extract(opening, "^(?:[89AB][0-9A-F])+", 0)) / 2).otherwise(0).cast("int")
-    parts = parts.withColumn("head", head)
-    heads = parts.where("head > 0").select(
-        "stream_id", (F.col("segment") - 1).alias("segment"), F.expr("substring(raw, 1, head)").alias("tail")
-    )
-    joined = parts.join(heads, ["stream_id", "segment"], "left")
+    borders = _borders(tokens, vocab, kind, segment)
+    joined = parts.join(borders, ["stream_id", "segment"], "left")
     empty = F.encode(F.lit(""), "UTF-8")
-    raw = F.concat(F.expr("substring(raw, head + 1)"), F.coalesce("tail", empty))
+    raw = F.concat(F.expr("substring(raw, coalesce(lost, 0) + 1)"), F.coalesce("gained", empty))
     text = decode_text(raw)
     if spm:
         text = F.replace(text, F.lit(SPM_SPACE), F.lit(" "))
-    first = F.col("segment") == 0
-    out = joined.select("stream_id", "segment", text.alias("text"), *(["lead"] if spm and trim_space else []))
-    if spm and trim_space:
-        rest = F.expr("substring(text, lead + 1)")
-        trimmed = F.when(rest.startswith(" "), F.expr("substring(text, lead + 2)")).otherwise(rest)
-        out = out.withColumn("text", F.when(first, trimmed).otherwise(F.col("text"))).drop("lead")
-    elif not spm:
-        trimmed = F.when(F.col("text").startswith(" "), F.expr("substring(text, 2)")).otherwise(F.col("text"))
-        out = out.withColumn("text", F.when(first, trimmed).otherwise(F.col("text")))
-    return out
+    out = joined.withColumn("text", text)
+    if strip or not spm:
+        rest = F.expr("substring(text, spaces + 1)") if strip else F.col("text")
+        opened = F.when(rest.startswith(" "), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+        out = out.withColumn("text", F.when(F.col("segment") == 0, opened).otherwise(F.col("text")))
+    return out.select("stream_id", "segment", "text")
+
+
+def _segmented(tokens: DataFrame, pieces: DataFrame, unknown: str, segment: int) -> DataFrame:
+    """Tokens as ``(stream_id, pos, segment, piece)``."""
+    numbered = tokens.withColumn("segment", F.floor(F.col("pos") / segment).cast("bigint"))
+    return vocab_join(numbered, pieces, ("piece",)).select(
+        "stream_id", "pos", "segment", F.coalesce("piece", F.encode(F.lit(unknown), "UTF-8")).alias("piece")
+    )
+
+
+def _borders(tokens: DataFrame, vocab: DataFrame, kind: str, segment: int, look: int = 64) -> DataFrame:
+    """Bytes that change sides: ``(stream_id, segment, lost, gained)``.
+
+    Continuation bytes opening a later segment finish the character before it. Only
+    the first ``look`` tokens of such segments are read, none for short streams.
+    """
+    late = tokens.where((F.col("pos") >= segment) & (F.col("pos") % segment < look))
+    unknown = "" if kind == "spm" else UNKNOWN_TOKEN
+    heads = _segmented(late, vocab_pieces(vocab, kind), unknown, segment).groupBy("stream_id", "segment").agg(
+        F.expr("substring(listagg(piece) WITHIN GROUP (ORDER BY pos), 1, 3)").alias("head")
+    )
+    count = F.length(F.regexp_extract(F.hex("head"), "^(?:[89AB][0-9A-F])*", 0)) / 2
+    moved = heads.withColumn("n", count.cast("int")).where("n > 0").selectExpr("stream_id", "segment", "substring(head, 1, n) AS bytes", "n")
+    sides = F.inline(
+        F.array(
+            F.struct("segment", F.col("n").alias("lost"), F.lit(None).cast("binary").alias("gained")),
+            F.struct((F.col("segment") - 1).alias("segment"), F.lit(None).cast("int").alias("lost"), F.col("bytes").alias("gained")),
+        )
+    )
+    return moved.select("stream_id", sides).groupBy("stream_id", "segment").agg(
+        F.max("lost").alias("lost"), F.max("gained").alias("gained")
+    )
 
 
 def resolve_eos(specs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -123,13 +123,14 @@ def dense_index(spark, sf_dir):
 
 @query("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) - 1 AS bucket FROM orders")
 def equal_split(spark, sf_dir):
-    return splits.equal_split(items(spark, sf_dir), 7).select("o_orderkey", "bucket")
+    total = table(spark, sf_dir, "orders").select(F.count(F.lit(1)).alias("n")).scalar()
+    return splits.equal_split(items(spark, sf_dir), 7, total).select("o_orderkey", "bucket")
 
 
 def cluster_items(spark, sf_dir):
     """Orders as items of one cluster per region, numbered within it."""
     keyed = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 5 AS cluster_id", "o_orderkey")
-    return scans.dense_index(keyed, "o_orderkey", keys=["cluster_id"], levels=2)
+    return scans.dense_index(keyed, "o_orderkey", keys=["cluster_id"])
 
 
 def loads(spark, sf_dir):
