@@ -99,8 +99,9 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
     """The comparison report as ordered rows ``(section, model, task, line_no, line)``.
 
     Needs the evaluation columns next to ``score``. The order of lines is the order of
-    the four key columns; ``section`` 0 is the heading, 1 the grid, 2 the averages, 3
-    the details per model. The share of passed checks is labelled as such.
+    the four key columns; ``section`` 0 is the heading, 1 the grid, 2 the averages and
+    the next heading, 3 the details per model. The share of passed checks is labelled
+    as such.
     """
     spark = scored.sparkSession
     order = F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i + 1))])
@@ -121,7 +122,9 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
             F.lit(text)
             for text in (
                 "# Agent Harness Benchmark Report",
+                "",
                 "## Summary",
+                "",
                 "| Task |" + "|".join(f" {m[:20]} " for m in models) + "|",
                 "|------|" + "|".join("-----:" for _ in models) + "|",
             )
@@ -135,11 +138,11 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
     cell = [
         F.concat(F.lit(" **"), _one_decimal(F.coalesce(F.col(f"`{m}`"), F.lit(0.0))), F.lit("** |")) for m in models
     ]
-    average = lines(averages, 2, F.lit(0), F.lit(""), [F.concat(F.lit("| **Average** |"), *cell)])
+    after = [F.lit(""), F.lit("## Detail"), F.lit("")]
+    average = lines(averages, 2, F.lit(0), F.lit(""), [F.concat(F.lit("| **Average** |"), *cell), *after])
 
-    names = lines(
-        shown.select("model").distinct(), 3, order[F.col("model")], F.lit(""), [F.concat(F.lit("### "), F.col("model"))]
-    )
+    title = [F.concat(F.lit("### "), F.col("model")), F.lit("")]
+    names = lines(shown.select("model").distinct(), 3, order[F.col("model")], F.lit(""), title)
     checks = F.bround(F.col("check_score") * 100, 0).cast("bigint").cast("string")
     detail = lines(
         shown,
@@ -162,6 +165,7 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
                 F.bround("total_time", 0).cast("bigint").cast("string"),
                 F.lit("s"),
             ),
+            F.lit(""),
         ],
     )
     return heading.unionByName(table).unionByName(average).unionByName(names).unionByName(detail)

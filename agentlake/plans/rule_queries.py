@@ -179,9 +179,11 @@ _ORDER = "list_position([" + ", ".join(f"'{m}'" for m in MODELS) + "], model)"
 
 @query(f"""WITH {RESULTS_SQL}, first AS (SELECT task FROM scored WHERE model = 'src0'), lines AS (
 SELECT 0 AS section, 0 AS model, '' AS task, 0 AS line_no, '# Agent Harness Benchmark Report' AS line
-UNION ALL SELECT 0, 0, '', 1, '## Summary'
-UNION ALL SELECT 0, 0, '', 2, '| Task |{"|".join(f" {m} " for m in MODELS)}|'
-UNION ALL SELECT 0, 0, '', 3, '|------|{"|".join("-----:" for _ in MODELS)}|'
+UNION ALL SELECT 0, 0, '', 1, '' UNION ALL SELECT 0, 0, '', 2, '## Summary' UNION ALL SELECT 0, 0, '', 3, ''
+UNION ALL SELECT 0, 0, '', 4, '| Task |{"|".join(f" {m} " for m in MODELS)}|'
+UNION ALL SELECT 0, 0, '', 5, '|------|{"|".join("-----:" for _ in MODELS)}|'
+UNION ALL SELECT 2, 0, '', 1, '' UNION ALL SELECT 2, 0, '', 2, '## Detail' UNION ALL SELECT 2, 0, '', 3, ''
+UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 1, '' FROM scored UNION ALL SELECT 3, {_ORDER}, task, 3, '' FROM scored
 UNION ALL SELECT 1, 0, task, 0, concat('| ', task, ' |', {_CELLS}) FROM scored WHERE task IN (SELECT task FROM first) GROUP BY task
 UNION ALL SELECT 2, 0, '', 0, concat('| **Average** |', {_AVERAGES}) FROM scored
 UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 0, concat('### ', model) FROM scored

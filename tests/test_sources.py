@@ -89,10 +89,10 @@ def test_report_file_order(spark, tmp_path):
     parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
     lines = "".join(open(os.path.join(path, p), encoding="utf-8").read() for p in parts).splitlines()
     assert lines == [
-        "# Agent Harness Benchmark Report", "## Summary", "| Task | m1 | m2 |", "|------|-----:|-----:|",
-        "| t1 | 91.2 | - |", "| **Average** | **91.2** | **0.0** |",
-        "### m1", "**t1** — 91.2/100", "- Checks: 75% | Tests: PASS", "- Iterations: 3 | Tool calls: 4 | Tokens: 50 | Time: 7s",
-        "### m2", "**t2** — 0.0/100", "- Checks: 0% | Tests: FAIL", "- Iterations: 1 | Tool calls: 0 | Tokens: 5 | Time: 2s",
+        "# Agent Harness Benchmark Report", "", "## Summary", "", "| Task | m1 | m2 |", "|------|-----:|-----:|",
+        "| t1 | 91.2 | - |", "| **Average** | **91.2** | **0.0** |", "", "## Detail", "",
+        "### m1", "", "**t1** — 91.2/100", "- Checks: 75% | Tests: PASS", "- Iterations: 3 | Tool calls: 4 | Tokens: 50 | Time: 7s", "",
+        "### m2", "", "**t2** — 0.0/100", "- Checks: 0% | Tests: FAIL", "- Iterations: 1 | Tool calls: 0 | Tokens: 5 | Time: 2s", "",
     ]
 
 
