@@ -38,45 +38,64 @@ def _words(text: str) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    def hashes(w):
-        starts = F.sequence(F.lit(1), F.size(w) - (GRAM - 1))
-        return F.when(F.size(w) >= GRAM, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, GRAM))))
+    """Hashes of all runs of eight words, by doubling: 1, 2, 4, then 8 words."""
 
-    return let(words, hashes)
+    def double(hashes, step):
+        def joined(h):
+            later = F.slice(h, F.lit(step + 1), F.greatest(F.size(h) - step, F.lit(0)))
+            return F.zip_with(h, later, lambda a, b: F.xxhash64(a, b))
+
+        return let(hashes, joined)
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    step = 1
+    while step < GRAM:
+        hashes = double(hashes, step)
+        step *= 2
+    # The last hashes lack words; a text shorter than eight words has none.
+    return let(hashes, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(0))))
 
 
 def contained_in(patterns: DataFrame, texts: DataFrame, pattern: str, text: str, pid: str, tid: str) -> DataFrame:
     """All ``(pid, tid)`` where the pattern text occurs inside the other text.
 
     There is no equality to join on, so one is derived: every text holding a pattern
-    must also hold the pattern's key. Keys are, by pattern length, eight whole words
-    from inside the pattern, its longest inner word, or its first characters; inner
-    words of a pattern are whole words of any text around it. Only pairs sharing a key
-    are tested with ``contains``. Patterns must be non-empty, ids unique.
+    also holds each of the pattern's keys. Keys are, by pattern length, runs of eight
+    words inside the pattern, single words inside it, or its characters; inner words
+    of a pattern are whole words of any text around it. A pattern is looked up by the
+    one of its keys that the fewest texts have, so wording that many patterns and texts
+    share brings no flood of pairs. Only pairs meeting on that key are tested with
+    ``contains``. Patterns must be non-empty, ids unique.
     """
     words = _words(pattern)
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     size, length = F.size(words), F.length(pattern)
+
+    def hashed(values):
+        return F.transform(values, lambda w: F.xxhash64(w))
+
+    def windows(value, regex):
+        return hashed(F.regexp_extract_all(value, F.lit(regex), F.lit(1)))
+
+    threes, ones = "(?s)(?=(...))", "(?s)(.)"
     kinds = [
-        (size >= GRAM + 2, F.xxhash64(F.slice(words, 2, GRAM)), _grams(_words(text))),
-        ((size >= 3) & (size < GRAM + 2), F.xxhash64(longest), F.transform(_words(text), lambda w: F.xxhash64(w))),
-        (
-            (size < 3) & (length >= 3),
-            F.xxhash64(F.substring(pattern, 1, 3)),
-            F.transform(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)), lambda w: F.xxhash64(w)),
-        ),
-        (
-            (size < 3) & (length < 3),
-            F.xxhash64(F.substring(pattern, 1, 1)),
-            F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda w: F.xxhash64(w)),
-        ),
+        (size >= GRAM + 2, _grams(inner), _grams(_words(text))),
+        ((size >= 3) & (size < GRAM + 2), hashed(inner), hashed(_words(text))),
+        ((size < 3) & (length >= 3), windows(F.col(pattern), threes), windows(F.col(text), threes)),
+        ((size < 3) & (length < 3), windows(F.col(pattern), ones), windows(F.col(text), ones)),
     ]
     pairs = None
-    for applies, key, keys in kinds:
-        wanted = patterns.where(applies).select(pid, key.alias("_key"))
-        offered = texts.select(tid, F.explode(F.array_distinct(keys)).alias("_key"))
-        found = offered.join(wanted, "_key").select(pid, tid)
+    for applies, wanted_keys, offered_keys in kinds:
+        wanted = patterns.where(applies).select(pid, F.explode(F.array_distinct(wanted_keys)).alias("_key"))
+        offered = texts.select(tid, F.explode(F.array_distinct(offered_keys)).alias("_key"))
+        counts = offered.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(
+            F.count(F.lit(1)).alias("_texts")
+        )
+        rarest = wanted.join(counts, "_key", "left").groupBy(pid).agg(
+            F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_key")).alias("_best")
+        )
+        looked_up = rarest.where("_best.n > 0").select(pid, F.col("_best._key").alias("_key"))
+        found = offered.join(looked_up, "_key").select(pid, tid)
         pairs = found if pairs is None else pairs.unionByName(found)
     candidates = pairs.join(patterns.select(pid, F.col(pattern).alias("_pattern")), pid)
     checked = texts.select(tid, F.col(text).alias("_text")).join(candidates, tid)

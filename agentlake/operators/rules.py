@@ -191,8 +191,9 @@ def file_map(files: DataFrame, max_files: int = 4096, max_chars: int = 1 << 26)
         ).cast("bigint").alias("_parts")
     )
     part = F.pmod(F.xxhash64("path"), F.greatest("_parts", F.lit(1)))
-    return (
-        files.join(sizes, "run_id")
-        .groupBy("run_id", part.alias("part"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files"))
+    # Without its own shuffle the grouping would reuse the join's partitions, which
+    # hold whole runs.
+    spread = files.join(sizes, "run_id").withColumn("part", part).repartition("run_id", "part")
+    return spread.groupBy("run_id", "part").agg(
+        F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files")
     )

@@ -74,8 +74,9 @@ def stack_experts(tensors: DataFrame, n_experts: int, tied: bool = False) -> Dat
         F.col("name").alias("_own"),
         "nbytes",
     )
-    # One group is the experts of one projection, or a single tensor.
-    grouped = keyed.groupBy("checkpoint_id", "name").agg(
+    # One group is the experts of one projection, or a single tensor. The shuffle keeps
+    # the grouping off the join's partitions, which hold whole checkpoints.
+    grouped = keyed.repartition("checkpoint_id", "name").groupBy("checkpoint_id", "name").agg(
         F.array_sort(F.collect_list(F.when(F.col("expert").isNotNull(), F.struct("expert", "nbytes", "_own")))).alias("e"),
         F.sum("nbytes").cast("bigint").alias("nbytes"),
     )

@@ -1,7 +1,8 @@
 """Sessions and token caches over a stream of model responses.
 
 The responses of a session arrive in ``seq`` order from batch to batch, as an agent
-loop makes them; within a batch any order will do.
+loop makes them; within a batch any order will do. Bound a batch with the source's
+``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ class SessionProcessor(StatefulProcessor):
             "session", "n bigint, calls string, tokens bigint, seconds double, text string, ended boolean"
         )
 
+    @staticmethod
+    def _first(rows, room):
+        """The ``room`` earliest responses, never holding more than that and one Arrow batch."""
+        held = None
+        for pdf in rows:
+            held = (pdf if held is None else pd.concat([held, pdf])).nsmallest(room, "seq")
+        return held
+
     def _emit(self, key, n, calls, tokens, seconds, text, success):
         row = (key[0], n, calls, tokens, seconds, text, success)
         return pd.DataFrame([row], columns=[c.split()[0] for c in SESSION_OUT.split(", ")])
@@ -50,7 +59,7 @@ class SessionProcessor(StatefulProcessor):
         n, calls, tokens, seconds, text, ended = state
         if ended:
             return
-        for row in _in_order(rows).itertuples(index=False):
+        for row in self._first(rows, self.cap - n).itertuples(index=False):
             n, seconds = n + 1, seconds + row.elapsed
             if not row.is_error:
                 tokens, text = tokens + row.tokens, row.content
