@@ -57,13 +57,12 @@ def matched_calls(text: Column) -> Column:
     plain substring test in front of each pattern keeps the regex engine away from
     texts that cannot match.
     """
-    found = None
-    for name, marker, pattern in CALL_FORMATS:
-        raws = F.regexp_extract_all(text, F.lit(_FLAGS + pattern), F.lit(1))
-        hit = text.contains(marker) & (F.size(raws) > 0)
-        value = F.struct(F.lit(name).alias("fmt"), raws.alias("raws"))
-        found = F.when(hit, value) if found is None else found.when(hit, value)
-    return found
+
+    def attempt(bound, name, marker, pattern):
+        raws = F.when(bound.contains(marker), F.regexp_extract_all(bound, F.lit(_FLAGS + pattern), F.lit(1)))
+        return let(raws, lambda r: F.when(F.size(r) > 0, F.struct(F.lit(name).alias("fmt"), r.alias("raws"))))
+
+    return let(text, lambda bound: F.coalesce(*[attempt(bound, *fmt) for fmt in CALL_FORMATS]))
 
 
 def call_body(raw: Column) -> Column:
@@ -113,23 +112,28 @@ def normalize_call(text: Column) -> Column:
     ``parameters`` stands in for ``arguments`` when only the former is present. Text
     in neither form yields an error column, not an exception.
     """
-    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    fields = json_fields(body, "struct<name:string,parameters:string,arguments:string>")
     pattern = r"(?sdU)^(\w+)\s*\((.+)\)\s*$"
-    inner = F.regexp_extract(body, pattern, 2)
     missing = F.lit(None).cast("string")
 
     def result(name, arguments, error):
         return F.struct(name.alias("name"), arguments.alias("arguments"), error.alias("error"))
 
-    arguments = F.when(has_keys(body, "arguments"), fields["arguments"]).otherwise(fields["parameters"])
-    return (
-        F.when(is_json_object(body), result(fields["name"], arguments, missing))
-        .when((inner != "") & is_json(inner), result(F.regexp_extract(body, pattern, 1), inner, missing))
-        .otherwise(
-            result(missing, missing, F.concat(F.lit("Could not parse tool call: "), F.substring(body, 1, 100)))
+    def parsed(body):
+        def from_object(fields):
+            arguments = F.when(has_keys(body, "arguments"), fields["arguments"]).otherwise(fields["parameters"])
+            return result(fields["name"], arguments, missing)
+
+        def from_function(inner):
+            name = F.regexp_extract(body, pattern, 1)
+            return F.when((inner != "") & is_json(inner), result(name, inner, missing))
+
+        fields = json_fields(body, "struct<name:string,parameters:string,arguments:string>")
+        unreadable = F.concat(F.lit("Could not parse tool call: "), F.substring(body, 1, 100))
+        return F.when(is_json_object(body), let(fields, from_object)).otherwise(
+            F.coalesce(let(F.regexp_extract(body, pattern, 2), from_function), result(missing, missing, unreadable))
         )
-    )
+
+    return let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), parsed)
 
 
 def native_calls_to_tags(content: Column, calls: Column) -> Column:

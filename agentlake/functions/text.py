@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentlake.functions.json_text import has_keys, is_json_object
+from agentlake.functions.json_text import has_keys, is_json_object, let
 
 # Thinking delimiters, in order of priority.
 THINK_MARKERS = [("<think>", "</think>"), ("<longcat_think>", "</longcat_think>")]
@@ -83,11 +83,16 @@ def usable_lookup(text: Column) -> Column:
 
 def flatten_rpc_result(raw: Column) -> Column:
     """Content texts joined by newline; without content, the whole result as text."""
-    parsed = F.from_json(raw, "struct<result:struct<content:array<struct<text:string>>>>")
-    content = parsed["result"]["content"]
-    texts = F.transform(content, lambda c: F.coalesce(c["text"], F.lit("")))
-    whole = F.coalesce(F.get_json_object(raw, "$.result"), F.lit("{}"))
-    return F.when(F.size(content) > 0, F.array_join(texts, "\n")).otherwise(whole)
+    def flattened(text):
+        def texts(content):
+            joined = F.array_join(F.transform(content, lambda c: F.coalesce(c["text"], F.lit(""))), "\n")
+            return F.when(F.size(content) > 0, joined)
+
+        parsed = F.from_json(text, "struct<result:struct<content:array<struct<text:string>>>>")
+        whole = F.coalesce(F.get_json_object(text, "$.result"), F.lit("{}"))
+        return F.coalesce(let(parsed["result"]["content"], texts), whole)
+
+    return let(raw, flattened)
 
 
 def split_reasoning(text: Column) -> Column:
@@ -114,25 +119,34 @@ def flatten_chat_response(raw: Column) -> Column:
     An ``error`` key wins over everything else, then empty choices; missing fields
     get their neutral default.
     """
-    data = F.from_json(raw, CHAT_RESPONSE)
-    message = F.try_element_at(data["choices"], F.lit(1))["message"]
-    error = (
-        F.when(~is_json_object(raw), F.lit("Response is not a JSON object"))
-        .when(has_keys(raw, "error"), F.coalesce(data["error"], F.lit("null")))
-        .when(F.coalesce(F.size(data["choices"]), F.lit(0)) < 1, F.lit("Empty choices in response"))
-    )
-
-    def unless_error(value, default):
-        return F.when(error.isNull(), F.coalesce(value, default)).otherwise(default)
+    def flattened(text):
+        data = F.when(is_json_object(text), F.from_json(text, CHAT_RESPONSE))
+        return let(data, lambda d: fields(text, d))
+
+    def fields(text, data):
+        message = F.try_element_at(data["choices"], F.lit(1))["message"]
+        error = (
+            F.when(data.isNull(), F.lit("Response is not a JSON object"))
+            .when(has_keys(text, "error"), F.coalesce(data["error"], F.lit("null")))
+            .when(F.coalesce(F.size(data["choices"]), F.lit(0)) < 1, F.lit("Empty choices in response"))
+        )
+        return let(error, lambda e: response(e, message, data["usage"]))
+
+    def response(error, message, usage):
+        def unless_error(value, default):
+            return F.when(error.isNull(), F.coalesce(value, default)).otherwise(default)
+
+        none = F.lit(0).cast("bigint")
+        return F.struct(
+            unless_error(message["content"], F.lit("")).alias("content"),
+            unless_error(message["reasoning_content"], F.lit("")).alias("reasoning"),
+            F.when(error.isNull(), message["tool_calls"]).alias("tool_calls"),
+            error.alias("error"),
+            unless_error(usage["completion_tokens"], none).alias("tokens"),
+            unless_error(usage["total_tokens"], none).alias("total_tokens"),
+        )
 
-    return F.struct(
-        unless_error(message["content"], F.lit("")).alias("content"),
-        unless_error(message["reasoning_content"], F.lit("")).alias("reasoning"),
-        F.when(error.isNull(), message["tool_calls"]).alias("tool_calls"),
-        error.alias("error"),
-        unless_error(data["usage"]["completion_tokens"], F.lit(0).cast("bigint")).alias("tokens"),
-        unless_error(data["usage"]["total_tokens"], F.lit(0).cast("bigint")).alias("total_tokens"),
-    )
+    return let(raw, flattened)
 
 
 def escape_newlines(text: Column) -> Column:

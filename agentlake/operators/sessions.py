@@ -60,11 +60,11 @@ def tool_table(spark: SparkSession, tools: Sequence[Tool]) -> DataFrame:
 
 def extract_tool_calls(turns: DataFrame, text: str = "content") -> DataFrame:
     """One row per matched call: the input columns, ``call_no``, ``fmt``, ``raw``."""
-    matched = turns.withColumn("_m", matched_calls(F.col(text))).where("_m IS NOT NULL")
-    calls = matched.select(
-        *turns.columns, F.col("_m.fmt").alias("fmt"), F.posexplode("_m.raws").alias("call_no", "raw")
-    )
-    return calls.withColumn("call_no", F.col("call_no").cast("bigint"))
+    matched = turns.withColumn("_m", matched_calls(F.col(text)))
+    calls = matched.select(*turns.columns, F.col("_m.fmt").alias("fmt"), F.posexplode_outer("_m.raws").alias("call_no", "raw"))
+    # Filtering on the exploded column keeps the pattern search out of a pushed-down
+    # filter, where it would run a second time.
+    return calls.where("call_no IS NOT NULL").withColumn("call_no", F.col("call_no").cast("bigint"))
 
 
 def parsed_calls(turns: DataFrame, text: str = "content") -> DataFrame:
@@ -72,9 +72,19 @@ def parsed_calls(turns: DataFrame, text: str = "content") -> DataFrame:
 
     ``call_no`` is the position among all matched calls, dropped ones included.
     """
-    calls = extract_tool_calls(turns, text).withColumn("_call", parse_call_json(F.col("raw")))
-    kept = calls.where("_call IS NOT NULL")
-    return kept.select(*[c for c in calls.columns if c != "_call"], "_call.name", "_call.arguments")
+
+    def parsed(raw):
+        return F.struct(raw.alias("raw"), parse_call_json(raw).alias("call"))
+
+    matched = turns.withColumn("_m", matched_calls(F.col(text)))
+    calls = matched.select(
+        *turns.columns,
+        F.col("_m.fmt").alias("fmt"),
+        F.posexplode_outer(F.transform("_m.raws", parsed)).alias("call_no", "_c"),
+    )
+    return calls.where("_c.call IS NOT NULL").select(
+        *turns.columns, "fmt", F.col("call_no").cast("bigint").alias("call_no"), "_c.raw", "_c.call.name", "_c.call.arguments"
+    )
 
 
 def truncate_sessions(turns: DataFrame, cap: int = MAX_ITERATIONS) -> DataFrame:
