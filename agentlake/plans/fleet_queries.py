@@ -130,7 +130,7 @@ def equal_split(spark, sf_dir):
 def cluster_items(spark, sf_dir):
     """Orders as items of one cluster per region, numbered within it."""
     keyed = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 5 AS cluster_id", "o_orderkey")
-    return scans.dense_index(keyed, "o_orderkey", keys=["cluster_id"])
+    return scans.dense_index(keyed, "o_orderkey", keys=["cluster_id"], levels=1)
 
 
 def loads(spark, sf_dir):

@@ -14,7 +14,7 @@ def rows(spark):
     rng = random.Random(3)
     data = []
     for key in range(4):
-        orders = rng.sample(range(3000), 300 if key == 0 else 20)
+        orders = rng.sample(range(3000), [300, 20, 17, 9][key])
         data += [(key, o, rng.randint(0, 9), rng.random() < 0.1) for o in orders]
     rng.shuffle(data)
     return pd.DataFrame(data, columns=["k", "o", "v", "r"])
