@@ -88,14 +88,15 @@ def contained_in(patterns: DataFrame, texts: DataFrame, pattern: str, text: str,
     for applies, wanted_keys, offered_keys in kinds:
         wanted = patterns.where(applies).select(pid, F.explode(F.array_distinct(wanted_keys)).alias("_key"))
         offered = texts.select(tid, F.explode(F.array_distinct(offered_keys)).alias("_key"))
-        counts = offered.join(wanted.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(
-            F.count(F.lit(1)).alias("_texts")
-        )
+        # Spread evenly and kept whole, this shuffle serves both the count and the
+        # pairs, so the texts are cut into keys once.
+        hits = offered.join(wanted.select("_key").distinct(), "_key", "left_semi").repartition(tid, "_key")
+        counts = hits.groupBy("_key").agg(F.count(tid).alias("_texts"))
         rarest = wanted.join(counts, "_key", "left").groupBy(pid).agg(
             F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_key")).alias("_best")
         )
         looked_up = rarest.where("_best.n > 0").select(pid, F.col("_best._key").alias("_key"))
-        found = offered.join(looked_up, "_key").select(pid, tid)
+        found = hits.join(looked_up, "_key").select(pid, tid)
         pairs = found if pairs is None else pairs.unionByName(found)
     candidates = pairs.join(patterns.select(pid, F.col(pattern).alias("_pattern")), pid)
     checked = texts.select(tid, F.col(text).alias("_text")).join(candidates, tid)

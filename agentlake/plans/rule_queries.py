@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from agentlake.functions import text as T
 from agentlake.operators import lookups, rules, scoreboards, vectors
 from agentlake.plans.registry import query
-from agentlake.plans.tables import FILES_SQL, MANIFEST_SQL, RESULTS_SQL, files, manifest, results, table
+from agentlake.plans.tables import FILES_SQL, MANIFEST_SQL, RESULTS_SQL, files, manifest, results, spread, table
 
 # Rules in the words of the documents, next to the shipped ones.
 DOCUMENT_CHECKS = {
@@ -220,7 +220,7 @@ def phrase_rate(spark, sf_dir):
 def contained_in(spark, sf_dir):
     """Benchmark passages inside documents, without comparing every pair."""
     patterns = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     return lookups.contained_in(patterns, texts, "passage", "text", "item_id", "doc_id")
 
 

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The table over all cores, for work that is heavy per row.
+
+    Only an input with fewer splits than there are cores is shuffled, such as a single
+    file of one row group; at scale the scan is parallel enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # One call in the shapes a model may write it, chosen by event id; valid in both dialects.
 _CALL = """concat('{"name": "', event_type, '", "arguments": ', props, '}')"""
 TURN_CONTENT = f"""CASE
@@ -31,7 +41,7 @@ TURN_CONTENT = f"""CASE
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: a user's events of five days form a session, ordered by event."""
-    return turns_of(table(spark, sf_dir, "events"))
+    return turns_of(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def turns_of(events: DataFrame) -> DataFrame:
@@ -88,7 +98,7 @@ kept AS (
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the files of one run per source."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "source AS run_id", "concat(lang, '/', doc_id, '.txt') AS path", "text AS content"
     )
 
@@ -185,7 +195,7 @@ scored AS (
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Space-separated words of every document: ``(stream_id, pos, word)``."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", " ")).alias("pos", "word")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
