@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agentlake.functions.binding import let
 from agentlake.functions.json_text import (
     has_keys,
     is_json,
     is_json_object,
     json_fields,
-    let,
     opens_object,
     quote,
 )

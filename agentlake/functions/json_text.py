@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,15 +27,6 @@ def is_json(raw: Column) -> Column:
     return F.coalesce(F.array_position(items, digest) == 2, F.lit(False))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once per row.
-
-    An expression named several times, or inside a lambda, may otherwise be evaluated
-    at every mention.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def opens_object(raw: Column) -> Column:
     """The first character that is not whitespace is a brace."""
     return F.ltrim(F.translate(raw, "\t\r\n", "   ")).startswith("{")

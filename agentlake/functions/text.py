@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentlake.functions.json_text import has_keys, is_json_object, let
+from agentlake.functions.binding import let
+from agentlake.functions.json_text import has_keys, is_json_object
 
 # Thinking delimiters, in order of priority.
 THINK_MARKERS = [("<think>", "</think>"), ("<longcat_think>", "</longcat_think>")]

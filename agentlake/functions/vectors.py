@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agentlake.functions.json_text import let
+from agentlake.functions.binding import let
 
 def _double(vec: Column) -> Column:
     return vec.cast("array<double>")

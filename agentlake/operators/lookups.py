@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.functions.json_text import let
+from agentlake.functions.binding import let
 from agentlake.functions.text import usable_lookup
 
 # Fixed value: tag of text from the secondary source.

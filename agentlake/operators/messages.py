@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.operators.sessions import Tool
-
-# Fixed value: the start of the default system prompt.
-PROMPT_TEMPLATE = "You are a skilled software engineer. You have access to the following tools:\n\n{tool_descriptions}\n"
+# Where a prompt template takes the tool lines.
+PLACEHOLDER = "{tool_descriptions}"
 
 SEGMENT = 1024
 
 
-def render_system_prompt(tools: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFrame:
-    """One row with the prompt; ``tools`` is a registry ``(ord, name, description)``."""
+def render_system_prompt(tools: DataFrame, template: str) -> DataFrame:
+    """One row with the prompt: a line per tool, in order, put into the template.
+
+    ``tools(ord, name, description)`` is a registry, small by nature.
+    """
     line = F.concat(F.lit("- **"), F.col("name"), F.lit("**: "), F.col("description"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda r: r["line"]), "\n")
-    return tools.agg(F.replace(F.lit(template), F.lit("{tool_descriptions}"), lines).alias("prompt"))
-
-
-def registry_lines(tools: Sequence[Tool]) -> str:
-    """The same lines for a registry held in code."""
-    return "\n".join(f"- **{t.name}**: {t.description}" for t in tools)
+    return tools.agg(F.replace(F.lit(template), F.lit(PLACEHOLDER), lines).alias("prompt"))
 
 
 def tool_result_block(name, result):

@@ -7,7 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.functions.numbers import SCORE_WEIGHTS, overall_score
+from agentlake.functions.numbers import SCORE_WEIGHTS, overall_score, round_tenths
+
+
+def _padded(value: Column, width: int) -> Column:
+    return F.when(F.length(value) >= width, value).otherwise(F.lpad(value, width, " "))
+
+
+def _one_decimal(value: Column) -> Column:
+    return F.format_string("%.1f", round_tenths(value))
+
+
+def _mean_score(score: str = "score") -> Column:
+    """Mean of scores with one decimal; summed in tenths, so no order of rows matters."""
+    return F.sum(F.rint(F.col(score) * 10).cast("bigint")) / F.lit(10.0) / F.count(score)
 
 
 def with_score(results: DataFrame) -> DataFrame:
@@ -54,18 +67,10 @@ def model_average(scored: DataFrame, first_model: str | None = None) -> DataFram
         shared = _tasks_of(scored, first_model).withColumn("_shared", F.lit(True))
         models = models.join(shared, "task", "left").withColumn("score", F.when(F.col("_shared"), F.col("score")))
     return models.groupBy("model").agg(
-        F.coalesce(F.avg("score"), F.lit(0.0)).alias("average"), F.count("score").alias("tasks")
+        F.coalesce(_mean_score(), F.lit(0.0)).alias("average"), F.count("score").alias("tasks")
     )
 
 
-def _padded(value: Column, width: int) -> Column:
-    return F.when(F.length(value) >= width, value).otherwise(F.lpad(value, width, " "))
-
-
-def _one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.bround(value, 1))
-
-
 def run_summary(scored: DataFrame) -> DataFrame:
     """Fixed-width table lines per model: one per task, then the average.
 
@@ -75,7 +80,7 @@ def run_summary(scored: DataFrame) -> DataFrame:
         [[F.col("model"), F.col("task")], [F.col("model")]], F.col("model"), F.col("task")
     ).agg(
         F.grouping("task").alias("is_average"),
-        F.avg("score").alias("score"),
+        _mean_score().alias("score"),
         F.max("iterations").alias("iterations"),
         F.max("total_time").alias("total_time"),
         F.bool_or("tests_pass").alias("tests_pass"),

@@ -7,7 +7,7 @@ content)`` with ``seq`` unique within its session.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ class Tool:
     name: str
     description: str
     required: Sequence[str] = ()
-    optional: Sequence[str] = field(default=())
+    optional: Sequence[str] = ()
 
 
 # The tool registry, in order.
@@ -153,7 +153,7 @@ def tool_histogram(calls: DataFrame) -> DataFrame:
     return counted.sortWithinPartitions("session_id", F.desc("uses"), "_first").drop("_first")
 
 
-def dispatch_lookup(calls: DataFrame, tools: Sequence[Tool]) -> DataFrame:
+def dispatch_lookup(calls: DataFrame, tools: Sequence[Tool] = tuple(TOOLS)) -> DataFrame:
     """Calls with their registry entry; unknown names get an error text.
 
     The registry comes from code, so broadcasting it is safe at any data size.
@@ -165,7 +165,7 @@ def dispatch_lookup(calls: DataFrame, tools: Sequence[Tool]) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("ord").isNull(), unknown))
 
 
-def validate_arguments(calls: DataFrame, tools: Sequence[Tool]) -> DataFrame:
+def validate_arguments(calls: DataFrame, tools: Sequence[Tool] = tuple(TOOLS)) -> DataFrame:
     """Known calls with ``missing`` and ``unexpected`` argument names and ``ok``."""
     keys = object_keys(F.col("arguments"))
     known = dispatch_lookup(calls, tools).where("error IS NULL")

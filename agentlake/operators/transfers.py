@@ -46,7 +46,7 @@ def chunk_plan(manifest: DataFrame, chunk: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
-def transfer_progress(chunks: DataFrame, chunk_count: DataFrame | None = None, block: int = scans.BLOCK) -> DataFrame:
+def transfer_progress(chunks: DataFrame, block: int = scans.BLOCK) -> DataFrame:
     """Bytes and rate so far after each data chunk.
 
     ``chunks(transfer_id, path, chunk_no, actual_size, start_ts, ts)``; time runs from

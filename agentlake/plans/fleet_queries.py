@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agentlake.operators import links as L
-from agentlake.operators import scans, splits, tensors, transfers
+from agentlake.operators import scans, splits, tensors, tokens, transfers
 from agentlake.plans.registry import query
 from agentlake.plans.tables import (
     CHUNK,
@@ -196,9 +196,7 @@ def last_segment(spark, sf_dir):
     """Each document read four times while it grows; the segments make the whole text."""
     reads = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("read_no"))
     grown = reads.selectExpr("doc_id", "read_no", "left(text, CAST(read_no * length(text) div 4 AS INT)) AS text")
-    from agentlake.operators.tokens import last_segment as segment
-
-    return segment(grown, "doc_id", "read_no")
+    return tokens.last_segment(grown, "doc_id", "read_no")
 
 
 @query(f"""WITH {LINKS_SQL} SELECT cluster_id, least(src, dst) AS a, greatest(src, dst) AS b,

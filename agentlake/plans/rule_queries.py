@@ -139,6 +139,20 @@ def overall_score(spark, sf_dir):
 MODELS = [f"src{i}" for i in range(20)]
 
 
+def _mean(condition="true"):
+    """Mean score in SQL, summed in tenths; NULL without scores."""
+    return f"(sum(CAST(round_even(score * 10, 0) AS BIGINT)) FILTER (WHERE {condition}) / 10.0::DOUBLE / count(score) FILTER (WHERE {condition}))"
+
+
+def _one_decimal(x):
+    """One decimal decided on the exact binary value, as text."""
+    k = f"round_even({x} * 20, 0)"
+    short = f"(({k} - {x} * 16) - {x} * 4)"
+    return f"""printf('%.1f', CASE WHEN {k} % 2 = 0 THEN {k} / 2 WHEN {short} > 0 THEN ({k} - 1) / 2 WHEN {short} < 0 THEN ({k} + 1) / 2
+      WHEN (({k} - 1) / 2) % 2 = 0 THEN ({k} - 1) / 2 ELSE ({k} + 1) / 2 END / 10)"""
+
+
+
 @query(f"""WITH {RESULTS_SQL}
 SELECT task, {", ".join(f"coalesce(CAST(max(score) FILTER (WHERE model = '{m}') AS VARCHAR), '-') AS {m}" for m in MODELS)}
 FROM scored WHERE task IN (SELECT task FROM scored WHERE model = 'src0') GROUP BY task""")
@@ -147,7 +161,7 @@ def leaderboard(spark, sf_dir):
 
 
 @query(f"""WITH {RESULTS_SQL}
-SELECT model, round(coalesce(avg(CASE WHEN task IN (SELECT task FROM scored WHERE model = 'src0') THEN score END), 0), 6) AS average,
+SELECT model, round(coalesce({_mean("task IN (SELECT task FROM scored WHERE model = 'src0')")}, 0), 6) AS average,
   count(CASE WHEN task IN (SELECT task FROM scored WHERE model = 'src0') THEN score END) AS tasks
 FROM scored GROUP BY model""")
 def model_average(spark, sf_dir):
@@ -156,11 +170,11 @@ def model_average(spark, sf_dir):
 
 
 @query(f"""WITH {RESULTS_SQL}, grouped AS (
-  SELECT model, grouping(task) AS is_average, CASE WHEN grouping(task) = 1 THEN 'AVERAGE' ELSE task END AS task, avg(score) AS score,
+  SELECT model, grouping(task) AS is_average, CASE WHEN grouping(task) = 1 THEN 'AVERAGE' ELSE task END AS task, {_mean()} AS score,
     max(iterations) AS iterations, max(total_time) AS total_time, bool_or(tests_pass) AS tests_pass
   FROM scored GROUP BY GROUPING SETS ((model, task), (model)))
 SELECT model, CAST(is_average AS INT) AS is_average, task,
-  concat(rpad(task, 35, ' '), ' ', lpad(printf('%.1f', round_even(score, 1)), 5, ' '), '/100',
+  concat(rpad(task, 35, ' '), ' ', lpad({_one_decimal('score')}, 5, ' '), '/100',
     CASE WHEN is_average = 1 THEN '' ELSE concat(' ', lpad(iterations::VARCHAR, 6, ' '), ' ',
       CASE WHEN length(t) >= 5 THEN t ELSE lpad(t, 5, ' ') END, 's ', lpad(CASE WHEN tests_pass THEN '✓' ELSE '✗' END, 5, ' ')) END) AS line
 FROM (SELECT *, CAST(CAST(round_even(total_time, 0) AS BIGINT) AS VARCHAR) AS t FROM grouped)""")
@@ -170,9 +184,9 @@ def run_summary(spark, sf_dir):
 
 
 _CELLS = ", ".join(f"' ', coalesce(CAST(max(score) FILTER (WHERE model = '{m}') AS VARCHAR), '-'), ' |'" for m in MODELS)
-_AVERAGES = ", ".join(
-    f"' **', printf('%.1f', round_even(coalesce(avg(score) FILTER (WHERE model = '{m}' AND task IN (SELECT task FROM first)), 0), 1)), '** |'"
-    for m in MODELS
+_AVERAGES = ", ".join(f"' **', {_one_decimal(f'a_{m}')}, '** |'" for m in MODELS)
+_MEANS = ", ".join(
+    "coalesce({}, 0) AS a_{}".format(_mean(f"model = '{m}' AND task IN (SELECT task FROM scored WHERE model = 'src0')"), m) for m in MODELS
 )
 _ORDER = "list_position([" + ", ".join(f"'{m}'" for m in MODELS) + "], model)"
 
@@ -185,7 +199,7 @@ UNION ALL SELECT 0, 0, '', 5, '|------|{"|".join("-----:" for _ in MODELS)}|'
 UNION ALL SELECT 2, 0, '', 1, '' UNION ALL SELECT 2, 0, '', 2, '## Detail' UNION ALL SELECT 2, 0, '', 3, ''
 UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 1, '' FROM scored UNION ALL SELECT 3, {_ORDER}, task, 3, '' FROM scored
 UNION ALL SELECT 1, 0, task, 0, concat('| ', task, ' |', {_CELLS}) FROM scored WHERE task IN (SELECT task FROM first) GROUP BY task
-UNION ALL SELECT 2, 0, '', 0, concat('| **Average** |', {_AVERAGES}) FROM scored
+UNION ALL SELECT 2, 0, '', 0, concat('| **Average** |', {_AVERAGES}) FROM (SELECT {_MEANS} FROM scored)
 UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 0, concat('### ', model) FROM scored
 UNION ALL SELECT 3, {_ORDER}, task, 0, concat('**', task, '** — ', score, '/100') FROM scored
 UNION ALL SELECT 3, {_ORDER}, task, 1, concat('- Checks: ', CAST(round_even(check_score * 100, 0) AS BIGINT), '% | Tests: ', CASE WHEN tests_pass THEN 'PASS' ELSE 'FAIL' END) FROM scored

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from agentlake.functions import calls as C
 from agentlake.functions import json_text as J
 from agentlake.functions import text as T
-from agentlake.operators import messages, sessions
+from agentlake.functions.numbers import overall_score
+from agentlake.operators import messages, parsers, sessions
 from agentlake.operators.sessions import Tool
 from agentlake.plans.registry import query
 from agentlake.plans.tables import CALLS_SQL, TURNS_SQL, conv, table, turns
@@ -124,14 +125,13 @@ def tool_results(spark, sf_dir):
 
 
 @query("""WITH lines AS (SELECT event_type, concat('- **', event_type, '**: Handles ', event_type, ' events') AS line FROM events GROUP BY event_type)
-SELECT user_id, replace(concat('You are a skilled software engineer. You have access to the following tools:', chr(10), chr(10), '{tool_descriptions}', chr(10)),
-  '{tool_descriptions}', (SELECT string_agg(line, chr(10) ORDER BY event_type) FROM lines)) AS prompt
+SELECT user_id, concat('Tools:', chr(10), (SELECT string_agg(line, chr(10) ORDER BY event_type) FROM lines), chr(10), 'Call one.') AS prompt
 FROM (SELECT DISTINCT user_id FROM events)""")
 def render_system_prompt(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     described = F.concat(F.lit("Handles "), F.col("event_type"), F.lit(" events"))
     tools = events.select(F.col("event_type").alias("ord"), F.col("event_type").alias("name"), described.alias("description")).distinct()
-    prompt = messages.render_system_prompt(tools).scalar()
+    prompt = messages.render_system_prompt(tools, "Tools:\n{tool_descriptions}\nCall one.").scalar()
     return events.select("user_id").distinct().withColumn("prompt", prompt)
 
 
@@ -240,8 +240,6 @@ SELECT (session_id // 1000) % 20 AS model, count(*) AS sessions, round(avg(itera
 FROM per_session GROUP BY ALL""")
 def model_session_averages(spark, sf_dir):
     """Average score, iterations and tokens per model: responses all the way to a board."""
-    from agentlake.functions.numbers import overall_score
-
     summary = sessions.session_summary(turns(spark, sf_dir)).withColumn("model", F.expr("session_id div 1000 % 20"))
     scored = summary.withColumn("score", overall_score(agent_success=F.col("success")))
     return scored.groupBy("model").agg(
@@ -260,11 +258,9 @@ FROM events WHERE event_type = 'view'
 """)
 def parse_calls_by_format(spark, sf_dir):
     """Calls of two formats in one table, each text parsed by its own format's parser."""
-    from agentlake.operators.parsers import parse_calls
-
     tagged = turns(spark, sf_dir).select("session_id", "seq", F.col("content").alias("text"), F.lit("json_tools").alias("fmt"))
     views = table(spark, sf_dir, "events").where("event_type = 'view'").selectExpr(
         "user_id * 1000 + datediff(CAST(ts AS DATE), DATE'2024-01-01') div 5 AS session_id", "event_id AS seq",
         """concat('{"name": "', event_type, '", "parameters": ', props, '}') AS text""", "'python_tag' AS fmt",
     )
-    return parse_calls(tagged.unionByName(views)).select("session_id", "seq", "name", "arguments", "error")
+    return parsers.parse_calls(tagged.unionByName(views)).select("session_id", "seq", "name", "arguments", "error")

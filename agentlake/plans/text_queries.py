@@ -9,7 +9,7 @@ from agentlake.functions import numbers as N
 from agentlake.functions import text as T
 from agentlake.operators import tokens
 from agentlake.plans.registry import query
-from agentlake.plans.tables import MANIFEST_SQL, conv, manifest, table, words
+from agentlake.plans.tables import MANIFEST_SQL, conv, manifest, table
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS shown,

@@ -90,15 +90,31 @@ class SessionProcessor(StatefulProcessor):
 def stream_sessions(responses: DataFrame, cap: int = MAX_ITERATIONS, ttl_ms: int | None = None) -> DataFrame:
     """One row per ended session, as ``sessions.session_summary`` gives for the batch.
 
-    Call parsing stays in the JVM; the state holds counters, never responses.
+    No session uses more than ``cap`` responses, so each Arrow batch is cut to the
+    earliest ``cap`` of every session before the shuffle. Call parsing stays in the
+    JVM; the state holds counters, never responses.
     """
-    calls = parse_calls(F.col("content"))
-    parsed = responses.withColumn("calls", F.when(~F.col("is_error"), calls)).select(
+
+    def earliest(batches):
+        for pdf in batches:
+            yield pdf.sort_values("seq").groupby("session_id", sort=False).head(cap)
+
+    slim = responses.select(
         F.col("session_id").cast("bigint").alias("session_id"),
         F.col("seq").cast("bigint").alias("seq"),
         F.col("tokens").cast("bigint").alias("tokens"),
         F.col("elapsed").cast("double").alias("elapsed"),
         "is_error",
+        "content",
+    )
+    slim = slim.mapInPandas(earliest, slim.schema)
+    calls = parse_calls(F.col("content"))
+    parsed = slim.withColumn("calls", F.when(~F.col("is_error"), calls)).select(
+        "session_id",
+        "seq",
+        "tokens",
+        "elapsed",
+        "is_error",
         F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"),
         F.coalesce(F.array_join(F.transform("calls", lambda c: c["name"]), ","), F.lit("")).alias("call_names"),
         "content",
@@ -135,7 +151,9 @@ class CacheProcessor(StatefulProcessor):
 def stream_cache_growth(usage: DataFrame, limit: int, reset: str) -> DataFrame:
     """Alert rows ``(session_id, seq, cached_tokens)`` while a cache is over ``limit``.
 
-    ``reset`` names the boolean column that marks an independent request.
+    ``reset`` names the boolean column that marks an independent request. A session's
+    three numbers per response are put in order within a batch, so its source options
+    bound the memory a task needs.
     """
     slim = usage.select(
         F.col("session_id").cast("bigint").alias("session_id"),

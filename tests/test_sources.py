@@ -130,3 +130,16 @@ def test_user_check(spark):
     files = spark.createDataFrame([("r", "a.py", "xx")], "run_id string, path string, content string")
     checks = {"t": {"long": lambda path, content: F.length(content) > 1}}
     assert rules.check_files(files, checks).first().passed
+
+
+def test_round_tenths_equals_python(spark):
+    import random
+
+    from agentlake.functions.numbers import round_tenths
+
+    rng = random.Random(1)
+    values = [0.25, 0.35, 0.45, 41.25, 65.95, 0.05, 100.0, 0.0, 2.675, 99.95] + [rng.randint(0, 2000) / 20 for _ in range(300)]
+    values += [rng.random() * 100 for _ in range(300)] + [sum([x / 10] * 3) / 3 for x in range(0, 1000, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for row in df.select("x", round_tenths(F.col("x")).alias("r")).collect():
+        assert row.r == round(row.x, 1), row.x
