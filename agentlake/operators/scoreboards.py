@@ -18,9 +18,10 @@ def _one_decimal(value: Column) -> Column:
     return F.format_string("%.1f", round_tenths(value))
 
 
-def _mean_score(score: str = "score") -> Column:
+def _mean_score(column: str = "score") -> Column:
     """Mean of scores with one decimal; summed in tenths, so no order of rows matters."""
-    return F.sum(F.rint(F.col(score) * 10).cast("bigint")) / F.lit(10.0) / F.count(score)
+    score = F.col(f"`{column}`")
+    return F.sum(F.rint(score * 10).cast("bigint")) / F.lit(10.0) / F.count(score)
 
 
 def with_score(results: DataFrame) -> DataFrame:
@@ -49,17 +50,17 @@ def leaderboard(scored: DataFrame, models: Sequence[str]) -> DataFrame:
 
     Only tasks of the first model appear. The columns are the given models.
     """
-    grid = (
-        scored.join(_tasks_of(scored, models[0]), "task", "left_semi")
-        .groupBy("task")
-        .pivot("model", list(models))
-        .agg(F.max("score"))
-    )
-    return grid.select(
+    return _score_grid(scored, models).select(
         "task", *[F.coalesce(F.col(f"`{m}`").cast("string"), F.lit("-")).alias(m) for m in models]
     )
 
 
+def _score_grid(scored: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Scores per task with a column per model, for the tasks the first model has."""
+    grid = scored.groupBy("task").pivot("model", list(models)).agg(F.max("score"))
+    return grid.where(F.col(f"`{models[0]}`").isNotNull())
+
+
 def model_average(scored: DataFrame, first_model: str | None = None) -> DataFrame:
     """Mean score per model over its tasks, or over those the first model has too."""
     models = scored.select("model", "task", "score")
@@ -139,15 +140,15 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
     cells = F.concat(*[F.concat(F.lit(" "), F.col(f"`{m}`"), F.lit(" |")) for m in models])
     table = lines(grid, 1, F.lit(0), F.col("task"), [F.concat(F.lit("| "), F.col("task"), F.lit(" |"), cells)])
 
-    averages = model_average(shown, models[0]).groupBy().pivot("model", list(models)).agg(F.max("average"))
-    cell = [
-        F.concat(F.lit(" **"), _one_decimal(F.coalesce(F.col(f"`{m}`"), F.lit(0.0))), F.lit("** |")) for m in models
-    ]
+    averages = _score_grid(scored, models).agg(*[F.coalesce(_mean_score(m), F.lit(0.0)).alias(m) for m in models])
+    means = F.array(*[F.col(f"`{m}`") for m in models])
+    cells = F.array_join(F.transform(means, lambda x: F.concat(F.lit(" **"), _one_decimal(x), F.lit("** |"))), "")
     after = [F.lit(""), F.lit("## Detail"), F.lit("")]
-    average = lines(averages, 2, F.lit(0), F.lit(""), [F.concat(F.lit("| **Average** |"), *cell), *after])
+    average = lines(averages, 2, F.lit(0), F.lit(""), [F.concat(F.lit("| **Average** |"), cells), *after])
 
+    known = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     title = [F.concat(F.lit("### "), F.col("model")), F.lit("")]
-    names = lines(shown.select("model").distinct(), 3, order[F.col("model")], F.lit(""), title)
+    names = lines(known, 3, order[F.col("model")], F.lit(""), title)
     checks = F.bround(F.col("check_score") * 100, 0).cast("bigint").cast("string")
     detail = lines(
         shown,
