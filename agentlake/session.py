@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +33,10 @@ def build_session(app: str = "agentlake", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, on storage every executor can reach.
 
-    The cluster names the parent in ``spark.checkpoint.dir``. Only a local
-    session without that setting falls back to a temporary folder.
+    The cluster names the parent in ``spark.checkpoint.dir``. A session without that setting
+    uses its warehouse, which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="agentlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/agentlake-shared"
     return f"{root.rstrip('/')}/agentlake-{purpose}-{uuid.uuid4().hex}"
