@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from agentlake.session import shared_dir
 
@@ -70,3 +71,26 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(total)
+
+
+#: Bits of a filter, which bound its size whatever the number of keys.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(df: DataFrame, key: str) -> np.ndarray:
+    """A bitmap that lets all values of a BIGINT column through, and others by chance only.
+
+    The more keys, the more chance; what it lets through has to be joined exactly later, so
+    it only saves work.
+    """
+    at = df.selectExpr(f"pmod(`{key}`, {FILTER_BITS}L) AS at")
+    words = at.selectExpr("at div 32 AS word", "shiftleft(1L, CAST(at % 32 AS INT)) AS bits")
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % FILTER_BITS
+    return (bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 > 0

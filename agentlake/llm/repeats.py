@@ -21,19 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.llm.common import ranges, slices, written
+from agentlake.llm.common import bit_filter, list_array, passes, ranges, slices, written
 from agentlake.llm.words import Words, mix
 
 WINDOW = 50
 GRAM, REACH = 8, 25
+#: Suffixes of a run at most; below WINDOW, so that all of them overlap.
+LONGEST = 48
 #: Depths at which nodes are split, in words.
 DEPTHS = (8, 16, 32, 50)
 #: Suffix runs of one prefix that a task takes, and the number of prefixes that may be
 #: extended, which bounds what is broadcast: a prefix beyond it has at most one
 #: ``EXTENDED``th of all runs.
 GROUP, EXTENDED = 2048, 1 << 18
-#: Bits of the filter of shared prefixes, a bound on its size. Prefixes it lets through by chance only cost work.
-FILTER_BITS = 1 << 26
 #: Bytes of suffix runs that a task builds trees for at once.
 _CHUNK = 4 << 20
 _SLICE = 4 << 20
@@ -60,13 +60,16 @@ class Runs:
             size *= 2
         if size < REACH:
             best = self._least(grams, best, REACH - size)
-        chosen = best[begins]
+        chosen = grams[best[begins]]
         new = np.ones(len(begins), bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (begins[1:] != begins[:-1] + 1)
+        # Of a text with a period, a long run chooses the same; it is cut.
+        whole = np.flatnonzero(new)
+        new[(np.arange(len(begins)) - np.repeat(whole, np.diff(np.append(whole, len(begins))))) % LONGEST == 0] = True
         starts = np.flatnonzero(new)
         self.first = begins[starts]
         self.n = np.diff(np.append(starts, len(begins)))
-        self.prefix = grams[chosen[starts]].view(np.int64)
+        self.prefix = chosen[starts].view(np.int64)
         self.rows = words.rows[self.first]
 
     @staticmethod
@@ -146,38 +149,27 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     return found.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("prefix", "n")
 
 
-def _filter(shared: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits with those of the shared prefixes set."""
-    at = shared.selectExpr(f"pmod(prefix, {FILTER_BITS}L) AS at")
-    words = at.selectExpr("at div 32 AS word", "shiftleft(1L, CAST(at % 32 AS INT)) AS bits")
-    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def _in_filter(bits: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    at = prefix % FILTER_BITS
-    return (bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 > 0
-
-
 def _stretches(rows: DataFrame, state, extended: bool) -> DataFrame:
-    """Of the suffix runs with shared prefixes: stretches of text, or for extended prefixes every suffix by its name."""
+    """Of the suffix runs with shared prefixes: stretches of text, or for extended prefixes the names of the suffixes."""
 
     def run(batches):
         bits, hot = state.value
         for part in slices(batches, "text", _SLICE):
             runs = Runs(part.column("text"))
-            good = _in_filter(bits, runs.prefix)
+            good = passes(bits, runs.prefix)
             good &= np.isin(runs.prefix, hot) == extended
             first, n, row, words = runs.first[good], runs.n[good], runs.rows[good], runs.words
             at = words.place[first]
+            keys = pa.array(row)
             if extended:
-                suffix = ranges(first, n)
-                names = _named(words, WINDOW)[suffix].view(np.int64)
-                row = np.repeat(row, n)
-                columns = [pa.array(names), part.column("id").take(pa.array(row)), part.column("tag").take(pa.array(row)), pa.array(words.place[suffix].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["name", "id", "tag", "start"])
+                names = _named(words, WINDOW)[ranges(first, n)].view(np.int64)
+                ends = np.cumsum(n)
+                offset = np.arange(len(names)) - np.repeat(ends - n, n)
+                with np.errstate(over="ignore"):
+                    mixed = mix(names.view(np.uint64) + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    body = np.add.reduceat(mixed, ends - n).view(np.int64) if len(n) else np.zeros(0, np.int64)
+                columns = [part.column("id").take(keys), part.column("tag").take(keys), pa.array(at.astype(np.int64)), pa.array(body), list_array(names, ends, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "start", "body", "names"])
                 continue
             begin, size = words.starts[first], words.ends[first + n + WINDOW - 2] - words.starts[first]
             raw = np.frombuffer(part.column("text").buffers()[2] or b"", np.uint8)
@@ -185,13 +177,12 @@ def _stretches(rows: DataFrame, state, extended: bool) -> DataFrame:
             body = raw[ranges(begin + base, size)]
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-            keys = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(runs.prefix[good]), part.column("id").take(keys), part.column("tag").take(keys), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int32)), texts],
                 ["prefix", "id", "tag", "start", "n", "body"],
             )
 
-    kinds = "name bigint, id bigint, tag bigint, start bigint" if extended else "prefix bigint, id bigint, tag bigint, start bigint, n int, body binary"
+    kinds = "id bigint, tag bigint, start bigint, body bigint, names array<bigint>" if extended else "prefix bigint, id bigint, tag bigint, start bigint, n int, body binary"
     return rows.mapInArrow(run, kinds)
 
 
@@ -228,6 +219,21 @@ def _trees(stretches: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "id bigint, tag bigint, first bigint, end bigint")
 
 
+def _named_repeats(runs: DataFrame) -> DataFrame:
+    """As ``_trees``, for runs whose suffixes have names over the whole window.
+
+    Equal runs are one, with their smallest and largest document, before their suffixes are
+    compared; the verdicts go back to the runs. All suffixes of a run overlap, so what its
+    repeats cover is one stretch.
+    """
+    bodies = runs.groupBy("body").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("names").alias("names"))
+    suffixes = bodies.select("body", "low", "high", F.posexplode("names").alias("at", "name"))
+    nodes = suffixes.groupBy("name").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("name", "least")
+    marks = suffixes.select("body", "at", "name").join(nodes, "name").groupBy("body").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
+    hits = runs.select("id", "tag", "start", "body").join(marks, "body").withColumn("at", F.expr("transform(filter(marks, m -> m.least < id), m -> m.at)"))
+    return hits.where("size(at) > 0").selectExpr("id", "tag", "start + array_min(at) AS first", f"start + array_max(at) + {WINDOW} AS end")
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, tag, first, end``: words (from 0, end exclusive) of documents that lie in a window which also starts in a document with a smaller key.
 
@@ -237,13 +243,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
     shared = written(shared_prefixes(rows), "prefixes")
     hot = shared.where(F.col("n") > GROUP).orderBy(F.col("n").desc(), "prefix").limit(EXTENDED).select("prefix").toPandas()["prefix"].to_numpy(np.int64)
-    state = docs.sparkSession.sparkContext.broadcast((_filter(shared), hot))
+    state = docs.sparkSession.sparkContext.broadcast((bit_filter(shared, "prefix"), hot))
     found = _trees(_stretches(rows, state, extended=False))
     if len(hot):
-        suffixes = _stretches(rows, state, extended=True)
-        least = suffixes.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name", "low")
-        hits = suffixes.join(least, "name").where("id > low").select("id", "tag", "start")
-        found = found.unionAll(hits.select("id", "tag", F.col("start").alias("first"), (F.col("start") + WINDOW).alias("end")))
+        found = found.unionAll(_named_repeats(written(_stretches(rows, state, extended=True), "suffixes")))
     return written(found, "passages")
 
 
