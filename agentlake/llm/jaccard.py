@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from agentlake.llm.common import list_array, slices, written
+from agentlake.llm.common import bit_filter, list_array, passes, slices, written
 from agentlake.llm.graph import components
 from agentlake.llm.words import Words, mix
 
@@ -32,7 +33,7 @@ PART, WHOLE = 75, 100
 FREQUENT = 1 << 17
 #: A task reports shingles that at least so many documents of one of its slices hold.
 REPORTED = 4
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +129,88 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n bigint, set binary, prefix array<bigint>")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of documents whose sets are similar, by their whole sets."""
+def packed_sets(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Sorted sets cut to as many leading bits as give gaps of about 2^15, as 16-bit gaps.
+
+    A gap of 65535 or more is written as that many 65535 and the rest.
+    """
+    bits = np.minimum(63, 15 + np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
+    starts = np.cumsum(counts) - counts
+    values = hashes >> np.repeat(63 - bits, counts)
+    gaps = np.diff(values, prepend=0)
+    some = starts[counts > 0]
+    gaps[some] = values[some]
+    over = gaps // 65535
+    width = over + 1
+    out = np.full(int(width.sum()), 65535, np.uint16)
+    out[np.cumsum(width) - 1] = gaps - over * 65535
+    ends = np.concatenate([[0], np.cumsum(width)])[np.cumsum(counts)]
+    return [out[e - w : e].tobytes() for e, w in zip(ends, np.diff(ends, prepend=0), strict=True)]
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    codes = np.frombuffer(body, np.uint16).astype(np.int64)
+    return np.cumsum(codes)[codes < 65535]
+
+
+def _about_shared(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two packed sets, and how many elements of the first the second seems to have, never too few."""
+    a, b = _unpacked(x), _unpacked(y)
+    of = [15 + int(np.ceil(np.log2(max(1, len(v))))) for v in (a, b)]
+    a, b = a >> max(0, of[0] - of[1]), b >> max(0, of[1] - of[0])
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return len(a), len(b), int((b[at] == a).sum())
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, packed: bool) -> DataFrame:
+    """``id, elements`` of the documents in ``ids``, and of few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))  # FILTER_BITS
 
-    def sets(batches):
+    def run(batches):
         for part in slices(batches, "text", _SLICE):
+            keys = part.column("id").fill_null(-1).to_numpy()
+            part = part.filter(pa.array(passes(bits.value, keys)))
+            if not part.num_rows:
+                continue
             hashes, counts = shingle_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), list_array(hashes, np.cumsum(counts), pa.int64())], ["id", "elements"])
+            elements = pa.array(packed_sets(hashes, counts), pa.binary()) if packed else list_array(hashes, np.cumsum(counts), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts.astype(np.int64)), elements], ["id", "size", "elements"])
+
+    return docs.mapInArrow(run, f"id bigint, size bigint, elements {'binary' if packed else 'array<bigint>'}")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of documents whose sets are similar, by their whole sets.
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    elements = written(docs.join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, elements array<bigint>").dropDuplicates(["id"]), "sets")
-    both = pairs.join(elements.withColumnsRenamed({"id": "a", "elements": "x"}), "a").join(elements.withColumnsRenamed({"id": "b", "elements": "y"}), "b")
+    ``pairs``: ``a, na, b, nb`` with the sizes, which tell rows of a repeated key apart. First by packed
+    sets, which can only overstate what two sets share; pairs that are similar by a narrow margin are
+    decided by all bits.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def beside(pairs, elements):
+        of_a = elements.withColumnsRenamed({"id": "a", "size": "na", "elements": "x"})
+        of_b = elements.withColumnsRenamed({"id": "b", "size": "nb", "elements": "y"})
+        return pairs.join(of_a, ["a", "na"]).join(of_b, ["b", "nb"])
+
+    def judge(batches):
+        for batch in batches:
+            verdicts = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                n, m, shared = _about_shared(x, y)
+                over = shared - -(-PART * (n + m) // (PART + WHOLE))
+                # By chance one element in 2^14 or fewer seems shared.
+                verdicts.append(0 if over < 0 else 1 if over < 8 + n // 2048 else 2)
+            keys = [batch.column(c) for c in ("a", "na", "b", "nb")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(verdicts, pa.int32())], ["a", "na", "b", "nb", "verdict"])
+
+    judged = beside(pairs, _sets_of(docs, ids, packed=True)).mapInArrow(judge, "a bigint, na bigint, b bigint, nb bigint, verdict int")
+    judged = written(judged.where("verdict > 0"), "judged")
+    narrow = judged.where("verdict = 1").drop("verdict")
+    close = beside(narrow, _sets_of(docs, narrow.select(F.explode(F.array("a", "b")).alias("id")).distinct(), packed=False))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(WHOLE * shared >= PART * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    sure = close.where(WHOLE * shared >= PART * (F.col("na") + F.col("nb") - shared))
+    return judged.where("verdict = 2").select("a", "b").unionAll(sure.select("a", "b"))
 
 
 def _similar_sizes(a: str, b: str):
@@ -152,58 +222,70 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
     Keys are integers. Null, empty and blank texts have no shingles and link with nothing.
     Rows without a key come back with a null component. Rows that repeat a key are one
-    document if their texts are equal; with different texts each links by its own, and the
-    key stands for all of them.
+    document, linked to equal sets by all its texts and to similar ones by the smallest.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = written(_prefixes(rows, frequent_shingles(rows)), "prefixes")
+    sets = written(_prefixes(rows, frequent_shingles(rows)).withColumn("like", F.xxhash64("n", "prefix")), "prefixes")
     usable = sets.where("id IS NOT NULL AND n > 0")
-    # Equal sets are one; of these, those of one size and prefix one group.
-    distinct = usable.groupBy("n", "set").agg(F.min("id").alias("id"), F.min_by("prefix", "id").alias("prefix"))
-    distinct = written(distinct.withColumn("prefix_key", F.xxhash64("n", "prefix")), "distinct")
-    group_of = distinct.groupBy("prefix_key").agg(F.min("id").alias("group"), F.min("n").alias("n"), F.min_by("prefix", "id").alias("prefix"))
-    members = written(distinct.select("id", "prefix_key").join(group_of.select("prefix_key", "group"), "prefix_key").select("group", "id"), "members")
-    seats = group_of.select("group", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = seats.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("h")
-    postings = written(seats.join(shared, "h"), "postings")
+    # Equal sets are one, with the smallest id; of these, those of one size and prefix one group.
+    same = usable.groupBy("n", "set").agg(F.min("id").alias("id"), F.first("like").alias("like"))
+    distinct = written(same.groupBy("id").agg(F.min(F.struct("n", "like")).alias("own")).select("id", "own.*"), "distinct")
+    group_of = distinct.groupBy("like").agg(F.min("id").alias("group"))
+    members = written(distinct.join(group_of, "like").select("group", "id", "n", "like"), "members")
+    # The first document of each group brings the group's prefix.
+    heads = members.where("group = id").select("id", "like")
+    prefixes = usable.select("id", "like", "n", "prefix").join(heads.withColumnRenamed("like", "own"), "id").where("like = own").dropDuplicates(["id"])
+    seats = prefixes.select(F.col("id").alias("group"), "n", F.posexplode("prefix").alias("pos", "h"))
+    # Beyond the FREQUENT ones no shingle is in more than one FREQUENT-th of all seats.
+    holders = Window.partitionBy("h")
+    postings = written(
+        seats.withColumn("holders", F.count(F.lit(1)).over(holders)).withColumn("hub", F.min(F.struct("group", "n", "pos")).over(holders))
+        .where("holders > 1").drop("holders"),
+        "postings",
+    )
 
     # First round: every group against the hub of each of its elements, every member of a
-    # group against the group's first.
-    hubs = postings.groupBy("h").agg(F.min(F.struct("group", "n", "pos")).alias("hub"))
-    near = postings.join(hubs, "h").where(F.col("hub.group") < F.col("group")).select(
-        F.col("hub.group").alias("a"), F.col("group").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.pos").alias("pa"), F.col("pos").alias("pb")
-    )
-    first = written(
-        near.where(_possible()).select("a", "b").unionAll(members.where("group <> id").select(F.col("group").alias("a"), F.col("id").alias("b"))).distinct(), "pairs"
+    # group against the group's head.
+    near = postings.where(F.col("hub.group") != F.col("group")).selectExpr(
+        "hub.group AS a", "hub.n AS na", "hub.pos AS pa", "group AS b", "n AS nb", "pos AS pb"
     )
+    inner = members.where("group <> id").selectExpr("group AS a", "n AS na", "id AS b", "n AS nb")
+    columns = ["a", "na", "b", "nb"]
+    first = written(near.where(_possible()).select(columns).unionAll(inner).distinct(), "pairs")
     links = written(_compared(first, rows), "links")
 
     # Second round: pairs still in different components, all members of both groups.
     part = components(links)
     placed = written(
-        members.join(part.withColumnRenamed("node", "id"), "id", "left").select("group", "id", F.coalesce("component", "id").alias("part")), "parts"
+        members.join(part.withColumnRenamed("node", "id"), "id", "left").select("group", "id", "n", F.coalesce("component", "id").alias("part")), "parts"
     )
     groups = placed.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    seated = postings.join(groups, "group")
-    mixed = seated.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h")
-    open_ = written(seated.join(mixed, "h"), "open")
+    seated = postings.drop("hub").join(groups, "group")
+    spans = seated.withColumn("least", F.min("low").over(holders)).withColumn("most", F.max("high").over(holders))
+    open_ = written(spans.where("least <> most").drop("least", "most"), "open")
     left = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("group", "n", "pos", "low", "high")])
     right = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("group", "n", "pos", "low", "high")])
     apart = (F.col("low_a") != F.col("low_b")) | (F.col("high_a") != F.col("high_b")) | (F.col("low_a") != F.col("high_a"))
-    met = left.join(right, "h").where((F.col("group_a") < F.col("group_b")) & apart).select(
-        F.col("group_a").alias("a"), F.col("group_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"), F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb")
+    met = left.join(right, "h").where((F.col("group_a") < F.col("group_b")) & apart).selectExpr(
+        "group_a AS ga", "group_b AS gb", "n_a AS na", "n_b AS nb", "pos_a AS pa", "pos_b AS pb"
     )
-    inner = groups.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b"))
-    pairs = met.where(_possible()).select("a", "b").distinct().unionAll(inner)
-    of_a = placed.select(F.col("group").alias("a"), F.col("id").alias("x"), F.col("part").alias("px"))
-    of_b = placed.select(F.col("group").alias("b"), F.col("id").alias("y"), F.col("part").alias("py"))
-    expanded = pairs.join(of_a, "a").join(of_b, "b").where("px <> py AND x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = written(expanded.join(first, ["a", "b"], "left_anti"), "pairs")
+    within = groups.where("low <> high").selectExpr("group AS ga", "group AS gb")
+    # Every prefix element that a pair shares is among these, so their number is known.
+    counted = met.groupBy("ga", "gb").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c"), F.bool_or(_possible()).alias("ok"))
+    pairs = counted.where(F.col("ok") & _enough()).select("ga", "gb").unionAll(within)
+    of_a = placed.selectExpr("group AS ga", "id AS x", "n AS nx", "part AS px")
+    of_b = placed.selectExpr("group AS gb", "id AS y", "n AS ny", "part AS py")
+    expanded = pairs.join(of_a, "ga").join(of_b, "gb").where("px <> py")
+    ordered = expanded.selectExpr(
+        "least(x, y) AS a", "IF(x < y, nx, ny) AS na", "greatest(x, y) AS b", "IF(x < y, ny, nx) AS nb"
+    ).distinct()
+    done = first.selectExpr("least(a, b) AS a", "IF(a < b, na, nb) AS na", "greatest(a, b) AS b", "IF(a < b, nb, na) AS nb")
+    rest = written(ordered.join(done, columns, "left_anti"), "pairs")
     links = written(links.unionAll(_compared(rest, rows)), "links")
 
-    # Keys that share a set, or a key, are linked too.
-    same = usable.select("id", "n", "set").join(distinct.select("n", "set", F.col("id").alias("rep")), ["n", "set"])
-    ties = same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # Documents with equal sets are linked too.
+    reps = same.select("n", "set", F.col("id").alias("rep"))
+    ties = usable.select("id", "n", "set").join(reps, ["n", "set"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     part = components(links.unionAll(ties))
     out = sets.select("id", "n").join(part.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -219,3 +301,13 @@ def _possible():
     after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     before = F.least("pa", "pb")
     return _similar_sizes("na", "nb") & (after + before >= overlap)
+
+
+def _enough():
+    """Whether sets of sizes ``na, nb`` that share ``c`` prefix elements can be similar.
+
+    Of the set whose prefix ends first in the order, no further prefix element is in the
+    other set; so they share at most ``c`` and what follows that prefix.
+    """
+    rest = F.ceil(F.greatest("na", "nb") * PART / WHOLE) - 1
+    return F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
