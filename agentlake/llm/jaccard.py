@@ -31,6 +31,8 @@ PART, WHOLE = 75, 100
 #: Shingles that may be moved to the end of the order, those with the highest counts. The
 #: number bounds what is broadcast; others stay where their hash puts them.
 FREQUENT = 1 << 17
+#: Elements that two sets must share early in their prefixes, if these reach so far.
+EARLY = 8
 #: A task reports shingles that at least so many documents of one of its slices hold.
 REPORTED = 4
 _SLICE = 4 << 20
@@ -251,7 +253,7 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     )
     inner = members.where("group <> id").selectExpr("group AS a", "n AS na", "id AS b", "n AS nb")
     columns = ["a", "na", "b", "nb"]
-    first = written(near.where(_possible()).select(columns).unionAll(inner).distinct(), "pairs")
+    first = written(near.where(_possible() & _early()).select(columns).unionAll(inner).distinct(), "pairs")
     links = written(_compared(first, rows), "links")
 
     # Second round: pairs still in different components, all members of both groups.
@@ -270,9 +272,9 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
         "group_a AS ga", "group_b AS gb", "n_a AS na", "n_b AS nb", "pos_a AS pa", "pos_b AS pb"
     )
     within = groups.where("low <> high").selectExpr("group AS ga", "group AS gb")
-    # Every prefix element that a pair shares is among these, so their number is known.
-    counted = met.groupBy("ga", "gb").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c"), F.bool_or(_possible()).alias("ok"))
-    pairs = counted.where(F.col("ok") & _enough()).select("ga", "gb").unionAll(within)
+    # All that a pair in different components shares is among these, so it can be counted.
+    counted = met.where(_possible() & _early()).groupBy("ga", "gb").agg(F.first(_asked()).alias("asked"), F.count(F.lit(1)).alias("c"))
+    pairs = counted.where("c >= asked").select("ga", "gb").unionAll(within)
     of_a = placed.selectExpr("group AS ga", "id AS x", "n AS nx", "part AS px")
     of_b = placed.selectExpr("group AS gb", "id AS y", "n AS ny", "part AS py")
     expanded = pairs.join(of_a, "ga").join(of_b, "gb").where("px <> py")
@@ -291,23 +293,25 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _possible():
-    """Sizes ``na, nb`` and positions ``pa, pb`` of a shared element that allow the similarity.
+def _overlap():
+    """What sets of sizes ``na`` and ``nb`` must share to be similar."""
+    return F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
 
-    What follows the element in either set bounds what else the two can share; elements
-    before it that both hold are counted when they are met themselves.
-    """
-    overlap = F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
-    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    before = F.least("pa", "pb")
-    return _similar_sizes("na", "nb") & (after + before >= overlap)
+
+def _asked():
+    """Number of elements to be shared early, as far as the prefixes reach, up to ``EARLY``."""
+    return F.least(F.lit(EARLY), _overlap() - F.ceil(F.greatest("na", "nb") * PART / WHOLE) + 1)
 
 
-def _enough():
-    """Whether sets of sizes ``na, nb`` that share ``c`` prefix elements can be similar.
+def _early():
+    """Whether an element stands early enough: similar sets share k of the first n - overlap + k of each."""
+    return (F.col("pa") < F.col("na") - _overlap() + _asked()) & (F.col("pb") < F.col("nb") - _overlap() + _asked())
 
-    Of the set whose prefix ends first in the order, no further prefix element is in the
-    other set; so they share at most ``c`` and what follows that prefix.
+
+def _possible():
+    """Sizes ``na, nb`` and positions ``pa, pb`` of a shared element that allow the similarity.
+
+    At most the elements before it and those after it in the shorter of both are shared.
     """
-    rest = F.ceil(F.greatest("na", "nb") * PART / WHOLE) - 1
-    return F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * PART / (PART + WHOLE))
+    after = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return _similar_sizes("na", "nb") & (after + F.least("pa", "pb") >= _overlap())

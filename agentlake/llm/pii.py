@@ -152,7 +152,7 @@ class Field:
     def fit(cls, graph: Graph, steps: int = 200, rate: float = 1.0, decay: float = 1e-4) -> Field:
         """Maximises the pseudo-likelihood of the base labels, each given its neighbours' ones."""
         n, k = len(graph.label), len(LABELS)
-        unary, transition, equal = np.zeros((FEATURES, k)), np.zeros((k, k)), 3.0
+        unary, transition, equal = np.zeros((FEATURES, k)), np.zeros((k, k)), 5.0
         if not n:
             return cls(unary, transition, equal)
         truth = np.eye(k)[graph.label]
@@ -162,13 +162,15 @@ class Field:
         same = np.zeros((n, k))
         np.add.at(same, c, truth[d])
         np.add.at(same, d, truth[c])
+        # Repeats of labelled words that no pattern found are what the field is to decide.
+        weight = np.where((graph.label == 0) & (same[:, 1:].sum(1) > 0), 0.0, weight[:, 0])[:, None]
         for _ in range(steps):
             score = unary[graph.features].sum(1) + equal * same
             np.add.at(score, b, transition[graph.label[a]])
             np.add.at(score, a, transition.T[graph.label[b]])
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            error = (truth - p) * weight / weight.sum()
+            error = (truth - p) * weight / max(1.0, weight.sum())
             grad = np.zeros_like(unary)
             np.add.at(grad, graph.features.ravel(), np.repeat(error, graph.features.shape[1], 0))
             unary += 20 * rate * (grad - decay * unary)
@@ -176,7 +178,7 @@ class Field:
             np.add.at(step, graph.label[a], error[b])
             np.add.at(step.T, graph.label[b], error[a])
             transition += rate * (step - decay * transition)
-            equal = float(np.clip(equal + rate * (error * same).sum(), 2.0, 6.0))
+            equal = float(np.clip(equal + rate * (error * same).sum(), 4.0, 8.0))
         return cls(unary, transition, equal)
 
     def marginals(self, graph: Graph, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
@@ -210,7 +212,7 @@ class Field:
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def spans(self, texts: list[str], sure: float = 0.9) -> list[list[tuple[str, int, int, bool]]]:
+    def spans(self, texts: list[str], sure: float = 0.8) -> list[list[tuple[str, int, int, bool]]]:
         """``(kind, start, end, is base)`` for every text, by kind and then start."""
         graph = Graph(texts)
         p = self.marginals(graph)
