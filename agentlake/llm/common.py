@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 #: Bytes of text that one step of a Python task holds as Python or numpy objects.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts hold at most ``most`` bytes (one row at least).
 
-    Nulls in ``column`` become empty strings.
+    Nulls in ``column`` become empty strings. Python workers live on from task to task, so
+    memory that the task before has freed is given back first.
     """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if not batch.num_rows:
             continue

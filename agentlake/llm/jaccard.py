@@ -35,7 +35,7 @@ FREQUENT = 1 << 17
 EARLY = 8
 #: A task reports shingles that at least so many documents of one of its slices hold.
 REPORTED = 4
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

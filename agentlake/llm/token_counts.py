@@ -15,7 +15,7 @@ from agentlake.llm.common import slices
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens bigint"
 #: Distinct chunks a task remembers before it starts anew.
-TABLE_CHUNKS = 1 << 19
+TABLE_CHUNKS = 1 << 18
 
 # White space to Unicode, as the pre-tokenizer's \s; Python's own class has four more.
 _SPACE = r"\t-\r \x85\xa0  -     　"

@@ -27,7 +27,9 @@ DIM, HIDDEN = 4, 8
 GRAMS = (3, 4, 5)
 _TRIM = b".,;:!?\"'()[]"
 #: Distinct words a task remembers before it starts anew.
-TABLE_WORDS = 1 << 18
+TABLE_WORDS = 1 << 17
+#: Distinct words hashed in one go.
+WORDS_AT_ONCE = 1 << 14
 #: Windows scored in one go.
 BATCH = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -112,10 +114,19 @@ class Network:
     # Words
     def vectors(self, words: list[bytes], trace: bool = False):
         """Input vectors of distinct words; with ``trace`` also what the gradient needs."""
-        buckets, grams, starts = word_grams(words)
-        chars = np.maximum.reduceat(self.gram[grams], starts) if len(words) else np.zeros((0, DIM), np.float32)
-        x = np.concatenate([self.word[buckets], chars], 1)
-        return (x, buckets, grams, starts) if trace else x
+        parts = []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            buckets, grams, starts = word_grams(words[i : i + WORDS_AT_ONCE])
+            chars = np.maximum.reduceat(self.gram[grams], starts)
+            parts.append((np.concatenate([self.word[buckets], chars], 1), buckets, grams.astype(np.int32) if trace else None, starts))
+        if not parts:
+            return np.zeros((0, 2 * DIM), np.float32)
+        x = np.concatenate([p[0] for p in parts])
+        if not trace:
+            return x
+        before = np.cumsum([0, *(len(p[2]) for p in parts)])
+        starts = np.concatenate([p[3] + b for p, b in zip(parts, before, strict=False)])
+        return x, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), starts
 
     # Windows
     def _unit(self, way: str, inputs, at, live, keep: bool):
@@ -271,17 +282,25 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
 
 def _log_odds(net: Network, distinct, flat, counts, y) -> None:
     """Starts the first dimension of both embeddings from log odds over the documents that hold a bucket."""
-    buckets, grams, starts = word_grams(distinct)
-    lengths = np.append(starts, len(grams))[1:] - starts
-    doc = np.repeat(np.arange(len(counts)), counts)
-    pairs = _distinct(doc * len(distinct) + flat)
-    d, w = pairs // len(distinct), pairs % len(distinct)
-    gram_doc = np.repeat(d, lengths[w])
-    gram = grams[ranges(starts[w], lengths[w])]
-    for embedding, size, key, own in ((net.word, WORD_BUCKETS, buckets[w], d), (net.gram, GRAM_BUCKETS, gram, gram_doc)):
-        once = _distinct(own * size + key)
-        own, key = once // size, once % size
-        bad, good = np.bincount(key, y[own], size), np.bincount(key, 1 - y[own], size)
+    ends = np.cumsum(counts)
+    totals = [np.zeros((2, size)) for size in (WORD_BUCKETS, GRAM_BUCKETS)]
+    for i in range(0, len(counts), 128):
+        own = counts[i : i + 128]
+        words = flat[ends[i] - counts[i] : ends[i + len(own) - 1]]
+        used, words = np.unique(words, return_inverse=True)
+        if not len(used):
+            continue
+        buckets, grams, starts = word_grams([distinct[j] for j in used])
+        lengths = np.diff(np.append(starts, len(grams)))
+        pairs = _distinct(np.repeat(np.arange(len(own)), own) * len(used) + words)
+        d, w = pairs // len(used), pairs % len(used)
+        gram_doc, gram = np.repeat(d, lengths[w]), grams[ranges(starts[w], lengths[w])]
+        for total, size, doc, key in ((totals[0], WORD_BUCKETS, d, buckets[w]), (totals[1], GRAM_BUCKETS, gram_doc, gram)):
+            once = _distinct(doc * size + key)
+            toxic = y[i + once // size]
+            total[1] += np.bincount(once % size, toxic, size)
+            total[0] += np.bincount(once % size, 1 - toxic, size)
+    for embedding, (good, bad) in zip((net.word, net.gram), totals, strict=True):
         odds = np.log((bad + 0.3) / (y.sum() + 0.6)) - np.log((good + 0.3) / ((1 - y).sum() + 0.6))
         # Less 1.5 standard errors: buckets of few documents say nothing.
         sure = np.maximum(np.abs(odds) - 1.5 * np.sqrt(1 / (bad + 0.3) + 1 / (good + 0.3)), 0)
@@ -305,7 +324,7 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 4000, longest: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 3000, longest: int = 3000) -> Network:
     """A network learnt on a bounded sample of labelled rows that are not held out.
 
     ``sample`` rows of each class at most, those with the smallest hashes of their keys among
