@@ -53,7 +53,7 @@ def _children(root: str, rel: str, links: bool) -> Iterator[tuple[str, int, bool
 
 
 def _read(root: str, path: str) -> str:
-    """Text of one file; undecodable bytes make it empty, line ends become newlines."""
+    """Text of one file; undecodable bytes make it empty, line ends become newlines. Failed reads fail the task."""
     try:
         if _is_local(root) or root.startswith("file:"):
             base = _local(root)
@@ -66,7 +66,7 @@ def _read(root: str, path: str) -> str:
             with store.open_input_stream(f"{base}/{path}") as handle:
                 raw = handle.read()
         return raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
-    except (OSError, UnicodeDecodeError):
+    except UnicodeDecodeError:
         return ""
 
 
