@@ -6,7 +6,7 @@ position, counted from 0 within its stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions.bytes import SPM_SPACE, byte_alphabet, byte_level_bytes, decode_text, spm_bytes
@@ -36,12 +36,27 @@ def vocab_bytes(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.posexplode(rows).alias("byte", "char"))
 
 
+KINDS = ("byte_level", "spm", "spm_no_strip", "naive")
+
+
+def unknown_piece(kind: str) -> str:
+    """What an id outside the vocabulary decodes to; unknown kinds raise."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {', '.join(KINDS)}, not {kind!r}")
+    return UNKNOWN_TOKEN if kind == "byte_level" else ""
+
+
 def vocab_pieces(vocab: DataFrame, kind: str) -> DataFrame:
     """The vocabulary with the bytes of each token: ``(id, piece)``.
 
-    Done once per vocabulary entry, not per occurrence.
+    Done once per vocabulary entry, not per occurrence. ``naive`` tokens are plain text.
     """
-    piece = spm_bytes(F.col("token")) if kind == "spm" else byte_level_bytes(F.col("token"))
+    unknown_piece(kind)
+    token = F.col("token")
+    if kind == "byte_level":
+        piece = byte_level_bytes(token)
+    else:
+        piece = F.encode(token, "UTF-8") if kind == "naive" else spm_bytes(token)
     return vocab.select("id", piece.alias("piece"))
 
 
@@ -75,15 +90,28 @@ def decoder_kind(decoder: Column, canonical) -> Column:
     )
 
 
-def _tight_spaces(hexed: Column) -> Column:
-    """Drop a lone space in front of punctuation, on ``|``-separated token bytes.
-
-    Only a space that opens a printable piece goes: one preceded by another lone space
-    or by an unfinished character stays.
-    """
-    tight = "|".join("".join(f"{b:02X}" for b in t.encode()) for t in TIGHT)
-    unfinished = "[C-F][0-9A-F]|[EF][0-9A-F]\\|?[89AB][0-9A-F]|F[0-9A-F]\\|?[89AB][0-9A-F]\\|?[89AB][0-9A-F]"
-    return F.regexp_replace(hexed, rf"(?<!\|20|{unfinished})\|20(?:\|(?={tight})|(?={tight}))", "|")
+_TIGHT_HEX = "|".join(t.encode().hex().upper() for t in TIGHT)
+_X = "[0-9A-F]"
+_Y = f"[89AB]{_X}"
+# A space can only go behind a whole character: well-formed ones of one to four bytes.
+_WHOLE = [
+    f"[0-7]{_X}",
+    f"(?:C[2-9A-F]|D{_X}){_Y}",
+    f"(?:E0[AB]{_X}|E[1-9A-CEF]{_Y}|ED[89]{_X}){_Y}",
+    f"(?:F0[9AB]{_X}|F[1-3]{_Y}|F48{_X}){_Y}{_Y}",
+]
+#: Marks that change nothing, in token bytes in hex, each piece behind ``|``: of pieces that go on
+#: with a character, and of empty ones, unless these come after a lone space and show it.
+IDLE_MARK = r"(?<!\|20)\|(?=\||$)|\|(?=[89AB])"
+#: What becomes ``|`` then: a space in front of punctuation that opens a printable piece. It stays
+#: behind a lone space and a replacement character. Java and Python read the pattern alike.
+TIGHT_SPACE = (
+    r"(?<!\|20)(?<!EFBFBD)(?:" + "|".join(f"(?<={w})" for w in _WHOLE) + rf")\|20(?:\|(?={_TIGHT_HEX})|(?={_TIGHT_HEX}))"
+)
+#: Token bytes in hex before which a text can be cut, and both parts decoded on their own:
+#: what starts a character and, cleaned, does not decide on a space at the cut.
+OPENS = "(?=[0-7C-F])"
+OPENS_CLEAN = f"{OPENS}(?!20(?:[|]|$))(?!(?:20)?(?:{_TIGHT_HEX}))"
 
 
 def detokenize(
@@ -94,74 +122,72 @@ def detokenize(
     clean: bool = False,
     segment: int = SEGMENT,
 ) -> DataFrame:
-    """Text of every stream: ``(stream_id, segment, text)``.
-
-    ``kind`` is ``byte_level`` or ``spm``. A stream longer than ``segment`` tokens
-    comes as several rows whose texts in order make the whole, so no task ever holds
-    a stream of unknown length; a character cut by the border goes to the earlier
-    row. ``clean`` (byte level) drops spaces before punctuation.
+    """Text of every stream: ``(stream_id, segment, text)``, for a ``kind`` of ``KINDS``.
+
+    A stream longer than ``segment`` tokens comes as several rows whose texts in order
+    make the whole, so no task holds a stream of unknown length. A row begins at the
+    first token at or after a multiple of ``segment`` before which the text may be cut;
+    where a block of that many tokens has none, its row is missing and the one before
+    goes on. So the text does not depend on ``segment``. A leading space is dropped for
+    ``byte_level`` and, with ``trim_space``, ``spm``, there after all leading tokens that
+    are just a space. ``clean`` (byte level) drops spaces before punctuation.
+
+    Tokens are read and shuffled once. What a block holds before its first opening token
+    goes to its owner, the last block before that has one.
     """
-    spm = kind == "spm"
-    strip = spm and trim_space
-    pieces = _segmented(tokens, vocab_pieces(vocab, kind), "" if spm else UNKNOWN_TOKEN, segment)
-    if clean and not spm:
-        hexed = F.concat(F.lit("|"), F.expr("listagg(hex(piece), '|') WITHIN GROUP (ORDER BY pos)"))
-        whole = F.unhex(F.replace(_tight_spaces(hexed), F.lit("|"), F.lit("")))
-    else:
-        whole = F.expr("listagg(piece) WITHIN GROUP (ORDER BY pos)")
-    aggregates = [whole.alias("raw")]
-    if strip:
-        # Leading tokens that are nothing but a space vanish from SPM text one by one.
-        shape = F.when(F.col("piece") == F.encode(F.lit(" "), "UTF-8"), "s").when(F.length("piece") == 0, "").otherwise("x")
-        pieces = pieces.withColumn("shape", F.when(F.col("segment") == 0, shape).otherwise(F.lit("")))
-        spaces = F.regexp_extract(F.expr("listagg(shape) WITHIN GROUP (ORDER BY pos)"), "^s*", 0)
-        aggregates.append(F.length(spaces).alias("spaces"))
-    parts = pieces.groupBy("stream_id", "segment").agg(*aggregates)
-
-    borders = _borders(tokens, vocab, kind, segment)
-    joined = parts.join(borders, ["stream_id", "segment"], "left")
-    empty = F.encode(F.lit(""), "UTF-8")
-    raw = F.concat(F.expr("substring(raw, coalesce(lost, 0) + 1)"), F.coalesce("gained", empty))
+    unknown = F.encode(F.lit(unknown_piece(kind)), "UTF-8")
+    clean, strip = clean and kind == "byte_level", trim_space and kind == "spm"
+    may_open = lambda piece: F.hex(piece).rlike("^" + (OPENS_CLEAN if clean else OPENS))
+    pieces = vocab_pieces(vocab, kind).withColumn("opens", may_open(F.col("piece")))
+    rows = vocab_join(tokens, pieces, ("piece", "opens")).select(
+        "stream_id", "pos", F.floor(F.col("pos") / segment).cast("bigint").alias("block"),
+        F.coalesce("piece", unknown).alias("piece"), F.coalesce("opens", may_open(unknown)).alias("opens"),
+    )
+    if not clean:
+        rows = rows.where((F.length("piece") > 0) | (F.col("pos") == 0))
+    space = F.col("piece") == F.encode(F.lit(" "), "UTF-8") if strip else F.lit(False)
+    upto = Window.partitionBy("stream_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("own", F.max((F.col("block") == 0) | F.col("opens")).over(upto)).withColumn(
+        "shown", F.max((F.length("piece") > 0) & ~space).over(upto)
+    )
+    body = "concat('|', listagg(hex(piece), '|') WITHIN GROUP (ORDER BY pos))" if clean else "listagg(piece) WITHIN GROUP (ORDER BY pos)"
+    parts = marked.groupBy("stream_id", "block", "own").agg(
+        F.expr(body).alias("body"), F.count_if(space & ~F.col("shown")).alias("spaces"), F.max("shown").alias("shown")
+    )
+    owned = _heads(parts)
+    on = (F.col("stream_id") == F.col("_stream")) & (F.col("block") == F.col("_owner"))
+    whole = parts.where("own").join(owned, on, "left")
+    raw = F.concat("body", F.coalesce("heads", F.lit("") if clean else F.encode(F.lit(""), "UTF-8")))
+    if clean:
+        tight = F.regexp_replace(F.regexp_replace(raw, IDLE_MARK, ""), TIGHT_SPACE, "|")
+        raw = F.unhex(F.replace(tight, F.lit("|"), F.lit("")))
     text = decode_text(raw)
-    if spm:
+    if kind in ("spm", "spm_no_strip"):
         text = F.replace(text, F.lit(SPM_SPACE), F.lit(" "))
-    out = joined.withColumn("text", text)
-    if strip or not spm:
-        rest = F.expr("substring(text, spaces + 1)") if strip else F.col("text")
+    out = whole.withColumn("text", text)
+    if strip or kind == "byte_level":
+        rest = F.expr("substring(text, CAST(spaces AS INT) + 1)")
         opened = F.when(rest.startswith(" "), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
-        out = out.withColumn("text", F.when(F.col("segment") == 0, opened).otherwise(F.col("text")))
-    return out.select("stream_id", "segment", "text")
+        out = out.withColumn("text", F.when(F.col("leads"), opened).otherwise(F.col("text")))
+    return out.select("stream_id", F.col("block").alias("segment"), "text")
 
 
-def _segmented(tokens: DataFrame, pieces: DataFrame, unknown: str, segment: int) -> DataFrame:
-    """Tokens as ``(stream_id, pos, segment, piece)``."""
-    numbered = tokens.withColumn("segment", F.floor(F.col("pos") / segment).cast("bigint"))
-    return vocab_join(numbered, pieces, ("piece",)).select(
-        "stream_id", "pos", "segment", F.coalesce("piece", F.encode(F.lit(unknown), "UTF-8")).alias("piece")
-    )
-
+def _heads(parts: DataFrame) -> DataFrame:
+    """Per owning block what it gains, and whether nothing is shown before it.
 
-def _borders(tokens: DataFrame, vocab: DataFrame, kind: str, segment: int, look: int = 64) -> DataFrame:
-    """Bytes that change sides: ``(stream_id, segment, lost, gained)``.
-
-    Continuation bytes opening a later segment finish the character before it. Only
-    the first ``look`` tokens of such segments are read, none for short streams.
+    ``(_stream, _owner, heads, leads)``; ``parts`` has at most two rows per block, of which
+    only the few bytes before the opening token travel.
     """
-    late = tokens.where((F.col("pos") >= segment) & (F.col("pos") % segment < look))
-    unknown = "" if kind == "spm" else UNKNOWN_TOKEN
-    heads = _segmented(late, vocab_pieces(vocab, kind), unknown, segment).groupBy("stream_id", "segment").agg(
-        F.expr("substring(listagg(piece) WITHIN GROUP (ORDER BY pos), 1, 3)").alias("head")
-    )
-    count = F.length(F.regexp_extract(F.hex("head"), "^(?:[89AB][0-9A-F])*", 0)) / 2
-    moved = heads.withColumn("n", count.cast("int")).where("n > 0").selectExpr("stream_id", "segment", "substring(head, 1, n) AS bytes", "n")
-    sides = F.inline(
-        F.array(
-            F.struct("segment", F.col("n").alias("lost"), F.lit(None).cast("binary").alias("gained")),
-            F.struct((F.col("segment") - 1).alias("segment"), F.lit(None).cast("int").alias("lost"), F.col("bytes").alias("gained")),
-        )
+    before = Window.partitionBy("stream_id").orderBy("block", "own").rowsBetween(Window.unboundedPreceding, 0)
+    strictly = Window.partitionBy("stream_id").orderBy("block", "own").rowsBetween(Window.unboundedPreceding, -1)
+    chained = parts.select(
+        "stream_id", "block", "own", F.when(~F.col("own"), F.col("body")).alias("head"),
+        F.last(F.when(F.col("own"), F.col("block")), ignorenulls=True).over(before).alias("_owner"),
+        F.coalesce(F.max("shown").over(strictly), F.lit(False)).alias("seen"),
     )
-    return moved.select("stream_id", sides).groupBy("stream_id", "segment").agg(
-        F.max("lost").alias("lost"), F.max("gained").alias("gained")
+    return chained.groupBy(F.col("stream_id").alias("_stream"), "_owner").agg(
+        F.expr("listagg(head) WITHIN GROUP (ORDER BY block)").alias("heads"),
+        F.max(F.col("own") & ~F.col("seen")).alias("leads"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from agentlake.functions import bytes as B
 from agentlake.functions import json_text as J
 from agentlake.functions import text as T
 from agentlake.operators import tokens as K
-from agentlake.streaming.detokenize import Decoder, stream_detokenize
+from agentlake.streaming.detokenize import next_text, stream_detokenize
 from agentlake.streaming.run import drain
 
 TEXTS = [
@@ -63,6 +64,8 @@ def token_tables(spark, streams, kind):
     def token(piece):
         if kind == "byte_level":
             return "".join(alphabet[b] for b in piece)
+        if kind == "naive":
+            return piece.decode()
         if len(piece) == 1 and piece[0] >= 128:
             return f"<0x{piece[0]:02X}>"
         return piece.decode().replace(" ", "▁")
@@ -80,7 +83,8 @@ def plain_decode(pieces, kind, clean=False):
     text, held = "", b""
 
     def show(part):
-        if part.startswith(" ") and (not text or (clean and part[1:].startswith(tuple(K.TIGHT)))):
+        trims = not text and kind in ("byte_level", "spm")
+        if part.startswith(" ") and (trims or (clean and part[1:].startswith(tuple(K.TIGHT)))):
             return part[1:]
         return part
 
@@ -101,34 +105,43 @@ def streams_for(kind, rng):
         streams = [[w for w in t.replace(" ", "| ").encode().split(b"|") if w] for t in TEXTS if t]
         streams += [[b" ", b" ", b" a", b" b"], [b"\xe2", b"\x82", b"\xac", b" x"], [b"  ", b"y"], [b" "]]
     streams.append([rng.choice([b"a", b" b", b"\xc3", b"\xa9", b" ", b"c."]) for _ in range(300)])
+    if kind == "naive":
+        return [[p for p in stream if p.isascii()] or [b"x"] for stream in streams]
+    # Empty pieces between the bytes of a character, and before anything is shown.
+    streams.append([b"\xe2", *[b""] * 70, b"\x82", b"", b"\xac", b" x", b" ", b"."])
+    streams.append([b"", b"", b"", b" ", b" ", b"", b"", b" ", b" y", b" z"])
+    streams.append([b"hi", b" ", b".", b" ", b"", b".", b" ", b" a", b" ", b"n't", b" ", b"n", b"'t"])
+    streams.append([rng.choice([b"", b" ", b".", b" .", b"'s", b"a", b" b", b"\xe2", b"\x82", b"\xac"]) for _ in range(400)])
     return streams
 
 
-@pytest.mark.parametrize("kind", ["byte_level", "spm"])
-@pytest.mark.parametrize("segment", [7, 64, 1 << 16])
-def test_detokenize_in_segments(spark, kind, segment):
+CASES = [("byte_level", False), ("byte_level", True), ("spm", False), ("spm_no_strip", False), ("naive", False)]
+
+
+@pytest.mark.parametrize("kind, clean", CASES)
+@pytest.mark.parametrize("segment", [2, 7, 1 << 16])
+def test_detokenize_in_segments(spark, kind, clean, segment):
     streams = streams_for(kind, random.Random(5))
     tokens, vocab = token_tables(spark, streams, kind)
-    # Leading lone spaces longer than a segment are outside what is checked here.
     got = {}
-    for row in K.detokenize(tokens, vocab, kind, segment=segment).orderBy("stream_id", "segment").collect():
+    for row in K.detokenize(tokens, vocab, kind, clean=clean, segment=segment).orderBy("stream_id", "segment").collect():
         got[row.stream_id] = got.get(row.stream_id, "") + row.text
     for s, stream in enumerate(streams):
-        assert got[s] == plain_decode(stream, kind), stream
+        assert got[s] == plain_decode(stream, kind, clean), stream
 
 
-def test_detokenize_clean(spark):
-    streams = streams_for("byte_level", random.Random(6))
-    tokens, vocab = token_tables(spark, streams, "byte_level")
-    got = {r.stream_id: r.text for r in K.detokenize(tokens, vocab, "byte_level", clean=True).collect()}
-    for s, stream in enumerate(streams):
-        assert got[s] == plain_decode(stream, "byte_level", clean=True), stream
+def test_unknown_kind(spark):
+    tokens, vocab = token_tables(spark, [[b"a"]], "spm")
+    with pytest.raises(ValueError):
+        K.detokenize(tokens, vocab, "wordpiece")
 
 
-@pytest.mark.parametrize("kind, clean", [("byte_level", False), ("byte_level", True), ("spm", False)])
+@pytest.mark.parametrize("kind, clean", CASES)
 def test_stream_equals_plain(spark, tmp_path, kind, clean):
+    """Batches in shuffled order, and text keys."""
     streams = streams_for(kind, random.Random(7))
     tokens, vocab = token_tables(spark, streams, kind)
+    tokens = tokens.withColumn("stream_id", F.concat(F.lit("s"), "stream_id"))
     source = str(tmp_path / "in")
     for part in (2, 0, 1):
         tokens.where(f"pos % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
@@ -138,15 +151,21 @@ def test_stream_equals_plain(spark, tmp_path, kind, clean):
     for row in out.orderBy("stream_id", "from_pos").collect():
         got[row.stream_id] = got.get(row.stream_id, "") + row.segment
     for s, stream_pieces in enumerate(streams):
-        assert got[s] == plain_decode(stream_pieces, kind, clean), stream_pieces
-
-
-def test_decoder_holds_unfinished_characters():
-    decoder = Decoder("byte_level", True, False, b"", False)
-    assert decoder.add(b"\xe2\x82") == ""
-    assert decoder.add(b"\xac") == "€"
-    assert decoder.add(b" ") == ""
-    assert decoder.finish() == " "
+        assert got[f"s{s}"] == plain_decode(stream_pieces, kind, clean), stream_pieces
+
+
+@pytest.mark.parametrize("kind, clean", CASES)
+def test_text_does_not_depend_on_batches(kind, clean):
+    rng = random.Random(8)
+    for stream in streams_for(kind, rng):
+        held, started, text, at = "", False, "", 0
+        while at < len(stream):
+            to = min(len(stream), at + rng.randint(1, 4))
+            part, held, started = next_text(
+                kind, kind in ("byte_level", "spm"), clean, pd.Series(stream[at:to]), held, started, to == len(stream)
+            )
+            text, at = text + part, to
+        assert text == plain_decode(stream, kind, clean), stream
 
 
 def test_unknown_ids(spark):
