@@ -17,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The table over all cores, for work that is heavy per row.
-
-    Only an input with fewer splits than there are cores is shuffled, such as a single
-    file of one row group; at scale the scan is parallel enough and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 # One call in the shapes a model may write it, chosen by event id; valid in both dialects.
 _CALL = """concat('{"name": "', event_type, '", "arguments": ', props, '}')"""
 TURN_CONTENT = f"""CASE
@@ -44,7 +34,7 @@ TURN_CONTENT = f"""CASE
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses: a user's events of five days form a session, ordered by event."""
-    return turns_of(spread(table(spark, sf_dir, "events"), "event_id"))
+    return turns_of(table(spark, sf_dir, "events"))
 
 
 def turns_of(events: DataFrame) -> DataFrame:
@@ -101,7 +91,7 @@ kept AS (
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the files of one run per source."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
+    return table(spark, sf_dir, "documents").selectExpr(
         "source AS run_id", "concat(lang, '/', doc_id, '.txt') AS path", "text AS content"
     )
 
@@ -196,33 +186,34 @@ scored AS (
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Space-separated words of every document: ``(stream_id, pos, word)``."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("stream_id"), F.posexplode(F.split("text", " ")).alias("pos", "word")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-# Words longer than this are left out of the vocabularies.
-LONGEST_KNOWN = 12
-
-
 def word_id(token: str = "token"):
-    """A token's id: the first 60 bits of its digest, so no global numbering is needed."""
+    """A number for a token: the first 60 bits of its digest."""
     return F.conv(F.substring(F.md5(token), 1, 15), 16, 10).cast("bigint")
 
 
-def tokens_and_vocab(spark: SparkSession, sf_dir: str, kind: str, longest: int | None = LONGEST_KNOWN):
+def tokens_and_vocab(spark: SparkSession, sf_dir: str, kind: str):
     """Every document as a token stream, and the vocabulary of its words.
 
-    A word after the first carries its leading space. Words above ``longest``
-    characters have ids but no vocabulary entry.
+    A word after the first carries its leading space; ids are whole digests. Each seventh
+    document ends with an id that no vocabulary has.
     """
     spaced = F.when(F.col("pos") > 0, F.concat(F.lit(" "), F.col("word"))).otherwise(F.col("word"))
-    streams = words(spark, sf_dir).withColumn("spaced", spaced).withColumn("id", F.xxhash64("spaced"))
-    known = streams if longest is None else streams.where(F.length("word") <= longest)
+    streams = words(spark, sf_dir).withColumn("spaced", spaced).withColumn("id", F.unhex(F.md5("spaced")))
     text = F.col("spaced")
-    token = F.replace(text, F.lit(" "), F.lit("▁")) if kind == "spm" else byte_level_token(text)
-    vocab = known.select("id", "spaced").distinct().select("id", token.alias("token"))
-    return streams.select("stream_id", "pos", "id"), vocab
+    if kind == "byte_level":
+        token = byte_level_token(text)
+    else:
+        token = text if kind == "naive" else F.replace(text, F.lit(" "), F.lit("▁"))
+    vocab = streams.select("id", "spaced").distinct().select("id", token.alias("token"))
+    unknown = table(spark, sf_dir, "documents").where("doc_id % 7 = 0 AND text IS NOT NULL").select(
+        F.col("doc_id").alias("stream_id"), F.size(F.split("text", " ")).cast("bigint").alias("pos"), F.unhex(F.lit("00")).alias("id")
+    )
+    return streams.select("stream_id", "pos", "id").unionByName(unknown), vocab
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
