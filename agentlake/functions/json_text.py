@@ -57,22 +57,25 @@ def quote(text: Column) -> Column:
     return F.substring(wrapped, F.lit(6), F.length(wrapped) - F.lit(6))
 
 
+def canonical_text(text: str | None) -> str | None:
+    """Key-sorted JSON text that keeps ``1`` and ``1.0`` apart; None for invalid JSON."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
-    """Key-sorted text that keeps ``1`` and ``1.0`` apart; NULL for invalid JSON.
+    """``canonical_text`` of a Column.
 
-    Spark's VARIANT prints both numbers as ``1``, hence this Arrow-batched helper.
+    Spark's VARIANT prints 1 and 1.0 as ``1``, hence this Arrow-batched helper. Each
+    distinct text of a batch is read once.
     """
-
-    def one(text):
-        if text is None:
-            return None
-        try:
-            return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            return None
-
-    return raw.map(one, na_action="ignore")
+    distinct = raw.dropna().unique()
+    return raw.map(dict(zip(distinct, map(canonical_text, distinct), strict=True)), na_action="ignore")
 
 
 def json_equal(a: Column, b: Column) -> Column:

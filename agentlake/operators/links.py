@@ -71,9 +71,11 @@ def matrix_to_links(matrices: DataFrame) -> DataFrame:
 def links_to_matrix(links: DataFrame) -> DataFrame:
     """The JSON device matrix of each cluster, ``null`` where there is no device.
 
-    An array holds the nodes of one cluster, each at most once.
+    An array holds the nodes of one cluster, each at most once; of a repeated link the
+    smallest device stands.
     """
-    rows = links.groupBy("cluster_id", "src").agg(
+    cells = links.groupBy("cluster_id", "src", "dst").agg(F.min("device").alias("device"))
+    rows = cells.groupBy("cluster_id", "src").agg(
         F.map_from_entries(F.collect_list(F.struct("dst", "device"))).alias("row"), F.max("dst").alias("last")
     )
     grids = rows.groupBy("cluster_id").agg(

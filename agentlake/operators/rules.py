@@ -178,22 +178,14 @@ def check_score(runs: DataFrame, checked: DataFrame) -> DataFrame:
     )
 
 
-def file_map(files: DataFrame, max_files: int = 4096, max_chars: int = 1 << 26) -> DataFrame:
-    """``(run_id, part, files MAP<path, content>)``.
+def file_map(files: DataFrame, digits: int = 2) -> DataFrame:
+    """``(run_id, part, files MAP<path, content>)``, every run in parts by its paths' digests.
 
-    A run small enough for one map is one row with part 0. Bigger runs are spread
-    over as many parts as their file count and size ask for, by hash of the path; the
-    union of a run's parts is its whole workspace.
+    ``part`` is the first ``digits`` hexadecimal digits of a path's MD5, so the same rule
+    holds for runs of any size and none is counted first; the union of a run's parts is
+    its whole workspace.
     """
-    sizes = files.groupBy("run_id").agg(
-        F.greatest(
-            F.ceil(F.count(F.lit(1)) / max_files), F.ceil(F.sum(F.length("content")) / max_chars)
-        ).cast("bigint").alias("_parts")
-    )
-    part = F.pmod(F.xxhash64("path"), F.greatest("_parts", F.lit(1)))
-    # Without its own shuffle the grouping would reuse the join's partitions, which
-    # hold whole runs.
-    spread = files.join(sizes, "run_id").withColumn("part", part).repartition("run_id", "part")
-    return spread.groupBy("run_id", "part").agg(
+    part = F.substring(F.md5("path"), 1, digits)
+    return files.groupBy("run_id", part.alias("part")).agg(
         F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files")
     )

@@ -1,14 +1,13 @@
 """Running values over ordered groups of any length, without one task per group.
 
 A plain window puts a whole group (or, unpartitioned, the whole table) in one task.
-Here a group of more than ``block`` rows is cut into blocks of ``block`` consecutive
-order values, so a block holds at most that many rows because the order value is a
-unique integer within its group. Each block is scanned on its own; what precedes it
-comes from a scan over the far smaller table of block totals. Shorter groups are
-scanned as they are, at the price of counting the groups first.
-
-With the default block of 2**20, one level of block totals keeps every window at or
-below a million rows for order values up to 2**40; ``levels=2`` does so up to 2**60.
+Here every group is cut into blocks of ``block`` consecutive order values, so a block
+holds at most that many rows because the order value is a unique integer within its
+group. Each block is scanned on its own; what precedes it comes from the same scan over
+the table of block totals, one level up.
+
+With the default block of 2**20, ``levels=2`` keeps every window at or below a million
+rows for order values up to 2**60, ``levels=3`` for all of 63 bits.
 """
 
 from __future__ import annotations
@@ -34,21 +33,9 @@ def _upto(keys: Sequence[str], order: str):
     return _window(keys, order, 0)
 
 
-def _cut(df: DataFrame, keys: Sequence[str], order: str, blk: str, block: int, whole: bool) -> DataFrame:
-    """Rows with their block number, -1 in groups that need no blocks.
-
-    Long groups are told by their count. There is at most one of them per ``block``
-    rows of the table, a million for a trillion rows, so their keys can be broadcast.
-    """
-    number = F.floor(F.col(order) / block).cast("bigint")
-    if whole:
-        return df.withColumn(blk, number)
-    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    named = long.select(*[F.col(k).alias(f"_long_{k}") for k in keys])
-    on = [F.col(k) == F.col(f"_long_{k}") for k in keys]
-    marked = df.join(F.broadcast(named), on, "left")
-    is_long = F.col(f"_long_{keys[0]}").isNotNull()
-    return marked.withColumn(blk, F.when(is_long, number).otherwise(F.lit(-1))).drop(*named.columns)
+def _cut(df: DataFrame, order: str, blk: str, block: int) -> DataFrame:
+    """Rows with their block number."""
+    return df.withColumn(blk, F.floor(F.col(order) / block).cast("bigint"))
 
 
 def _join_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], blk: str, carry: str) -> DataFrame:
@@ -70,22 +57,19 @@ def running(
     value: str,
     out: str,
     inclusive: bool = True,
-    levels: int = 1,
+    levels: int = 2,
     block: int = BLOCK,
-    whole: bool = False,
 ) -> DataFrame:
     """Running sum of ``value`` per key in the order of ``order``.
 
     ``order`` is a non-negative integer, unique within its key; keys are not NULL.
-    With ``inclusive=False`` the row's own value is left out. ``whole`` cuts every
-    group into blocks, as is done without keys.
+    With ``inclusive=False`` the row's own value is left out.
     """
-    whole = whole or not keys
     blk, carry, total = f"_blk{levels}", f"_carry{levels}", f"_total{levels}"
-    blocked = _cut(df, keys, order, blk, block, whole)
-    totals = blocked.where(F.col(blk) >= 0).groupBy(*keys, blk).agg(F.sum(value).alias(total))
+    blocked = _cut(df, order, blk, block)
+    totals = blocked.groupBy(*keys, blk).agg(F.sum(value).alias(total))
     if levels > 1:
-        totals = running(totals, keys, blk, total, carry, False, levels - 1, block, True)
+        totals = running(totals, keys, blk, total, carry, False, levels - 1, block)
     else:
         totals = totals.withColumn(carry, F.sum(total).over(_before(keys, blk)))
     carried = _join_blocks(blocked, totals.select(*keys, blk, carry), keys, blk, carry)
@@ -101,9 +85,8 @@ def running_since_reset(
     value: str,
     reset: str,
     out: str,
-    levels: int = 1,
+    levels: int = 2,
     block: int = BLOCK,
-    whole: bool = False,
 ) -> DataFrame:
     """Running sum per key that starts over at every row where ``reset`` is true.
 
@@ -111,7 +94,6 @@ def running_since_reset(
     reset passes on only what follows its last one, so block totals form the same
     kind of scan one level up.
     """
-    whole = whole or not keys
     blk, carry, run = f"_blk{levels}", f"_carry{levels}", f"_run{levels}"
     sum_, start, has = f"_sum{levels}", f"_start{levels}", f"_has{levels}"
 
@@ -123,13 +105,13 @@ def running_since_reset(
         )
 
     current = F.col(sum_) - F.coalesce(F.col(start), F.lit(0))
-    scanned = scan(_cut(df, keys, order, blk, block, whole), [*keys, blk], order, value, reset)
-    totals = scanned.where(F.col(blk) >= 0).groupBy(*keys, blk).agg(
+    scanned = scan(_cut(df, order, blk, block), [*keys, blk], order, value, reset)
+    totals = scanned.groupBy(*keys, blk).agg(
         F.max_by(current, F.col(order)).alias(run), F.max(F.col(start).isNotNull()).alias(has)
     )
     if levels > 1:
-        totals = running_since_reset(totals, keys, blk, run, has, "_whole", levels - 1, block, True)
-        totals = previous(totals, keys, blk, "_whole", carry, levels - 1, block, True)
+        totals = running_since_reset(totals, keys, blk, run, has, "_whole", levels - 1, block)
+        totals = previous(totals, keys, blk, "_whole", carry, levels - 1, block)
     else:
         totals = scan(totals, keys, blk, run, has).withColumn("_whole", current)
         totals = totals.withColumn(carry, F.last("_whole").over(_before(keys, blk)))
@@ -144,17 +126,15 @@ def previous(
     order: str,
     value: str,
     out: str,
-    levels: int = 1,
+    levels: int = 2,
     block: int = BLOCK,
-    whole: bool = False,
 ) -> DataFrame:
     """The preceding row's ``value`` per key, NULL for the first row."""
-    whole = whole or not keys
     blk, carry, last = f"_pblk{levels}", f"_pcarry{levels}", f"_plast{levels}"
-    blocked = _cut(df, keys, order, blk, block, whole)
-    lasts = blocked.where(F.col(blk) >= 0).groupBy(*keys, blk).agg(F.max_by(F.col(value), F.col(order)).alias(last))
+    blocked = _cut(df, order, blk, block)
+    lasts = blocked.groupBy(*keys, blk).agg(F.max_by(F.col(value), F.col(order)).alias(last))
     if levels > 1:
-        lasts = previous(lasts, keys, blk, last, carry, levels - 1, block, True)
+        lasts = previous(lasts, keys, blk, last, carry, levels - 1, block)
     else:
         lasts = lasts.withColumn(carry, F.last(last).over(_before(keys, blk)))
     carried = _join_blocks(blocked, lasts.select(*keys, blk, carry), keys, blk, carry)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions.bytes import SPM_SPACE, byte_alphabet, byte_level_bytes, decode_text, spm_bytes
+from agentlake.functions.json_text import canonical_text
 from agentlake.functions.text import THINK_MARKERS
 from agentlake.operators import scans
 
@@ -83,8 +84,8 @@ def decoder_kind(decoder: Column, canonical) -> Column:
     """
     text = canonical(decoder)
     return (
-        F.when(text == canonical(F.lit(SPM_DECODER)), "spm")
-        .when(text == canonical(F.lit(SPM_DECODER_NO_STRIP)), "spm_no_strip")
+        F.when(text == canonical_text(SPM_DECODER), "spm")
+        .when(text == canonical_text(SPM_DECODER_NO_STRIP), "spm_no_strip")
         .when(F.get_json_object(decoder, "$.type") == "ByteLevel", "byte_level")
         .otherwise("naive")
     )

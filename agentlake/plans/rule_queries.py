@@ -124,7 +124,7 @@ def check_score(spark, sf_dir):
     return scored.withColumn("check_score", F.round("check_score", 6)).withColumn("check_results", F.array_join(listed, ","))
 
 
-@query(f"""WITH {FILES_SQL} SELECT run_id, CAST(0 AS BIGINT) AS part, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS chars FROM files GROUP BY run_id""")
+@query(f"""WITH {FILES_SQL} SELECT run_id, substr(md5(path), 1, 2) AS part, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS chars FROM files GROUP BY ALL""")
 def file_map(spark, sf_dir):
     mapped = rules.file_map(files(spark, sf_dir))
     total = F.aggregate(F.map_values("files"), F.lit(0).cast("bigint"), lambda acc, c: acc + F.length(c))
@@ -249,18 +249,21 @@ def skip_failed_lookup(spark, sf_dir):
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN toxic = 1 THEN concat('Lookup FAILED: ', text) ELSE text END AS text
   FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
-s AS (SELECT conv_id AS doc_id, text FROM conversations WHERE turn = 0),
+s AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
 fp AS (SELECT * FROM p WHERE length(text) > 0 AND NOT contains(lower(text), 'failed')),
 fs AS (SELECT doc_id, concat('[Context7]', chr(10), text) AS text FROM s WHERE length(text) > 0 AND NOT contains(lower(text), 'failed'))
 SELECT doc_id, CASE WHEN fp.text IS NULL AND fs.text IS NULL THEN concat('No documentation found for ''', source, ''' - ''', lang, '''')
   ELSE concat_ws(chr(10) || chr(10), fp.text, fs.text) END AS answer
 FROM documents LEFT JOIN fp USING (doc_id) LEFT JOIN fs USING (doc_id)""")
 def lookup_docs(spark, sf_dir):
+    """Documents as first source, whole conversations as second."""
     documents = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1")
     primary = documents.join(good, "doc_id").selectExpr(
         "doc_id", "CASE WHEN toxic = 1 THEN concat('Lookup FAILED: ', text) ELSE text END AS text"
     )
-    secondary = table(spark, sf_dir, "conversations").where("turn = 0").selectExpr("conv_id AS doc_id", "text")
+    secondary = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY turn)").alias("text")
+    )
     requests = documents.selectExpr("doc_id", "source AS library", "lang AS topic")
     return lookups.lookup_docs(requests, primary, secondary, "doc_id").select("doc_id", "answer")

@@ -254,13 +254,13 @@ def model_session_averages(spark, sf_dir):
 SELECT session_id, seq, name, concat('{{"k":', k, '}}') AS arguments, CAST(NULL AS VARCHAR) AS error FROM calls
 UNION ALL
 SELECT user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5, event_id, event_type, replace(props, ' ', ''), NULL
-FROM events WHERE event_type = 'view'
+FROM events
 """)
 def parse_calls_by_format(spark, sf_dir):
     """Calls of two formats in one table, each text parsed by its own format's parser."""
     tagged = turns(spark, sf_dir).select("session_id", "seq", F.col("content").alias("text"), F.lit("json_tools").alias("fmt"))
-    views = table(spark, sf_dir, "events").where("event_type = 'view'").selectExpr(
+    bare = table(spark, sf_dir, "events").selectExpr(
         "user_id * 1000 + datediff(CAST(ts AS DATE), DATE'2024-01-01') div 5 AS session_id", "event_id AS seq",
         """concat('{"name": "', event_type, '", "parameters": ', props, '}') AS text""", "'python_tag' AS fmt",
     )
-    return parsers.parse_calls(tagged.unionByName(views)).select("session_id", "seq", "name", "arguments", "error")
+    return parsers.parse_calls(tagged.unionByName(bare)).select("session_id", "seq", "name", "arguments", "error")

@@ -52,6 +52,7 @@ def test_device_matrix(spark):
     edges = L.matrix_to_links(spark.createDataFrame([(1, matrix)], "cluster_id int, matrix string"))
     assert edges.count() == 6
     assert json.loads(L.links_to_matrix(edges).first().matrix) == json.loads(matrix)
+    assert json.loads(L.links_to_matrix(edges.unionAll(edges)).first().matrix) == json.loads(matrix)
 
 
 def catalog(spark, names):

@@ -134,3 +134,12 @@ def test_cumulative_tokens_of_one_hot_session(spark):
         assert (row.cached_tokens, row.over_limit) == (total, total > 100)
 
 
+@pytest.mark.parametrize("levels", [2, 3])
+def test_large_order_values_of_one_key(spark, levels):
+    """Values near 2^60, all of one key, far apart and close together."""
+    orders = sorted({(1 << 60) - 1 - (i * i << (i % 40)) for i in range(300)})
+    df = spark.createDataFrame([("k", o, i, i % 7 == 0) for i, o in enumerate(orders)], "k string, o bigint, v bigint, r boolean")
+    total = scans.running(df, ["k"], "o", "v", "s", levels=levels)
+    both = scans.previous(scans.running_since_reset(total, ["k"], "o", "v", "r", "t", levels=levels), ["k"], "o", "v", "p", levels=levels)
+    for i, row in enumerate(both.orderBy("o").collect()):
+        assert (row.s, row.t, row.p) == (sum(range(i + 1)), sum(range(i - i % 7, i + 1)), i - 1 if i else None)

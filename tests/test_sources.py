@@ -1,5 +1,6 @@
 """File trees, result files, logs."""
 
+import hashlib
 import json
 import os
 
@@ -102,11 +103,14 @@ def test_scores(spark):
 
 
 def test_file_map_parts_make_the_whole(spark):
-    files = spark.range(500).selectExpr("CASE WHEN id < 490 THEN 'hot' ELSE 'cold' END AS run_id", "concat('f', id) AS path", "repeat('x', 3) AS content")
-    got = rules.file_map(files, max_files=50).collect()
-    hot = [r.files for r in got if r.run_id == "hot"]
-    assert len(hot) > 5 and sum(map(len, hot)) == 490 and len(set().union(*hot)) == 490
-    assert [(r.part, len(r.files)) for r in got if r.run_id == "cold"] == [(0, 10)]
+    """One rule for all sizes: 5,000 files of one run, and ten of another."""
+    files = spark.range(5010).selectExpr("IF(id < 5000, 'hot', 'cold') AS run_id", "concat('f', id) AS path", "repeat('x', 3) AS content")
+    got = rules.file_map(files).collect()
+    for run, paths in (("hot", range(5000)), ("cold", range(5000, 5010))):
+        parts = {r.part: r.files for r in got if r.run_id == run}
+        assert len(parts) == sum(r.run_id == run for r in got)
+        wanted = {f"f{i}": hashlib.md5(f"f{i}".encode()).hexdigest()[:2] for i in paths}
+        assert {path: part for part, held in parts.items() for path in held} == wanted
 
 
 def test_empty_task_scores_one(spark):
