@@ -3,8 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from agentlake.plans import all_queries
 from check import compare, duck
 
+QUERIES, ORACLES = all_queries()
+
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -18,10 +21,11 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, con, sf_dir, name):
     text, _, good = compare(spark, con, sf_dir, name)
     assert good, text
