@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -35,10 +36,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     """The batches cut into runs of rows whose texts hold at most ``most`` bytes (one row at least).
 
     Nulls in ``column`` become empty strings. Python workers live on from task to task, so
-    memory that the task before has freed is given back first.
+    memory that the task before has freed is given back first, and this task's at its end.
     """
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -51,6 +51,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1)
             yield batch.slice(row, stop - row)
             row = stop
+    batch = texts = ends = None
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that is free, but held by the allocators, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

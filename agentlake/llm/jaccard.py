@@ -165,7 +165,10 @@ def _about_shared(x: bytes, y: bytes) -> tuple[int, int, int]:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, packed: bool) -> DataFrame:
-    """``id, elements`` of the documents in ``ids``, and of few others."""
+    """``id, size, elements`` of the documents in ``ids``, and of few others.
+
+    Written, so that both sides of a pair read them and no task runs two Python workers.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))  # FILTER_BITS
 
     def run(batches):
@@ -178,7 +181,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, packed: bool) -> DataFrame:
             elements = pa.array(packed_sets(hashes, counts), pa.binary()) if packed else list_array(hashes, np.cumsum(counts), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts.astype(np.int64)), elements], ["id", "size", "elements"])
 
-    return docs.mapInArrow(run, f"id bigint, size bigint, elements {'binary' if packed else 'array<bigint>'}")
+    return written(docs.mapInArrow(run, f"id bigint, size bigint, elements {'binary' if packed else 'array<bigint>'}"), "sets")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
