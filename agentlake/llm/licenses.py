@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
@@ -25,10 +27,12 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A block is looked at if its lower-case text holds one of these.
+# Whole licences, up to the end of their terms. Added as ``<name>-text``.
+TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Words around these are looked at, whatever stands between them.
 CUES = ("licen", "permission is hereby", "redistribution and use", "copyright", "free software", "public domain")
 
-_WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 RESULT = (
     "template string, start bigint, end bigint, plain_bytes int, dictionary_bytes int, reduction double,"
     " runner_up string, missing string, replaced string, confirmed boolean"
@@ -36,44 +40,138 @@ RESULT = (
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+def _pattern(phrases) -> re.Pattern:
+    return re.compile("|".join("[^a-z0-9]+".join(re.escape(w) for w in p.split()) for p in phrases))
 
 
 class Scanner:
-    """Ranks templates for a block by how much each, as raw dictionary, saves in compression."""
+    """Finds templates in texts: whole ones by their words, altered ones by what each, as raw dictionary, saves."""
 
     def __init__(self, templates: dict[str, str]):
         self.templates = templates
         self.words = {name: words_of(text) for name, text in templates.items()}
+        self.joined = {name: f" {' '.join(words)} " for name, words in self.words.items() if words}
+        cues = _pattern(CUES)
+        # A template without a cue is looked for by its first words.
+        own = [" ".join(self.words[name][:3]) for name, text in self.joined.items() if not cues.search(text)]
+        self.cues = _pattern([*CUES, *own])
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-        self.with_template = {
-            name: zstandard.ZstdCompressor(
-                level=19, write_content_size=False,
-                dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-            )
-            for name, text in templates.items()
-        }
-        self.seen: dict[str, tuple] = {}
-
-    def judge(self, block: str) -> tuple:
-        if block not in self.seen:
+        self.with_template = {}
+        for name, text in templates.items():
+            body = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            body.precompute_compress(level=19)
+            self.with_template[name] = zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=body)
+        self.seen: dict[tuple, int] = {}
+        self.most = {name: max(1, self._saved(name, text)) for name, text in templates.items()}
+        # Where each template holds each cue, as the first and the last word with it.
+        self.places: dict[str, dict[str, tuple[int, int]]] = {}
+        for name, text in self.joined.items():
+            held: dict[str, list[int]] = {}
+            starts = _starts(self.words[name])
+            for m in self.cues.finditer(text):
+                held.setdefault(_cue(m), []).append(bisect_right(starts, m.start()) - 1)
+            self.places[name] = {cue: (min(at), max(at)) for cue, at in held.items()}
+
+    def _size(self, name: str | None, block: str) -> int:
+        """Compressed bytes of a block, plain or with a template as dictionary."""
+        if len(block) > 4096:
+            return len((self.with_template[name] if name else self.plain).compress(block.encode()))
+        if (name, block) not in self.seen:
             if len(self.seen) >= 1 << 14:
                 self.seen.clear()
-            self.seen[block] = self._judge(block)
-        return self.seen[block]
-
-    def _judge(self, block: str) -> tuple:
-        data = block.encode()
-        plain = len(self.plain.compress(data))
-        sizes = {name: len(c.compress(data)) for name, c in self.with_template.items()}
-        # Of equal savings the one whose wording the block repeats best, then by name.
-        own = words_of(block)
-        ranked = sorted(sizes, key=lambda n: (sizes[n], -self._shared(n, own), n))
-        best = ranked[0]
-        missing, replaced = self._differences(best, own)
+            self.seen[name, block] = len((self.with_template[name] if name else self.plain).compress(block.encode()))
+        return self.seen[name, block]
+
+    def _saved(self, name: str, block: str) -> int:
+        return self._size(None, block) - self._size(name, block)
+
+    def notices(self, text: str):
+        """``(start, end, template, plain, size, reduction, runner up, missing, replaced, confirmed)`` by start."""
+        if not self.cues.search(text.lower()):
+            return []
+        marks = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in marks]
+        starts, joined = _starts(words), f" {' '.join(words)} "
+        # Every whole template, but for those within the words of a longer one.
+        whole = []
+        for name, wanted in self.joined.items():
+            at = joined.find(wanted)
+            while at >= 0:
+                first = bisect_left(starts, at + 1)
+                whole.append((first, first + len(self.words[name]), name))
+                at = joined.find(wanted, at + 1)
+        whole.sort(key=lambda w: (w[0], -w[1], w[2]))
+        kept = []
+        for first, end, name in whole:
+            if not kept or end > kept[-1][1] or (first, end) == kept[-1][:2]:
+                kept.append((first, end, name))
+        rows, known = [], {}
+        for first, end, name in kept:
+            others = self._ranked(marks, text, {n: (first, end) for n in self.joined if n != name}, known)
+            rows.append(self._row(marks, text, name, first, end, others[0] if others else None, [], []))
+        # Cues outside of them, each with the words around it that a template aligned with it would take.
+        bounds = [(first, end) for first, end, _ in kept]
+        at, altered = 0, []
+        for m in self.cues.finditer(joined):
+            i = bisect_right(starts, m.start()) - 1
+            while at < len(bounds) and bounds[at][1] <= i:
+                at += 1
+            if at < len(bounds) and bounds[at][0] <= i:
+                continue
+            low = bounds[at - 1][1] if at else 0
+            high = bounds[at][0] if at < len(bounds) else len(words)
+            areas = {}
+            for name in self.joined:
+                n = len(self.words[name])
+                near, far = self.places[name].get(_cue(m), (0, n - 1))
+                slack = 2 + n // 8
+                # Areas of long templates begin and end at multiples of half their length, so that cues share them.
+                grid = n // 2 if n >= 64 else 1
+                first, end = (i - far - slack) // grid * grid, -(-(i - near + n + slack) // grid) * grid
+                areas[name] = (max(low, first), min(high, end))
+            altered.append((i, *self._best(marks, text, words, areas, known)))
+        best: dict[str, tuple] = {}
+        out = []
+        for i, share, name, first, end, row in altered:
+            # Cues that stand in each other's block for the same template are of one notice.
+            last = best.get(name)
+            if last and last[2] <= i < last[3] and first <= last[0] < end:
+                if share <= last[1]:
+                    continue
+                out[last[4]] = row
+                best[name] = (i, share, first, end, last[4])
+            else:
+                best[name] = (i, share, first, end, len(out))
+                out.append(row)
+        rows += out
+        return sorted(rows, key=lambda r: r[:3])
+
+    def _row(self, marks, text, name, first, end, runner_up, missing, replaced):
+        block = text[marks[first][0] : marks[end - 1][1]]
+        plain, size = self._size(None, block), self._size(name, block)
         confirmed = not missing and not replaced
-        reduction = 1 - sizes[best] / plain
-        return best, plain, sizes[best], reduction, ranked[1], " ".join(missing), ", ".join(replaced), confirmed
+        return marks[first][0], marks[end - 1][1], name, plain, size, 1 - size / plain, runner_up, " ".join(missing), ", ".join(replaced), confirmed
+
+    def _ranked(self, marks, text, areas, known) -> list[str]:
+        """Templates by the part of the bytes they can save that they save on their words, then by name."""
+        for n, (a, b) in areas.items():
+            if (n, a, b) not in known:
+                known[n, a, b] = self._saved(n, text[marks[a][0] : marks[b - 1][1]]) / self.most[n]
+        return sorted(areas, key=lambda n: (-known[(n, *areas[n])], n))
+
+    def _best(self, marks, text, words, areas, known):
+        name, *others = self._ranked(marks, text, areas, known)
+        first, end = areas[name]
+        if (first, end, name) not in known:
+            own = words[first:end]
+            missing, replaced = self._differences(name, own)
+            row = self._row(marks, text, name, first, end, others[0] if others else None, missing, replaced)
+            known[first, end, name] = self._shared(name, own), row
+        share, row = known[first, end, name]
+        return share, name, first, end, row
 
     def _shared(self, name: str, own: list[str]) -> float:
         matcher = difflib.SequenceMatcher(None, self.words[name], own, autojunk=False)
@@ -89,59 +187,57 @@ class Scanner:
             if kind == "delete":
                 missing += self.words[name][a:b]
             elif kind == "replace":
+                # Where the notice begins or ends, only as many words as the template has there.
+                if k == 0:
+                    c = max(c, d - (b - a))
+                elif k == len(codes) - 1:
+                    d = min(d, c + (b - a))
                 replaced.append(f"{' '.join(self.words[name][a:b])} -> {' '.join(own[c:d])}")
             elif kind == "insert" and inside:
                 replaced.append(f" -> {' '.join(own[c:d])}")
         return missing, replaced
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", longest: int = 4096) -> DataFrame:
-    """One row per line that may be a license notice: ``key`` and the columns of ``RESULT``.
+def _starts(words: list[str]) -> list[int]:
+    """Where each word begins in the words joined by spaces, with one before them."""
+    out, at = [], 1
+    for word in words:
+        out.append(at)
+        at += len(word) + 1
+    return out
+
+
+def _cue(match: re.Match) -> str:
+    return re.sub("[^a-z0-9]+", " ", match.group())
 
-    A candidate block is a line with one of ``CUES``; a line above ``longest`` characters is
-    cut into overlapping blocks that together cover it (half a block overlap, so a notice of
-    up to half a block lies whole in one). ``start`` and ``end`` are code points of the block
-    in the text. The template that saves most bytes as raw dictionary wins, and is
-    ``confirmed`` if the block has its whole wording unchanged, apart from words before and
-    after; ``missing`` and ``replaced`` name the differences otherwise. Null and empty texts
-    have no blocks.
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per license notice, or words that may be one: ``key`` and the columns of ``RESULT``.
+
+    Words are compared across line ends and punctuation, over the whole text. Every place with
+    a template's whole wording gives a ``confirmed`` row, unless a longer template found there
+    includes it. Every further one of ``CUES`` is judged with the words around it, up to
+    confirmed ones: for each template as many as it can reach over when aligned with the cue.
+    The template that saves the largest part of the bytes it can save as raw dictionary wins;
+    ``missing`` and ``replaced`` name the differences. Cues in one such block give one row.
+    ``start`` and ``end`` are code points of the block in the text. Null and empty texts have
+    no blocks.
     """
     templates = dict(TEMPLATES if templates is None else templates)
 
     def run(batches):
         scanner = Scanner(templates)
+        names = [p.split()[0] for p in RESULT.split(",")]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.bool_())
         for part in slices(batches, text):
             rows, found = [], []
             for row, value in enumerate(part.column(text).to_pylist()):
-                lower = value.lower()
-                if not any(cue in lower for cue in CUES):
-                    continue
-                for start, end in candidate_blocks(value, longest):
+                for start, end, best, *rest in scanner.notices(value):
                     rows.append(row)
-                    best, plain, size, saved, second, missing, replaced, good = scanner.judge(value[start:end])
-                    found.append((best, start, end, plain, size, saved, second, missing, replaced, good))
+                    found.append((best, start, end, *rest))
             columns = list(zip(*found, strict=True)) if found else [()] * 10
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            names = [p.split()[0] for p in RESULT.split(",")]
             keys = part.column(key).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {RESULT}")
-
-
-def candidate_blocks(text: str, longest: int = 4096):
-    """``(start, end)`` of the lines with a cue, long ones in overlapping parts."""
-    start = 0
-    for line in text.split("\n"):
-        end = start + len(line)
-        at = start
-        while at < end:
-            stop = min(end, at + longest)
-            lower = text[at:stop].lower()
-            if any(cue in lower for cue in CUES):
-                yield at, stop
-            if stop == end:
-                break
-            at += longest // 2
-        start = end + 1

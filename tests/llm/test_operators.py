@@ -295,6 +295,23 @@ def test_licenses(spark):
     assert 3 not in by and 4 not in by and 5 not in by and by[6]
 
 
+def test_licenses_wrapped_and_doubled(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    wrapped = "\n".join("# " + " ".join(mit[i : i + 6]) for i in range(0, len(mit), 6))
+    doubled = "Released under the MIT License. Licensed under CC BY-NC 4.0."
+    far = "word " * 3000 + licenses.TEMPLATES["GPL-3.0-text"].replace("\n", " ") + " word" * 3000
+    changed = "Licensed under the Apache License,\nVersion 1.1.\n" + "and so on " * 40 + "\nReleased under the\nMIT Licence."
+    rows = licenses.scan_licenses(docs_of(spark, [wrapped, doubled, far, changed, licenses.TEMPLATES["MIT-text"]])).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        by.setdefault(r.doc_id, []).append((r.template, r.confirmed))
+    assert by[0] == [("MIT", True)]
+    assert by[1] == [("MIT-short", True), ("CC-BY-NC-4.0", True)]
+    assert by[2] == [("GPL-3.0-text", True)]
+    assert by[3] == [("Apache-2.0-short", False), ("MIT-short", False)]
+    assert by[4] == [("MIT-text", True)]
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = docs.columns
