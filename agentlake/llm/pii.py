@@ -1,11 +1,14 @@
 """Personal data in texts: fixed patterns, extended by a skip-chain conditional random field.
 
 The patterns give the base spans. The field labels the words that hold a digit or an at
-sign. Neighbouring words share a transition potential (the chain); words of one document
-that repeat, or are alike after punctuation is taken off, share a potential for equal labels
-(the skips). Labels follow from loopy sum-product message passing over the graphs of a
-whole slice of documents at once, with the words under base spans held at their labels. So
-an address that is written out once is also found where it is only half written later on.
+sign, or are alike one under a base span of their document. Neighbouring words share a
+transition potential (the chain); words of one document that repeat, or are alike after
+punctuation is taken off, share a potential for equal labels (the skips). Words that are
+alike some under base spans share it with all of these through one hub, however many stand
+between. Labels follow from loopy sum-product message passing over the graphs of a whole
+slice of documents at once, until messages no longer change, with the words under base
+spans held at their labels. So an address that is written out once is also found where it
+is only half written, before or later on.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _EDGE = "()[]{}<>\"'.,;:!?*#$%&=|"
 FEATURES = 1 << 12
@@ -90,11 +94,15 @@ def _hash(text: str) -> int:
 
 
 class Graph:
-    """Words with a digit or an at sign in a run of texts: features, chain and skip edges, labels of base spans."""
+    """Words with a digit or an at sign, or alike a base span's, in a run of texts.
+
+    Features, chain and skip edges, labels of base spans, and ``hub``: which labels the base
+    words have that share a key with a word. ``free``: the skips by other keys only.
+    """
 
     def __init__(self, texts: list[str]):
         self.base: list[list[tuple[str, int, int]]] = []
-        doc, where, label, words, chain, skip, features = [], [], [], [], [], [], []
+        doc, where, label, words, chain, skip, given, features, hub = [], [], [], [], [], [], [], [], []
         for d, text in enumerate(texts):
             spans = base_spans(text)
             self.base.append(spans)
@@ -103,30 +111,54 @@ class Graph:
             ordered = sorted(spans, key=lambda s: (s[1], s[2]))
             last: dict[str, int] = {}
             before, at = None, 0
+            nodes, known = [], {}
             for m in _NODE.finditer(text):
-                node, word = len(words), m.group()
                 while at < len(ordered) and ordered[at][2] <= m.start():
                     at += 1
                 over = [s for s in ordered[at : at + 4] if s[1] < m.end() and s[2] > m.start()]
+                kind = LABELS.index(over[0][0]) if over else 0
+                nodes.append((m.start(), m.end(), kind))
+                if kind:
+                    for key in _keys(m.group()):
+                        known.setdefault(key, set()).add(kind)
+            nodes = sorted(nodes + _alike(text, known))
+            for start, end, kind in nodes:
+                node, word = len(words), text[start:end]
                 doc.append(d)
-                where.append((m.start(), m.end()))
+                where.append((start, end))
                 words.append(word)
-                label.append(LABELS.index(over[0][0]) if over else 0)
+                label.append(kind)
                 shape = _shape(word)
-                near = text[max(0, m.start() - 24) : m.start()].split()
+                near = text[max(0, start - 24) : start].split()
                 features.append([_hash("s" + shape), _hash("k" + re.sub(r"\d", "", shape)), _hash("p" + (near[-1].lower() if near else "^")), _hash("n" + str(sum(c.isdigit() for c in word)))])
-                if before is not None and m.start() - where[before][1] == 1:
+                if before is not None and start - where[before][1] == 1:
                     chain.append((before, node))
                 before = node
+                kinds = set()
                 for key in _keys(word):
+                    kinds |= known.get(key, set())
                     if key in last:
                         skip.append((last[key], node))
+                        if key in known:
+                            given.append((last[key], node))
                     last[key] = node
+                hub.append([k in kinds for k in range(len(LABELS))])
         self.doc, self.where, self.words = doc, where, words
         self.label = np.array(label, np.int64)
         self.features = np.array(features, np.int64).reshape(-1, 4)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(sorted(set(skip)), np.int64).reshape(-1, 2)
+        self.free = np.array(sorted(set(skip) - set(given)), np.int64).reshape(-1, 2)
+        self.hub = np.array(hub, bool).reshape(-1, len(LABELS))
+
+
+def _alike(text: str, known: dict[str, set[int]]) -> list[tuple[int, int, int]]:
+    """Words without a digit or an at sign that share a key with a base span's word."""
+    bare = [k[1:] for k in known if k[0] == "w" and not _NODE.search(k[1:])]
+    lower = text.lower()
+    if not any(lower.count(k) > 1 for k in bare):
+        return []
+    return [(m.start(), m.end(), 0) for m in _WORD.finditer(text) if not _NODE.search(m.group()) and not known.keys().isdisjoint(_keys(m.group()))]
 
 
 def _keys(word: str) -> set[str]:
@@ -163,7 +195,7 @@ class Field:
         np.add.at(same, c, truth[d])
         np.add.at(same, d, truth[c])
         # Repeats of labelled words that no pattern found are what the field is to decide.
-        weight = np.where((graph.label == 0) & (same[:, 1:].sum(1) > 0), 0.0, weight[:, 0])[:, None]
+        weight = np.where((graph.label == 0) & (graph.hub.any(1) | (same[:, 1:].sum(1) > 0)), 0.0, weight[:, 0])[:, None]
         for _ in range(steps):
             score = unary[graph.features].sum(1) + equal * same
             np.add.at(score, b, transition[graph.label[a]])
@@ -181,34 +213,54 @@ class Field:
             equal = float(np.clip(equal + rate * (error * same).sum(), 4.0, 8.0))
         return cls(unary, transition, equal)
 
-    def marginals(self, graph: Graph, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities by loopy message passing; words under base spans keep their label."""
+    def marginals(self, graph: Graph, damping: float = 0.3, tolerance: float = 1e-3) -> np.ndarray:
+        """Label probabilities by loopy message passing; words under base spans keep their label.
+
+        A hub is held at the labels of its base words, so its message is the same from the
+        start. The others pass until they change by less than ``tolerance``. After as many
+        rounds as evidence needs through the longest document they are damped more and more,
+        so that ones that turn in circles end too.
+        """
         n, k = len(graph.label), len(LABELS)
         if not n:
             return np.zeros((0, k))
-        own = self.unary[graph.features].sum(1)
+        own = self.unary[graph.features].sum(1) + self.equal * graph.hub
         own -= own.max(1, keepdims=True)
         held = graph.label > 0
         own[held] = np.where(np.eye(k)[graph.label[held]] > 0, 0.0, -30.0)
-        skip = np.eye(k) * self.equal
+        # What words share with base spans' words reaches them from the hub.
+        rest = graph.free
         # Every edge in both directions; the first half's reverses are the second half.
-        source = np.concatenate([graph.chain[:, 0], graph.skip[:, 0], graph.chain[:, 1], graph.skip[:, 1]])
-        target = np.concatenate([graph.chain[:, 1], graph.skip[:, 1], graph.chain[:, 0], graph.skip[:, 0]])
+        source = np.concatenate([graph.chain[:, 0], rest[:, 0], graph.chain[:, 1], rest[:, 1]])
+        target = np.concatenate([graph.chain[:, 1], rest[:, 1], graph.chain[:, 0], rest[:, 0]])
         e, m = len(source) // 2, len(graph.chain)
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        messages = np.zeros((2 * e, k))
-        belief = own
-        for _ in range(rounds if e else 0):
-            out = (belief[source] - messages[back])[:, :, None]
-            new = np.empty_like(messages)
-            for at, potential in ((slice(0, m), self.transition), (slice(m, e), skip), (slice(e, e + m), self.transition.T), (slice(e + m, 2 * e), skip)):
-                joint = out[at] + potential[None]
+        potentials = np.stack([self.transition, self.transition.T, np.eye(k) * self.equal])
+        which = np.repeat([0, 2, 1, 2], [m, e - m, m, e - m])
+        messages, belief = np.zeros((2 * e, k)), own.copy()
+        longest = int(np.bincount(graph.doc).max())
+        active, done, share = np.arange(2 * e), 0, 1 - damping
+        while len(active):
+            new = np.empty((len(active), k))
+            for low in range(0, len(active), 1 << 14):
+                some = active[low : low + (1 << 14)]
+                joint = (belief[source[some]] - messages[back[some]])[:, :, None] + potentials[which[some]]
                 top = joint.max(1, keepdims=True)
-                new[at] = (np.log(np.exp(joint - top).sum(1)) + top[:, 0]) if len(joint) else 0
+                new[low : low + len(some)] = np.log(np.exp(joint - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            messages = damping * messages + (1 - damping) * new
-            belief = own.copy()
-            np.add.at(belief, target, messages)
+            change = share * (new - messages[active])
+            messages[active] += change
+            np.add.at(belief, target[active], change)
+            # What changed goes on from its target, and what has not settled is asked again.
+            moved = np.abs(change).max(1) >= tolerance
+            touched = np.zeros(n, bool)
+            touched[target[active[moved]]] = True
+            again = touched[source]
+            again[active[moved]] = True
+            active = np.flatnonzero(again)
+            done += 1
+            if done > 100 + 2 * longest:
+                share *= 0.9
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 

@@ -295,6 +295,18 @@ def test_licenses(spark):
     assert 3 not in by and 4 not in by and 5 not in by and by[6]
 
 
+def test_personal_data_of_long_documents():
+    field = pii.Field(np.zeros((pii.FEATURES, len(pii.LABELS))), np.zeros((len(pii.LABELS), len(pii.LABELS))), 5.0)
+    text = "Call +12025550199 now. " + "Or 12025550199 then. " * 50
+    found = field.spans([text])[0]
+    assert len(found) == 51 and all(kind == "phone" and "12025550199" in text[a:b] for kind, a, b, _ in found)
+    text = "Ask jane.doe first. Write to jane.doe@x.org, or ask " + "Jane.Doe and others. " * 30
+    found = field.spans([text])[0]
+    assert [text[a:b].lower() for _, a, b, base in found if not base] == ["jane.doe"] * 31
+    # Without a base span nothing is found.
+    assert field.spans(["Ask jane.doe or 12025550199. " * 20]) == [[]]
+
+
 def test_licenses_wrapped_and_doubled(spark):
     mit = licenses.TEMPLATES["MIT"].split()
     wrapped = "\n".join("# " + " ".join(mit[i : i + 6]) for i in range(0, len(mit), 6))
