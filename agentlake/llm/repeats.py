@@ -74,6 +74,8 @@ class Runs:
 
     @staticmethod
     def _least(grams, best, step):
+        if step >= len(best):
+            return best
         other = best.copy()
         other[: len(best) - step] = best[step:]
         return np.where(grams[other] < grams[best], other, best)
@@ -89,7 +91,7 @@ def _named(words: Words, depth: int) -> np.ndarray:
         while size < depth:
             step = min(size, depth - size)
             after = np.zeros_like(names)
-            after[: len(names) - step] = names[step:]
+            after[: max(0, len(names) - step)] = names[step:]
             names = mix(names * np.uint64(0x9E3779B97F4A7C15) + mix(after + np.uint64(step)))
             size += step
     return names

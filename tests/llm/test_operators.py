@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -295,6 +296,16 @@ def test_licenses(spark):
     assert 3 not in by and 4 not in by and 5 not in by and by[6]
 
 
+def test_repeats_of_short_slices(spark):
+    for n in range(1, 60):
+        assert repeats.Runs(pa.array([" ".join(f"w{i}" for i in range(n))])).n.sum() == max(0, n - repeats.WINDOW + 1)
+        assert len(repeats._named(repeats.Words(pa.array(["a " * n])), repeats.WINDOW)) == n
+    one = repeats.remove_repeats(docs_of(spark, ["a b c d e"]).coalesce(1)).collect()
+    assert [(r.n_words, r.n_removed) for r in one] == [(5, 0)]
+    beside = docs_of(spark, ["a b c", "".join(f"{i:07d} " for i in range(600_000)), "a b c d e f"]).coalesce(1)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(beside).collect()) == [(0, 3, 0), (1, 600_000, 0), (2, 6, 0)]
+
+
 def test_personal_data_of_long_documents():
     field = pii.Field(np.zeros((pii.FEATURES, len(pii.LABELS))), np.zeros((len(pii.LABELS), len(pii.LABELS))), 5.0)
     text = "Call +12025550199 now. " + "Or 12025550199 then. " * 50
