@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as T
@@ -136,9 +138,17 @@ def overall_score(spark, sf_dir):
     return scoreboards.with_score(results(spark, sf_dir)).select("model", "task", "score")
 
 
+#: The models of the given tables, for the SQL twins, whose columns have to be written out.
 MODELS = [f"src{i}" for i in range(20)]
 
 
+def models_of(scored):
+    """The table's models, numbers in their names by value; the columns of a pivot have to be known beforehand."""
+    names = [r.model for r in scored.where("model IS NOT NULL").select("model").distinct().collect()]
+    # Without results the columns are those of the twin.
+    return sorted(names, key=lambda m: ([int(x) if i % 2 else x for i, x in enumerate(re.split("([0-9]+)", m))], m)) or MODELS
+
+
 def _mean(condition="true"):
     """Mean score in SQL, summed in tenths; NULL without scores."""
     return f"(sum(CAST(round_even(score * 10, 0) AS BIGINT)) FILTER (WHERE {condition}) / 10.0::DOUBLE / count(score) FILTER (WHERE {condition}))"
@@ -157,7 +167,8 @@ def _one_decimal(x):
 SELECT task, {", ".join(f"coalesce(CAST(max(score) FILTER (WHERE model = '{m}') AS VARCHAR), '-') AS {m}" for m in MODELS)}
 FROM scored WHERE task IN (SELECT task FROM scored WHERE model = 'src0') GROUP BY task""")
 def leaderboard(spark, sf_dir):
-    return scoreboards.leaderboard(scoreboards.with_score(results(spark, sf_dir)), MODELS)
+    scored = scoreboards.with_score(results(spark, sf_dir))
+    return scoreboards.leaderboard(scored, models_of(scored))
 
 
 @query(f"""WITH {RESULTS_SQL}
@@ -207,7 +218,8 @@ UNION ALL SELECT 3, {_ORDER}, task, 2, concat('- Iterations: ', iterations, ' |
    ' | Time: ', CAST(round_even(total_time, 0) AS BIGINT), 's') FROM scored)
 SELECT CAST(section AS INT) AS section, CAST(model AS INT) AS model, task, CAST(line_no AS INT) AS line_no, line FROM lines""")
 def report_lines(spark, sf_dir):
-    return scoreboards.report_lines(scoreboards.with_score(results(spark, sf_dir)), MODELS)
+    scored = scoreboards.with_score(results(spark, sf_dir))
+    return scoreboards.report_lines(scored, models_of(scored))
 
 
 @query(f"""WITH {RESULTS_SQL}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agentlake.operators import rules, scoreboards, transfers
+from agentlake.plans import rule_queries
 from agentlake.sources import records, workspaces
 
 
@@ -147,3 +148,14 @@ def test_round_tenths_equals_python(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for row in df.select("x", round_tenths(F.col("x")).alias("r")).collect():
         assert row.r == round(row.x, 1), row.x
+
+
+def test_reports_hold_every_source_of_the_table(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "src2", "en", 10), (2, "src10", "en", 20), (3, "src20", "en", 30), (4, "a.b", "en", 40)], "doc_id bigint, source string, lang string, n_chars bigint"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 5)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert rule_queries.leaderboard(spark, str(tmp_path)).columns == ["task", "a.b", "src2", "src10", "src20"]
+    rows = rule_queries.report_lines(spark, str(tmp_path)).where("section = 3 AND task = '' AND line_no = 0").orderBy("model").collect()
+    assert [r.line for r in rows] == ["### a.b", "### src2", "### src10", "### src20"]
