@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlake.llm import bpe, jaccard, licenses, mixing, near_vectors, pii, repeats, token_counts, topk, toxicity
+from agentlake.llm import bpe, centroids, jaccard, lexical, licenses, mixing, near_vectors, pii, repeats, token_counts, topk, toxicity, warc
 from agentlake.llm.common import table
 from agentlake.session import shared_dir
 
@@ -189,3 +189,83 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, through a cache that is new for this run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-cache"))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, from the records read back out of an archive."""
+    path = shared_dir(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    records = warc.parse_records(warc.read_archive(spark, path))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op11_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p),
+r AS (SELECT *, n >= {warc.LEAST} AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r"""
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster among 16."""
+    found = centroids.cluster(centroids.quantised(table(spark, sf_dir, "embeddings")))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def _rounds(rounds: int) -> str:
+    """SQL of ``rounds`` rounds over ``q`` (vec_id, q) from centroids ``c0`` (c, v); the last assignment is ``a{rounds}``."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS (
+  SELECT rid, vec_id, q, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT rid, vec_id, q, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (q[i] - v[i]) * (q[i] - v[i]))) AS BIGINT) AS d FROM q, c{i})
+  GROUP BY ALL)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_centroids"] = f"""
+WITH q AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q AS v FROM (
+    SELECT q, sha256(concat('1:', CAST(vec_id AS VARCHAR))) AS h FROM q WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 16)),
+{_rounds(3)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c)"""
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for every benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLES["op13_lexical"] = r"""
+WITH words AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+tf AS (SELECT rid, doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+lens AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY rid),
+whole AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lens),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t),
+f AS (
+  SELECT rid, doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)) AS f FROM tf JOIN lens USING (rid), whole),
+items AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+asked AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM items)
+  GROUP BY ALL),
+scores AS (SELECT item_id, rid, doc_id, CAST(sum(q * w * f) AS BIGINT) AS score FROM asked JOIN df USING (t) JOIN f USING (t) WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""

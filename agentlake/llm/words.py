@@ -43,10 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a string column: ``hashes``, byte positions ``starts`` and ``ends``, ``counts`` per row."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, alphabet: np.ndarray = _IS_WORD):
         data, offsets = text_bytes(texts)
         self.data = _LOWER[data] if lower else data
-        inside = _IS_WORD[data]
+        inside = alphabet[data]
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         borders = offsets[offsets < len(data)]
