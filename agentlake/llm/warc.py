@@ -1,7 +1,7 @@
 """A content-addressed archive of WARC records.
 
-An archive is two tables. ``payloads`` holds the bytes of every distinct payload once, under
-their SHA-256; ``records`` holds one row per record with its exact headers (those of WARC
+An archive is two tables. ``payloads`` holds the bytes of every distinct payload once, each
+as a zstandard frame of its own, under their SHA-256; ``records`` holds one row per record with its exact headers (those of WARC
 and of HTTP) and the digest of its payload. Joined on the digest they give the original
 records back, byte for byte; ``export_files`` writes these as WARC files and ``import_files``
 takes such files apart again.
@@ -14,9 +14,14 @@ the digest under which they lie.
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agentlake.llm.common import give_back, written
 
@@ -31,6 +36,24 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id bigint, header string, record_type string, digest string, share bigint"
 
 
+@F.pandas_udf(T.BinaryType())
+def packed(payload: pd.Series) -> pd.Series:
+    """Each payload as a zstandard frame: what is shuffled and stored is less than half."""
+    return payload.map(zstandard.ZstdCompressor(level=3).compress)
+
+
+@F.pandas_udf(T.BinaryType())
+def unpacked(frame: pd.Series) -> pd.Series:
+    return frame.map(zstandard.ZstdDecompressor().decompress, na_action="ignore").astype(object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]))
+def measured(frame: pd.Series) -> pd.DataFrame:
+    """Length and SHA-256 of the bytes in a frame."""
+    found = [(len(b), hashlib.sha256(b).hexdigest()) for b in map(zstandard.ZstdDecompressor().decompress, frame)]
+    return pd.DataFrame(found, columns=["payload_bytes", "payload_digest"])
+
+
 def _line(name: str, value: Column) -> Column:
     """A header line, absent where the value is null; line ends inside a value are percent-encoded."""
     safe = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -100,7 +123,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 def _store(payloads: DataFrame, path: str) -> None:
     """One row per distinct payload; copies are dropped before and after the shuffle."""
     check = F.struct(F.octet_length("payload").alias("n"), F.xxhash64("payload").alias("x"))
-    once = payloads.select(F.sha2("payload", 256).alias("digest"), check.alias("check"), "payload").groupBy("digest").agg(
+    once = payloads.select(F.sha2("payload", 256).alias("digest"), check.alias("check"), packed("payload").alias("payload")).groupBy("digest").agg(
         F.first("payload").alias("payload"), F.min("check").alias("low"), F.max("check").alias("high"), F.count(F.lit(1)).alias("copies")
     )
     sound = F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("two payloads with digest "), F.col("digest"))))
@@ -115,15 +138,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     A stored payload that does not give its digest, or a record without its payload, fails the query.
     """
     records = spark.read.schema(RECORDS).parquet(f"{path}/records")
-    stored = spark.read.schema("digest string, payload binary, shares bigint").parquet(f"{path}/payloads")
-    actual = F.sha2("payload", 256)
+    stored = spark.read.schema("digest string, payload binary, shares bigint").parquet(f"{path}/payloads").withColumn("actual", measured("payload"))
+    actual = F.col("actual.payload_digest")
     verified = F.when(actual == F.col("digest"), actual).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("digest"))))
     sent = stored.select(
-        F.col("digest").alias("of"), "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), verified.alias("payload_digest"),
+        F.col("digest").alias("of"), "payload", "actual.payload_bytes", verified.alias("payload_digest"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("of_share"),
     )
     whole = records.join(sent, (F.col("digest") == F.col("of")) & (F.col("share") == F.col("of_share")), "left")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    body = F.coalesce(unpacked(F.when(F.col("record_type") == "response", F.col("payload"))), F.lit(b""))
     found = F.when(F.col("payload_digest").isNotNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no payload for digest "), F.col("digest"))))
     return whole.select(
         "page_id", F.concat(F.col("header").cast("binary"), body, F.lit(END.encode())).alias("record"), "payload_bytes", found.alias("payload_digest")
