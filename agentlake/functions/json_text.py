@@ -75,7 +75,8 @@ def canonical_json(raw: pd.Series) -> pd.Series:
     distinct text of a batch is read once.
     """
     distinct = raw.dropna().unique()
-    return raw.map(dict(zip(distinct, map(canonical_text, distinct), strict=True)), na_action="ignore")
+    texts = raw.map(dict(zip(distinct, map(canonical_text, distinct), strict=True)), na_action="ignore")
+    return texts.astype(object)  # a batch of NULLs only would otherwise become numbers
 
 
 def json_equal(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from agentlake.functions import calls as C
 from agentlake.functions import json_text as J
 from agentlake.functions import text as T
 from agentlake.operators import parsers
+from agentlake.operators.tokens import decoder_kind
 
 TEXTS = [
     'a <tool_call>{"name": "x", "arguments": {"k": 1}}</tool_call> b <tool_call>\n{"name":"y","arguments":{}}\n</tool_call>',
@@ -141,6 +142,15 @@ def test_json_equal(spark, a, b, equal):
     assert df.select(J.json_equal(F.col("a"), F.col("b"))).first()[0] is equal
 
 
+def test_json_equal_of_batches_without_a_text(spark):
+    rows = [(i, None if i < 40 else "bad" if i < 60 else f'{{"a": {i % 3}}}') for i in range(100)]
+    df = spark.createDataFrame(rows, "i int, t string").repartitionByRange(5, "i")
+    kinds = df.select("i", J.json_equal(F.col("t"), F.lit('{"a": 1}')).alias("same"), decoder_kind(F.col("t"), J.canonical_json).alias("kind"))
+    got = {r.i: (r.same, r.kind) for r in kinds.collect()}
+    assert got == {i: (i >= 60 and i % 3 == 1, "naive") for i in range(100)}
+
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
