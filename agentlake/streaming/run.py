@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Later than any row: the time of the mark that ends an input.
+END = datetime(2200, 1, 1)
+
+
+def milliseconds(interval: str) -> int:
+    """Length of an interval such as ``7 days``."""
+    return int(pd.Timedelta(interval) / pd.Timedelta("1ms"))
+
+
+def mark_end(spark: SparkSession, schema: T.StructType, path: str, clock: str) -> None:
+    """Adds the mark that ends a stream's input: a row with nothing but a time later than all.
+
+    The watermark follows it, so that everything still open is closed; rows that come after
+    it are late.
+    """
+    fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    spark.createDataFrame([tuple(END if f.name == clock else None for f in fields)], fields).write.mode("append").parquet(path)
+
+
+def before_end(df: DataFrame, clock: str) -> DataFrame:
+    """Rows of a watermarked stream without the mark.
+
+    The condition names the clock, so Spark keeps it above the watermark, which has to see the mark.
+    """
+    return df.where(F.col(clock) < F.lit(END))
 
 
 def drain(

@@ -1,8 +1,12 @@
 """Sessions and token caches over a stream of model responses.
 
-The responses of a session arrive in ``seq`` order from batch to batch, as an agent
-loop makes them; within a batch any order will do. Bound a batch with the source's
-``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+The responses of a session carry their ``position`` in it, 0, 1, 2 ..., and may arrive in any
+order, within a batch and from batch to batch: those ahead of a gap wait in the state until
+it closes. Bound a batch with the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
+
+What stays open is closed by the clock: a time column with a watermark. A session that the
+watermark has left behind by ``idle`` ends as it is, without the responses that never came.
+``run.mark_end`` moves the watermark past everything, which ends all sessions.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from agentlake.functions.calls import parse_calls
 from agentlake.operators.sessions import MAX_ITERATIONS
+from agentlake.streaming.gaps import GapBuffer
+from agentlake.streaming.run import before_end, milliseconds
 
 SESSION_OUT = (
     "session_id bigint, iterations bigint, tool_calls string, total_tokens bigint, total_time double, "
@@ -22,44 +28,53 @@ SESSION_OUT = (
 ALERT_OUT = "session_id bigint, seq bigint, cached_tokens bigint"
 
 
-def _in_order(rows) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+class _Timed(StatefulProcessor):
+    """A processor with one event-time timer per key, or a processing-time one."""
+
+    def __init__(self, idle_ms: int | None = None, ttl_ms: int | None = None):
+        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint") if self.idle_ms is not None else None
+
+    def push_back(self, latest: int | None, timerValues) -> None:
+        """Moves the key's timer behind its newest row."""
+        if self.due is not None and latest is not None:
+            at, old = latest + self.idle_ms, self.due.get()[0] if self.due.exists() else None
+            if old is None or at > old:
+                if old is not None:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(at)
+                self.due.update((at,))
+        elif self.ttl_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
 
+    def close(self):
+        pass
 
-class SessionProcessor(StatefulProcessor):
-    """Counts a session's responses until it ends; later ones are ignored.
 
-    ``ttl_ms`` of processing time without a response ends an abandoned session as
-    unsuccessful.
-    """
+class SessionProcessor(_Timed):
+    """Counts a session's responses in order until it ends; later ones are ignored."""
 
-    def __init__(self, cap: int, ttl_ms: int | None):
-        self.cap, self.ttl_ms = cap, ttl_ms
+    def __init__(self, cap: int, idle_ms: int | None, ttl_ms: int | None):
+        super().__init__(idle_ms, ttl_ms)
+        self.cap = cap
 
     def init(self, handle):
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState(
-            "session", "n bigint, calls string, tokens bigint, seconds double, text string, ended boolean"
+            "session", "next bigint, first bigint, n bigint, calls string, tokens bigint, seconds double, text string, ended boolean"
         )
+        columns = "position bigint, tokens bigint, elapsed double, is_error boolean, n_calls int, call_names string, content string"
+        self.buffer = GapBuffer(handle, "waiting", dict(c.split() for c in columns.split(", ")))
 
-    @staticmethod
-    def _first(rows, room):
-        """The ``room`` earliest responses, never holding more than that and one Arrow batch."""
-        held = None
-        for pdf in rows:
-            held = (pdf if held is None else pd.concat([held, pdf])).nsmallest(room, "seq")
-        return held
-
-    def _emit(self, key, n, calls, tokens, seconds, text, success):
-        row = (key[0], n, calls, tokens, seconds, text, success)
-        return pd.DataFrame([row], columns=[c.split()[0] for c in SESSION_OUT.split(", ")])
-
-    def handleInputRows(self, key, rows, timerValues):
-        state = self.state.get() if self.state.exists() else (0, "", 0, 0.0, "", False)
-        n, calls, tokens, seconds, text, ended = state
-        if ended:
-            return
-        for row in self._first(rows, self.cap - n).itertuples(index=False):
+    def _count(self, rows, held):
+        """The session after ``rows``: ``(n, calls, tokens, seconds, text, ended, success)``."""
+        n, calls, tokens, seconds, text = held
+        for row in rows.itertuples(index=False):
             n, seconds = n + 1, seconds + row.elapsed
             if not row.is_error:
                 tokens, text = tokens + row.tokens, row.content
@@ -67,98 +82,170 @@ class SessionProcessor(StatefulProcessor):
                     calls = f"{calls},{row.call_names}" if calls else row.call_names
             success = not row.is_error and row.n_calls == 0
             if success or n >= self.cap:
-                ended = True
-                yield self._emit(key, n, calls, tokens, seconds, text, success)
-                n, calls, tokens, seconds, text = 0, "", 0, 0.0, ""
-                break
-        self.state.update((n, calls, tokens, seconds, text, ended))
-        if self.ttl_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        n, calls, tokens, seconds, text, ended = self.state.get()
-        self.state.clear()
-        if not ended:
-            yield self._emit(key, n, calls, tokens, seconds, text, False)
-
-    def close(self):
-        pass
+                return (n, calls, tokens, seconds, text), True, success
+        return (n, calls, tokens, seconds, text), False, False
 
+    def _emit(self, key, held, success):
+        n, calls, tokens, seconds, text = held
+        row = (key[0], n, calls, int(tokens), float(seconds), text, bool(success))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SESSION_OUT.split(", ")])
 
-def stream_sessions(responses: DataFrame, cap: int = MAX_ITERATIONS, ttl_ms: int | None = None) -> DataFrame:
-    """One row per ended session, as ``sessions.session_summary`` gives for the batch.
+    def handleInputRows(self, key, rows, timerValues):
+        expected, first, *held, ended = self.state.get() if self.state.exists() else (0, None, 0, "", 0, 0.0, "", False)
+        held, latest, before = tuple(held), None, ended
+        for pdf in rows:
+            newest = pdf["clock"].max()
+            latest = newest if latest is None else max(latest, newest)
+            if ended:
+                continue
+            for run, expected, first in self.buffer.pass_on(pdf, expected, first):
+                held, ended, success = self._count(run, held)
+                if ended:
+                    yield self._emit(key, held, success)
+                    self.buffer.clear()
+                    held, first = (0, "", 0, 0.0, ""), None
+                    break
+        if not before:
+            n, calls, tokens, seconds, text = held
+            self.state.update((int(expected), first, n, calls, int(tokens), float(seconds), text, ended))
+        self.push_back(None if latest is None or pd.isna(latest) else int(latest), timerValues)
 
-    No session uses more than ``cap`` responses, so each Arrow batch is cut to the
-    earliest ``cap`` of every session before the shuffle. Call parsing stays in the
-    JVM; the state holds counters, never responses.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, _, *held, ended = self.state.get()
+        held, success = tuple(held), False
+        if not ended:
+            for rows in self.buffer.remaining():
+                held, ended, success = self._count(rows, held)
+                if ended:
+                    break
+            yield self._emit(key, held, success)
+        self.state.clear()
+        self.buffer.clear()
+        if self.due is not None:
+            self.due.clear()
+
+
+def _clocked(df: DataFrame, clock: str | None, late: str):
+    """The rows with ``clock`` in milliseconds, watermarked, without the mark that ends the input."""
+    if clock is None:
+        return df, F.lit(None).cast("bigint").alias("clock")
+    marked = before_end(df.withWatermark(clock, late), clock)
+    return marked, F.unix_millis(F.col(clock)).alias("clock")
+
+
+def stream_sessions(
+    responses: DataFrame,
+    cap: int = MAX_ITERATIONS,
+    position: str = "position",
+    clock: str | None = None,
+    late: str = "1 hour",
+    idle: str = "1 hour",
+    ttl_ms: int | None = None,
+) -> DataFrame:
+    """One row per session, as ``sessions.session_summary`` gives for the batch.
+
+    A session is reported when it ends, by success or after ``cap`` responses. With
+    ``clock`` (a timestamp column) open sessions are reported once the watermark, ``late``
+    behind the newest response, is ``idle`` behind their own newest one; state goes with
+    them. With ``ttl_ms`` instead, after that much processing time. With neither, open
+    sessions wait for ever.
+
+    No session uses positions from ``cap`` on, so these are left out before the shuffle.
+    Call parsing stays in the JVM; the state holds counters and what waits for a gap.
     """
-
-    def earliest(batches):
-        for pdf in batches:
-            yield pdf.sort_values("seq").groupby("session_id", sort=False).head(cap)
-
-    slim = responses.select(
+    timed, millis = _clocked(responses, clock, late)
+    # The mark has no position, and this filter may be moved below the watermark.
+    slim = timed.where(F.coalesce(F.col(position) < cap, F.lit(True))).select(
         F.col("session_id").cast("bigint").alias("session_id"),
-        F.col("seq").cast("bigint").alias("seq"),
+        F.col(position).cast("bigint").alias("position"),
         F.col("tokens").cast("bigint").alias("tokens"),
         F.col("elapsed").cast("double").alias("elapsed"),
         "is_error",
         "content",
+        millis,
+        *([F.col(clock).alias("event_time")] if clock else []),
     )
-    slim = slim.mapInPandas(earliest, slim.schema)
     calls = parse_calls(F.col("content"))
     parsed = slim.withColumn("calls", F.when(~F.col("is_error"), calls)).select(
         "session_id",
-        "seq",
+        "position",
         "tokens",
         "elapsed",
         "is_error",
         F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"),
         F.coalesce(F.array_join(F.transform("calls", lambda c: c["name"]), ","), F.lit("")).alias("call_names"),
         "content",
+        "clock",
+        *(["event_time"] if clock else []),
     )
-    return parsed.groupBy("session_id").transformWithStateInPandas(
-        SessionProcessor(cap, ttl_ms), SESSION_OUT, "append", "ProcessingTime" if ttl_ms is not None else "None"
-    )
+    mode = "EventTime" if clock else "ProcessingTime" if ttl_ms is not None else "None"
+    processor = SessionProcessor(cap, milliseconds(idle) if clock else None, None if clock else ttl_ms)
+    return parsed.groupBy("session_id").transformWithStateInPandas(processor, SESSION_OUT, "append", mode)
 
 
-class CacheProcessor(StatefulProcessor):
-    """Running tokens per session since the last reset; state is one number."""
+class CacheProcessor(_Timed):
+    """Running tokens per session since the last reset, in order of position."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, idle_ms: int | None):
+        super().__init__(idle_ms)
         self.limit = limit
 
     def init(self, handle):
-        self.state = handle.getValueState("cached", "tokens bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _in_order(rows)
-        carry = self.state.get()[0] if self.state.exists() else 0
-        run = pdf["tokens"].cumsum()
+        super().init(handle)
+        self.state = handle.getValueState("cached", "next bigint, first bigint, tokens bigint")
+        self.buffer = GapBuffer(handle, "waiting", {"position": "bigint", "seq": "bigint", "tokens": "bigint", "reset": "boolean"})
+
+    def _run(self, key, rows, carry):
+        """Alerts of a run of rows, and what the cache holds after it."""
+        tokens, reset = rows["tokens"].astype("int64"), rows["reset"].astype(bool)
+        run = tokens.cumsum()
         # A reset row opens a new run with its own value.
-        opened = (run - pdf["tokens"]).where(pdf["reset"]).ffill()
+        opened = (run - tokens).where(reset).ffill()
         cached = (run - opened).fillna(run + carry).astype("int64")
-        self.state.update((int(cached.iloc[-1]),))
         over = cached > self.limit
-        yield pd.DataFrame({"session_id": key[0], "seq": pdf["seq"][over], "cached_tokens": cached[over]})
+        return pd.DataFrame({"session_id": key[0], "seq": rows["seq"][over], "cached_tokens": cached[over]}), int(cached.iloc[-1])
 
-    def close(self):
-        pass
+    def handleInputRows(self, key, rows, timerValues):
+        expected, first, carry = self.state.get() if self.state.exists() else (0, None, 0)
+        latest = None
+        for pdf in rows:
+            newest = pdf["clock"].max()
+            latest = newest if latest is None else max(latest, newest)
+            for run, expected, first in self.buffer.pass_on(pdf, expected, first):
+                if len(run):
+                    alerts, carry = self._run(key, run, carry)
+                    yield alerts
+        self.state.update((int(expected), first, carry))
+        self.push_back(None if latest is None or pd.isna(latest) else int(latest), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        carry = self.state.get()[2]
+        for rows in self.buffer.remaining():
+            alerts, carry = self._run(key, rows, carry)
+            yield alerts
+        self.state.clear()
+        self.buffer.clear()
+        self.due.clear()
 
 
-def stream_cache_growth(usage: DataFrame, limit: int, reset: str) -> DataFrame:
+def stream_cache_growth(
+    usage: DataFrame, limit: int, reset: str, position: str = "position", clock: str | None = None, late: str = "1 hour", idle: str = "1 hour"
+) -> DataFrame:
     """Alert rows ``(session_id, seq, cached_tokens)`` while a cache is over ``limit``.
 
-    ``reset`` names the boolean column that marks an independent request. A session's
-    three numbers per response are put in order within a batch, so its source options
-    bound the memory a task needs.
+    ``reset`` names the boolean column that marks an independent request. Sums and resets
+    are taken in order of ``position``: a row ahead of a gap raises its alert once the gap
+    has closed, or, with ``clock``, when its session has been idle as in ``stream_sessions``.
     """
-    slim = usage.select(
+    timed, millis = _clocked(usage, clock, late)
+    slim = timed.select(
         F.col("session_id").cast("bigint").alias("session_id"),
+        F.col(position).cast("bigint").alias("position"),
         F.col("seq").cast("bigint").alias("seq"),
         F.col("tokens").cast("bigint").alias("tokens"),
         F.coalesce(F.col(reset), F.lit(False)).alias("reset"),
+        millis,
+        *([F.col(clock).alias("event_time")] if clock else []),
     )
-    return slim.groupBy("session_id").transformWithStateInPandas(CacheProcessor(limit), ALERT_OUT, "append", "None")
+    processor = CacheProcessor(limit, milliseconds(idle) if clock else None)
+    return slim.groupBy("session_id").transformWithStateInPandas(processor, ALERT_OUT, "append", "EventTime" if clock else "None")

@@ -2,43 +2,99 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from agentlake.functions.numbers import rate_gbps
+from agentlake.streaming.run import before_end, milliseconds
 
+_KEYS = ["transfer_id", "path", "start_ts"]
+_PART = "transfer_id bigint, path string, start_ts timestamp, ts timestamp, chunks bigint, bytes bigint, end_no bigint"
+_CLOSED = "transfer_id bigint, path string, start_ts timestamp, chunks bigint, bytes bigint, ended double"
 
-def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, max_open: str | None = None) -> DataFrame:
-    """One row per completed file: chunks, bytes, time, rate and whether the size is right.
+
+def _combined(batches):
+    """Chunk rows of a batch added up per file, so a file with most of the rows costs no more than others."""
+    for batch in batches:
+        data = pc.greater(batch.column("actual_size"), 0)
+        rows = pa.table({
+            **{k: batch.column(k) for k in _KEYS}, "ts": batch.column("ts"), "bytes": batch.column("actual_size"),
+            "chunks": pc.cast(data, pa.int64()), "end_no": pc.if_else(data, pa.scalar(None, pa.int64()), batch.column("chunk_no")),
+        })
+        sums = rows.group_by(_KEYS).aggregate([("ts", "max"), ("chunks", "sum"), ("bytes", "sum"), ("end_no", "max")])
+        sums = sums.rename_columns([c.removesuffix("_max").removesuffix("_sum") for c in sums.column_names])
+        yield from sums.select([c.split()[0] for c in _PART.split(", ")]).combine_chunks().to_batches()
+
+
+class FileProcessor(StatefulProcessor):
+    """Adds up a file's chunks until it is complete, reports it once, and forgets it.
+
+    A reported file leaves a mark until the watermark has passed its last chunk; from then
+    on Spark itself drops its rows as late. So rows that repeat never open it again, and
+    nothing stays. A file that never completes is forgotten ``idle`` after its last chunk.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("file", "chunks bigint, bytes bigint, last bigint, end_no bigint, closed boolean, due bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        chunks, size, last, end_no, closed, due = self.state.get() if self.state.exists() else (0, 0, None, None, False, None)
+        for pdf in rows:
+            newest = int(pdf["ts_us"].max())
+            last = newest if last is None else max(last, newest)
+            chunks, size = chunks + int(pdf["chunks"].sum()), size + int(pdf["bytes"].sum())
+            marks = pdf["end_no"].dropna()
+            end_no = int(marks.max()) if len(marks) else end_no
+        if not closed and end_no is not None and chunks >= end_no:
+            closed = True
+            yield pd.DataFrame([(*key, chunks, size, last / 1e6)], columns=[c.split()[0] for c in _CLOSED.split(", ")])
+        at = last // 1000 + (1 if closed else self.idle_ms)
+        if at != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+        self.state.update((chunks, size, last, end_no, closed, at))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in _CLOSED.split(", ")])
+
+    def close(self):
+        pass
+
+
+def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, late: str = "1 hour", idle: str = "7 days") -> DataFrame:
+    """One row per completed file: chunks, bytes, time, rate and whether the size is right. For append mode.
 
     ``chunks`` is a stream of ``(transfer_id, path, chunk_no, actual_size, start_ts,
-    ts)`` in any order, with a zero-size row as end marker; ``manifest`` a static
-    table of expected sizes. To be run in update mode: a file's row appears in the
-    batch that completes it.
-
-    Chunk rows are combined before the shuffle, so a file with most of the rows costs
-    no more than others, and the state is one row per file. ``max_open``, such as "7
-    days", drops the state of files started that long before the newest; without it
-    every file is kept.
+    ts)`` in any order, up to ``late`` behind the newest ``ts``, with a zero-size row as end
+    marker; ``manifest`` a static table of expected sizes. A chunk comes once; whatever
+    comes after a file is complete is ignored.
+
+    Chunk rows are combined before the shuffle, and the state is one row per file that is
+    open or was completed within ``late``.
     """
-    keys = ["transfer_id", "path", "start_ts"]
-    data = F.col("actual_size") > 0
-    timed = chunks.withWatermark("start_ts", max_open) if max_open else chunks
-    totals = timed.groupBy(*keys).agg(
-        F.count_if(data).alias("chunks"),
-        F.sum("actual_size").cast("bigint").alias("bytes"),
-        F.max(F.col("ts").cast("double")).alias("_ended"),
-        F.max(F.when(~data, F.col("chunk_no"))).alias("_end_no"),
-    )
-    closed = totals.where("_end_no IS NOT NULL AND chunks >= _end_no")
+    slim = chunks.selectExpr("CAST(transfer_id AS BIGINT) AS transfer_id", "path", "start_ts", "ts", "CAST(chunk_no AS BIGINT) AS chunk_no", "CAST(actual_size AS BIGINT) AS actual_size")
+    parts = before_end(slim.mapInArrow(_combined, _PART).withWatermark("ts", late), "ts")
+    files = parts.withColumn("ts_us", F.unix_micros("ts")).groupBy(*_KEYS)
+    closed = files.transformWithStateInPandas(FileProcessor(milliseconds(idle)), _CLOSED, "append", "EventTime")
     expected = manifest.select("transfer_id", "path", F.col("size").alias("expected"))
+    elapsed = F.col("ended") - F.col("start_ts").cast("double")
     return closed.join(expected, ["transfer_id", "path"], "left").select(
         "transfer_id",
         "path",
         "chunks",
         "bytes",
-        (F.col("_ended") - F.col("start_ts").cast("double")).alias("elapsed"),
+        elapsed.alias("elapsed"),
         "expected",
-        rate_gbps(F.col("bytes"), F.col("_ended") - F.col("start_ts").cast("double")).alias("gbps"),
+        rate_gbps(F.col("bytes"), elapsed).alias("gbps"),
         F.coalesce(F.col("bytes") == F.col("expected"), F.lit(False)).alias("size_ok"),
     )

@@ -1,11 +1,18 @@
 """Streams against their batch operators, with input cut into many small batches."""
 
+import random
+from datetime import datetime
+
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from agentlake.operators import sessions as S
 from agentlake.operators import transfers as X
-from agentlake.streaming.run import drain
+from agentlake.streaming import gaps
+from agentlake.streaming.run import ROCKSDB, drain, mark_end, milliseconds
 from agentlake.streaming.sessions import stream_cache_growth, stream_sessions
 from agentlake.streaming.transfers import stream_transfer_progress
 
@@ -58,22 +65,109 @@ def test_batch_summary(responses):
 def test_stream_sessions_equal_batch(spark, responses, tmp_path):
     parts = ["seq < 1", "seq >= 1 AND seq < 3", "seq >= 3"]
     stream = as_stream(spark, responses, str(tmp_path / "in"), parts)
-    got = drain(spark, stream_sessions(stream), str(tmp_path / "run"), partitions=2)
-    batch = S.session_summary(responses).where("success OR iterations = 10")
-    names = F.array_join(F.transform("tool_calls", lambda c: c["name"]), ",")
-    columns = got.columns
-    want = batch.withColumn("tool_calls", names).select(columns)
+    got = drain(spark, stream_sessions(stream, position="seq"), str(tmp_path / "run"), partitions=2)
+    want = batch_of(responses).where("success OR iterations = 10")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def batch_of(responses):
+    names = F.array_join(F.transform("tool_calls", lambda c: c["name"]), ",")
+    columns = ["session_id", "iterations", "tool_calls", "total_tokens", "total_time", "final_output", "success"]
+    return S.session_summary(responses).withColumn("tool_calls", names).select(columns)
+
+
+def timed(responses):
+    return responses.withColumn("at", F.expr("timestamp_seconds(1704067200 + 600 * seq)"))
+
+
+@pytest.mark.parametrize("parts", [["seq % 3 = 2", "seq % 3 = 0", "seq % 3 = 1"], ["seq > 6", "seq <= 6 AND seq > 0", "seq = 0"], ["true"]])
+def test_end_of_input_closes_open_sessions(spark, responses, tmp_path, parts):
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    df = timed(responses)
+    stream = as_stream(spark, df, source, parts)
+    mark_end(spark, df.schema, source, "at")
+    got = drain(spark, stream_sessions(stream, position="seq", clock="at", late="1 day"), run, partitions=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch_of(responses).collect()))
+    assert left_in(spark, run, "session") == left_in(spark, run, "due") == 0
+
+
+def left_in(spark, run, name):
+    """Keys that a state variable of a finished stream still holds."""
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{run}/checkpoint").count()
+
+
+def test_gap_that_never_closes_is_given_up(spark, responses, tmp_path):
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    df = timed(responses.where("session_id = 1 AND seq <> 1"))
+    stream = as_stream(spark, df, source, ["seq = 2", "seq = 0", "seq = 3"])
+    mark_end(spark, df.schema, source, "at")
+    row = drain(spark, stream_sessions(stream, position="seq", clock="at", late="1 day"), run, partitions=2).collect()
+    assert [(r.iterations, r.success, r.final_output, r.tool_calls) for r in row] == [(2, True, "done", "a")]
+
+
+def test_idle_session_ends_while_others_go_on(spark, tmp_path):
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    rows = [(1, 0, 5, 0.5, False, call("x"), datetime(2024, 1, 1)), (2, 0, 5, 0.5, False, call("y"), datetime(2024, 1, 2)), (2, 1, 5, 0.5, False, call("z"), datetime(2024, 1, 2)), (1, 1, 5, 0.5, False, "late", datetime(2024, 1, 1, 0, 5))]
+    df = spark.createDataFrame(rows, "session_id bigint, position bigint, tokens bigint, elapsed double, is_error boolean, content string, at timestamp")
+    stream = as_stream(spark, df, source, ["session_id = 1 AND position = 0", "session_id = 2 AND position = 0", "session_id = 2 AND position = 1", "content = 'late'"])
+    got = drain(spark, stream_sessions(stream, clock="at", late="10 minutes", idle="1 hour"), run, partitions=1).collect()
+    # Session 1 ends as it is; what comes for it after the watermark is late.
+    assert [(r.session_id, r.iterations, r.success) for r in got] == [(1, 1, False)]
+    assert milliseconds("1 hour") == 3_600_000
+
+
+class Map(dict):
+    """Keyed state as the processors see it."""
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def containsKey(self, key):
+        return key in self
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class Handle:
+    def getMapState(self, name, key, value):
+        return Map()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=60), st.integers(0, 1000), st.sampled_from([1, 3, 256]))
+def test_gap_buffer_orders_what_arrives(positions, seed, span):
+    rng, saved = random.Random(seed), gaps.SPAN
+    gaps.SPAN = span
+    try:
+        buffer = gaps.GapBuffer(Handle(), "w", {"position": "bigint", "v": "string"})
+        expected, first, out = 0, None, []
+        while positions:
+            n = rng.randint(1, 8)
+            batch, positions = positions[:n], positions[n:]
+            for run, expected, first in buffer.pass_on(pd.DataFrame({"position": batch, "v": list(map(str, batch)), "clock": 0}), expected, first):
+                out += run["v"].tolist()
+            seen = set(map(int, out)) | {p for k in buffer.waiting for p in buffer.waiting[k][0]}
+            assert expected == len(out) and expected not in seen
+            assert first == min((p for p in seen if p > expected), default=None)
+        rest = [v for rows in buffer.remaining() for v in rows["v"]]
+        assert list(map(int, out)) == list(range(len(out)))
+        assert list(map(int, out + rest)) == sorted(set(map(int, out + rest)))
+    finally:
+        gaps.SPAN = saved
+
+
 def test_stream_resumes_from_its_checkpoint(spark, responses, tmp_path):
     source, run = str(tmp_path / "in"), str(tmp_path / "run")
     as_stream(spark, responses, source, ["seq < 2"])
     schema = responses.schema
-    first = drain(spark, stream_sessions(spark.readStream.schema(schema).parquet(source)), run, partitions=2)
+    first = drain(spark, stream_sessions(spark.readStream.schema(schema).parquet(source), position="seq"), run, partitions=2)
     assert {r.session_id for r in first.collect()} == {2, 5, 6}
     as_stream(spark, responses, source, ["seq >= 2"])
-    second = drain(spark, stream_sessions(spark.readStream.schema(schema).parquet(source)), run, partitions=2)
+    second = drain(spark, stream_sessions(spark.readStream.schema(schema).parquet(source), position="seq"), run, partitions=2)
     assert sorted(r.session_id for r in second.collect()) == [1, 2, 3, 4, 5, 6]
 
 
@@ -82,14 +176,12 @@ def test_abandoned_session_ends_after_its_ttl(spark, responses, tmp_path):
 
     source = str(tmp_path / "in")
     as_stream(spark, responses, source, ["session_id = 7"])
-    stream = stream_sessions(spark.readStream.schema(responses.schema).parquet(source), ttl_ms=500)
+    stream = stream_sessions(spark.readStream.schema(responses.schema).parquet(source), position="seq", ttl_ms=500)
     query = (
         stream.writeStream.format("memory").queryName("abandoned").outputMode("append")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds")
     )
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    from agentlake.streaming.run import ROCKSDB
-
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     running = query.start()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
@@ -103,29 +195,64 @@ def test_abandoned_session_ends_after_its_ttl(spark, responses, tmp_path):
         running.stop()
 
 
-def test_stream_cache_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("parts", [["seq < 50", "seq >= 50 AND seq < 51", "seq >= 51"], ["position % 3 = 2", "position % 3 = 1", "position % 3 = 0"], ["position >= 70", "position < 70"]])
+def test_stream_cache_equals_batch(spark, tmp_path, parts):
     usage = spark.range(400).selectExpr(
-        "id % 3 AS session_id", "id AS seq", "id % 11 AS tokens", "id % 97 = 0 AS fresh"
+        "id % 3 AS session_id", "id AS seq", "id div 3 AS position", "id % 11 AS tokens", "id % 97 = 0 AS fresh"
     )
-    stream = as_stream(spark, usage, str(tmp_path / "in"), ["seq < 50", "seq >= 50 AND seq < 51", "seq >= 51"])
+    stream = as_stream(spark, usage, str(tmp_path / "in"), parts)
     got = drain(spark, stream_cache_growth(stream, 60, "fresh"), str(tmp_path / "run"), partitions=2)
     want = S.cumulative_tokens(usage, 60, reset="fresh").where("over_limit").select(got.columns)
     assert got.count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("max_open", [None, "30 days"])
-def test_stream_transfers(spark, tmp_path, max_open):
+def test_stream_cache_past_a_lost_row(spark, tmp_path):
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    usage = spark.range(30).selectExpr("1L AS session_id", "10 * id AS seq", "id AS position", "7L AS tokens", "id = 20 AS fresh", "timestamp_seconds(1704067200 + id) AS at").where("position <> 4")
+    stream = as_stream(spark, usage, source, ["position % 2 = 1", "position % 2 = 0"])
+    mark_end(spark, usage.schema, source, "at")
+    got = drain(spark, stream_cache_growth(stream, 50, "fresh", clock="at", late="1 hour"), run, partitions=1)
+    want = S.cumulative_tokens(usage, 50, reset="fresh").where("over_limit").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert left_in(spark, run, "cached") == 0
+
+
+def test_stream_transfers(spark, tmp_path):
     manifest = spark.createDataFrame(
-        [(1, "a", 10), (1, "empty", 0), (2, "b", 8), (2, "wrong", 5)], "transfer_id bigint, path string, size bigint"
+        [(1, "a", 10), (1, "empty", 0), (2, "b", 8), (2, "wrong", 5), (3, "open", 9)], "transfer_id bigint, path string, size bigint"
     )
     planned = X.chunk_plan(manifest, 4).selectExpr(
         "transfer_id", "path", "chunk_no", "actual_size", "TIMESTAMP'2024-01-01 00:00:00' AS start_ts",
         "timestamp_seconds(1704067200 + chunk_no + 1) AS ts",
     )
-    parts = ["chunk_no = 2", "chunk_no = 0", "chunk_no = 1", "chunk_no = 3"]
-    stream = as_stream(spark, planned, str(tmp_path / "in"), parts)
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    # The last batches repeat chunks of files that are closed by then; one file stays open.
+    parts = ["chunk_no = 2 AND path <> 'open'", "chunk_no = 0", "chunk_no = 1", "chunk_no = 3", "path IN ('a', 'empty')", "path = 'a' AND chunk_no = 3"]
+    stream = as_stream(spark, planned, source, parts)
     expected = manifest.where("path <> 'b'").replace({5: 6}, subset="size")
-    out = drain(spark, stream_transfer_progress(stream, expected, max_open), str(tmp_path / "run"), "update", partitions=2)
-    got = {r.path: (r.chunks, r.bytes, r.elapsed, r.size_ok) for r in out.collect()}
-    assert got == {"a": (3, 10, 4.0, True), "empty": (0, 0, 1.0, True), "b": (2, 8, 3.0, False), "wrong": (2, 5, 3.0, False)}
+    progress = stream_transfer_progress(stream, expected, late="1 hour")
+    out = drain(spark, progress, run, partitions=2)
+    want = [("a", 3, 10, 4.0, True), ("b", 2, 8, 3.0, False), ("empty", 0, 0, 1.0, True), ("wrong", 2, 5, 3.0, False)]
+    assert sorted((r.path, r.chunks, r.bytes, r.elapsed, r.size_ok) for r in out.collect()) == want
+    assert left_in(spark, run, "file") == 5
+    # The end of the input passes all marks; rows that come after it are late.
+    mark_end(spark, planned.schema, source, "ts")
+    drain(spark, progress, run, partitions=2)
+    assert left_in(spark, run, "file") == 0
+    as_stream(spark, planned, source, ["path = 'b'"])
+    again = drain(spark, progress, run, partitions=2)
+    assert sorted((r.path, r.chunks, r.bytes, r.elapsed, r.size_ok) for r in again.collect()) == want
+    assert left_in(spark, run, "file") == 0
+
+
+def test_hot_file_is_combined_before_the_shuffle(spark, tmp_path):
+    hot = spark.range(5000).selectExpr(
+        "1L AS transfer_id", "'hot' AS path", "id AS chunk_no", "IF(id = 4999, 0L, 3L) AS actual_size", "TIMESTAMP'2024-01-01 00:00:00' AS start_ts", "timestamp_seconds(1704067200 + id) AS ts"
+    )
+    from agentlake.streaming.transfers import _PART, _combined
+
+    assert hot.coalesce(2).mapInArrow(_combined, _PART).count() <= 2
+    expected = spark.createDataFrame([(1, "hot", 4999 * 3)], "transfer_id bigint, path string, size bigint")
+    got = drain(spark, stream_transfer_progress(as_stream(spark, hot, str(tmp_path / "in"), ["true"]), expected), str(tmp_path / "run"), partitions=2).collect()
+    assert [(r.chunks, r.bytes, r.size_ok) for r in got] == [(4999, 4999 * 3, True)]
