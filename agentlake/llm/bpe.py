@@ -1,17 +1,18 @@
-"""Byte-pair encoding and decoding over tables of distinct words.
+"""Byte-pair encoding and decoding over a table of the distinct words of all texts.
 
-A text is split into words at ASCII white space, which no token of the supported
-tokenizers crosses. Each task keeps a table of the distinct words it has met: a word is
-encoded once, and its ids are joined to every position where the word stands, as a gather
-over whole batches. Decoding joins ids to pieces the same way. Both are maps over the
-rows, so there is no shuffle, and a lost task is simply run again. The table of a task is
-emptied when it reaches ``TABLE_WORDS`` words, which bounds its memory on any input.
+A text is split into words at ASCII white space, which no token of the supported tokenizers
+crosses. Splitting writes, for every batch of texts, the distinct words of the batch once, and
+each text as the numbers of its words in that list. The distinct words of all batches are
+encoded once each; joined back by word and then by batch and number, they give every
+position its ids. So what is shuffled besides the numbers is one row per distinct word of a
+batch, not one per position. Decoding joins ids to their pieces by position.
 
 The tokenizer file is opened where it is installed on each executor.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from functools import lru_cache
 
@@ -22,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import list_array, ranges, slices
+from agentlake.llm.common import list_array, ranges, slices, written
+from agentlake.llm.words import Words
 
-TABLE_WORDS = 1 << 18
-_TAIL = b".,;:"
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of text that share a list of distinct words.
+BATCH_BYTES = 8 << 20
+#: Words encoded in one go, and their bytes.
+WORDS_AT_ONCE, WORD_BYTES = 4096, 1 << 20
+#: Token ids turned into text in one go.
+IDS_AT_ONCE = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -40,117 +45,156 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class WordTable:
-    """Ids of the distinct words met so far; ``index`` gives a word's row."""
-
-    def __init__(self, path: str):
-        self.tokenizer = load_tokenizer(path)
-        self.clear()
-
-    def clear(self):
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.starts, self.lengths, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-
-    def add(self, words: list[bytes]) -> None:
-        """Encodes the words not met before.
-
-        Letters followed by punctuation are two pieces to the tokenizer, so for ASCII words
-        the halves are looked up by themselves, in lower case.
-        """
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if not new:
-            return
-        if len(self.index) + len(new) > TABLE_WORDS:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        split = []
-        for word in new:
-            if not word.isascii() or b"<" in word:  # other letters, and what may be a special token
-                split.append((word.decode(),))
-                continue
-            lower = word.lower()
-            body = lower.rstrip(_TAIL)
-            cut = len(body) if body and body[-1] in _LETTERS else len(lower)
-            split.append(tuple(p.decode() for p in (lower[:cut], lower[cut:]) if p))
-        missing = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
-        for part, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.parts[part] = encoded.ids
-        ids = [[i for p in parts for i in self.parts[p]] for parts in split]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for row in ids for i in row), np.int32, int(lengths.sum()))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
-
-
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``, the token ids of the whole text (array<int>).
-
-    ``tokenizer`` is the path of a lower-casing BPE file with word ends. Ids equal those of
-    the tokenizers library without added special tokens. A null or blank text has no ids;
-    a column that already has the name ``ids`` is replaced.
+def check_words(path: str) -> None:
+    """Fails for a tokenizer whose tokens cross ASCII white space, or depend on what stands beyond it."""
+    tokenizer = load_tokenizer(path)
+    for parts in (["ab", "cd."], ["It's", "12", "é,"], ["a", "<|endoftext|>", "B"], ["'", "s", "!!"]):
+        alone = [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids]
+        for gap in (" ", "\n", " \t "):
+            if tokenizer.encode(gap + gap.join(parts) + gap, add_special_tokens=False).ids != alone:
+                raise ValueError(f"{path}: tokens depend on white space, so words cannot be encoded by themselves")
+
+
+def _struct(names: list[str]):
+    return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def split_words(docs: DataFrame, text: str) -> DataFrame:
+    """``batch, row, numbers, words``: written rows of two kinds.
+
+    Every document has a row with its other columns in ``row`` and the numbers of its words,
+    packed in 16 or 32 bits. Every batch has one more with its distinct ``words``.
     """
-    docs = docs.drop(ids)
+    others = [c for c in docs.columns if c != text]
+    given = docs.select(F.col(text).alias("text"), _struct(others).alias("row"))
+    schema = T.StructType([
+        T.StructField("batch", T.LongType()), T.StructField("row", given.schema["row"].dataType),
+        T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
+    ])
 
     def run(batches):
-        words_of = WordTable(tokenizer)
-        for part in slices(batches, text):
-            words, counts = [], []
-            for value in part.column(text).to_pylist():
-                own = value.encode().split()
-                words += own
-                counts.append(len(own))
-            words_of.add(words)
-            rows = np.fromiter(map(words_of.index.__getitem__, words), np.int64, len(words))
-            lengths = words_of.lengths[rows]
-            flat = words_of.flat[ranges(words_of.starts[rows], lengths)]
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-            yield part.append_column("__ids", list_array(flat, ends, pa.int32()))
-
-    kept = docs.withColumn("__given", F.col(text).isNotNull())
-    out = kept.mapInArrow(run, _with(kept, "__ids", T.ArrayType(T.IntegerType())))
-    return out.select(
-        *[F.when(F.col("__given"), F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns], F.col("__ids").alias(ids)
-    )
+        from pyspark import TaskContext
+
+        batch = TaskContext.get().partitionId() << 32
+        for part in slices(batches, "text", BATCH_BYTES):
+            words = Words(part.column("text"))
+            _, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
+            size = np.uint16 if len(first) <= 1 << 16 else np.uint32
+            number = number.astype(size)
+            ends = np.concatenate([[0], np.cumsum(words.counts)])
+            packed = pa.array([number[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            data = words.data
+            table = [data[words.starts[i] : words.ends[i]].tobytes().decode() for i in first]
+            names, rows = ["batch", "row", "numbers", "words"], part.column("row")
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), rows, packed, pa.nulls(n, pa.list_(pa.string()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.nulls(1, rows.type), pa.nulls(1, pa.binary()), pa.array([table], pa.list_(pa.string()))], names)
+            words = number = packed = data = table = None
+            batch += 1
+
+    return written(given.mapInArrow(run, schema), "words")
+
+
+def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """``word, ids`` for the distinct values of ``word``."""
+
+    def run(batches):
+        tok = load_tokenizer(tokenizer)
+        for part in slices(batches, "word", WORD_BYTES):
+            for at in range(0, part.num_rows, WORDS_AT_ONCE):
+                column = part.column("word").slice(at, WORDS_AT_ONCE)
+                ids = [e.ids for e in tok.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+
+
+def _pieces(tokenizer: str) -> pa.Array:
+    """The piece of every id, and a null behind them."""
+    tok = load_tokenizer(tokenizer)
+    return pa.array([*map(tok.id_to_token, range(tok.get_vocab_size(with_added_tokens=True))), None], pa.string())
+
+
+def _joined(pieces: pa.Array, ids: pa.Array):
+    """Texts of a list column of ids, a part of the rows at a time: ids joined to their pieces by position."""
+    size = len(pieces) - 1
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    known = (flat >= 0) & (flat < size)
+    if not known.all():
+        ends, flat = np.concatenate([[0], np.cumsum(known)])[ends], flat[known]
+    done = 0
+    while done < len(ends):
+        first = 0 if done == 0 else int(ends[done - 1])
+        stop = max(done + 1, int(np.searchsorted(ends, first + IDS_AT_ONCE, side="right")))
+        own = pieces.take(pa.array(flat[first : int(ends[stop - 1])].astype(np.int64)))
+        yield pc.binary_join(list_array(own, ends[done:stop] - first, pa.string()), " ")
+        done = stop
+
+
+def _digests(texts) -> pa.Array:
+    return pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for part in texts for t in part], pa.string())
+
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded_sha256: str | None = None) -> DataFrame:
+    """``docs`` without its text, with ``ids``, the token ids of the whole text (array<int>).
+
+    ``tokenizer`` is the path of a file whose tokens do not cross white space, which is
+    checked. Ids equal those of the tokenizers library without added special tokens. A null
+    or blank text has no ids. With ``decoded_sha256``, a column of that name has the SHA-256
+    of the text that ``decode`` gives for the ids, without the text leaving the task.
+    Columns that already have these names are replaced; other columns are kept, whatever
+    their names.
+    """
+    check_words(tokenizer)
+    new = [ids] + ([decoded_sha256] if decoded_sha256 else [])
+    docs = docs.drop(*[n for n in new if n != text])
+    others = [c for c in docs.columns if c != text]
+    coded = split_words(docs, text)
+    table = coded.where("words IS NOT NULL").select("batch", F.posexplode("words").alias("number", "word"))
+    located = table.join(encode_words(table, tokenizer), "word").select(F.col("batch").alias("of"), "number", "ids")
+    texts = coded.where("words IS NULL").select("batch", "row", "numbers")
+    fields = [T.StructField("row", texts.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField("decoded", T.StringType())] if decoded_sha256 else []
+
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("number").combine_chunks()
+        lists = words.column("ids").combine_chunks()
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+        size = np.uint16 if len(lengths) <= 1 << 16 else np.uint32
+        packed = [np.frombuffer(n, size).astype(np.int64) for n in rows.column("numbers").to_pylist()]
+        number = np.concatenate(packed) if packed else np.zeros(0, np.int64)
+        own = lengths[number]
+        ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum([len(p) for p in packed])]
+        packed = None
+        out = {"row": rows.column("row"), "ids": list_array(flat[ranges(starts[number], own)].astype(np.int32), ends, pa.int32())}
+        if decoded_sha256:
+            out["decoded"] = _digests(_joined(_pieces(tokenizer), out["ids"]))
+        return pa.table(out)
+
+    whole = texts.groupBy("batch").cogroup(located.groupBy("of")).applyInArrow(run, T.StructType(fields))
+    columns = [F.col("row").getField(c).alias(c) for c in others]
+    return whole.select(*columns, F.col("ids").alias(ids), *([F.col("decoded").alias(decoded_sha256)] if decoded_sha256 else []))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``, the pieces of ``ids`` joined by spaces, special tokens kept.
 
     Equals the library's ``decode`` for a tokenizer without a decoder. Unknown ids have no
-    piece and leave nothing; null ids give an empty text. An existing column ``text`` is replaced.
+    piece and leave nothing; null ids give an empty text. An existing column ``text`` is
+    replaced; other columns are kept, whatever their names.
     """
     df = df.drop(text)
+    given = df.select(F.col(ids).alias("ids"), _struct(df.columns).alias("row"))
 
     def run(batches):
-        tok = load_tokenizer(tokenizer)
-        size = tok.get_vocab_size(with_added_tokens=True)
-        pieces = pa.array([tok.id_to_token(i) for i in range(size)] + [None], pa.string())
+        pieces = _pieces(tokenizer)
         for batch in batches:
-            column = batch.column(ids)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            known = np.where((flat >= 0) & (flat < size), flat, size).astype(np.int64)
-            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            if (known == size).any():
-                have = known < size
-                ends = np.concatenate([[0], np.cumsum(have)])[ends]
-                known = known[have]
-            # Pieces are joined a part of the rows at a time.
-            done, outs = 0, []
-            while done < len(ends):
-                first = 0 if done == 0 else int(ends[done - 1])
-                stop = max(done + 1, int(np.searchsorted(ends, first + (1 << 20), side="right")))
-                own = pieces.take(pa.array(known[first : int(ends[stop - 1])]))
-                outs.append(pc.binary_join(list_array(own, ends[done:stop] - first, pa.string()), " "))
-                done = stop
-            yield batch.append_column("__text", pa.concat_arrays(outs) if outs else pa.array([], pa.string()))
-
-    out = df.mapInArrow(run, _with(df, "__text", T.StringType()))
-    return out.withColumnRenamed("__text", text)
-
-
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+            done = 0
+            for texts in _joined(pieces, batch.column("ids")):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(done, len(texts)), texts], ["row", "text"])
+                done += len(texts)
+
+    out = given.mapInArrow(run, T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("text", T.StringType())]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("text").alias(text))

@@ -47,17 +47,37 @@ def sample_texts(n=60, seed=1):
 
 def test_bpe_round_trip(spark):
     tok = Tokenizer.from_file(WORD)
-    rows = bpe.decode(bpe.encode(docs_of(spark, TEXTS), WORD), WORD).collect()
-    assert len(rows) == len(TEXTS)
+    texts = [*TEXTS, *TEXTS, "w" * 100_000, *(f"n{i} n{i % 7}" for i in range(300))]
+    # Columns that are called what the operator calls its own.
+    docs = docs_of(spark, texts).selectExpr("*", "1 AS batch", "'r' AS row", "2 AS numbers", "3 AS words", "4 AS number", "5 AS none", "6 AS digest")
+    coded = bpe.encode(docs, WORD, decoded_sha256="digest")
+    assert coded.columns == [c for c in docs.columns if c not in ("text", "ids", "digest")] + ["ids", "digest"]
+    rows = bpe.decode(coded, WORD).collect()
+    assert len(rows) == len(texts)
     for r in rows:
-        want = tok.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
-        assert list(r.ids) == want and r.text == TEXTS[r.doc_id]
+        want = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(r.ids) == want and (r.batch, r.row, r.words, r.source) == (1, "r", 3, f"s{r.doc_id % 3}")
         assert r.decoded == tok.decode(want, skip_special_tokens=False)
+        assert r.digest == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert bpe.encode(docs_of(spark, TEXTS).limit(0), WORD).count() == 0
+    assert [r.ids for r in bpe.encode(spark.createDataFrame([("a",), (None,)], "text string"), WORD).orderBy(F.size("ids")).collect()] == [[], [320]]
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode(docs, BYTE)
     odd = spark.createDataFrame([(1, None), (2, [-1, 320, 10**6])], "doc_id int, ids array<int>")
     assert [r.decoded for r in bpe.decode(odd, WORD).orderBy("doc_id").collect()] == ["", "a</w>"]
 
 
+def test_bpe_encodes_a_word_of_many_batches_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 200)
+    texts = [f"same words {i % 11} again, {'x' * (i % 5)}" for i in range(400)]
+    docs = docs_of(spark, texts).repartition(4)
+    parts = bpe.split_words(docs, "text")
+    table = parts.where("words IS NOT NULL").select(F.explode("words").alias("word"))
+    assert table.count() > 500 and bpe.encode_words(table, WORD).count() == table.distinct().count() == len({w for t in texts for w in t.split()})
+    tok = Tokenizer.from_file(WORD)
+    assert all(r.ids == tok.encode(texts[r.doc_id], add_special_tokens=False).ids for r in bpe.encode(docs, WORD).collect())
+
+
 def test_token_counts_and_their_cache(spark):
     tok, cache = Tokenizer.from_file(BYTE), shared_dir(spark, "cache")
     docs = docs_of(spark, [*TEXTS, *TEXTS, None])
