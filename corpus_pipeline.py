@@ -50,12 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every reading, and whether decoding gives the ids' pieces back."""
+    """Token ids of every reading, and the digest of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
-    return both.select(
-        "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded_sha256="decoded_sha256")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
