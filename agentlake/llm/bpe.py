@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ from agentlake.llm.common import list_array, ranges, slices, written
 from agentlake.llm.words import Words
 
 #: Bytes of text that share a list of distinct words.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 #: Words encoded in one go, and their bytes.
 WORDS_AT_ONCE, WORD_BYTES = 4096, 1 << 20
 #: Token ids turned into text in one go.
@@ -59,11 +60,21 @@ def _struct(names: list[str]):
     return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
 
 
+def _pack(numbers: np.ndarray, squeeze) -> bytes:
+    """Numbers below 2^32 as compressed planes of bytes: the high ones are nearly all zero."""
+    return squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes, expand) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def split_words(docs: DataFrame, text: str) -> DataFrame:
     """``batch, row, numbers, words``: written rows of two kinds.
 
-    Every document has a row with its other columns in ``row`` and the numbers of its words,
-    packed in 16 or 32 bits. Every batch has one more with its distinct ``words``.
+    Every document has a row with its other columns in ``row`` and the packed numbers of its
+    words. Every batch has one more with its distinct ``words``, the most frequent first, so
+    that most numbers are small.
     """
     others = [c for c in docs.columns if c != text]
     given = docs.select(F.col(text).alias("text"), _struct(others).alias("row"))
@@ -75,21 +86,23 @@ def split_words(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        batch = TaskContext.get().partitionId() << 32
+        batch, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
         for part in slices(batches, "text", BATCH_BYTES):
             words = Words(part.column("text"))
-            _, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
-            size = np.uint16 if len(first) <= 1 << 16 else np.uint32
-            number = number.astype(size)
+            _, first, number, uses = np.unique(words.hashes, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            first, number = first[order], place[number]
             ends = np.concatenate([[0], np.cumsum(words.counts)])
-            packed = pa.array([number[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            packed = pa.array([_pack(number[a:b], squeeze) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             data = words.data
             table = [data[words.starts[i] : words.ends[i]].tobytes().decode() for i in first]
             names, rows = ["batch", "row", "numbers", "words"], part.column("row")
             n = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), rows, packed, pa.nulls(n, pa.list_(pa.string()))], names)
             yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.nulls(1, rows.type), pa.nulls(1, pa.binary()), pa.array([table], pa.list_(pa.string()))], names)
-            words = number = packed = data = table = None
+            words = number = packed = data = table = first = order = place = None
             batch += 1
 
     return written(given.mapInArrow(run, schema), "words")
@@ -151,7 +164,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     docs = docs.drop(*[n for n in new if n != text])
     others = [c for c in docs.columns if c != text]
     coded = split_words(docs, text)
-    table = coded.where("words IS NOT NULL").select("batch", F.posexplode("words").alias("number", "word"))
+    # One exchange by word, for the distinct words and for the join; a word has a row per batch at most.
+    table = coded.where("words IS NOT NULL").select("batch", F.posexplode("words").alias("number", "word")).repartition("word")
     located = table.join(encode_words(table, tokenizer), "word").select(F.col("batch").alias("of"), "number", "ids")
     texts = coded.where("words IS NULL").select("batch", "row", "numbers")
     fields = [T.StructField("row", texts.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -162,8 +176,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         lists = words.column("ids").combine_chunks()
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
-        size = np.uint16 if len(lengths) <= 1 << 16 else np.uint32
-        packed = [np.frombuffer(n, size).astype(np.int64) for n in rows.column("numbers").to_pylist()]
+        expand = zstandard.ZstdDecompressor().decompress
+        packed = [_unpack(n, expand) for n in rows.column("numbers").to_pylist()]
         number = np.concatenate(packed) if packed else np.zeros(0, np.int64)
         own = lengths[number]
         ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum([len(p) for p in packed])]
