@@ -1,11 +1,14 @@
-"""Byte-pair encoding and decoding over a table of the distinct words of all texts.
+"""Byte-pair encoding and decoding over tables of distinct words.
 
 A text is split into words at ASCII white space, which no token of the supported tokenizers
-crosses. Splitting writes, for every batch of texts, the distinct words of the batch once, and
-each text as the numbers of its words in that list. The distinct words of all batches are
-encoded once each; joined back by word and then by batch and number, they give every
-position its ids. So what is shuffled besides the numbers is one row per distinct word of a
-batch, not one per position. Decoding joins ids to their pieces by position.
+crosses. Each task keeps a table of the distinct words it has met: a word is encoded once, and
+its ids are joined to every position where the word stands, as a gather over whole batches.
+Decoding joins ids to pieces the same way, in the same pass. Both are maps over the rows, so
+there is no shuffle, and a lost task is simply run again. A task's table is emptied at
+``TABLE_WORDS`` words or ``TABLE_BYTES`` bytes, which bounds its memory on any input.
+
+One table for the whole corpus, joined back through shuffles, gives the same ids but moves
+more than the texts themselves: see the README for its figures.
 
 The tokenizer file is opened where it is installed on each executor.
 """
@@ -19,21 +22,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import list_array, ranges, slices, written
+from agentlake.llm.common import list_array, ranges, slices
 from agentlake.llm.words import Words
 
-#: Bytes of text that share a list of distinct words.
-BATCH_BYTES = 16 << 20
-#: Words encoded in one go, and their bytes.
-WORDS_AT_ONCE, WORD_BYTES = 4096, 1 << 20
+TABLE_WORDS, TABLE_BYTES = 1 << 18, 16 << 20
+#: Words encoded in one go.
+WORDS_AT_ONCE = 4096
 #: Token ids turned into text in one go.
 IDS_AT_ONCE = 1 << 20
-
+_TAIL = ".,;:"
 
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
@@ -56,70 +57,67 @@ def check_words(path: str) -> None:
                 raise ValueError(f"{path}: tokens depend on white space, so words cannot be encoded by themselves")
 
 
-def _struct(names: list[str]):
-    return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
-
-
-def _pack(numbers: np.ndarray, squeeze) -> bytes:
-    """Numbers below 2^32 as compressed planes of bytes: the high ones are nearly all zero."""
-    return squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpack(packed: bytes, expand) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(expand(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def split_words(docs: DataFrame, text: str) -> DataFrame:
-    """``batch, row, numbers, words``: written rows of two kinds.
-
-    Every document has a row with its other columns in ``row`` and the packed numbers of its
-    words. Every batch has one more with its distinct ``words``, the most frequent first, so
-    that most numbers are small.
-    """
-    others = [c for c in docs.columns if c != text]
-    given = docs.select(F.col(text).alias("text"), _struct(others).alias("row"))
-    schema = T.StructType([
-        T.StructField("batch", T.LongType()), T.StructField("row", given.schema["row"].dataType),
-        T.StructField("numbers", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
-    ])
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        batch, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1).compress
-        for part in slices(batches, "text", BATCH_BYTES):
-            words = Words(part.column("text"))
-            _, first, number, uses = np.unique(words.hashes, return_index=True, return_inverse=True, return_counts=True)
-            order = np.argsort(-uses, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            first, number = first[order], place[number]
-            ends = np.concatenate([[0], np.cumsum(words.counts)])
-            packed = pa.array([_pack(number[a:b], squeeze) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            data = words.data
-            table = [data[words.starts[i] : words.ends[i]].tobytes().decode() for i in first]
-            names, rows = ["batch", "row", "numbers", "words"], part.column("row")
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch)), rows, packed, pa.nulls(n, pa.list_(pa.string()))], names)
-            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.nulls(1, rows.type), pa.nulls(1, pa.binary()), pa.array([table], pa.list_(pa.string()))], names)
-            words = number = packed = data = table = first = order = place = None
-            batch += 1
-
-    return written(given.mapInArrow(run, schema), "words")
+@lru_cache(maxsize=4)
+def splits_tail(path: str) -> bool:
+    """Whether the tokenizer lower-cases and parts letters from the punctuation behind them, so that both can be encoded alone."""
+    tokenizer = load_tokenizer(path)
 
+    def ids(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return all(ids(body.upper() + tail) == ids(body) + ids(tail) for body in ("ab", "x", "it's", "a1b") for tail in (".", ",;", "..:"))
+
+
+class WordTable:
+    """Ids of the distinct words met so far."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.halves = load_tokenizer(path), splits_tail(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.size = 0
+        self.starts, self.lengths, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Row of each of the distinct ``words``; those not met before are encoded."""
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > TABLE_WORDS or self.size + sum(map(len, new)) > TABLE_BYTES:
+            self.clear()
+            new = words
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _add(self, new: list[bytes]) -> None:
+        split = [self._split(w.decode()) for w in new]
+        missing = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
+        for at in range(0, len(missing), WORDS_AT_ONCE):
+            some = missing[at : at + WORDS_AT_ONCE]
+            for part, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[part] = encoded.ids
+        ids = [[i for p in parts for i in self.parts[p]] for parts in split]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for row in ids for i in row), np.int32, int(lengths.sum()))
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.size += sum(map(len, new))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _split(self, word: str) -> tuple[str, ...]:
+        """An ASCII word as its lower-case body and the punctuation behind it, where the tokenizer parts them."""
+        if not self.halves or not word.isascii() or "<" in word:  # other letters, and what may be a special token
+            return (word,)
+        lower = word.lower()
+        body = lower.rstrip(_TAIL)
+        return (body, lower[len(body) :]) if body and len(body) < len(lower) and body[-1].isalpha() else (lower,)
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``word, ids`` for the distinct values of ``word``."""
 
-    def run(batches):
-        tok = load_tokenizer(tokenizer)
-        for part in slices(batches, "word", WORD_BYTES):
-            for at in range(0, part.num_rows, WORDS_AT_ONCE):
-                column = part.column("word").slice(at, WORDS_AT_ONCE)
-                ids = [e.ids for e in tok.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+def _struct(names: list[str]):
+    return F.struct(*[F.col(n) for n in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
 
 
 def _pieces(tokenizer: str) -> pa.Array:
@@ -163,31 +161,25 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     new = [ids] + ([decoded_sha256] if decoded_sha256 else [])
     docs = docs.drop(*[n for n in new if n != text])
     others = [c for c in docs.columns if c != text]
-    coded = split_words(docs, text)
-    # One exchange by word, for the distinct words and for the join; a word has a row per batch at most.
-    table = coded.where("words IS NOT NULL").select("batch", F.posexplode("words").alias("number", "word")).repartition("word")
-    located = table.join(encode_words(table, tokenizer), "word").select(F.col("batch").alias("of"), "number", "ids")
-    texts = coded.where("words IS NULL").select("batch", "row", "numbers")
-    fields = [T.StructField("row", texts.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    given = docs.select(F.col(text).alias("text"), _struct(others).alias("row"))
+    fields = [given.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("decoded", T.StringType())] if decoded_sha256 else []
 
-    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("number").combine_chunks()
-        lists = words.column("ids").combine_chunks()
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
-        expand = zstandard.ZstdDecompressor().decompress
-        packed = [_unpack(n, expand) for n in rows.column("numbers").to_pylist()]
-        number = np.concatenate(packed) if packed else np.zeros(0, np.int64)
-        own = lengths[number]
-        ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum([len(p) for p in packed])]
-        packed = None
-        out = {"row": rows.column("row"), "ids": list_array(flat[ranges(starts[number], own)].astype(np.int32), ends, pa.int32())}
-        if decoded_sha256:
-            out["decoded"] = _digests(_joined(_pieces(tokenizer), out["ids"]))
-        return pa.table(out)
-
-    whole = texts.groupBy("batch").cogroup(located.groupBy("of")).applyInArrow(run, T.StructType(fields))
+    def run(batches):
+        table = WordTable(tokenizer)
+        pieces = _pieces(tokenizer) if decoded_sha256 else None
+        for part in slices(batches, "text"):
+            words = Words(part.column("text"))
+            _, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
+            data = words.data
+            rows = table.rows([data[words.starts[i] : words.ends[i]].tobytes() for i in first])[number]
+            lengths = table.lengths[rows]
+            ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(words.counts)]
+            coded = list_array(table.flat[ranges(table.starts[rows], lengths)], ends, pa.int32())
+            out = [part.column("row"), coded] + ([_digests(_joined(pieces, coded))] if decoded_sha256 else [])
+            yield pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+
+    whole = given.mapInArrow(run, T.StructType(fields))
     columns = [F.col("row").getField(c).alias(c) for c in others]
     return whole.select(*columns, F.col("ids").alias(ids), *([F.col("decoded").alias(decoded_sha256)] if decoded_sha256 else []))
 

@@ -67,15 +67,20 @@ def test_bpe_round_trip(spark):
     assert [r.decoded for r in bpe.decode(odd, WORD).orderBy("doc_id").collect()] == ["", "a</w>"]
 
 
-def test_bpe_encodes_a_word_of_many_batches_once(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BATCH_BYTES", 200)
-    texts = [f"same words {i % 11} again, {'x' * (i % 5)}" for i in range(400)]
-    docs = docs_of(spark, texts).repartition(4)
-    parts = bpe.split_words(docs, "text")
-    table = parts.where("words IS NOT NULL").select(F.explode("words").alias("word"))
-    assert table.count() > 500 and bpe.encode_words(table, WORD).count() == table.distinct().count() == len({w for t in texts for w in t.split()})
+@pytest.mark.parametrize(("words", "size"), [(50, 1 << 20), (1 << 18, 300)])
+def test_bpe_with_a_full_table(spark, monkeypatch, words, size):
+    monkeypatch.setattr(bpe, "TABLE_WORDS", words)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", size)
     tok = Tokenizer.from_file(WORD)
-    assert all(r.ids == tok.encode(texts[r.doc_id], add_special_tokens=False).ids for r in bpe.encode(docs, WORD).collect())
+    table = bpe.WordTable(WORD)
+    for i in range(60):
+        some = [f"Same{i % 7}.,".encode(), f"word{i};".encode(), "é!".encode(), b"x" * (i + 1), *(f"n{i}{k}".encode() for k in range(20))]
+        rows = table.rows(some)
+        for w, r in zip(some, rows, strict=True):
+            got = table.flat[table.starts[r] : table.starts[r] + table.lengths[r]].tolist()
+            assert got == tok.encode(w.decode(), add_special_tokens=False).ids
+        assert len(table.index) <= max(words, len(some)) and (table.size <= size or len(table.index) == len(some))
+    assert bpe.splits_tail(WORD)
 
 
 def test_token_counts_and_their_cache(spark):
