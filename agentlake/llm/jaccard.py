@@ -222,14 +222,96 @@ def _similar_sizes(a: str, b: str):
     return (F.col(a) * WHOLE >= F.col(b) * PART) & (F.col(b) * WHOLE >= F.col(a) * PART)
 
 
+def distinct_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(nodes, extra)``: ``id, text`` rows in which an id has one text only, and the rows that were renamed for it.
+
+    Of an id with several texts, that with the smallest digest keeps the id. The others, and
+    all texts of rows without an id, get numbers above all ids: ``extra`` has ``id, digest,
+    node`` for every distinct text of these ids, None if there are none. Rows that repeat an
+    id with an equal text stay as they are.
+    """
+    spread = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = written(spread.where("id IS NULL OR low <> high").select("id"), "several")
+    if several.isEmpty():
+        return rows, None
+    again = several.select(F.col("id").alias("again"))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    digest = F.sha2("text", 256).alias("digest")
+    texts = rows.join(again, same).select("id", "text", digest).dropDuplicates(["id", "digest"])
+    top = rows.select(F.greatest(F.lit(0).cast("bigint"), F.max("id"))).first()[0] or 0
+    if top >= 1 << 62:
+        raise ValueError("ids above 2^62 leave no numbers for their further texts")
+    least = texts.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("least"))
+    number = F.lit(top + 1) + F.monotonically_increasing_id()
+    # A written table, so that numbers do not change when it is read again.
+    node = F.when(F.col("digest") == F.col("least"), F.col("id")).otherwise(number)
+    extra = written(texts.join(least, "id", "left").withColumn("node", node).drop("least"), "extra")
+    nodes = rows.join(again, same, "left_anti").unionByName(extra.select(F.col("node").alias("id"), "text"))
+    return nodes, extra.select("id", "digest", "node")
+
+
 def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` for every row of ``docs``.
 
     Keys are integers. Null, empty and blank texts have no shingles and link with nothing.
-    Rows without a key come back with a null component. Rows that repeat a key are one
-    document, linked to equal sets by all its texts and to similar ones by the smallest.
+    Rows without a key link with nothing and come back with a null component. Rows that
+    repeat a key are one document, linked by all its texts; each has its own ``n_shingles``.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    nodes, extra = distinct_documents(rows.where("id IS NOT NULL"))
+    if extra is None:
+        return _named(_components_of(rows), key)
+    part = written(_components_of(nodes, extra.where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))), "nodes")
+    # The least number of a component is an id: texts with other numbers are linked to theirs.
+    renamed = extra.withColumnRenamed("id", "key").join(part.dropDuplicates(["id"]), F.col("node") == F.col("id")).select("key", "digest", "n", "component")
+    again = extra.select("id").distinct()
+    digests = rows.join(again, "id").select("id", F.sha2("text", 256).alias("digest"))
+    of_extra = digests.join(renamed, (F.col("id") == F.col("key")) & (digests["digest"] == renamed["digest"])).select("id", "n", "component")
+    others = part.join(extra.select(F.col("node").alias("id")), "id", "left_anti").select("id", "n", "component")
+    keyless = _components_of(rows.where("id IS NULL")) if not rows.where("id IS NULL").isEmpty() else others.limit(0)
+    return _named(others.unionByName(of_extra).unionByName(keyless), key)
+
+
+def _named(found: DataFrame, key: str) -> DataFrame:
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicate texts.
+
+    Every distinct text of a key, and of rows without a key, is judged by itself, so a key
+    with one copied text keeps its others. Of a group, a text under its own key with the
+    smallest number stays. Of rows that repeat key and text, the least by their other
+    columns stays; texts without shingles are no copies of each other.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    nodes, extra = distinct_documents(rows)
+    part = written(_components_of(nodes), "nodes")
+    gone = part.where("id <> component").select("id").distinct()
+    if extra is not None:
+        moved = extra.select(F.col("id").alias("key"), "digest", "node")
+        bad = gone.join(moved, F.col("id") == F.col("node")).select("key", "digest")
+        renamed = extra.select(F.col("id").alias("key")).distinct()
+        given = F.col(key).cast("bigint")
+        digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        some = docs.join(renamed, given.eqNullSafe(F.col("key")), "left_semi").join(bad, given.eqNullSafe(F.col("key")) & (digest == F.col("digest")), "left_anti")
+        docs = docs.join(renamed, given.eqNullSafe(F.col("key")), "left_anti")
+        gone = gone.join(extra.select(F.col("node").alias("id")), "id", "left_anti")
+    kept = docs.join(gone.withColumnRenamed("id", "gone"), F.col(key).cast("bigint") == F.col("gone"), "left_anti")
+    return _least(kept if extra is None else kept.unionByName(some), [key, text])
+
+
+def _least(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row of each value of ``by``, the least by the other columns."""
+    rest = [c for c in df.columns if c not in by]
+    if not rest:
+        return df
+    one = df.groupBy(*by).agg(F.min(F.struct(*[F.col(c) for c in rest])).alias("row"))
+    return one.select(*[F.col(c) if c in by else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def _components_of(rows: DataFrame, ties: DataFrame | None = None) -> DataFrame:
+    """``id, n, component`` for every row; an id has one text. ``ties`` are further links ``a, b``."""
     sets = written(_prefixes(rows, frequent_shingles(rows)).withColumn("like", F.xxhash64("n", "prefix")), "prefixes")
     usable = sets.where("id IS NOT NULL AND n > 0")
     # Equal sets are one, with the smallest id; of these, those of one size and prefix one group.
@@ -290,10 +372,10 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
     # Documents with equal sets are linked too.
     reps = same.select("n", "set", F.col("id").alias("rep"))
-    ties = usable.select("id", "n", "set").join(reps, ["n", "set"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    part = components(links.unionAll(ties))
+    equal = usable.select("id", "n", "set").join(reps, ["n", "set"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    part = components(links.unionAll(equal) if ties is None else links.unionAll(equal).unionAll(ties))
     out = sets.select("id", "n").join(part.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def _overlap():

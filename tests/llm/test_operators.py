@@ -175,6 +175,53 @@ def test_jaccard_components(spark):
     assert got == [(5, 5), (5, 5), (7, 5), (None, None)]
 
 
+def many_texts_of_an_id():
+    """``(id, text)`` rows: ids with several texts, copies and near copies among them, and rows without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near_b = b + " tail"
+    return [(5, a), (5, b), (9, b), (12, near_b), (5, None), (7, None), (7, c), (7, c), (20, near_b), (20, "own words of this one"), (None, b), (None, c + " x"), (None, ""), (30, "short"), (31, "short"), (3, a + " end"), (2, "alone here")]
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    rows = many_texts_of_an_id()
+    sets = [shingles_of(t) for _, t in rows]
+    part = {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows):
+            if i is not None and j is not None and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                low, high = sorted((find(i), find(j)))
+                part[high] = low
+    want = sorted(((i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets, strict=True)), key=str)
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id bigint, text string, node int, digest string, id string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicate_components(docs).collect()), key=str)
+    assert got == want
+    assert {c for i, _, c in got if i == 12} == {3}  # through 5, whose other text is near that of 3
+
+
+def shingles_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_one_text_of_each_group_stays(spark):
+    rows = many_texts_of_an_id()
+    docs = spark.createDataFrame([(*r, "en", f"s{k}", 1) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = jaccard.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, (r.text or "")[:3]) for r in got.collect()), key=str)
+    # b stays once under its least id, a and its longer form once, c once; what is nobody's copy stays.
+    assert left == sorted([(3, "a0 "), (2, "alo"), (5, ""), (7, ""), (7, "c0 "), (20, "own"), (None, ""), (30, "sho"), *[x for x in left if x[1] == "b0 "]], key=str)
+    assert [x for x in left if x[1] == "b0 "] in ([(5, "b0 ")], [(9, "b0 ")])
+    again = jaccard.keep_one_of_each(docs.unionByName(docs).unionByName(docs.withColumn("n_chars", F.lit(9).cast("bigint"))))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+
+
 def brute_repeats(texts):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     first = {}
