@@ -25,17 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id.
-
-    Rows without an id stay. Of rows that repeat an id, the smallest text stays.
-    """
-    parts = written(jaccard.near_duplicate_components(docs), "components")
-    copies = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in rest if c != "text"]]])).alias("row"))
-    whole = one.select(*["doc_id" if c == "doc_id" else F.col(f"row.{c}") for c in docs.columns])
-    return whole.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near-duplicate texts; every text of an id is judged by itself."""
+    return jaccard.keep_one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
