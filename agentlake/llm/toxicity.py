@@ -13,15 +13,23 @@ its highest window and one drawn at random. Embeddings start from smoothed log o
 
 from __future__ import annotations
 
+import warnings
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import ranges, slices
+from agentlake.llm.common import ranges, slices, written
+from agentlake.llm.words import Words
 
-WINDOW, STRIDE = 32, 26
+#: Words of a window, and between the starts of two: each word but the outer ones is in two windows.
+WINDOW, STRIDE = 32, 16
+#: Words that training reads of a text, and bytes of such a word. Scores and the threshold read whole texts.
+EXCERPT, LETTERS = 1024, 256
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 DIM, HIDDEN = 4, 8
 GRAMS = (3, 4, 5)
@@ -79,14 +87,18 @@ class WordIndex:
         self.written: dict[bytes, int] = {}
         self.words: dict[bytes, int] = {}
 
-    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row of every word of ``texts``, one text after another, and the texts' numbers of words."""
-        rows = [t.encode().split() for t in texts]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = [w for row in rows for w in row]
-        for w in set(flat).difference(self.written):
-            self.written[w] = self.words.setdefault(bare(w), len(self.words))
-        return np.fromiter(map(self.written.__getitem__, flat), np.int64, len(flat)), counts
+        words = Words(texts)
+        _, first, number = np.unique(words.hashes, return_index=True, return_inverse=True)
+        data, rows = words.data, np.zeros(len(first), np.int64)
+        for k, i in enumerate(first):
+            w = data[words.starts[i] : words.ends[i]].tobytes()
+            row = self.written.get(w)
+            if row is None:
+                row = self.written[w] = self.words.setdefault(bare(w), len(self.words))
+            rows[k] = row
+        return rows[number], words.counts
 
 
 def window_starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
@@ -214,12 +226,12 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500, seed: int = 7) -> Network:
     """A network fitted to whole-document labels. With one class only it scores below one half everywhere.
 
-    Embeddings start from all texts, the passes take up to ``most`` of each class, and the
-    bias is set last, so that one half lies midway between the classes over all texts.
+    Embeddings start from all texts, the passes take up to ``most`` of each class. The bias is
+    set last (``centred``), over these texts here and over whole texts in ``fit``.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
     index = WordIndex()
-    flat, counts = index.add(texts)
+    flat, counts = index.add(pa.array(texts, pa.string()))
     y = np.array(labels, np.float32)
     if not len(flat) or y.min() == y.max():
         return net
@@ -238,7 +250,8 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
     state, step = {}, 0
     for turn in range(passes):
         x, buckets, grams, starts = net.vectors(distinct, trace=True)
-        logits = net.score_windows(x, at, live)
+        # Before anything is learnt, the word with the highest log odds tells which window matters.
+        logits = np.where(live > 0, (x[:, 0] + x[:, DIM])[at], -np.inf).max(1) if turn == 0 else net.score_windows(x, at, live)
         chosen = [g[logits[g].argmax()] for g in groups]
         extra = [rng.choice(g) for g, d in zip(groups, owner, strict=True) if y[d] == 0]
         picked = np.array(chosen + extra)
@@ -251,8 +264,9 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
         picked = np.concatenate([picked, len(at) + np.arange(len(echo))])
         rng.shuffle(picked)
         rate = 0.02 if turn < passes * 2 // 3 else 0.005
-        for i in range(0, len(picked), 256):
-            rows = picked[i : i + 256]
+        size = min(256, max(16, len(picked) // 16))  # few documents still give steps enough
+        for i in range(0, len(picked), size):
+            rows = picked[i : i + size]
             used, place = np.unique(at_all[rows], return_inverse=True)
             place, here = place.reshape(len(rows), WINDOW), live_all[rows]
             own = np.concatenate([net.word[buckets[used]], x[used][:, DIM:]], 1)
@@ -274,7 +288,12 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
     at, live, doc = everything
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, doc, net.score_windows(net.vectors(distinct), at, live))
-    clean, toxic = top[(y == 0) & (counts > 0)], top[(y > 0) & (counts > 0)]
+    return centred(net, top[counts > 0], y[counts > 0])
+
+
+def centred(net: Network, logits: np.ndarray, y: np.ndarray) -> Network:
+    """Sets the bias so that one half lies midway between the highest clean and the lowest toxic documents, but for few."""
+    clean, toxic = logits[y == 0], logits[y > 0]
     if len(clean) and len(toxic):
         net.small["c"] -= np.float32((np.quantile(clean, 0.998) + np.quantile(toxic, 0.01)) / 2)
     return net
@@ -324,45 +343,70 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 3000, longest: int = 3000) -> Network:
+def excerpt(text: str) -> str:
+    """The text itself up to ``EXCERPT`` words, else as many of its windows, chosen by hash, in their order."""
+    words = [w for w in text.encode().split() if len(w) <= LETTERS]
+    if len(words) > EXCERPT:
+        starts = range(0, len(words), WINDOW)
+        chosen = sorted(starts, key=lambda i: (zlib.crc32(b" ".join(words[i : i + WINDOW])), i))[: EXCERPT // WINDOW]
+        words = [w for i in sorted(chosen) for w in words[i : i + WINDOW]]
+    return b" ".join(words).decode()
+
+
+@F.pandas_udf(T.StringType())
+def excerpts(texts: pd.Series) -> pd.Series:
+    return texts.map(excerpt).astype(object)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 3000) -> Network:
     """A network learnt on a bounded sample of labelled rows that are not held out.
 
-    ``sample`` rows of each class at most, those with the smallest hashes of their keys among
-    texts of up to ``longest`` characters. Rows with a null key, label or text are not used;
-    a key labelled both ways counts as toxic.
+    ``sample`` rows of each class at most, those with the smallest hashes of their keys, with
+    texts of any length: keys are chosen first, and only the chosen rows' texts are fetched.
+    The driver trains on excerpts of at most ``EXCERPT`` words. The threshold is set on the
+    scores of the same rows' whole texts, which Spark computes. Rows with a null key, label
+    or text are not used; a key labelled both ways counts as toxic, and of rows that repeat
+    a key the one with the smallest text is used. Without usable texts of both classes
+    nothing can be learnt: a warning is given, and every text scores below one half.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     once = usable.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
+    given = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    there = once.join(given.select("key").distinct(), "key")
     order = F.xxhash64("key")
-    # Four candidates a place, for those whose texts turn out too long: a bounded broadcast.
-    few = once.where("y = 1").orderBy(order, "key").limit(4 * sample).unionAll(once.where("y = 0").orderBy(order, "key").limit(4 * sample))
-    short = docs.where(F.col(text).isNotNull() & (F.length(text) <= longest)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = short.join(F.broadcast(few), "key")
-    pick = [rows.where(F.col("y") == y).orderBy(order, "key", "text").limit(sample) for y in (1, 0)]
-    got = pick[0].unionAll(pick[1]).collect()
-    return train([r.text for r in got], [r.y for r in got])
-
-
-def score(docs: DataFrame, network: Network, text: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with ``column``, the toxicity of the whole text (0 to 1).
-
-    Null, empty and blank texts have no windows and score 0. An existing column of that name
-    is replaced.
+    few = written(there.where("y = 1").orderBy(order, "key").limit(sample).unionAll(there.where("y = 0").orderBy(order, "key").limit(sample)), "sample")
+    # At most two samples of keys, whatever the tables' sizes.
+    rows = written(given.join(F.broadcast(few), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample-texts")
+    got = rows.select("key", "y", excerpts("text").alias("text")).orderBy(order, "key").collect()
+    if len({r.y for r in got}) < 2:
+        warnings.warn("no labelled texts of both classes: toxicity cannot be learnt", stacklevel=2)
+    net = train([r.text for r in got], [r.y for r in got])
+    scored = score(rows.where("length(trim(text)) > 0"), net, column="logit", logits=True).select("y", "logit").where("logit IS NOT NULL").collect()
+    return centred(net, np.array([r.logit for r in scored]), np.array([r.y for r in scored]))
+
+
+def score(docs: DataFrame, network: Network, text: str = "text", column: str = "score", logits: bool = False) -> DataFrame:
+    """``docs`` with ``column``, the toxicity of the whole text (0 to 1; with ``logits`` before the sigmoid).
+
+    Null, empty and blank texts have no windows and score 0 (no logit). An existing column of
+    that name is replaced; other columns are kept, whatever their names.
     """
-    docs = docs.drop(column)
+    if text != column:
+        docs = docs.drop(column)
+    given = docs.select(F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     net = docs.sparkSession.sparkContext.broadcast(network)  # fixed size: two hashed tables
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         model = net.value
         index, x = WordIndex(), np.zeros((0, 2 * DIM), np.float32)
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "text"):
             if len(index.written) > TABLE_WORDS:
                 index, x = WordIndex(), x[:0]
-            flat, counts = index.add(part.column("__text").to_pylist())
+            flat, counts = index.add(part.column("text"))
             if len(index.words) > len(x):
                 x = np.concatenate([x, model.vectors(list(index.words)[len(x) :])])
-            scores = np.zeros(len(counts))
+            scores = np.full(len(counts), -np.inf)
             # Word vectors of this slice only, so that projections stay small.
             place = np.zeros(len(x), np.int64)
             place[flat] = 1
@@ -371,10 +415,9 @@ def score(docs: DataFrame, network: Network, text: str = "text", column: str = "
             flat = place[flat]
             at, live, doc = windows_of(counts)
             if len(at):
-                logits = model.score_windows(x[used], flat[at], live)
-                # A score leaves the exponential in double precision.
-                np.maximum.at(scores, doc, _sigmoid(np.clip(logits, -60, 60).astype(np.float64)))
-            yield part.drop_columns(["__text"]).append_column(column, pa.array(scores, pa.float64()))
+                np.maximum.at(scores, doc, model.score_windows(x[used], flat[at], live).astype(np.float64))
+            out = pa.array(scores, pa.float64(), mask=counts == 0) if logits else pa.array(np.where(counts > 0, _sigmoid(np.clip(scores, -60, 60)), 0.0))
+            yield pa.RecordBatch.from_arrays([part.column("row"), out], ["row", "score"])
 
-    kept = docs.withColumn("__text", F.col(text))
-    return kept.mapInArrow(run, schema)
+    out = given.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != column], F.col("score").alias(column))

@@ -329,10 +329,68 @@ def test_toxicity_held_out(spark):
     held = [r for r in rows if r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
     # One class only, or no labels: defined, and nobody is rejected.
-    none = toxicity.fit(docs, marks.where("toxic = 0"))
+    with pytest.warns(UserWarning, match="cannot be learnt"):
+        none = toxicity.fit(docs, marks.where("toxic = 0"))
     assert toxicity.score(docs, none).where("score >= 0.5").count() == 0
 
 
+def test_toxicity_learns_from_long_texts_only(spark):
+    rng = random.Random(5)
+    plain = [a + b for a in ("ba", "do", "ki", "mu", "ra") for b in ("len", "tor", "sin", "pal")]
+    texts = []
+    for i in range(150):
+        words = [rng.choice(plain) for _ in range(1500)]
+        if i % 4 == 0:
+            for at in rng.sample(range(1500), 12):
+                words[at] = "zorgle"
+        texts.append(" ".join(words))
+    docs = docs_of(spark, texts).withColumn("row", F.lit(1)).withColumn("__text", F.lit("t"))
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)], "doc_id bigint, toxic int")
+    net = toxicity.fit(docs, marks)
+    rows = toxicity.score(docs, net).collect()
+    assert all((r.row, r["__text"]) == (1, "t") for r in rows)
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in rows) >= 147
+    long = " ".join(f"w{i}" for i in range(5000))
+    cut = toxicity.excerpt(long + " " + "y" * 300).split()
+    assert len(cut) <= toxicity.EXCERPT and sorted(cut, key=lambda w: int(w[1:])) == cut and toxicity.excerpt(texts[0]) != texts[0]
+    assert toxicity.excerpt("a b\tc") == "a b c"
+
+
+def test_scores_are_those_of_a_plain_network_over_windows(spark):
+    net, rng = toxicity.Network(11), random.Random(2)
+    net.small["o"] *= 8
+    texts = [" ".join(rng.choice(["Aa", "bb.", "cé", "dd,", "(ee)", "ff"]) + str(rng.randint(0, 9)) for _ in range(n)) for n in (1, 5, 31, 32, 33, 47, 48, 49, 64, 200, 700)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, [*texts, None, " "]), net).collect()}
+    s, h = net.small, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def logit(words):
+        x = net.vectors([toxicity.bare(w.encode()) for w in words])
+        ways = []
+        for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            state, out = np.zeros(h), {}
+            for t in order:
+                p, q = x[t] @ s[f"W{way}"] + s[f"b{way}"], state @ s[f"U{way}"]
+                z, r = sig(p[:h] + q[:h]), sig(p[h : 2 * h] + q[h : 2 * h])
+                state = state + (1 - z) * (np.tanh(p[2 * h :] + r * q[2 * h :]) - state)
+                out[t] = state
+            ways.append(np.array([out[t] for t in range(len(x))]))
+        both = np.concatenate(ways, 1)
+        weight = np.exp(np.tanh(both @ s["A"]) @ s["v"])
+        return (weight / weight.sum()) @ both @ s["o"] + s["c"][0]
+
+    for i, text in enumerate(texts):
+        words = text.split()
+        starts = [a for a in range(0, len(words), toxicity.STRIDE) if a == 0 or a - toxicity.STRIDE + toxicity.WINDOW < len(words)]
+        want = max(sig(logit(words[a : a + toxicity.WINDOW])) for a in starts)
+        assert abs(got[i] - want) < 1e-4, i
+    assert got[len(texts)] == got[len(texts) + 1] == 0
+    # Whatever its place, a run of half a window lies whole in some window.
+    for n in range(1, 300):
+        starts = toxicity.window_starts(n)
+        assert all(any(a <= i and min(i + 16, n) <= a + toxicity.WINDOW for a in starts) for i in range(n))
+
+
 def test_gradients():
     net = toxicity.Network(3)
     rng = np.random.default_rng(0)
