@@ -178,14 +178,31 @@ def check_score(runs: DataFrame, checked: DataFrame) -> DataFrame:
     )
 
 
-def file_map(files: DataFrame, digits: int = 2) -> DataFrame:
-    """``(run_id, part, files MAP<path, content>)``, every run in parts by its paths' digests.
+#: Bytes of content that a row of a file map may hold, and the hexadecimal digits of the finest parts.
+PART_BYTES, PART_DIGITS = 64 << 20, 6
 
-    ``part`` is the first ``digits`` hexadecimal digits of a path's MD5, so the same rule
-    holds for runs of any size and none is counted first; the union of a run's parts is
-    its whole workspace.
+
+def file_map(files: DataFrame, most: int = PART_BYTES) -> DataFrame:
+    """``(run_id, part, files MAP<path, content>)``, every run in parts of at most ``most`` bytes of content.
+
+    A run's parts are named by the first digits of its paths' MD5; it takes as few digits, 0
+    to ``PART_DIGITS``, as bring every part below ``most``. So a small run is one row with the
+    empty name, and a large one is cut as far as it needs; the union of the parts is the
+    whole workspace. Only a file that is larger by itself makes a larger row.
     """
-    part = F.substring(F.md5("path"), 1, digits)
-    return files.groupBy("run_id", part.alias("part")).agg(
-        F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files")
+    sized = files.select("run_id", F.md5("path").alias("digest"), F.octet_length("content").cast("bigint").alias("bytes"))
+    level = sized.groupBy("run_id", F.substring("digest", 1, PART_DIGITS).alias("p")).agg(
+        F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")
     )
+    fits = None
+    for digits in range(PART_DIGITS, -1, -1):
+        if digits < PART_DIGITS:
+            level = level.groupBy("run_id", F.substring("p", 1, digits).alias("p")).agg(F.sum("bytes").alias("bytes"), F.max("largest").alias("largest"))
+        # A part that is one file too large for any part does not ask for more digits.
+        crowded = F.max((F.col("bytes") > most) & (F.col("bytes") - F.col("largest") > 0))
+        one = level.groupBy("run_id").agg(crowded.alias("crowded")).select("run_id", F.when(~F.coalesce("crowded", F.lit(False)), digits).alias("digits"))
+        fits = one if fits is None else fits.unionByName(one)
+    # One row per run.
+    chosen = fits.groupBy("run_id").agg(F.coalesce(F.min("digits"), F.lit(PART_DIGITS)).alias("_digits"))
+    cut = files.join(chosen, "run_id").withColumn("part", F.expr("substring(md5(path), 1, _digits)"))
+    return cut.groupBy("run_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("path", "content"))).alias("files"))

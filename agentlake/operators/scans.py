@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentlake.functions.binding import let
+
 BLOCK = 1 << 20
 
 
@@ -149,3 +151,42 @@ def dense_index(
     """0-based position of each row by a unique non-negative integer column."""
     counted = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running(counted, keys, order, "_one", out, False, levels, block).drop("_one")
+
+
+def _bound_index(key: Column, bounds: Column, bits: int) -> Column:
+    """How many of at most ``2^bits - 1`` ascending ``bounds`` are not above ``key``, by binary search."""
+
+    def search(keyed):
+        def step(low, width):
+            if width == 0:
+                return low
+            at = low + F.lit(width)
+            return let(F.when(F.get(keyed["b"], at - 1) <= keyed["k"], at).otherwise(low), lambda now: step(now, width // 2))
+
+        return step(F.lit(0), 1 << (bits - 1))
+
+    return let(F.struct(key.alias("k"), bounds.alias("b")), search)
+
+
+def dense_order(df: DataFrame, order: str, out: str = "ord", keys: Sequence[str] = (), bits: int = 8, sample: int = 32) -> DataFrame:
+    """0-based position of each row in the order of a string column, per ``keys``, without one task for all.
+
+    ``2^bits - 1`` bounds are read off a sample of the rows with the smallest hashes; they
+    cut the table into ranges. Each range is numbered on its own, after as many positions as
+    the ranges before it hold. Rows with equal strings fall into one range. ``order`` is not
+    NULL; equal values within a key are numbered in no certain order.
+    """
+    parts = 1 << bits
+    picked = df.select(F.col(order).alias("_o")).distinct().orderBy(F.xxhash64("_o"), "_o").limit(parts * sample)
+    # Bounded by ``parts * sample`` values.
+    ranked = picked.agg(F.array_sort(F.collect_list("_o")).alias("all")).select(
+        F.expr(f"transform(sequence(1, {parts - 1}), i -> get(all, CAST(i * size(all) div {parts} AS INT)))").alias("bounds")
+    )
+    cut = df.withColumn("_bounds", ranked.scalar()).withColumn("_part", _bound_index(F.col(order), F.col("_bounds"), bits)).drop("_bounds")
+    by = [*keys, "_part"]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per key and range.
+    counts = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = _join_blocks(cut, counts.select(*by, "_before"), list(keys), "_part", "_before")
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    return placed.withColumn(out, (F.col("_before") + inside).cast("bigint")).drop("_part", "_before")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 # Bytes set aside per item and once per node.
 ITEM_OVERHEAD = 1.5 * 1024**3
 NODE_OVERHEAD = 2.5 * 1024**3
-RANGE_BLOCK = 1 << 16
+#: Bits of a level of aligned intervals, and of the widest interval: 16^4 = 65536 positions.
+RADIX_BITS, TOP_BITS = 4, 16
 
 
 def equal_bucket(idx: Column, total: Column, buckets: int) -> Column:
@@ -93,17 +94,41 @@ def reverse_offsets(counts: DataFrame) -> DataFrame:
     return counts.withColumn("start_idx", start).withColumn("end_idx", (F.col("start_idx") + F.col("items")).cast("bigint"))
 
 
-def assign_ranges(items: DataFrame, bounds: DataFrame, block: int = RANGE_BLOCK) -> DataFrame:
-    """Items with the rank whose range holds their ``idx``.
+def aligned_intervals(bounds: DataFrame, top: int = TOP_BITS, bits: int = RADIX_BITS) -> DataFrame:
+    """Ranges ``[start_idx, end_idx)`` cut into aligned intervals: ``(cluster_id, rank, shift, slot)``.
 
-    Ranges are listed per block of ``block`` positions they touch, so this is an
-    equality join on (cluster, block): an item meets only the ranges of its own block
-    and no key has more than ``block`` items of a cluster.
+    An interval holds the positions whose bits above ``shift`` are ``slot``. Below the widest
+    level a range takes at most ``2 * (2^bits - 1)`` intervals a level, whatever its length;
+    on the widest level one per ``2^top`` positions. The intervals of a range do not overlap.
     """
-    touched = F.sequence(F.floor(F.col("start_idx") / block), F.floor((F.col("end_idx") - 1) / block))
-    pieces = bounds.where("end_idx > start_idx").select(
-        "cluster_id", "rank", "start_idx", "end_idx", F.explode(touched).alias("_blk")
+    shifts = F.sequence(F.lit(0), F.lit(top), F.lit(bits))
+    level = bounds.where("end_idx > start_idx").select(
+        "cluster_id", "rank", F.col("start_idx").cast("bigint").alias("s"), F.col("end_idx").cast("bigint").alias("e"), F.explode(shifts).alias("shift")
     )
-    blocked = items.withColumn("_blk", F.floor(F.col("idx") / block))
-    inside = (F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx"))
-    return blocked.join(pieces, ["cluster_id", "_blk"]).where(inside).select(*items.columns, "rank")
+    # Whole intervals of a level inside the range, less those that fill one of the next level.
+    fan = 1 << bits
+    level = level.selectExpr(
+        "cluster_id", "rank", "shift", "shiftright(s + shiftleft(1L, shift) - 1, shift) AS a", "shiftright(e, shift) AS b"
+    ).where("a < b").selectExpr(
+        "*", f"IF(shift = {top}, b, shiftright(a + {fan - 1}L, {bits}) * {fan}L) AS c", f"IF(shift = {top}, b, shiftright(b, {bits}) * {fan}L) AS d"
+    )
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    slots = f"IF(c >= d, sequence(a, b - 1), concat(IF(a < c, sequence(a, c - 1), {none}), IF(d < b, sequence(d, b - 1), {none})))"
+    return level.selectExpr("cluster_id", "rank", "shift", f"explode({slots}) AS slot")
+
+
+def assign_ranges(items: DataFrame, bounds: DataFrame, top: int = TOP_BITS, bits: int = RADIX_BITS) -> DataFrame:
+    """Items with the rank whose range holds their ``idx``; with several such ranges, once for each.
+
+    Ranges become aligned intervals, and an item looks up the one interval of each level
+    that holds it, so it meets its own ranges and no others: an equality join on (cluster,
+    level, interval). Only levels that occur are looked up, and no key has more than
+    ``2^top`` items of a cluster.
+    """
+    pieces = aligned_intervals(bounds, top, bits)
+    # A short list for any input: (top / bits) + 1 levels at most.
+    used = pieces.agg(F.array_sort(F.collect_set("shift")).alias("shifts")).scalar()
+    looked_up = items.withColumn("_shift", F.explode(used)).withColumn("_slot", F.expr("shiftright(CAST(idx AS BIGINT), _shift)"))
+    named = pieces.select(F.col("cluster_id").alias("_cluster"), "rank", F.col("shift").alias("_level"), F.col("slot").alias("_at"))
+    on = (F.col("cluster_id") == F.col("_cluster")) & (F.col("_shift") == F.col("_level")) & (F.col("_slot") == F.col("_at"))
+    return looked_up.join(named, on).select(*items.columns, "rank")

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agentlake.functions.numbers import padding, rate_gbps
 from agentlake.operators import scans
@@ -23,8 +24,17 @@ def traversal_order(manifest: DataFrame) -> DataFrame:
     Compares paths part by part, so ``a/b`` comes before ``a.b``. A range-partitioned
     sort; ``sort_key`` orders the same way as plain text.
     """
-    parts = F.split("path", "/")
-    return manifest.withColumn("sort_key", F.array_join(parts, "\x01")).orderBy("transfer_id", "sort_key")
+    return manifest.withColumn("sort_key", sort_key(F.col("path"))).orderBy("transfer_id", "sort_key")
+
+
+def sort_key(path: Column) -> Column:
+    """Text that orders paths part by part."""
+    return F.array_join(F.split(path, "/"), "\x01")
+
+
+def manifest_order(manifest: DataFrame, keys: Sequence[str] = ("transfer_id",)) -> DataFrame:
+    """A manifest with ``ord``, each file's 0-based position in its transfer's depth-first order."""
+    return scans.dense_order(manifest.withColumn("_key", sort_key(F.col("path"))), "_key", "ord", keys).drop("_key")
 
 
 def chunk_plan(manifest: DataFrame, chunk: int = CHUNK_SIZE) -> DataFrame:
@@ -108,13 +118,31 @@ def check_requests(requests: DataFrame, hosts: DataFrame) -> DataFrame:
     """Requests with ``error``: the first rule broken, NULL for a sound request."""
     joined = attach_host(requests, hosts)
     error = (
-        F.when(F.col("source_rank").isNull(), F.concat(F.lit("Unknown local host '"), F.col("source"), F.lit("'")))
-        .when(F.col("dest_rank").isNull(), F.concat(F.lit("Unknown dest node '"), F.col("dest"), F.lit("'")))
+        F.when(F.col("source_rank").isNull(), F.concat(F.lit("Unknown local host '"), F.coalesce("source", F.lit("")), F.lit("'")))
+        .when(F.col("dest_rank").isNull(), F.concat(F.lit("Unknown dest node '"), F.coalesce("dest", F.lit("")), F.lit("'")))
         .when(F.col("source_rank") == F.col("dest_rank"), F.lit("Source and destination are the same node"))
     )
     return joined.withColumn("error", error)
 
 
+def write_requests(checked: DataFrame, path: str) -> None:
+    """Sound requests and rejected ones into a table each below ``path``, in one pass.
+
+    ``checked`` is ``check_requests``; the rejected table has the first rule broken as ``error``.
+    """
+    checked.withColumn("verdict", F.when(F.col("error").isNull(), "accepted").otherwise("rejected")).write.partitionBy("verdict").parquet(path)
+
+
+def read_requests(spark: SparkSession, path: str, schema: T.StructType, verdict: str) -> DataFrame:
+    """The ``accepted`` or the ``rejected`` requests, of which there may be none.
+
+    ``schema`` is that of the checked requests; accepted ones come without ``error``.
+    """
+    both = spark.read.schema(T.StructType([*schema.fields, T.StructField("verdict", T.StringType())])).parquet(path)
+    found = both.where(F.col("verdict") == verdict).drop("verdict")
+    return found.drop("error") if verdict == "accepted" else found
+
+
 def capacity_check(requests: DataFrame, volumes: DataFrame) -> DataFrame:
     """Requests with ``fits``: false only if more is needed than known to be free."""
     joined = requests.join(volumes, "node", "left")

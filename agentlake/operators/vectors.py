@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from agentlake.functions import vectors as V
 
@@ -126,3 +130,61 @@ def best_trial(scored: DataFrame) -> DataFrame:
     """The lowest-scoring trial of each study, ties to the lowest trial number."""
     best = F.min(F.struct("score", "trial", *[c for c in scored.columns if c not in ("study", "score", "trial")]))
     return scored.groupBy("study").agg(best.alias("_best")).select("study", "_best.*")
+
+
+def _front(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points that no other point equals or beats in both, by ascending ``a``."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    best = np.minimum.accumulate(b) if len(b) else b
+    keep = np.r_[True, b[1:] < best[:-1]] if len(b) else np.zeros(0, bool)
+    return a[keep], b[keep]
+
+
+def dominated_area(trials: DataFrame, a: str, b: str, reference: tuple[float, float], key: str = "study") -> DataFrame:
+    """``(key, trials, front, area)``: how far the trials of a study push two metrics down.
+
+    ``front`` counts the trials' distinct best trade-offs, ``area`` is what they dominate up
+    to ``reference``. Lower is better; trials with a NULL or NaN metric, or one not below the
+    reference, only count as trials.
+
+    Each Arrow batch is first reduced to its own fronts, so fronts are all that is shuffled; a
+    study's fronts are then merged batch by batch, never held as a whole group.
+    """
+    ra, rb = reference
+    given = trials.select(F.col(key).alias("key"), F.lit(1).cast("bigint").alias("n"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    schema = to_arrow_schema(given.schema)
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Groups by number, so that keys of any type keep it.
+            codes = pc.dictionary_encode(batch.column("key"), null_encoding="encode")
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            good = (x < ra) & (y < rb)
+            group, n, fa, fb = [], [], [], []
+            for g in range(len(codes.dictionary)):
+                own = code == g
+                front = _front(x[own & good], y[own & good])
+                # A first row with the count, which holds no point.
+                group.append(np.full(len(front[0]) + 1, g))
+                n.append(np.r_[int(own.sum()), np.zeros(len(front[0]), np.int64)])
+                fa.append(np.r_[np.inf, front[0]])
+                fb.append(np.r_[np.inf, front[1]])
+            if group:
+                cells = [codes.dictionary.take(pa.array(np.concatenate(group))), *(pa.array(np.concatenate(c)) for c in (n, fa, fb))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, y, name = 0, np.zeros(0), np.zeros(0), None
+        for batch in batches:
+            name = batch.column("key").slice(0, 1)
+            n += pc.sum(batch.column("n")).as_py()
+            more = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
+            x, y = _front(*(np.r_[old, new[more[0] < ra]] for old, new in zip((x, y), more, strict=True)))
+        right = np.r_[x[1:], ra] if len(x) else x
+        cells = [name, pa.array([n]), pa.array([len(x)]), pa.array([float(((right - x) * (rb - y)).sum())])]
+        yield pa.RecordBatch.from_arrays(cells, [key, "trials", "front", "area"])
+
+    kind = trials.schema[key].dataType.simpleString()
+    return given.mapInArrow(fronts, given.schema).groupBy("key").applyInArrow(merged, f"{key} {kind}, trials bigint, front bigint, area double")

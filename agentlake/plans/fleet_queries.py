@@ -23,6 +23,7 @@ from agentlake.plans.tables import (
     table,
 )
 from agentlake.plans.tables import tensors as tensor_table
+from agentlake.session import shared_dir
 
 
 @query(f"WITH {MANIFEST_SQL} SELECT transfer_id, path, size, replace(path, '/', chr(1)) AS sort_key FROM manifest")
@@ -96,6 +97,18 @@ def check_requests(spark, sf_dir):
     return transfers.check_requests(requests(spark, sf_dir), hosts(spark, sf_dir)).select("request_id", "error")
 
 
+@query(f"""WITH {REQUESTS_SQL} SELECT request_id, s.rank AS source_rank, d.rank AS dest_rank, CASE WHEN s.rank IS NULL THEN concat('Unknown local host ''', source, '''')
+  WHEN d.rank IS NULL THEN concat('Unknown dest node ''', dest, '''') WHEN s.rank = d.rank THEN 'Source and destination are the same node' END AS error
+FROM requests LEFT JOIN hosts s ON s.host = source LEFT JOIN hosts d ON d.host = dest""")
+def quarantine_requests(spark, sf_dir):
+    """Sound and rejected requests, written to a table each in one pass and read back from both."""
+    path = shared_dir(spark, "requests")
+    checked = transfers.check_requests(requests(spark, sf_dir), hosts(spark, sf_dir)).select("request_id", "source_rank", "dest_rank", "error")
+    transfers.write_requests(checked, path)
+    accepted, rejected = (transfers.read_requests(spark, path, checked.schema, verdict) for verdict in ("accepted", "rejected"))
+    return accepted.withColumn("error", F.lit(None).cast("string")).unionByName(rejected)
+
+
 @query("""WITH volumes AS (SELECT s_suppkey AS node, CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal * 10) AS BIGINT) END AS available_kb
   FROM supplier WHERE s_suppkey % 7 <> 0)
 SELECT l_orderkey, l_partkey, l_suppkey AS node, needed_kb, available_kb, coalesce(needed_kb <= available_kb, true) AS fits FROM (

@@ -126,9 +126,17 @@ def check_score(spark, sf_dir):
     return scored.withColumn("check_score", F.round("check_score", 6)).withColumn("check_results", F.array_join(listed, ","))
 
 
-@query(f"""WITH {FILES_SQL} SELECT run_id, substr(md5(path), 1, 2) AS part, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS chars FROM files GROUP BY ALL""")
+#: Bytes of a part in the query below, so that runs of a small table have several.
+_PART = 64 << 10
+
+
+@query(f"""WITH {FILES_SQL}, sized AS (SELECT run_id, md5(path) AS d, content, octet_length(encode(content)) AS n FROM files),
+levels AS (SELECT run_id, k, substr(d, 1, k) AS p, sum(n) AS total, max(n) AS largest FROM sized, (SELECT unnest(range(0, 7)) AS k) GROUP BY ALL),
+fits AS (SELECT run_id, k, coalesce(bool_or(total > {_PART} AND total > largest), false) AS crowded FROM levels GROUP BY ALL),
+chosen AS (SELECT run_id, coalesce(min(k) FILTER (WHERE NOT crowded), 6) AS k FROM fits GROUP BY run_id)
+SELECT run_id, substr(d, 1, k) AS part, count(*) AS n_files, CAST(sum(length(content)) AS BIGINT) AS chars FROM sized JOIN chosen USING (run_id) GROUP BY ALL""")
 def file_map(spark, sf_dir):
-    mapped = rules.file_map(files(spark, sf_dir))
+    mapped = rules.file_map(files(spark, sf_dir), _PART)
     total = F.aggregate(F.map_values("files"), F.lit(0).cast("bigint"), lambda acc, c: acc + F.length(c))
     return mapped.select("run_id", "part", F.size("files").cast("bigint").alias("n_files"), total.alias("chars"))
 

@@ -250,6 +250,29 @@ def model_session_averages(spark, sf_dir):
     )
 
 
+#: A chat template for each call format that can be inferred, in the order of its number.
+_TEMPLATES = [markers[0] for _, markers in C.TEMPLATE_MARKERS] + ["<tool_call>{{ tool_call.name }}"]
+_FORMATS = [name for name, _ in C.TEMPLATE_MARKERS] + ["json_tools", "python_tag"]
+_FMT_SQL = f"[{', '.join(repr(f) for f in _FORMATS)}][CAST(seq % 10 AS INT) + 1]"
+
+
+@query(f"""WITH {CALLS_SQL}
+SELECT session_id, seq, 'json_tools' AS fmt, name, concat('{{"k":', k, '}}') AS arguments, CAST(NULL AS VARCHAR) AS error FROM calls WHERE seq % 10 = 8
+UNION ALL
+SELECT user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5, event_id, 'python_tag', event_type, replace(props, ' ', ''), NULL FROM events WHERE event_id % 10 = 9
+UNION ALL
+SELECT session_id, seq, {_FMT_SQL}, NULL, NULL, concat('No parser for format: ', {_FMT_SQL}) FROM turns WHERE seq % 10 < 8""")
+def parse_calls_lateral(spark, sf_dir):
+    """Texts of ten formats, each told by its chat template and parsed by what that selects."""
+    template = F.when(F.col("seq") % 10 < 9, F.array(*map(F.lit, _TEMPLATES))[(F.col("seq") % 10).cast("int")]).otherwise("plain")
+    texts = turns(spark, sf_dir).select(
+        "session_id", "seq", F.coalesce(C.infer_tool_format(template), F.lit("python_tag")).alias("fmt"), F.col("content").alias("text")
+    )
+    bare = table(spark, sf_dir, "events").selectExpr("event_id AS seq", """concat('{"name": "', event_type, '", "parameters": ', props, '}') AS bare""")
+    mixed = texts.join(bare, "seq").withColumn("text", F.when(F.col("fmt") == "python_tag", F.col("bare")).otherwise(F.col("text")))
+    return parsers.parse_calls_lateral(mixed).select("session_id", "seq", "fmt", "name", "arguments", "error")
+
+
 @query(f"""WITH {CALLS_SQL}
 SELECT session_id, seq, name, concat('{{"k":', k, '}}') AS arguments, CAST(NULL AS VARCHAR) AS error FROM calls
 UNION ALL

@@ -33,11 +33,18 @@ def scan_workspaces(spark, sf_dir):
     )
 
 
-@query("""SELECT source AS run_id, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source""")
+@query("""SELECT source AS run_id, row_number() OVER (PARTITION BY source ORDER BY concat('lang=', lang), concat('part=', doc_id % 23)) - 1 AS ord,
+  concat('lang=', lang, '/part=', doc_id % 23) AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size
+FROM documents GROUP BY source, lang, doc_id % 23""")
 def scan_manifest(spark, sf_dir):
-    found = rules.filter_workspace_files(workspaces.scan_manifest(_workspaces(spark, sf_dir)))
-    ordered = transfers.traversal_order(found.withColumnRenamed("run_id", "transfer_id"))
-    return ordered.groupBy(F.col("transfer_id").alias("run_id")).agg(F.sum("size").alias("bytes"))
+    """Every file of a tree of folders with its position; each folder holds one file."""
+    path = shared_dir(spark, "manifest")
+    documents = table(spark, sf_dir, "documents").select("text", F.col("source").alias("run"), "lang", (F.col("doc_id") % 23).alias("part"))
+    documents.repartition("run", "lang", "part").write.partitionBy("run", "lang", "part").text(path)
+    roots = workspaces.roots_table(documents, "run", f"{path}/run=")
+    visible = rules.filter_workspace_files(workspaces.list_files(roots))
+    found = transfers.manifest_order(visible, ("run_id",))
+    return found.select("run_id", "ord", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "size")
 
 
 @query(f"""WITH {RESULTS_SQL} SELECT model, task, score, iterations, tool_calls AS tools,

@@ -152,6 +152,17 @@ def best_trial(spark, sf_dir):
     return vectors.best_trial(scored).withColumn("a", F.round("a", 6))
 
 
+@query(f"""WITH {TRIALS_SQL}, usable AS (SELECT study, round(a, 9) AS a, b FROM trials WHERE round(a, 9) < 0.06 AND b < 0.9),
+marked AS (SELECT *, min(b) OVER (PARTITION BY study ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM usable),
+front AS (SELECT study, a, b, coalesce(lead(a) OVER (PARTITION BY study ORDER BY a), 0.06) AS upto FROM marked WHERE best IS NULL OR b < best),
+areas AS (SELECT study, count(*) AS front, sum((upto - a) * (0.9 - b)) AS area FROM front GROUP BY study)
+SELECT study, count(*) AS trials, coalesce(any_value(front), 0) AS front, coalesce(round(any_value(area), 6), 0) AS area FROM trials LEFT JOIN areas USING (study) GROUP BY study""")
+def trial_front(spark, sf_dir):
+    """What the trials of a study dominate in two metrics, an objective no built-in aggregate gives."""
+    tried = trials(spark, sf_dir).withColumn("a", F.round("a", 9))
+    return vectors.dominated_area(tried, "a", "b", (0.06, 0.9)).withColumn("area", F.round("area", 6))
+
+
 TRIAL_OBJECTIVE_SQL = f"""WITH {TRIALS_SQL}
 SELECT study, count(*) AS trials, round(max(b) - min(a), 6) AS spread FROM trials GROUP BY study"""
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlake.operators.rules import filter_workspace_files
+from agentlake.operators.transfers import manifest_order
 
 _FOUND = "run_id string, root string, path string, size bigint, is_dir boolean"
 _BATCH_ROWS = 4096
@@ -113,11 +114,17 @@ def _list_files(roots: DataFrame, links: bool) -> DataFrame:
 
 
 def scan_manifest(roots: DataFrame) -> DataFrame:
-    """``(run_id, path, size)`` of every file, without symlinks or content.
+    """``(run_id, path, size, ord)`` of every file, without symlinks or content.
 
-    A root may be a single file. Order it with ``transfers.traversal_order``.
+    ``ord`` is the file's position in its run, depth first, siblings by name. A root may be
+    a single file. The list is spread once more, so that ordering it reads no directory again.
     """
-    return _list_files(roots, links=False).select("run_id", "path", "size")
+    return manifest_order(list_files(roots), ("run_id",))
+
+
+def list_files(roots: DataFrame) -> DataFrame:
+    """``(run_id, path, size)`` of every file, in no order."""
+    return _spread(_list_files(roots, links=False)).select("run_id", "path", "size")
 
 
 def scan_workspaces(roots: DataFrame) -> DataFrame:

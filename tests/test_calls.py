@@ -176,10 +176,25 @@ def test_parsers_by_format_and_udtf(spark):
     assert [(r.id, r.name, r.error) for r in rows] == [
         (1, "x", None), (1, "y", None), (2, "f", None), (3, None, "No parser for format: other"),
     ]
-    parsers.register_udtf(spark, lambda text: [(word, "{}", None) for word in text.split()], "split_calls")
+    own = {**parsers.ROW_PARSERS, "other": lambda text: [(word, "{}", None) for word in text.split()]}
+    parsers.register_udtf(spark, "split_calls", own)
     df.createOrReplaceTempView("texts")
-    got = spark.sql("SELECT c.name FROM texts, LATERAL split_calls(text) c WHERE id = 3").collect()
-    assert [r.name for r in got] == ["q"]
+    got = spark.sql("SELECT id, c.name FROM texts, LATERAL split_calls(text, fmt) c ORDER BY id, c.name").collect()
+    assert [(r.id, r.name) for r in got] == [(1, "x"), (1, "y"), (2, "f"), (3, "q")]
+
+
+def test_lateral_parser_equals_the_expressions(spark):
+    texts = [*TEXTS, *RAWS, 'f({"x": 1})', "f(bad)", ' {"name": "n", "parameters": {"a": 1}} ', '{"parameters": 1}', None]
+    rows = [(i, t, f) for i, t in enumerate(texts) for f in ("json_tools", "python_tag", "mistral", None)]
+    df = spark.createDataFrame(rows, "id int, text string, fmt string").where("text IS NOT NULL")
+    order = ["id", "fmt", "name", "arguments"]
+    a = parsers.parse_calls(df).orderBy(*order).collect()
+    b = parsers.parse_calls_lateral(df).orderBy(*order).collect()
+    for x, y in zip(a, b, strict=True):
+        assert (x.id, x.fmt, x.name, x.error) == (y.id, y.fmt, y.name, y.error)
+        assert x.arguments == y.arguments or json.loads(x.arguments) == json.loads(y.arguments)
+    none = spark.createDataFrame([(1, None, "json_tools"), (2, "", "json_tools")], "id int, text string, fmt string")
+    assert parsers.parse_calls_lateral(none).collect() == []
 
 
 def test_chat_response_errors(spark):

@@ -166,3 +166,36 @@ def test_last_segment(spark, block):
     reads = spark.createDataFrame([("a", 1, "he"), ("a", 3, "hello"), ("a", 2, "he"), ("b", 1, "")], "k string, n bigint, text string")
     rows = K.last_segment(reads, "k", "n").orderBy("k", "n").collect()
     assert [(r.k, r.n, r.segment) for r in rows] == [("a", 1, "he"), ("a", 2, ""), ("a", 3, "llo"), ("b", 1, "")]
+
+
+def test_requests_are_split_in_one_pass(spark):
+    from agentlake.session import shared_dir
+
+    hosts = spark.createDataFrame([("a", 0, "10.0.0.1"), ("b", 1, "10.0.0.2"), ("also-a", 0, "10.0.0.1")], "host string, rank int, ip string")
+    asked = [(1, "a", "b"), (2, "a", "x"), (3, "y", "x"), (4, "a", "also-a"), (5, "b", "a"), (6, None, "a")]
+    checked = transfers.check_requests(spark.createDataFrame(asked, "request_id int, source string, dest string"), hosts)
+    path = shared_dir(spark, "requests")
+    transfers.write_requests(checked, path)
+    good = transfers.read_requests(spark, path, checked.schema, "accepted")
+    bad = transfers.read_requests(spark, path, checked.schema, "rejected")
+    assert sorted(r.request_id for r in good.collect()) == [1, 5] and "error" not in good.columns and "verdict" not in bad.columns
+    assert {r.request_id: (r.error or "").split(" ")[0] for r in bad.collect()} == {2: "Unknown", 3: "Unknown", 4: "Source", 6: "Unknown"}
+    only = shared_dir(spark, "requests")
+    transfers.write_requests(checked.where("request_id = 1"), only)
+    assert transfers.read_requests(spark, only, checked.schema, "rejected").count() == 0
+
+
+def test_dominated_area_against_brute_force(spark):
+    from agentlake.operators import vectors
+
+    rng = random.Random(4)
+    rows = [(rng.choice("xyz"), float(rng.randint(0, 12)), float(rng.randint(0, 12))) for _ in range(400)] + [("x", None, 1.0), ("y", float("nan"), 2.0), ("z", 1.0, None), ("far", 11.0, 3.0), (None, 1.0, 9.0), (None, 2.0, 2.0)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "study string, a double, b double, n int").repartition(6)
+    got = {r.study: (r.trials, r.front, r.area) for r in vectors.dominated_area(df, "a", "b", (10.0, 10.0)).collect()}
+    for study in {r[0] for r in rows}:
+        own = [(a, b) for s, a, b in rows if s == study]
+        good = {(a, b) for a, b in own if a is not None and b is not None and a < 10 and b < 10}
+        front = {p for p in good if not any(q != p and q[0] <= p[0] and q[1] <= p[1] for q in good)}
+        area = sum(any(a <= i and b <= j for a, b in good) for i in range(10) for j in range(10))
+        assert got[study] == (len(own), len(front), float(area))
+    assert vectors.dominated_area(df.limit(0), "a", "b", (10.0, 10.0)).count() == 0

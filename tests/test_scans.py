@@ -4,6 +4,8 @@ import random
 
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from agentlake.operators import scans, splits
 from agentlake.operators import sessions as S
@@ -119,12 +121,55 @@ def test_assign_ranges_with_small_blocks(spark):
         "cluster_id int, rank int, start_idx bigint, end_idx bigint",
     )
     items = spark.range(100).selectExpr("1 AS cluster_id", "id AS idx").unionByName(spark.range(7).selectExpr("2 AS cluster_id", "id AS idx"))
-    got = splits.assign_ranges(items, bounds, block=8)
+    got = splits.assign_ranges(items, bounds, top=4, bits=2)
     assert got.count() == 107
     wrong = got.where("rank <> CASE WHEN cluster_id = 2 OR idx >= 50 THEN 0 WHEN idx >= 20 THEN 1 ELSE 2 END")
     assert wrong.count() == 0
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 200)), min_size=1, max_size=6), st.sampled_from([(16, 4), (4, 2), (6, 3), (2, 1), (0, 4)]))
+def test_aligned_intervals_cover_each_range_once(spark, ranges, shape):
+    top, bits = shape
+    bounds = spark.createDataFrame([(1, i, a, a + n) for i, (a, n) in enumerate(ranges)], "cluster_id int, rank int, start_idx bigint, end_idx bigint")
+    held, pieces = {}, {}
+    for r in splits.aligned_intervals(bounds, top, bits).collect():
+        for p in range(r.slot << r["shift"], (r.slot + 1) << r["shift"]):
+            assert p not in held.setdefault(r["rank"], set())
+            held[r["rank"]].add(p)
+        pieces[r["rank"], r["shift"]] = pieces.get((r["rank"], r["shift"]), 0) + 1
+    assert held == {i: set(range(a, a + n)) for i, (a, n) in enumerate(ranges) if n}
+    assert all(n <= 2 * ((1 << bits) - 1) for (_, shift), n in pieces.items() if shift < top)
+
+
+def test_narrow_and_overlapping_ranges(spark):
+    """Rows in proportion to the items, however many ranges a block of positions holds."""
+    one = spark.range(1 << 16).selectExpr("1 AS cluster_id", "CAST(id AS INT) AS rank", "id AS start_idx", "id + 1 AS end_idx")
+    assert splits.aligned_intervals(one).count() == 1 << 16
+    items = spark.range(0, 1 << 16, 7).selectExpr("1 AS cluster_id", "id AS idx")
+    got = splits.assign_ranges(items, one)
+    assert got.count() == items.count() and got.where("idx <> rank").count() == 0
+    wide = spark.createDataFrame([(1, 0, 0, 10**7), (1, 1, 5, 9), (1, 2, 8, 70_000)], "cluster_id int, rank int, start_idx bigint, end_idx bigint")
+    found = splits.assign_ranges(spark.createDataFrame([(1, 8), (1, 4), (1, 9_999_999), (1, 10**7), (1, 69_999)], "cluster_id int, idx bigint"), wide)
+    assert sorted((r.idx, r["rank"]) for r in found.collect()) == [(4, 0), (8, 0), (8, 1), (8, 2), (69_999, 0), (69_999, 2), (9_999_999, 0)]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8])
+def test_dense_order_of_strings(spark, bits):
+    rng = random.Random(bits)
+    rows = sorted({(rng.randint(0, 2), rng.choice(["a", "é", "Z", "zz"]) * rng.randint(0, 3) + str(rng.randint(0, 10**6))) for _ in range(3000)})
+    df = spark.createDataFrame(rows, "k int, s string").repartition(7)
+    got = {(r.k, r.s): r.ord for r in scans.dense_order(df, "s", "ord", ["k"], bits=bits, sample=4).collect()}
+    for k in range(3):
+        own = sorted((s for key, s in rows if key == k), key=str.encode)
+        assert [got[k, s] for s in own] == list(range(len(own)))
+    same = spark.createDataFrame([("x",)] * 50 + [("a",), ("z",)], "s string")
+    both = sorted((r.s, r.ord) for r in scans.dense_order(same, "s", bits=bits).collect())
+    assert both == [("a", 0), *[("x", i) for i in range(1, 51)], ("z", 51)]
+    assert scans.dense_order(same.limit(0), "s", bits=bits).count() == 0
+
+
+
 def test_cumulative_tokens_of_one_hot_session(spark):
     turns = spark.range(5000).selectExpr("1L AS session_id", "id AS seq", "id % 7 AS tokens", "id % 900 = 0 AS fresh")
     got = S.cumulative_tokens(turns, 100, reset="fresh", block=64).orderBy("seq").collect()

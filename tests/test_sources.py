@@ -45,7 +45,10 @@ def test_scan_manifest_and_order(spark, tree):
     assert {r.path: r.size for r in found.where("run_id = 'r'").collect()} == {p: len(c) for p, c in files.items()}
     assert [(r.path, r.size) for r in found.where("run_id = 'one'").collect()] == [("a.b", 3)]
     ordered = transfers.traversal_order(found.where("run_id = 'r'").withColumnRenamed("run_id", "transfer_id"))
+    numbered = {r.path: r.ord for r in found.where("run_id = 'r'").collect()}
+    assert sorted(numbered.values()) == list(range(len(files)))
     paths = [r.path for r in ordered.collect()]
+    assert [numbered[p] for p in paths] == list(range(len(paths)))
     assert paths == sorted(files, key=lambda p: p.split("/"))
     assert paths.index("a/b.py") < paths.index("a.b")
 
@@ -104,14 +107,21 @@ def test_scores(spark):
 
 
 def test_file_map_parts_make_the_whole(spark):
-    """One rule for all sizes: 5,000 files of one run, and ten of another."""
-    files = spark.range(5010).selectExpr("IF(id < 5000, 'hot', 'cold') AS run_id", "concat('f', id) AS path", "repeat('x', 3) AS content")
-    got = rules.file_map(files).collect()
-    for run, paths in (("hot", range(5000)), ("cold", range(5000, 5010))):
+    """Parts as coarse as their bytes allow: 5,000 files of one run, ten of another, and one file too large for any part."""
+    files = spark.range(5012).selectExpr(
+        "CASE WHEN id < 5000 THEN 'hot' WHEN id < 5010 THEN 'cold' ELSE 'big' END AS run_id", "concat('f', id) AS path", "IF(id = 5010, repeat('é', 5000), IF(id = 7, NULL, repeat('x', 30))) AS content"
+    )
+    got = rules.file_map(files, most=2000).collect()
+    for run, paths in (("hot", range(5000)), ("cold", range(5000, 5010)), ("big", range(5010, 5012))):
         parts = {r.part: r.files for r in got if r.run_id == run}
         assert len(parts) == sum(r.run_id == run for r in got)
-        wanted = {f"f{i}": hashlib.md5(f"f{i}".encode()).hexdigest()[:2] for i in paths}
-        assert {path: part for part, held in parts.items() for path in held} == wanted
+        assert sorted(p for held in parts.values() for p in held) == sorted(f"f{i}" for i in paths)
+        assert {len(p) for p in parts} == {{"hot": 3, "cold": 0, "big": 1}[run]} or run == "hot"
+        for part, held in parts.items():
+            assert all(hashlib.md5(p.encode()).hexdigest().startswith(part) for p in held)
+            assert len(held) == 1 or sum(len((c or "").encode()) for c in held.values()) <= 2000
+    assert [dict(r.files) for r in rules.file_map(files.where("run_id = 'cold'")).collect()] == [{f"f{i}": "x" * 30 for i in range(5000, 5010)}]
+
 
 
 def test_empty_task_scores_one(spark):

@@ -204,3 +204,32 @@ def test_decoder_kind(spark, decoder, kind):
 def test_strip_bos_eos(spark, tokens, kept):
     df = spark.createDataFrame([(tokens,)], "t array<int>")
     assert df.select(T.strip_bos_eos(F.col("t"), F.lit(1), F.lit(2))).first()[0] == kept
+
+
+def test_naive_stream_shows_whole_lines(spark, tmp_path):
+    from agentlake.streaming.detokenize import stream_detokenize
+    from agentlake.streaming.run import drain
+
+    vocab = spark.createDataFrame([(0, "ab"), (1, "c\nd"), (2, "\n"), (3, "é")], "id bigint, token string")
+    ids = [0, 1, 0, 3, 2, 0, 0, 1, 3]
+    rows = [(s, p, i, p == len(ids) - 1) for s in (1, 2) for p, i in enumerate(ids)]
+    tokens = spark.createDataFrame(rows, "stream_id bigint, pos bigint, id bigint, is_end boolean")
+    source = str(tmp_path / "in")
+    for part in ("pos = 1", "pos = 0", "pos IN (2, 3)", "pos > 4", "pos = 4"):
+        tokens.where(part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = drain(spark, stream_detokenize(stream, vocab, "naive"), str(tmp_path / "run"), partitions=2).collect()
+    for s in (1, 2):
+        own = sorted((r.from_pos, r.segment) for r in got if r.stream_id == s)
+        assert own == [(0, "abc\n"), (4, "dabé\nababc\ndé")]
+
+
+def test_too_many_waiting_tokens_fail_the_stream(spark, tmp_path):
+    from agentlake.streaming.detokenize import stream_detokenize
+    from agentlake.streaming.run import drain
+
+    vocab = spark.createDataFrame([(0, "ab")], "id bigint, token string")
+    spark.range(1, 30).selectExpr("77L AS stream_id", "id AS pos", "0L AS id", "false AS is_end").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("stream_id bigint, pos bigint, id bigint, is_end boolean").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="stream 77: 29 tokens wait for position 0"):
+        drain(spark, stream_detokenize(stream, vocab, "byte_level", most_waiting=20), str(tmp_path / "run"), partitions=1)
