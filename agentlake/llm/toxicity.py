@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import ranges, slices, written
+from agentlake.llm.common import give_back, ranges, slices, written
 from agentlake.llm.words import Words
 
 #: Words of a window, and between the starts of two: each word but the outer ones is in two windows.
@@ -215,9 +215,9 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents of ``counts`` words that lie one after another: positions and liveness per window, and its document."""
     starts = [window_starts(int(n)) for n in counts]
     doc = np.repeat(np.arange(len(counts)), [len(s) for s in starts])
-    first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    before = np.cumsum(counts) - counts
-    place = first[:, None] + np.arange(WINDOW)
+    first = (np.concatenate(starts) if starts else np.zeros(0)).astype(np.int32)
+    before = (np.cumsum(counts) - counts).astype(np.int32)
+    place = first[:, None] + np.arange(WINDOW, dtype=np.int32)
     live = place < counts[doc][:, None]
     at = np.where(live, place + before[doc][:, None], before[doc][:, None])
     return at, live.astype(np.float32), doc
@@ -237,13 +237,12 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
         return net
     distinct = list(index.words)
     _log_odds(net, distinct, flat, counts, y)
-    at, live, doc = windows_of(counts)
-    at = flat[at]
-    everything = at, live, doc
+    flat = flat.astype(np.int32)
     used_docs = np.zeros(len(y), bool)
     for side in (0, 1):
         used_docs[np.flatnonzero((y == side) & (counts > 0))[:most]] = True
-    at, live, doc = at[used_docs[doc]], live[used_docs[doc]], doc[used_docs[doc]]
+    at, live, doc = windows_of(counts)
+    at, live, doc = flat[at[used_docs[doc]]], live[used_docs[doc]], doc[used_docs[doc]]
     groups = [np.flatnonzero(doc == d) for d in np.unique(doc)]
     owner = np.array([doc[g[0]] for g in groups])
     weight = np.where(y > 0, 0.5 / max(1, y[owner].sum()), 0.5 / max(1, (1 - y[owner]).sum())) * len(owner)
@@ -259,10 +258,9 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
         clean = np.array([p for p in picked if y[doc[p]] == 0])
         echo = rng.choice(clean, max(1, len(clean) // 2))
         run = np.where(rng.random((len(echo), WINDOW)) < 0.9, at[echo, rng.integers(0, WINDOW, len(echo))][:, None], at[echo])
-        at_all, live_all = np.concatenate([at, run]), np.concatenate([live, live[echo]])
-        doc_all = np.concatenate([doc, doc[echo]])
-        picked = np.concatenate([picked, len(at) + np.arange(len(echo))])
-        rng.shuffle(picked)
+        at_all, live_all = np.concatenate([at[picked], run]), live[np.concatenate([picked, echo])]
+        doc_all = doc[np.concatenate([picked, echo])]
+        picked = rng.permutation(len(doc_all))
         rate = 0.02 if turn < passes * 2 // 3 else 0.005
         size = min(256, max(16, len(picked) // 16))  # few documents still give steps enough
         for i in range(0, len(picked), size):
@@ -285,9 +283,11 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
                 hit = net.gram[inner, k] == own[word_at, DIM + k]
                 np.subtract.at(net.gram[:, k], inner[hit], 2 * d_x[word_at[hit], DIM + k])
             x[used] = net.vectors([distinct[j] for j in used])
-    at, live, doc = everything
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, doc, net.score_windows(net.vectors(distinct), at, live))
+    at, live, doc = windows_of(counts)
+    top, x = np.full(len(y), -np.inf), net.vectors(distinct)
+    for i in range(0, len(at), 64 * BATCH):
+        part = slice(i, i + 64 * BATCH)
+        np.maximum.at(top, doc[part], net.score_windows(x, flat[at[part]], live[part]))
     return centred(net, top[counts > 0], y[counts > 0])
 
 
@@ -358,7 +358,7 @@ def excerpts(texts: pd.Series) -> pd.Series:
     return texts.map(excerpt).astype(object)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 3000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", sample: int = 2000) -> Network:
     """A network learnt on a bounded sample of labelled rows that are not held out.
 
     ``sample`` rows of each class at most, those with the smallest hashes of their keys, with
@@ -381,6 +381,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     if len({r.y for r in got}) < 2:
         warnings.warn("no labelled texts of both classes: toxicity cannot be learnt", stacklevel=2)
     net = train([r.text for r in got], [r.y for r in got])
+    del got
+    give_back()
     scored = score(rows.where("length(trim(text)) > 0"), net, column="logit", logits=True).select("y", "logit").where("logit IS NOT NULL").collect()
     return centred(net, np.array([r.logit for r in scored]), np.array([r.y for r in scored]))
 
