@@ -64,6 +64,18 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver drop what earlier jobs left behind, between the parts of a long operator.
+
+    Spark removes the shuffle files and broadcasts of finished jobs when the driver's JVM
+    collects its references to them, which by itself happens every half hour only.
+    """
+    give_back()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.java.lang.System.gc()
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column, and the offsets of its rows in them."""
     buffers = texts.buffers()

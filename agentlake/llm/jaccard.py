@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agentlake.llm.common import bit_filter, list_array, passes, slices, written
+from agentlake.llm.common import bit_filter, list_array, passes, settle, slices, written
 from agentlake.llm.graph import components
 from agentlake.llm.words import Words, mix
 
@@ -231,6 +231,7 @@ def distinct_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     id with an equal text stay as they are.
     """
     spread = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    settle(rows.sparkSession)
     several = written(spread.where("id IS NULL OR low <> high").select("id"), "several")
     if several.isEmpty():
         return rows, None
@@ -342,6 +343,7 @@ def _components_of(rows: DataFrame, ties: DataFrame | None = None) -> DataFrame:
     links = written(_compared(first, rows), "links")
 
     # Second round: pairs still in different components, all members of both groups.
+    settle(rows.sparkSession)
     part = components(links)
     placed = written(
         members.join(part.withColumnRenamed("node", "id"), "id", "left").select("group", "id", "n", F.coalesce("component", "id").alias("part")), "parts"
@@ -370,6 +372,7 @@ def _components_of(rows: DataFrame, ties: DataFrame | None = None) -> DataFrame:
     rest = written(ordered.join(done, columns, "left_anti"), "pairs")
     links = written(links.unionAll(_compared(rest, rows)), "links")
 
+    settle(rows.sparkSession)
     # Documents with equal sets are linked too.
     reps = same.select("n", "set", F.col("id").alias("rep"))
     equal = usable.select("id", "n", "set").join(reps, ["n", "set"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

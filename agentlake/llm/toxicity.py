@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import give_back, ranges, slices, written
+from agentlake.llm.common import ranges, settle, slices, written
 from agentlake.llm.words import Words
 
 #: Words of a window, and between the starts of two: each word but the outer ones is in two windows.
@@ -382,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         warnings.warn("no labelled texts of both classes: toxicity cannot be learnt", stacklevel=2)
     net = train([r.text for r in got], [r.y for r in got])
     del got
-    give_back()
+    settle(docs.sparkSession)
     scored = score(rows.where("length(trim(text)) > 0"), net, column="logit", logits=True).select("y", "logit").where("logit IS NOT NULL").collect()
     return centred(net, np.array([r.logit for r in scored]), np.array([r.y for r in scored]))
 
