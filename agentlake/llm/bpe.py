@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import list_array, ranges, slices
+from agentlake.llm.common import bound_batches, list_array, ranges, slices
 from agentlake.llm.words import Words
 
-TABLE_WORDS, TABLE_BYTES = 1 << 18, 16 << 20
+TABLE_WORDS, TABLE_BYTES = 1 << 17, 8 << 20
 #: Words encoded in one go.
 WORDS_AT_ONCE = 4096
 #: Token ids turned into text in one go.
@@ -158,6 +158,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     their names.
     """
     check_words(tokenizer)
+    bound_batches(docs.sparkSession)
     new = [ids] + ([decoded_sha256] if decoded_sha256 else [])
     docs = docs.drop(*[n for n in new if n != text])
     others = [c for c in docs.columns if c != text]

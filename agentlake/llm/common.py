@@ -64,6 +64,17 @@ def give_back() -> None:
         trim(0)
 
 
+#: Bytes of an Arrow batch on its way to a Python task.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows, unless the session says how: long texts come by the thousand."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def settle(spark: SparkSession) -> None:
     """Lets the driver drop what earlier jobs left behind, between the parts of a long operator.
 
