@@ -45,20 +45,39 @@ def _tasks_of(scored: DataFrame, model: str) -> DataFrame:
     return scored.where(F.col("model") == model).select("task").distinct()
 
 
-def leaderboard(scored: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Task by model grid of score texts, ``-`` where a model lacks the task.
+def model_names(scored: DataFrame, models: Sequence[str] | None = None) -> Column:
+    """The models of a board in their order, as one array of names.
 
-    Only tasks of the first model appear. The columns are the given models.
+    Without ``models`` those of the table, shorter names first, then by name. A subquery
+    finds them when the board runs, so its plan does not depend on how many there are.
     """
-    return _score_grid(scored, models).select(
-        "task", *[F.coalesce(F.col(f"`{m}`").cast("string"), F.lit("-")).alias(m) for m in models]
-    )
+    if models is not None:
+        return F.array(*[F.lit(m) for m in models]).cast("array<string>")
+    distinct = scored.where("model IS NOT NULL").select("model").distinct()
+    named = F.array_sort(F.collect_list(F.struct(F.length("model").alias("n"), F.col("model"))))
+    return distinct.agg(named.alias("named")).select(F.col("named.model")).scalar()
+
+
+def leaderboard(scored: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """``task, scores``: a map of every model's score text, ``-`` where it lacks the task.
+
+    Only tasks of the first model appear. The map has the given models, or all of the
+    table, in their order.
+    """
+    names = model_names(scored, models)
+    return _score_grid(scored, names).select("task", F.map_from_arrays("names", _cells()).alias("scores"))
+
+
+def _cells() -> Column:
+    return F.transform("names", lambda m: F.coalesce(F.col("scores")[m].cast("string"), F.lit("-")))
 
 
-def _score_grid(scored: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Scores per task with a column per model, for the tasks the first model has."""
-    grid = scored.groupBy("task").pivot("model", list(models)).agg(F.max("score"))
-    return grid.where(F.col(f"`{models[0]}`").isNotNull())
+def _score_grid(scored: DataFrame, names: Column) -> DataFrame:
+    """``task, scores, names``: the scores by model, for the tasks the first model has, and the models."""
+    best = scored.where("model IS NOT NULL AND score IS NOT NULL").groupBy("task", "model").agg(F.max("score").alias("score"))
+    grid = best.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("model", "score"))).alias("scores"))
+    # Subqueries cannot stand inside transform, so the names are a column first.
+    return grid.withColumn("names", names).where(F.map_contains_key("scores", F.get("names", F.lit(0))))
 
 
 def model_average(scored: DataFrame, first_model: str | None = None) -> DataFrame:
@@ -101,17 +120,18 @@ def run_summary(scored: DataFrame) -> DataFrame:
     return grouped.select("model", "is_average", name.alias("task"), line.alias("line"))
 
 
-def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
+def report_lines(scored: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """The comparison report as ordered rows ``(section, model, task, line_no, line)``.
 
-    Needs the evaluation columns next to ``score``. The order of lines is the order of
-    the four key columns; ``section`` 0 is the heading, 1 the grid, 2 the averages and
-    the next heading, 3 the details per model. The share of passed checks is labelled
-    as such.
+    Of the given models, or of all of the table. Needs the evaluation columns next to
+    ``score``. The order of lines is the order of the four key columns; ``section`` 0 is
+    the heading, 1 the grid, 2 the averages and the next heading, 3 the details per model.
+    The share of passed checks is labelled as such.
     """
-    spark = scored.sparkSession
-    order = F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i + 1))])
-    shown = scored.where(F.col("model").isin(list(models)))
+    one = scored.sparkSession.range(1)
+    names = model_names(scored, models)
+    place = F.array_position(names, F.col("model"))
+    shown = scored.where("model IS NOT NULL" if models is None else place > 0)
 
     def lines(frame, section, model, task, texts):
         rows = [F.struct(F.lit(i).alias("line_no"), t.alias("line")) for i, t in enumerate(texts)]
@@ -119,41 +139,39 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
             F.lit(section).alias("section"), model.cast("int").alias("model"), task.alias("task"), F.inline(F.array(*rows))
         )
 
+    one = one.select(names.alias("names"))
+    heads = F.array_join(F.transform("names", lambda m: F.concat(F.lit(" "), F.left(m, F.lit(20)), F.lit(" "))), "|")
+    rules = F.array_join(F.transform("names", lambda m: F.lit("-----:")), "|")
     heading = lines(
-        spark.range(1),
+        one,
         0,
         F.lit(0),
         F.lit(""),
         [
-            F.lit(text)
-            for text in (
-                "# Agent Harness Benchmark Report",
-                "",
-                "## Summary",
-                "",
-                "| Task |" + "|".join(f" {m[:20]} " for m in models) + "|",
-                "|------|" + "|".join("-----:" for _ in models) + "|",
-            )
+            *[F.lit(text) for text in ("# Agent Harness Benchmark Report", "", "## Summary", "")],
+            F.concat(F.lit("| Task |"), heads, F.lit("|")),
+            F.concat(F.lit("|------|"), rules, F.lit("|")),
         ],
     )
-    grid = leaderboard(scored, models)
-    cells = F.concat(*[F.concat(F.lit(" "), F.col(f"`{m}`"), F.lit(" |")) for m in models])
+    grid = _score_grid(scored, names)
+    cells = F.array_join(F.transform(_cells(), lambda c: F.concat(F.lit(" "), c, F.lit(" |"))), "")
     table = lines(grid, 1, F.lit(0), F.col("task"), [F.concat(F.lit("| "), F.col("task"), F.lit(" |"), cells)])
 
-    averages = _score_grid(scored, models).agg(*[F.coalesce(_mean_score(m), F.lit(0.0)).alias(m) for m in models])
-    means = F.array(*[F.col(f"`{m}`") for m in models])
-    cells = F.array_join(F.transform(means, lambda x: F.concat(F.lit(" **"), _one_decimal(x), F.lit("** |"))), "")
+    of_models = grid.select(F.explode("scores").alias("model", "score")).groupBy("model").agg(_mean_score().alias("mean"))
+    averages = of_models.agg(F.map_from_entries(F.collect_list(F.struct("model", "mean"))).alias("means")).withColumn("names", names)
+    mean = F.transform("names", lambda m: F.coalesce(F.col("means")[m], F.lit(0.0)))
+    cells = F.array_join(F.transform(mean, lambda x: F.concat(F.lit(" **"), _one_decimal(x), F.lit("** |"))), "")
     after = [F.lit(""), F.lit("## Detail"), F.lit("")]
     average = lines(averages, 2, F.lit(0), F.lit(""), [F.concat(F.lit("| **Average** |"), cells), *after])
 
-    known = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    known = one.select(F.posexplode("names").alias("at", "model"))
     title = [F.concat(F.lit("### "), F.col("model")), F.lit("")]
-    names = lines(known, 3, order[F.col("model")], F.lit(""), title)
+    titles = lines(known, 3, F.col("at") + 1, F.lit(""), title)
     checks = F.bround(F.col("check_score") * 100, 0).cast("bigint").cast("string")
     detail = lines(
         shown,
         3,
-        order[F.col("model")],
+        place,
         F.col("task"),
         [
             F.concat(F.lit("**"), F.col("task"), F.lit("** — "), F.col("score").cast("string"), F.lit("/100")),
@@ -174,4 +192,4 @@ def report_lines(scored: DataFrame, models: Sequence[str]) -> DataFrame:
             F.lit(""),
         ],
     )
-    return heading.unionByName(table).unionByName(average).unionByName(names).unionByName(detail)
+    return heading.unionByName(table).unionByName(average).unionByName(titles).unionByName(detail)

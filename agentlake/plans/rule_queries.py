@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from agentlake.functions import text as T
@@ -146,15 +144,11 @@ def overall_score(spark, sf_dir):
     return scoreboards.with_score(results(spark, sf_dir)).select("model", "task", "score")
 
 
-#: The models of the given tables, for the SQL twins, whose columns have to be written out.
-MODELS = [f"src{i}" for i in range(20)]
-
-
-def models_of(scored):
-    """The table's models, numbers in their names by value; the columns of a pivot have to be known beforehand."""
-    names = [r.model for r in scored.where("model IS NOT NULL").select("model").distinct().collect()]
-    # Without results the columns are those of the twin.
-    return sorted(names, key=lambda m: ([int(x) if i % 2 else x for i, x in enumerate(re.split("([0-9]+)", m))], m)) or MODELS
+#: Models in the order of a board, and the tasks of the first.
+BOARD_SQL = """models AS (SELECT model, row_number() OVER (ORDER BY length(model), model) AS place FROM scored WHERE model IS NOT NULL GROUP BY model),
+  first AS (SELECT DISTINCT task FROM scored JOIN models USING (model) WHERE place = 1),
+  cells AS (SELECT task, model, any_value(place) AS place, coalesce(CAST(max(score) AS VARCHAR), '-') AS score
+    FROM first CROSS JOIN models LEFT JOIN scored USING (task, model) GROUP BY task, model)"""
 
 
 def _mean(condition="true"):
@@ -171,12 +165,10 @@ def _one_decimal(x):
 
 
 
-@query(f"""WITH {RESULTS_SQL}
-SELECT task, {", ".join(f"coalesce(CAST(max(score) FILTER (WHERE model = '{m}') AS VARCHAR), '-') AS {m}" for m in MODELS)}
-FROM scored WHERE task IN (SELECT task FROM scored WHERE model = 'src0') GROUP BY task""")
+@query(f"WITH {RESULTS_SQL}, {BOARD_SQL} SELECT task, model, score FROM cells")
 def leaderboard(spark, sf_dir):
-    scored = scoreboards.with_score(results(spark, sf_dir))
-    return scoreboards.leaderboard(scored, models_of(scored))
+    board = scoreboards.leaderboard(scoreboards.with_score(results(spark, sf_dir)))
+    return board.select("task", F.explode("scores").alias("model", "score"))
 
 
 @query(f"""WITH {RESULTS_SQL}
@@ -202,32 +194,25 @@ def run_summary(spark, sf_dir):
     return summary.withColumn("is_average", F.col("is_average").cast("int"))
 
 
-_CELLS = ", ".join(f"' ', coalesce(CAST(max(score) FILTER (WHERE model = '{m}') AS VARCHAR), '-'), ' |'" for m in MODELS)
-_AVERAGES = ", ".join(f"' **', {_one_decimal(f'a_{m}')}, '** |'" for m in MODELS)
-_MEANS = ", ".join(
-    "coalesce({}, 0) AS a_{}".format(_mean(f"model = '{m}' AND task IN (SELECT task FROM scored WHERE model = 'src0')"), m) for m in MODELS
-)
-_ORDER = "list_position([" + ", ".join(f"'{m}'" for m in MODELS) + "], model)"
-
-
-@query(f"""WITH {RESULTS_SQL}, first AS (SELECT task FROM scored WHERE model = 'src0'), lines AS (
+@query(f"""WITH {RESULTS_SQL}, {BOARD_SQL},
+means AS (SELECT place, coalesce({_mean("task IN (SELECT task FROM first)")}, 0) AS mean FROM models LEFT JOIN scored USING (model) GROUP BY place),
+details AS (SELECT scored.*, place FROM scored JOIN models USING (model)), lines AS (
 SELECT 0 AS section, 0 AS model, '' AS task, 0 AS line_no, '# Agent Harness Benchmark Report' AS line
 UNION ALL SELECT 0, 0, '', 1, '' UNION ALL SELECT 0, 0, '', 2, '## Summary' UNION ALL SELECT 0, 0, '', 3, ''
-UNION ALL SELECT 0, 0, '', 4, '| Task |{"|".join(f" {m} " for m in MODELS)}|'
-UNION ALL SELECT 0, 0, '', 5, '|------|{"|".join("-----:" for _ in MODELS)}|'
+UNION ALL SELECT 0, 0, '', 4, concat('| Task |', string_agg(concat(' ', model[:20], ' '), '|' ORDER BY place), '|') FROM models
+UNION ALL SELECT 0, 0, '', 5, concat('|------|', string_agg('-----:', '|'), '|') FROM models
+UNION ALL SELECT 1, 0, task, 0, concat('| ', task, ' |', string_agg(concat(' ', score, ' |'), '' ORDER BY place)) FROM cells GROUP BY task
+UNION ALL SELECT 2, 0, '', 0, concat('| **Average** |', string_agg(concat(' **', {_one_decimal('mean')}, '** |'), '' ORDER BY place)) FROM means
 UNION ALL SELECT 2, 0, '', 1, '' UNION ALL SELECT 2, 0, '', 2, '## Detail' UNION ALL SELECT 2, 0, '', 3, ''
-UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 1, '' FROM scored UNION ALL SELECT 3, {_ORDER}, task, 3, '' FROM scored
-UNION ALL SELECT 1, 0, task, 0, concat('| ', task, ' |', {_CELLS}) FROM scored WHERE task IN (SELECT task FROM first) GROUP BY task
-UNION ALL SELECT 2, 0, '', 0, concat('| **Average** |', {_AVERAGES}) FROM (SELECT {_MEANS} FROM scored)
-UNION ALL SELECT DISTINCT 3, {_ORDER}, '', 0, concat('### ', model) FROM scored
-UNION ALL SELECT 3, {_ORDER}, task, 0, concat('**', task, '** — ', score, '/100') FROM scored
-UNION ALL SELECT 3, {_ORDER}, task, 1, concat('- Checks: ', CAST(round_even(check_score * 100, 0) AS BIGINT), '% | Tests: ', CASE WHEN tests_pass THEN 'PASS' ELSE 'FAIL' END) FROM scored
-UNION ALL SELECT 3, {_ORDER}, task, 2, concat('- Iterations: ', iterations, ' | Tool calls: ', tool_calls, ' | Tokens: ', total_tokens,
-   ' | Time: ', CAST(round_even(total_time, 0) AS BIGINT), 's') FROM scored)
+UNION ALL SELECT 3, place, '', 0, concat('### ', model) FROM models UNION ALL SELECT 3, place, '', 1, '' FROM models
+UNION ALL SELECT 3, place, task, 0, concat('**', task, '** — ', score, '/100') FROM details
+UNION ALL SELECT 3, place, task, 1, concat('- Checks: ', CAST(round_even(check_score * 100, 0) AS BIGINT), '% | Tests: ', CASE WHEN tests_pass THEN 'PASS' ELSE 'FAIL' END) FROM details
+UNION ALL SELECT 3, place, task, 2, concat('- Iterations: ', iterations, ' | Tool calls: ', tool_calls, ' | Tokens: ', total_tokens,
+   ' | Time: ', CAST(round_even(total_time, 0) AS BIGINT), 's') FROM details
+UNION ALL SELECT 3, place, task, 3, '' FROM details)
 SELECT CAST(section AS INT) AS section, CAST(model AS INT) AS model, task, CAST(line_no AS INT) AS line_no, line FROM lines""")
 def report_lines(spark, sf_dir):
-    scored = scoreboards.with_score(results(spark, sf_dir))
-    return scoreboards.report_lines(scored, models_of(scored))
+    return scoreboards.report_lines(scoreboards.with_score(results(spark, sf_dir)))
 
 
 @query(f"""WITH {RESULTS_SQL}

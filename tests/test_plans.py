@@ -15,8 +15,8 @@ WRITING = {name for name in QUERIES if name.startswith("stream_")} | {
 }
 # Listing files, type-strict JSON equality, a user's parsers and objectives have no built-in expression.
 PYTHON = {"json_equal", "decoder_kind", "detokenize_by_kind", "parse_calls_lateral", "trial_front"}
-# Global aggregates of one row (levels in use, for ranges), and the top of the numbering scan.
-ONE_TASK = {"render_system_prompt", "report_lines", "dense_index", "equal_split", "assign_ranges"}
+# Global aggregates of one row (levels in use, for ranges; the models of a board), and the top of the numbering scan.
+ONE_TASK = {"render_system_prompt", "leaderboard", "report_lines", "dense_index", "equal_split", "assign_ranges"}
 
 
 def plan(df):
