@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.session import shared_dir
@@ -75,6 +75,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores behind it as no column of ``df`` has, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(names: list[str]) -> Column:
+    """Columns as one struct, so that a task can carry them whatever their names; one null field if there are none."""
+    return F.struct(*[F.col(f"`{n}`") for n in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
+
+
 def settle(spark: SparkSession) -> None:
     """Lets the driver drop what earlier jobs left behind, between the parts of a long operator.
 

@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agentlake.llm.common import written
+from agentlake.llm.common import whole_row, written
 
 STEPS = 1 << 20
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def with_tokens(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with ``__tokens`` (words; a null text has none) and ``__block``."""
-    return docs.withColumn("__tokens", F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")).withColumn(
-        "__block", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 3)
+def with_tokens(docs: DataFrame, columns: list[str], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``row, source, block, tokens``: ``columns`` of ``docs`` as one struct, and words (a null text has none)."""
+    return docs.select(
+        whole_row(columns).alias("row"),
+        F.col(source).alias("source"),
+        F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 3).alias("block"),
+        F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint").alias("tokens"),
     )
 
 
@@ -78,10 +81,8 @@ def mix(
     are read each. Columns of ``docs`` with the names of the results are replaced.
     """
     columns = [c for c in (docs.columns if columns is None else columns) if c not in ("epoch", "block", "block_rank", "tokens")]
-    rows = with_tokens(docs, key, source, text).withColumn("__source", F.col(source))
-    blocks = written(
-        rows.groupBy("__source", "__block").agg(F.sum("__tokens").cast("bigint").alias("tokens")).withColumnsRenamed({"__source": "source", "__block": "block"}), "blocks"
-    )
+    rows = with_tokens(docs, columns, key, source, text)
+    blocks = written(rows.groupBy("source", "block").agg(F.sum("tokens").cast("bigint").alias("tokens")), "blocks")
     sizes = written(blocks.groupBy("source").agg(F.sum("tokens").cast("bigint").alias("tokens")), "sources")
     if budget is None:
         budget = sizes.agg(F.sum("tokens")).first()[0] or 0
@@ -97,8 +98,5 @@ def mix(
         "sum", F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, 0))
     ).where("epoch < whole OR sum <= rest")
     picked = ranked.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("epoch").cast("int").alias("epoch"), "block_rank")
-    kept = rows.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], "__source", "__block", "__tokens")
-    joined = kept.join(picked, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("b")))
-    return joined.select(
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)], "epoch", F.col("__block").alias("block"), "block_rank", F.col("__tokens").alias("tokens")
-    )
+    joined = rows.join(picked, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in columns], "epoch", "block", "block_rank", "tokens")

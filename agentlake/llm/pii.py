@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlake.llm.common import slices
+from agentlake.llm.common import slices, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -287,15 +287,20 @@ class Field:
 
 
 def fit_field(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = 2000, longest: int = 4000) -> Field:
-    """A field learnt from the base spans of at most ``sample`` texts of up to ``longest`` characters.
+    """A field learnt from the base spans of at most ``sample`` passages of up to ``longest`` characters.
 
-    Of the texts with a digit or an at sign, those with the smallest hashes of their keys.
+    Of the texts of any length with a digit or an at sign, those with the smallest hashes of
+    their keys. A longer text gives the passage that a hash of its key begins. The keys are
+    chosen first, so that the driver gets no more texts than are learnt from.
     """
-    rows = (
-        docs.where(F.length(text) <= longest).where(F.col(text).rlike("[0-9@]"))
-        .orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(sample).select(F.col(text).alias("text")).collect()
-    )
-    return Field.fit(Graph([r.text for r in rows]))
+    usable = docs.where(F.col(text).rlike("[0-9@]"))
+    # Rows that repeat a key are told apart by their texts.
+    own = [F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(key), F.col(text)).alias("t")]
+    chosen = written(usable.select(*own).orderBy("h", "t").limit(sample).distinct(), "sample")
+    start = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.greatest(F.length(text) - longest, F.lit(0)) + 1) + 1
+    passages = usable.select(*own, F.substring(F.col(text), start.cast("int"), F.lit(longest)).alias("passage"))
+    rows = passages.join(F.broadcast(chosen), ["h", "t"], "left_semi").dropDuplicates(["h", "t"])  # at most sample rows
+    return Field.fit(Graph([r.passage for r in rows.orderBy("h", "t").collect()]))
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
@@ -324,17 +329,20 @@ def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with ``[KIND]`` in place of every span of ``text``. Null texts stay null.
 
     Where spans overlap, the one that starts first stands for all, of these the longest.
+    Other columns are kept, whatever their names.
     """
+    others = [c for c in docs.columns if c != text]
+    given = docs.select(F.col(text).alias("text"), F.col(text).isNotNull().alias("given"), whole_row(others).alias("row"))
 
     def run(batches):
-        for part in slices(batches, "__text"):
-            texts = part.column("__text").to_pylist()
+        for part in slices(batches, "text"):
+            texts = part.column("text").to_pylist()
             clean = [mask(t, spans) for t, spans in zip(texts, field.spans(texts), strict=True)]
-            yield part.set_column(part.schema.get_field_index("__text"), "__text", pa.array(clean, pa.string()))
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(clean, pa.string()))
 
-    given = docs.select(*[F.col(c) for c in docs.columns if c != text], F.col(text).isNotNull().alias("__given"), F.col(text).alias("__text"))
     out = given.mapInArrow(run, given.schema)
-    return out.select(*[F.expr("IF(__given, __text, NULL)").alias(c) if c == text else F.col(c) for c in docs.columns])
+    clean = F.when(F.col("given"), F.col("text"))
+    return out.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mask(text: str, spans) -> str:

@@ -497,3 +497,37 @@ def test_queries_run(spark, sf_dir, name):
         for r in rows:
             want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(text[r.doc_id]))
             assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_names_of_extra_columns_do_not_matter(spark):
+    """Names that the operators once used for columns of their own, and names with dots."""
+    names = ["__given", "__text", "__tokens", "__block", "__source", "given", "row", "tokens_", "a.b"]
+    rows = [(1, "write to jane.doe@mail.example.com", "s"), (2, None, "s"), (3, "one two three", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    clean = pii.masked(docs, pii.fit_field(docs))
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {1: "write to [EMAIL]", 2: None, 3: "one two three"}
+    read = mixing.mix(docs, repetition=1.0)
+    assert read.columns == [*docs.columns, "epoch", "block", "block_rank", "tokens"]
+    assert {r.doc_id: r.tokens for r in read.collect()} == {1: 3, 2: 0, 3: 3}
+    for out in (clean, read):
+        assert all(r[n] == f"kept {n}" for r in out.collect() for n in names)
+    assert mixing.mix(docs, repetition=1.0, columns=[]).columns == ["epoch", "block", "block_rank", "tokens"]
+
+
+def test_personal_data_is_learnt_from_long_texts_only(spark):
+    """No text is too long to learn from; every passage learnt from is bounded, and so is their number."""
+    filler = " ".join(f"call +1 (456) 555-{1000 + i} or write to user{i}.name@mail.example.com about it" for i in range(120))
+    docs = docs_of(spark, [f"text {i} {filler}" for i in range(30)])
+    assert docs.selectExpr("min(length(text)) AS n").first().n > 2 * 4000
+    field = pii.fit_field(docs)
+    assert np.abs(field.unary).max() > 0
+    assert [(k, base) for k, _, _, base in field.spans(["joe.smith77@foo.com wrote; ask joe.smith77@foo again"])[0]] == [("email", True), ("email", False)]
+    seen = []
+    graph = pii.Graph
+    try:
+        pii.Graph = lambda texts: seen.append(texts) or graph(texts)
+        pii.fit_field(docs, sample=7, longest=100)
+    finally:
+        pii.Graph = graph
+    assert len(seen[0]) == 7 and all(len(t) == 100 for t in seen[0])
