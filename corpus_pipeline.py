@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentlake.llm import bpe, jaccard, mixing, pii, toxicity
-from agentlake.llm.common import table, written
+from agentlake.llm.common import free_name, table, written
 from agentlake.llm.queries import REPETITION
 
 ORACLE_SQL = None
@@ -21,7 +21,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; the network learns from labels of ``docs``."""
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, network, column="__score").where("__score < 0.5").select(docs.columns)
+    score = free_name(docs, "score")
+    return toxicity.score(docs, network, column=score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
