@@ -124,24 +124,30 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-#: Bits of a filter, which bound its size whatever the number of keys.
+#: Bits of the largest filter, which bound its size whatever the number of keys.
 FILTER_BITS = 1 << 26
+#: Share of a filter's bits that may be set, if a larger one can avoid it: what passes by chance.
+FILTER_SHARE = 1 / 64
 
 
 def bit_filter(df: DataFrame, key: str) -> np.ndarray:
     """A bitmap that lets all values of a BIGINT column through, and others by chance only.
 
-    The more keys, the more chance; what it lets through has to be joined exactly later, so
-    it only saves work.
+    Its size is a power of two that follows the number of keys, up to ``FILTER_BITS``. The
+    more keys beyond that, the more chance; what it lets through has to be joined exactly
+    later, so it only saves work.
     """
     at = df.selectExpr(f"pmod(`{key}`, {FILTER_BITS}L) AS at")
     words = at.selectExpr("at div 32 AS word", "shiftleft(1L, CAST(at % 32 AS INT)) AS bits")
     got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    # The upper half laid on the lower one is the filter of half the size.
+    while len(out) > 32 and int(np.bitwise_count(out).sum()) <= FILTER_SHARE / 2 * 32 * len(out):
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % FILTER_BITS
+    at = keys % (32 * len(bits))
     return (bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 > 0

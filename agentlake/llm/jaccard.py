@@ -105,7 +105,10 @@ def _ordered(hashes: np.ndarray, counts: np.ndarray, frequent: np.ndarray, rank:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``id, n, set, prefix``: size, fingerprint of the whole set, and the prefix in the global order."""
+    """``id, n, set, prefix, like``: size, fingerprint of the whole set, the prefix in the global order, its digest.
+
+    Written, like all that needs a broadcast here: nothing reads that again, so no node keeps it.
+    """
     order = np.argsort(frequent)
     table = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most FREQUENT of each
 
@@ -128,7 +131,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 ["id", "n", "set", "prefix"],
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, set binary, prefix array<bigint>")
+    sets = docs.mapInArrow(run, "id bigint, n bigint, set binary, prefix array<bigint>")
+    out = written(sets.withColumn("like", F.xxhash64("n", "prefix")), "prefixes")
+    table.destroy()
+    return out
 
 
 def packed_sets(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -181,7 +187,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, packed: bool) -> DataFrame:
             elements = pa.array(packed_sets(hashes, counts), pa.binary()) if packed else list_array(hashes, np.cumsum(counts), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts.astype(np.int64)), elements], ["id", "size", "elements"])
 
-    return written(docs.mapInArrow(run, f"id bigint, size bigint, elements {'binary' if packed else 'array<bigint>'}"), "sets")
+    out = written(docs.mapInArrow(run, f"id bigint, size bigint, elements {'binary' if packed else 'array<bigint>'}"), "sets")
+    bits.destroy()
+    return out
 
 
 def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -313,7 +321,7 @@ def _least(df: DataFrame, by: list[str]) -> DataFrame:
 
 def _components_of(rows: DataFrame, ties: DataFrame | None = None) -> DataFrame:
     """``id, n, component`` for every row; an id has one text. ``ties`` are further links ``a, b``."""
-    sets = written(_prefixes(rows, frequent_shingles(rows)).withColumn("like", F.xxhash64("n", "prefix")), "prefixes")
+    sets = _prefixes(rows, frequent_shingles(rows))
     usable = sets.where("id IS NOT NULL AND n > 0")
     # Equal sets are one, with the smallest id; of these, those of one size and prefix one group.
     same = usable.groupBy("n", "set").agg(F.min("id").alias("id"), F.first("like").alias("like"))

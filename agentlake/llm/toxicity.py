@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -383,20 +384,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     net = train([r.text for r in got], [r.y for r in got])
     del got
     settle(docs.sparkSession)
-    scored = score(rows.where("length(trim(text)) > 0"), net, column="logit", logits=True).select("y", "logit").where("logit IS NOT NULL").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    scored = score(rows.where("length(trim(text)) > 0"), shared, column="logit", logits=True).select("y", "logit").where("logit IS NOT NULL").collect()
+    shared.destroy()
     return centred(net, np.array([r.logit for r in scored]), np.array([r.y for r in scored]))
 
 
-def score(docs: DataFrame, network: Network, text: str = "text", column: str = "score", logits: bool = False) -> DataFrame:
+def score(docs: DataFrame, network: Network | Broadcast, text: str = "text", column: str = "score", logits: bool = False) -> DataFrame:
     """``docs`` with ``column``, the toxicity of the whole text (0 to 1; with ``logits`` before the sigmoid).
 
     Null, empty and blank texts have no windows and score 0 (no logit). An existing column of
-    that name is replaced; other columns are kept, whatever their names.
+    that name is replaced; other columns are kept, whatever their names. A network that is
+    broadcast already is used as it is.
     """
     if text != column:
         docs = docs.drop(column)
     given = docs.select(F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    net = docs.sparkSession.sparkContext.broadcast(network)  # fixed size: two hashed tables
+    # Of fixed size: two hashed tables.
+    net = network if isinstance(network, Broadcast) else docs.sparkSession.sparkContext.broadcast(network)
     schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):

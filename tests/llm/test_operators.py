@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from agentlake.llm import bpe, graph, jaccard, licenses, mixing, near_vectors, pii, queries, repeats, token_counts, topk, toxicity
+from agentlake.llm import bpe, common, graph, jaccard, licenses, mixing, near_vectors, pii, queries, repeats, token_counts, topk, toxicity
 from agentlake.llm.common import table
 from agentlake.session import shared_dir
 
@@ -531,3 +531,13 @@ def test_personal_data_is_learnt_from_long_texts_only(spark):
     finally:
         pii.Graph = graph
     assert len(seen[0]) == 7 and all(len(t) == 100 for t in seen[0])
+
+
+@pytest.mark.parametrize("n, largest", [(0, 1 << 10), (3, 1 << 10), (5000, 1 << 20)])
+def test_filters_grow_with_their_keys(spark, n, largest):
+    keys = [random.Random(5).randrange(-(1 << 62), 1 << 62) for _ in range(1)][:n] + [k * 0x9E3779B97F4A7C15 % (1 << 63) - (k % 2) * (1 << 62) for k in range(1, n)]
+    bits = common.bit_filter(spark.createDataFrame([(k,) for k in keys], "key bigint"), "key")
+    assert 32 * len(bits) <= largest
+    assert common.passes(bits, np.array(keys, np.int64)).all()
+    others = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 20000)
+    assert common.passes(bits, others).mean() <= 1.5 * common.FILTER_SHARE
