@@ -6,8 +6,8 @@ round divides that bin, until bins are one score wide and the kth value is known
 round keeps the scores above that value and, of those equal to it, the smallest ids.
 
 Scores are computed anew in every round, a block of queries against a block of vectors; what
-is shuffled are the blocks and, per query and block, the few bins from the block's highest
-score down to its own kth one, below which the query's kth value cannot lie.
+is shuffled are the blocks, never pairs of them, and, per query and block, the few bins from
+the block's highest score down to its own kth one, below which the query's kth value cannot lie.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agentlake.llm.common import written
+from agentlake.llm.common import bound_batches, written
 
 QUERIES, VECTORS = 512, 2048
+#: Groups of blocks of vectors for every core: enough that cores share them evenly.
+SEATS = 8
 #: Bins a round divides a bin into.
 FAN = 128
 
@@ -64,6 +66,12 @@ def _opened(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(body, kind).reshape(len(ids), dim).astype(np.int64)
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch one by one, so that only one is held as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in floating point while all partial sums are exact, else in int64."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
@@ -77,14 +85,37 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Every block of queries beside every block of vectors of its dimension.
 
-    Blocks of queries are dealt to the blocks of vectors, which are the larger side and stay
-    where they are. The broadcast has one row per dimension.
+    Blocks of vectors are dealt to as many seats as keep the cluster busy, and blocks of queries
+    go to every seat, so what is shuffled is the vectors once and the queries a fixed number of
+    times. Pairs arise in the join and are used where they arise. The broadcast has one row per
+    dimension.
     """
-    seats = vectors.groupBy("dim").agg(F.max("vb").alias("last"))
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    seats = SEATS * spark.sparkContext.defaultParallelism
+    of_v = vectors.select("dim", "vb", F.pmod("vb", F.lit(seats)).alias("seat"), F.col("ids").alias("v_ids"), F.col("body").alias("v_body"))
+    taken = vectors.groupBy("dim").agg(F.least(F.max("vb"), F.lit(seats - 1)).alias("last"))
     of_q = queries.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.col("state").alias("q_state"))
-    dealt = of_q.join(F.broadcast(seats), "dim").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).drop("last")
-    of_v = vectors.select("dim", "vb", F.col("ids").alias("v_ids"), F.col("body").alias("v_body"))
-    return dealt.join(of_v, ["dim", "vb"])
+    dealt = of_q.join(F.broadcast(taken), "dim").withColumn("seat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last")))).drop("last")
+    # A fixed count: bytes are few for the work they make, so adaptive coalescing would put them in one task.
+    return dealt.repartition(seats, "dim", "seat").join(of_v.repartition(seats, "dim", "seat"), ["dim", "seat"])
+
+
+def _counts(scores: np.ndarray, state: np.ndarray, width: int) -> np.ndarray:
+    """Per query, how many open scores fall into each bin."""
+    low, high = state[:, :1], state[:, 1:2]
+    open_ = (scores >= low) & (scores <= high)
+    if 4 * np.count_nonzero(open_) < open_.size:
+        r, c = np.nonzero(open_)
+        bins = (scores[r, c] - state[r, 0]) // width
+        size = int(bins.max(initial=0)) + 1
+        return np.bincount(r * size + bins, minlength=len(scores) * size).reshape(len(scores), size)
+    # Most are open: all are counted, the others in a bin of their own.
+    bins = (scores - low) // width + 1
+    bins[~open_] = 0
+    size = int(bins.max(initial=0)) + 1
+    bins += np.arange(len(scores))[:, None] * size
+    return np.bincount(bins.ravel(), minlength=len(scores) * size).reshape(len(scores), size)[:, 1:]
 
 
 def _tops(pairs: DataFrame, width: int) -> DataFrame:
@@ -94,46 +125,46 @@ def _tops(pairs: DataFrame, width: int) -> DataFrame:
     highest are settled, scores below the lowest are out.
     """
 
-    def run(pair):
-        row = pair.to_pylist()[0]
-        q_ids, q = _opened(row["q_ids"], row["q_body"], row["dim"])
-        v_ids, v = _opened(row["v_ids"], row["v_body"], row["dim"])
-        state = np.frombuffer(row["q_state"], np.int64).reshape(-1, 3)
-        scores = _product(q, v)
-        own = q_ids[:, None] == v_ids[None, :] if np.intersect1d(q_ids, v_ids).size else None
-        low, high = state[:, :1], state[:, 1:2]
-        open_ = (scores >= low) & (scores <= high)
-        if own is not None:
-            open_ &= ~own
-        r, c = np.nonzero(open_)
-        bins = (scores[r, c] - state[r, 0]) // width
-        size = int(bins.max(initial=0)) + 1
-        counts = np.bincount(r * size + bins, minlength=len(q) * size).reshape(len(q), size)
-        above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
-        qi, b = np.nonzero((counts > 0) & (above < state[:, 2:3]))
-        return pa.Table.from_arrays([pa.array(q_ids[qi]), pa.array(b.astype(np.int64)), pa.array(counts[qi, b].astype(np.int64))], ["vec_id", "bin", "n"])
+    def run(batches):
+        for row in (row for batch in batches for row in _rows(batch)):
+            q_ids, q = _opened(row["q_ids"], row["q_body"], row["dim"])
+            v_ids, v = _opened(row["v_ids"], row["v_body"], row["dim"])
+            state = np.frombuffer(row["q_state"], np.int64).reshape(-1, 3)
+            scores = _product(q, v)
+            if np.intersect1d(q_ids, v_ids).size:
+                # A query's own row is out: lower than anything open.
+                scores[q_ids[:, None] == v_ids[None, :]] = state[:, 0].min() - 1
+            counts = _counts(scores, state, width)
+            above = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
+            qi, b = np.nonzero((counts > 0) & (above < state[:, 2:3]))
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(b.astype(np.int64)), pa.array(counts[qi, b].astype(np.int64))], ["vec_id", "bin", "n"])
 
-    return pairs.groupBy("dim", "vb", "qb").applyInArrow(run, "vec_id bigint, bin bigint, n bigint")
+    return pairs.mapInArrow(run, "vec_id bigint, bin bigint, n bigint")
 
 
 def _last(pairs: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score``: scores above the query's kth value, and of the equal ones a block's ``k`` smallest ids."""
 
-    def run(pair):
-        row = pair.to_pylist()[0]
-        q_ids, q = _opened(row["q_ids"], row["q_body"], row["dim"])
-        v_ids, v = _opened(row["v_ids"], row["v_body"], row["dim"])
-        kth = np.frombuffer(row["q_state"], np.int64).reshape(-1, 3)[:, :1]
-        scores = _product(q, v)
-        good = scores >= kth
-        if np.intersect1d(q_ids, v_ids).size:
-            good &= q_ids[:, None] != v_ids[None, :]
-        tie = good & (scores == kth)
-        good &= ~tie | (np.cumsum(tie, 1) <= k)  # a block's ids ascend
-        r, c = np.nonzero(good)
-        return pa.Table.from_arrays([pa.array(q_ids[r]), pa.array(v_ids[c]), pa.array(scores[r, c])], ["query_id", "vec_id", "score"])
-
-    return pairs.groupBy("dim", "vb", "qb").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    def run(batches):
+        for row in (row for batch in batches for row in _rows(batch)):
+            q_ids, q = _opened(row["q_ids"], row["q_body"], row["dim"])
+            v_ids, v = _opened(row["v_ids"], row["v_body"], row["dim"])
+            kth = np.frombuffer(row["q_state"], np.int64).reshape(-1, 3)[:, :1]
+            scores = _product(q, v)
+            good = scores >= kth
+            if np.intersect1d(q_ids, v_ids).size:
+                good &= q_ids[:, None] != v_ids[None, :]
+            r, c = np.nonzero(good)
+            # A block's ids ascend, so a row's ties do.
+            tie = scores[r, c] == kth[r, 0]
+            upto = np.cumsum(tie)
+            first = np.searchsorted(r, np.arange(len(q_ids)))
+            rank = upto - (upto - tie)[np.minimum(first, max(len(r) - 1, 0))][r] if len(r) else upto
+            few = ~tie | (rank <= k)
+            r, c = r[few], c[few]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(v_ids[c]), pa.array(scores[r, c])], ["query_id", "vec_id", "score"])
+
+    return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -274,6 +274,27 @@ def test_top_k_with_ties_and_odd_rows(spark):
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_top_k_shuffles_no_pairs(spark):
+    blocks = spark.range(1).selectExpr("2 AS dim", "0L AS vb", "0L AS qb", "CAST('' AS BINARY) AS ids", "CAST('' AS BINARY) AS body", "CAST('' AS BINARY) AS state")
+    pairs = topk._pairs(blocks.drop("vb"), blocks.drop("qb"))
+    for out in (topk._tops(pairs, 1), topk._last(pairs, 7)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("Join")], "pairs of blocks are used where they are joined"
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "VECTORS", 4)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.integers(-3, 4, 2).tolist() for i in range(120)}
+    q = spark.createDataFrame(list(vectors.items()), "vec_id bigint, q array<bigint>")
+    got = {}
+    for r in topk.top_k(q, q.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    score = lambda a, b: sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True))
+    assert got == {a: sorted(((b, score(a, b)) for b in vectors if b != a), key=lambda t: (-t[1], t[0]))[:5] for a in range(0, 120, 20)}
+
+
 def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 64))
