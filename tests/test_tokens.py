@@ -233,3 +233,18 @@ def test_too_many_waiting_tokens_fail_the_stream(spark, tmp_path):
     stream = spark.readStream.schema("stream_id bigint, pos bigint, id bigint, is_end boolean").parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="stream 77: 29 tokens wait for position 0"):
         drain(spark, stream_detokenize(stream, vocab, "byte_level", most_waiting=20), str(tmp_path / "run"), partitions=1)
+
+
+def test_detokenize_joins_and_decodes_once(spark):
+    """The parts of blocks serve both the texts and what blocks gain from those after them."""
+    tokens, vocab = token_tables(spark, [[b"a", b" b"], [b"c"]], "byte_level")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = K.detokenize(tokens, vocab, "byte_level")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan
+    assert plan.count("SortMergeJoin") == 2, "one with the vocabulary, one of blocks"
