@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from agentlake.functions.numbers import rate_gbps
+from agentlake.streaming.buckets import BucketProcessor, bucket, columns
 from agentlake.streaming.run import before_end, milliseconds
 
 _KEYS = ["transfer_id", "path", "start_ts"]
 _PART = "transfer_id bigint, path string, start_ts timestamp, ts timestamp, chunks bigint, bytes bigint, end_no bigint"
-_CLOSED = "transfer_id bigint, path string, start_ts timestamp, chunks bigint, bytes bigint, ended double"
+_CLOSED = "transfer_id bigint, path string, start_us bigint, chunks bigint, bytes bigint, ended double"
 
 
 def _combined(batches):
@@ -30,7 +29,7 @@ def _combined(batches):
         yield from sums.select([c.split()[0] for c in _PART.split(", ")]).combine_chunks().to_batches()
 
 
-class FileProcessor(StatefulProcessor):
+class FileProcessor(BucketProcessor):
     """Adds up a file's chunks until it is complete, reports it once, and forgets it.
 
     A reported file leaves a mark until the watermark has passed its last chunk; from then
@@ -38,37 +37,26 @@ class FileProcessor(StatefulProcessor):
     nothing stays. A file that never completes is forgotten ``idle`` after its last chunk.
     """
 
+    name, out = "file", [c.split()[0] for c in _CLOSED.split(", ")]
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
-    def init(self, handle):
-        self.handle = handle
-        self.state = handle.getValueState("file", "chunks bigint, bytes bigint, last bigint, end_no bigint, closed boolean, due bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        chunks, size, last, end_no, closed, due = self.state.get() if self.state.exists() else (0, 0, None, None, False, None)
-        for pdf in rows:
-            newest = int(pdf["ts_us"].max())
+    def take(self, held, pdf, timerValues):
+        for *file, newest, n, size, mark in columns(pdf, ["transfer_id", "path", "start_us", "ts_us", "chunks", "bytes", "end_no"]):
+            key = tuple(file)
+            _, chunks, total, last, end_no, closed = held.get(key) or (None, 0, 0, None, None, False)
             last = newest if last is None else max(last, newest)
-            chunks, size = chunks + int(pdf["chunks"].sum()), size + int(pdf["bytes"].sum())
-            marks = pdf["end_no"].dropna()
-            end_no = int(marks.max()) if len(marks) else end_no
-        if not closed and end_no is not None and chunks >= end_no:
-            closed = True
-            yield pd.DataFrame([(*key, chunks, size, last / 1e6)], columns=[c.split()[0] for c in _CLOSED.split(", ")])
-        at = last // 1000 + (1 if closed else self.idle_ms)
-        if at != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(at)
-        self.state.update((chunks, size, last, end_no, closed, at))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield pd.DataFrame(columns=[c.split()[0] for c in _CLOSED.split(", ")])
-
-    def close(self):
-        pass
+            chunks, total = chunks + int(n), total + int(size)
+            if mark is not None:
+                end_no = int(mark) if end_no is None else max(end_no, int(mark))
+            held[key] = [last // 1000 + (1 if closed else self.idle_ms), chunks, total, last, end_no, closed]
+        # Judged on all rows of the batch, so that what comes with the last chunk counts.
+        for key in dict.fromkeys(columns(pdf, ["transfer_id", "path", "start_us"])):
+            _, chunks, total, last, end_no, closed = held[key]
+            if not closed and end_no is not None and chunks >= end_no:
+                held[key] = [last // 1000 + 1, chunks, total, last, end_no, True]
+                yield (*key, chunks, total, last / 1e6)
 
 
 def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, late: str = "1 hour", idle: str = "7 days") -> DataFrame:
@@ -79,15 +67,15 @@ def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, late: str =
     marker; ``manifest`` a static table of expected sizes. A chunk comes once; whatever
     comes after a file is complete is ignored.
 
-    Chunk rows are combined before the shuffle, and the state is one row per file that is
-    open or was completed within ``late``.
+    Chunk rows are combined before the shuffle, and the state holds, in buckets, the files that
+    are open or were completed within ``late``.
     """
     slim = chunks.selectExpr("CAST(transfer_id AS BIGINT) AS transfer_id", "path", "start_ts", "ts", "CAST(chunk_no AS BIGINT) AS chunk_no", "CAST(actual_size AS BIGINT) AS actual_size")
     parts = before_end(slim.mapInArrow(_combined, _PART).withWatermark("ts", late), "ts")
-    files = parts.withColumn("ts_us", F.unix_micros("ts")).groupBy(*_KEYS)
+    files = parts.select(bucket(*_KEYS), "*", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("ts").alias("ts_us")).groupBy("bucket")
     closed = files.transformWithStateInPandas(FileProcessor(milliseconds(idle)), _CLOSED, "append", "EventTime")
     expected = manifest.select("transfer_id", "path", F.col("size").alias("expected"))
-    elapsed = F.col("ended") - F.col("start_ts").cast("double")
+    elapsed = F.col("ended") - F.timestamp_micros("start_us").cast("double")
     return closed.join(expected, ["transfer_id", "path"], "left").select(
         "transfer_id",
         "path",

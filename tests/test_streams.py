@@ -256,3 +256,22 @@ def test_hot_file_is_combined_before_the_shuffle(spark, tmp_path):
     expected = spark.createDataFrame([(1, "hot", 4999 * 3)], "transfer_id bigint, path string, size bigint")
     got = drain(spark, stream_transfer_progress(as_stream(spark, hot, str(tmp_path / "in"), ["true"]), expected), str(tmp_path / "run"), partitions=2).collect()
     assert [(r.chunks, r.bytes, r.size_ok) for r in got] == [(4999, 4999 * 3, True)]
+
+
+def test_files_share_entries_of_the_state(spark, tmp_path, monkeypatch):
+    from agentlake.streaming import buckets
+
+    monkeypatch.setattr(buckets, "BUCKETS", 4)
+    chunks = spark.range(600).selectExpr(
+        "1L AS transfer_id", "concat('f', id % 200) AS path", "id div 200 AS chunk_no", "IF(id < 400, 5L, 0L) AS actual_size",
+        "TIMESTAMP'2024-01-01 00:00:00' AS start_ts", "timestamp_seconds(1704067201 + id div 200) AS ts",
+    ).where("path <> 'f7' OR chunk_no <> 1")
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    expected = chunks.groupBy("transfer_id", "path").agg(F.sum("actual_size").alias("size"))
+    progress = stream_transfer_progress(as_stream(spark, chunks, source, ["chunk_no = 2", "chunk_no = 0", "chunk_no = 1"]), expected, late="1 hour")
+    got = drain(spark, progress, run, partitions=2).collect()
+    assert sorted((r.path, r.chunks, r.bytes, r.elapsed, r.size_ok) for r in got) == sorted((f"f{i}", 2, 10, 3.0, True) for i in range(200) if i != 7)
+    assert 0 < left_in(spark, run, "file") <= 4
+    mark_end(spark, chunks.schema, source, "ts")
+    drain(spark, progress, run, partitions=2)
+    assert left_in(spark, run, "file") == 0
