@@ -25,6 +25,13 @@ class GapBuffer:
         self.columns = list(columns)
         self.waiting = handle.getMapState(name, "span bigint", ", ".join(f"{c} array<{t}>" for c, t in columns.items()))
 
+    @classmethod
+    def over(cls, waiting, columns: list[str]) -> GapBuffer:
+        """A buffer that keeps its rows in a map that is there already."""
+        buffer = cls.__new__(cls)
+        buffer.columns, buffer.waiting = columns, waiting
+        return buffer
+
     def pass_on(self, rows: pd.DataFrame, expected: int, first: int | None) -> Iterator[tuple[pd.DataFrame, int, int | None]]:
         """Runs that continue from ``expected``, with the next expected position and the first waiting one.
 
@@ -89,6 +96,32 @@ class GapBuffer:
         return int(self._load(min(spans))["position"].min()) if spans else None
 
 
+class MapOfKey:
+    """The entries of one key in a map state that several share, with the key in front of each entry's own."""
+
+    def __init__(self, entries, key):
+        self.entries, self.key = entries, key
+
+    def getValue(self, at: tuple) -> tuple:
+        return self.entries.getValue((self.key, *at))
+
+    def updateValue(self, at: tuple, value: tuple) -> None:
+        self.entries.updateValue((self.key, *at), value)
+
+    def containsKey(self, at: tuple) -> bool:
+        return self.entries.containsKey((self.key, *at))
+
+    def removeKey(self, at: tuple) -> None:
+        self.entries.removeKey((self.key, *at))
+
+    def keys(self) -> list[tuple]:
+        return [at[1:] for at in map(tuple, self.entries.keys()) if at[0] == self.key]
+
+    def clear(self) -> None:
+        for at in self.keys():
+            self.removeKey(at)
+
+
 def _run(positions: pd.Series, expected: int) -> int:
     """How many of the ascending positions follow on from ``expected`` without a gap."""
     return int((positions.to_numpy() == np.arange(expected, expected + len(positions))).cumprod().sum())

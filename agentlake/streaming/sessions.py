@@ -14,11 +14,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from agentlake.functions.calls import parse_calls
 from agentlake.operators.sessions import MAX_ITERATIONS
-from agentlake.streaming.gaps import GapBuffer
+from agentlake.streaming.buckets import BucketProcessor, bucket, columns
+from agentlake.streaming.gaps import GapBuffer, MapOfKey
 from agentlake.streaming.run import before_end, milliseconds
 
 SESSION_OUT = (
@@ -26,103 +26,81 @@ SESSION_OUT = (
     "final_output string, success boolean"
 )
 ALERT_OUT = "session_id bigint, seq bigint, cached_tokens bigint"
+#: Rows of a session that may wait beside those of others.
+MOST_WAITING = 1 << 10
 
 
-class _Timed(StatefulProcessor):
-    """A processor with one event-time timer per key, or a processing-time one."""
+class _Timed(BucketProcessor):
+    """Sessions in buckets, each due a while after its newest row: by event time, by processing time, or never."""
 
     def __init__(self, idle_ms: int | None = None, ttl_ms: int | None = None):
         self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
 
-    def init(self, handle):
-        self.handle = handle
-        self.due = handle.getValueState("due", "at bigint") if self.idle_ms is not None else None
-
-    def push_back(self, latest: int | None, timerValues) -> None:
-        """Moves the key's timer behind its newest row."""
-        if self.due is not None and latest is not None:
-            at, old = latest + self.idle_ms, self.due.get()[0] if self.due.exists() else None
-            if old is None or at > old:
-                if old is not None:
-                    self.handle.deleteTimer(old)
-                self.handle.registerTimer(at)
-                self.due.update((at,))
-        elif self.ttl_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
-
-    def close(self):
-        pass
+    def now(self, timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() if self.idle_ms is not None else timerValues.getCurrentProcessingTimeInMs()
+
+    def due_at(self, due: int | None, clock: int | None, timerValues) -> int | None:
+        """When a session is due that was due at ``due`` and got a row of time ``clock``."""
+        if self.idle_ms is not None:
+            at = None if clock is None else clock + self.idle_ms
+            return due if at is None or (due is not None and due >= at) else at
+        return None if self.ttl_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
 
 
 class SessionProcessor(_Timed):
-    """Counts a session's responses in order until it ends; later ones are ignored."""
+    """Counts a session's responses in order until it ends; later ones are ignored.
+
+    Responses ahead of a gap wait; there are less than ``cap`` of them, as later ones are left out before.
+    """
+
+    name, out = "session", [c.split()[0] for c in SESSION_OUT.split(", ")]
 
     def __init__(self, cap: int, idle_ms: int | None, ttl_ms: int | None):
         super().__init__(idle_ms, ttl_ms)
         self.cap = cap
 
-    def init(self, handle):
-        super().init(handle)
-        self.state = handle.getValueState(
-            "session", "next bigint, first bigint, n bigint, calls string, tokens bigint, seconds double, text string, ended boolean"
-        )
-        columns = "position bigint, tokens bigint, elapsed double, is_error boolean, n_calls int, call_names string, content string"
-        self.buffer = GapBuffer(handle, "waiting", dict(c.split() for c in columns.split(", ")))
-
-    def _count(self, rows, held):
-        """The session after ``rows``: ``(n, calls, tokens, seconds, text, ended, success)``."""
-        n, calls, tokens, seconds, text = held
-        for row in rows.itertuples(index=False):
-            n, seconds = n + 1, seconds + row.elapsed
-            if not row.is_error:
-                tokens, text = tokens + row.tokens, row.content
-                if row.n_calls:
-                    calls = f"{calls},{row.call_names}" if calls else row.call_names
-            success = not row.is_error and row.n_calls == 0
-            if success or n >= self.cap:
-                return (n, calls, tokens, seconds, text), True, success
-        return (n, calls, tokens, seconds, text), False, False
-
-    def _emit(self, key, held, success):
-        n, calls, tokens, seconds, text = held
-        row = (key[0], n, calls, int(tokens), float(seconds), text, bool(success))
-        return pd.DataFrame([row], columns=[c.split()[0] for c in SESSION_OUT.split(", ")])
-
-    def handleInputRows(self, key, rows, timerValues):
-        expected, first, *held, ended = self.state.get() if self.state.exists() else (0, None, 0, "", 0, 0.0, "", False)
-        held, latest, before = tuple(held), None, ended
-        for pdf in rows:
-            newest = pdf["clock"].max()
-            latest = newest if latest is None else max(latest, newest)
-            if ended:
-                continue
-            for run, expected, first in self.buffer.pass_on(pdf, expected, first):
-                held, ended, success = self._count(run, held)
-                if ended:
-                    yield self._emit(key, held, success)
-                    self.buffer.clear()
-                    held, first = (0, "", 0, 0.0, ""), None
-                    break
-        if not before:
-            n, calls, tokens, seconds, text = held
-            self.state.update((int(expected), first, n, calls, int(tokens), float(seconds), text, ended))
-        self.push_back(None if latest is None or pd.isna(latest) else int(latest), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        _, _, *held, ended = self.state.get()
-        held, success = tuple(held), False
-        if not ended:
-            for rows in self.buffer.remaining():
-                held, ended, success = self._count(rows, held)
+    def _count(self, row, sums):
+        """The session after a row: its sums ``(n, calls, tokens, seconds, text)``, whether it ended, and by success."""
+        n, calls, tokens, seconds, text = sums
+        size, elapsed, is_error, n_calls, names, content = row
+        n, seconds = n + 1, seconds + elapsed
+        if not is_error:
+            tokens, text = tokens + size, content
+            if n_calls:
+                calls = f"{calls},{names}" if calls else names
+        success = not is_error and n_calls == 0
+        return (n, calls, tokens, seconds, text), success or n >= self.cap, success
+
+    @staticmethod
+    def _row(session, sums, success):
+        n, calls, tokens, seconds, text = sums
+        return session, n, calls, int(tokens), float(seconds), text, bool(success)
+
+    def take(self, held, pdf, timerValues):
+        names = ["session_id", "position", "clock", "tokens", "elapsed", "is_error", "n_calls", "call_names", "content"]
+        for session, position, clock, *row in columns(pdf, names):
+            due, expected, sums, ended, waiting = held.get(session) or (None, 0, (0, "", 0, 0.0, ""), False, {})
+            due = self.due_at(due, clock, timerValues)
+            if not ended and position >= expected:
+                waiting.setdefault(position, row)
+                while not ended and expected in waiting:
+                    sums, ended, success = self._count(waiting.pop(expected), sums)
+                    expected += 1
                 if ended:
-                    break
-            yield self._emit(key, held, success)
-        self.state.clear()
-        self.buffer.clear()
-        if self.due is not None:
-            self.due.clear()
+                    yield self._row(session, sums, success)
+                    sums, waiting = None, None
+            held[session] = [due, expected, sums, ended, waiting]
+
+    def expire(self, session, kept):
+        _, _, sums, ended, waiting = kept
+        if ended:
+            return
+        success = False
+        for position in sorted(waiting):
+            sums, ended, success = self._count(waiting[position], sums)
+            if ended:
+                break
+        yield self._row(session, sums, success)
 
 
 def _clocked(df: DataFrame, clock: str | None, late: str):
@@ -180,11 +158,17 @@ def stream_sessions(
     )
     mode = "EventTime" if clock else "ProcessingTime" if ttl_ms is not None else "None"
     processor = SessionProcessor(cap, milliseconds(idle) if clock else None, None if clock else ttl_ms)
-    return parsed.groupBy("session_id").transformWithStateInPandas(processor, SESSION_OUT, "append", mode)
+    return parsed.select(bucket("session_id"), "*").groupBy("bucket").transformWithStateInPandas(processor, SESSION_OUT, "append", mode)
 
 
 class CacheProcessor(_Timed):
-    """Running tokens per session since the last reset, in order of position."""
+    """Running tokens per session since the last reset, in order of position.
+
+    Rows ahead of a gap wait with their session while they are at most ``MOST_WAITING``; beyond
+    that the session's go to a ``GapBuffer``, which reads only the span that is under work.
+    """
+
+    name, out = "cached", [c.split()[0] for c in ALERT_OUT.split(", ")]
 
     def __init__(self, limit: int, idle_ms: int | None):
         super().__init__(idle_ms)
@@ -192,40 +176,64 @@ class CacheProcessor(_Timed):
 
     def init(self, handle):
         super().init(handle)
-        self.state = handle.getValueState("cached", "next bigint, first bigint, tokens bigint")
-        self.buffer = GapBuffer(handle, "waiting", {"position": "bigint", "seq": "bigint", "tokens": "bigint", "reset": "boolean"})
-
-    def _run(self, key, rows, carry):
-        """Alerts of a run of rows, and what the cache holds after it."""
-        tokens, reset = rows["tokens"].astype("int64"), rows["reset"].astype(bool)
-        run = tokens.cumsum()
-        # A reset row opens a new run with its own value.
-        opened = (run - tokens).where(reset).ffill()
-        cached = (run - opened).fillna(run + carry).astype("int64")
-        over = cached > self.limit
-        return pd.DataFrame({"session_id": key[0], "seq": rows["seq"][over], "cached_tokens": cached[over]}), int(cached.iloc[-1])
-
-    def handleInputRows(self, key, rows, timerValues):
-        expected, first, carry = self.state.get() if self.state.exists() else (0, None, 0)
-        latest = None
-        for pdf in rows:
-            newest = pdf["clock"].max()
-            latest = newest if latest is None else max(latest, newest)
-            for run, expected, first in self.buffer.pass_on(pdf, expected, first):
-                if len(run):
-                    alerts, carry = self._run(key, run, carry)
-                    yield alerts
-        self.state.update((int(expected), first, carry))
-        self.push_back(None if latest is None or pd.isna(latest) else int(latest), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        carry = self.state.get()[2]
-        for rows in self.buffer.remaining():
-            alerts, carry = self._run(key, rows, carry)
-            yield alerts
-        self.state.clear()
-        self.buffer.clear()
-        self.due.clear()
+        kinds = {"position": "bigint", "seq": "bigint", "tokens": "bigint", "reset": "boolean"}
+        spans = ", ".join(f"{c} array<{t}>" for c, t in kinds.items())
+        self.spans = handle.getMapState("waiting", "session_id bigint, span bigint", spans)
+        self.columns = list(kinds)
+
+    def _buffer(self, session) -> GapBuffer:
+        return GapBuffer.over(MapOfKey(self.spans, session), self.columns)
+
+    def _sum(self, session, carry, row):
+        """Tokens held after a row, and the alert it raises, if any."""
+        seq, tokens, reset = row
+        carry = tokens if reset else carry + tokens
+        return carry, ((session, seq, carry) if carry > self.limit else None)
+
+    def _run(self, session, rows, carry, alerts):
+        for row in rows[["seq", "tokens", "reset"]].itertuples(index=False):
+            carry, alert = self._sum(session, carry, (int(row.seq), int(row.tokens), bool(row.reset)))
+            if alert:
+                alerts.append(alert)
+        return carry
+
+    def take(self, held, pdf, timerValues):
+        alerts, large = [], {}
+        for session, position, clock, *row in columns(pdf, ["session_id", "position", "clock", "seq", "tokens", "reset"]):
+            due, expected, carry, first, waiting = held.get(session) or (None, 0, 0, None, {})
+            due = self.due_at(due, clock, timerValues)
+            if waiting is None:
+                large.setdefault(session, []).append((position, *row))
+            elif position >= expected:
+                waiting.setdefault(position, row)
+                while expected in waiting:
+                    carry, alert = self._sum(session, carry, waiting.pop(expected))
+                    expected += 1
+                    if alert:
+                        alerts.append(alert)
+                if len(waiting) > MOST_WAITING:
+                    large[session], waiting = [(at, *r) for at, r in waiting.items()], None
+            held[session] = [due, expected, carry, first, waiting]
+        for session, rows in large.items():
+            due, expected, carry, first, _ = held[session]
+            for run, expected, first in self._buffer(session).pass_on(pd.DataFrame(rows, columns=self.columns), expected, first):
+                carry = self._run(session, run, carry, alerts)
+            held[session] = [due, int(expected), carry, first, None if first is not None else {}]
+        return alerts
+
+    def expire(self, session, kept):
+        _, _, carry, _, waiting = kept
+        alerts = []
+        if waiting is None:
+            buffer = self._buffer(session)
+            for rows in buffer.remaining():
+                carry = self._run(session, rows, carry, alerts)
+            buffer.clear()
+        for position in sorted(waiting or ()):
+            carry, alert = self._sum(session, carry, waiting[position])
+            if alert:
+                alerts.append(alert)
+        return alerts
 
 
 def stream_cache_growth(
@@ -248,4 +256,4 @@ def stream_cache_growth(
         *([F.col(clock).alias("event_time")] if clock else []),
     )
     processor = CacheProcessor(limit, milliseconds(idle) if clock else None)
-    return slim.groupBy("session_id").transformWithStateInPandas(processor, ALERT_OUT, "append", "EventTime" if clock else "None")
+    return slim.select(bucket("session_id"), "*").groupBy("bucket").transformWithStateInPandas(processor, ALERT_OUT, "append", "EventTime" if clock else "None")

@@ -275,3 +275,21 @@ def test_files_share_entries_of_the_state(spark, tmp_path, monkeypatch):
     mark_end(spark, chunks.schema, source, "ts")
     drain(spark, progress, run, partitions=2)
     assert left_in(spark, run, "file") == 0
+
+
+def test_sessions_share_entries_of_the_state(spark, responses, tmp_path, monkeypatch):
+    from agentlake.streaming import buckets, sessions
+
+    monkeypatch.setattr(buckets, "BUCKETS", 2)
+    many = responses.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).withColumn("session_id", F.expr("session_id + 10 * copy")).drop("copy")
+    stream = as_stream(spark, many, str(tmp_path / "in"), ["seq % 3 = 2", "seq % 3 = 0"])
+    got = drain(spark, stream_sessions(stream, position="seq"), str(tmp_path / "run"), partitions=2)
+    assert {r.session_id for r in got.collect()} == {s + 10 * c for s in (5, 6) for c in range(20)}
+    assert 0 < left_in(spark, str(tmp_path / "run"), "session") <= 2
+    # More rows of a session wait than its bucket holds.
+    monkeypatch.setattr(sessions, "MOST_WAITING", 5)
+    usage = spark.range(400).selectExpr("id % 3 AS session_id", "id AS seq", "id div 3 AS position", "id % 11 AS tokens", "id % 97 = 0 AS fresh")
+    stream = as_stream(spark, usage, str(tmp_path / "usage"), ["position > 60", "position % 2 = 1 AND position <= 60", "position % 2 = 0 AND position <= 60"])
+    got = drain(spark, stream_cache_growth(stream, 60, "fresh"), str(tmp_path / "sums"), partitions=2)
+    want = S.cumulative_tokens(usage, 60, reset="fresh").where("over_limit").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
