@@ -248,3 +248,20 @@ def test_detokenize_joins_and_decodes_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "ReusedExchange" in plan
     assert plan.count("SortMergeJoin") == 2, "one with the vocabulary, one of blocks"
+
+
+def test_streams_of_tokens_share_entries_of_the_state(spark, tmp_path, monkeypatch):
+    from agentlake.streaming import buckets
+
+    monkeypatch.setattr(buckets, "BUCKETS", 2)
+    vocab = spark.createDataFrame([(0, "ab"), (1, "Ġc")], "id bigint, token string")
+    tokens = spark.range(400).selectExpr("id % 100 AS stream_id", "id div 100 AS pos", "id % 2 AS id", "id >= 300 AS is_end")
+    source, run = str(tmp_path / "in"), str(tmp_path / "run")
+    tokens.where("pos = 1 OR pos = 3").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(tokens.schema).parquet(source)
+    assert drain(spark, stream_detokenize(stream, vocab, "byte_level"), run, partitions=2).count() == 0
+    assert spark.read.format("statestore").option("stateVarName", "text").load(f"{run}/checkpoint").count() == 2
+    tokens.where("pos = 0 OR pos = 2").coalesce(1).write.mode("append").parquet(source)
+    got = drain(spark, stream_detokenize(stream, vocab, "byte_level"), run, partitions=2).collect()
+    assert sorted(map(tuple, got)) == [(s, 0, "abababab" if s % 2 == 0 else "c c c c") for s in range(100)]
+    assert spark.read.format("statestore").option("stateVarName", "text").load(f"{run}/checkpoint").count() == 0
