@@ -251,7 +251,7 @@ def model_session_averages(spark, sf_dir):
 
 
 #: A chat template for each call format that can be inferred, in the order of its number.
-_TEMPLATES = [markers[0] for _, markers in C.TEMPLATE_MARKERS] + ["<tool_call>{{ tool_call.name }}"]
+_TURN_TEMPLATES = [markers[0] for _, markers in C.TEMPLATE_MARKERS] + ["<tool_call>{{ tool_call.name }}"]
 _FORMATS = [name for name, _ in C.TEMPLATE_MARKERS] + ["json_tools", "python_tag"]
 _FMT_SQL = f"[{', '.join(repr(f) for f in _FORMATS)}][CAST(seq % 10 AS INT) + 1]"
 
@@ -264,7 +264,7 @@ UNION ALL
 SELECT session_id, seq, {_FMT_SQL}, NULL, NULL, concat('No parser for format: ', {_FMT_SQL}) FROM turns WHERE seq % 10 < 8""")
 def parse_calls_lateral(spark, sf_dir):
     """Texts of ten formats, each told by its chat template and parsed by what that selects."""
-    template = F.when(F.col("seq") % 10 < 9, F.array(*map(F.lit, _TEMPLATES))[(F.col("seq") % 10).cast("int")]).otherwise("plain")
+    template = F.when(F.col("seq") % 10 < 9, F.array(*map(F.lit, _TURN_TEMPLATES))[(F.col("seq") % 10).cast("int")]).otherwise("plain")
     texts = turns(spark, sf_dir).select(
         "session_id", "seq", F.coalesce(C.infer_tool_format(template), F.lit("python_tag")).alias("fmt"), F.col("content").alias("text")
     )
