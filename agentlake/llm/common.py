@@ -22,9 +22,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, not the plan before.
+    The driver lets go of what the plan before left behind, so its memory does not grow with
+    the number of tables that an operator writes.
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,13 +19,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     proper = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = written(proper.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "links")
+    seen = _digest(edges)
     for _ in range(rounds):
-        star = _large(edges)
-        after = written(_small(star), "links")
-        if _equal(edges, after):
+        edges, before = written(_small(_large(edges)), "links"), seen
+        seen = _digest(edges)
+        if seen == before:
             # Stable: every node points at its component's smallest node.
-            return after.selectExpr("a AS node", "b AS component").unionAll(after.selectExpr("b AS node", "b AS component").distinct())
-        edges = after
+            return edges.selectExpr("a AS node", "b AS component").unionAll(edges.selectExpr("b AS node", "b AS component").distinct())
     raise RuntimeError(f"components not stable after {rounds} rounds")
 
 
@@ -45,6 +45,6 @@ def _small(edges: DataFrame) -> DataFrame:
     return least.selectExpr("a", "m AS b").unionAll(others).distinct()
 
 
-def _equal(before: DataFrame, after: DataFrame) -> bool:
-    digest = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    return before.agg(*digest).first() == after.agg(*digest).first()
+def _digest(edges: DataFrame) -> tuple:
+    """Number and sum of hashes: equal for the same edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

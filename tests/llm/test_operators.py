@@ -161,6 +161,14 @@ def brute_components(texts):
     return sets, components_of(links, range(len(sets)))
 
 
+def test_written_tables_let_the_driver_drop_what_came_before(spark, monkeypatch):
+    """Over the parts of an operator the driver's memory grew with the jobs behind them."""
+    settled = []
+    monkeypatch.setattr(common, "settle", settled.append)
+    assert common.written(spark.range(3).repartition(2), "let-go").count() == 3
+    assert settled == [spark]
+
+
 def test_jaccard_components(spark):
     texts = sample_texts()
     base = "q w e r t y u i o p".split()
