@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions.binding import let
@@ -22,6 +22,20 @@ from agentlake.functions.binding import let
 BLOCK = 1 << 20
 
 
+# Rows that a task sorts or groups at a time, about, where a table's size is known.
+PART_ROWS = 1 << 20
+
+
+def parts_for(spark: SparkSession, rows: int, most: int = PART_ROWS) -> int | None:
+    """Partitions of about ``most`` rows, no fewer than the session's; None for tables of few of them.
+
+    Left to itself Spark fixes the number whatever the size, and puts small partitions together.
+    """
+    if rows <= 8 * most:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
 def _window(keys: Sequence[str], order: str, end: int):
     window = Window.partitionBy(*keys) if keys else Window.partitionBy()
     return window.orderBy(order).rowsBetween(Window.unboundedPreceding, end)
@@ -61,19 +75,23 @@ def running(
     inclusive: bool = True,
     levels: int = 2,
     block: int = BLOCK,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` per key in the order of ``order``.
 
     ``order`` is a non-negative integer, unique within its key; keys are not NULL.
-    With ``inclusive=False`` the row's own value is left out.
+    With ``inclusive=False`` the row's own value is left out. Blocks are dealt to
+    ``parts`` partitions (``parts_for``), or to as many as Spark takes.
     """
     blk, carry, total = f"_blk{levels}", f"_carry{levels}", f"_total{levels}"
     blocked = _cut(df, order, blk, block)
     totals = blocked.groupBy(*keys, blk).agg(F.sum(value).alias(total))
     if levels > 1:
-        totals = running(totals, keys, blk, total, carry, False, levels - 1, block)
+        totals = running(totals, keys, blk, total, carry, False, levels - 1, block, parts)
     else:
         totals = totals.withColumn(carry, F.sum(total).over(_before(keys, blk)))
+    if parts:
+        blocked = blocked.repartition(parts, *keys, blk)
     carried = _join_blocks(blocked, totals.select(*keys, blk, carry), keys, blk, carry)
     inside = F.sum(value).over((_upto if inclusive else _before)([*keys, blk], order))
     filled = F.coalesce(inside, F.lit(0)) + F.coalesce(F.col(carry), F.lit(0))

@@ -1,6 +1,7 @@
 """Blocked scans against pandas, with blocks small enough to matter."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from agentlake.operators import scans, splits
 from agentlake.operators import sessions as S
+from agentlake.plans import tables
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +190,30 @@ def test_large_order_values_of_one_key(spark, levels):
     both = scans.previous(scans.running_since_reset(total, ["k"], "o", "v", "r", "t", levels=levels), ["k"], "o", "v", "p", levels=levels)
     for i, row in enumerate(both.orderBy("o").collect()):
         assert (row.s, row.t, row.p) == (sum(range(i + 1)), sum(range(i - i % 7, i + 1)), i - 1 if i else None)
+
+
+def test_running_in_bounded_parts(spark):
+    """Large tables are dealt to partitions that follow their size, with the same sums."""
+    most = scans.PART_ROWS
+    assert scans.parts_for(spark, 8 * most) is None
+    assert [scans.parts_for(spark, n * most) for n in (100, 1000)] == [100, 1000]
+    rows = [(k, i, (i * 7 + k) % 5) for k in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v bigint")
+    got, plain = (scans.running(df, ["k"], "i", "v", "s", block=4, parts=p) for p in (11, None))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert any("hashpartitioning(k, _blk2, 11)" in re.sub(r"#\d+L?", "", line) for line in plan_of(got))
+
+
+def test_large_manifests_are_dealt_before_they_are_summed(spark, sf_dir, monkeypatch):
+    small = tables.manifest(spark, sf_dir)
+    assert tables.chunk_parts(spark, sf_dir) is None
+    monkeypatch.setattr(tables, "PART_ROWS", 128)
+    large = tables.manifest(spark, sf_dir)
+    plan = plan_of(large)
+    dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line)
+    assert not any("Aggregate" in line for line in plan[dealt:])
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("\n")
