@@ -56,15 +56,15 @@ def chunk_plan(manifest: DataFrame, chunk: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
-def transfer_progress(chunks: DataFrame, block: int = scans.BLOCK) -> DataFrame:
+def transfer_progress(chunks: DataFrame, block: int = scans.BLOCK, parts: int | None = None) -> DataFrame:
     """Bytes and rate so far after each data chunk.
 
     ``chunks(transfer_id, path, chunk_no, actual_size, start_ts, ts)``; time runs from
-    the file's start, so the first chunk is timed too.
+    the file's start, so the first chunk is timed too. ``parts`` as in ``scans.running``.
     """
     keys = ["transfer_id", "path"]
     data = chunks.where(F.col("actual_size") > 0)
-    done = scans.running(data, keys, "chunk_no", "actual_size", "sent", block=block)
+    done = scans.running(data, keys, "chunk_no", "actual_size", "sent", block=block, parts=parts)
     elapsed = F.col("ts").cast("double") - F.col("start_ts").cast("double")
     return done.withColumn("elapsed", elapsed).withColumn("gbps", rate_gbps(F.col("sent"), F.col("elapsed")))
 

@@ -15,6 +15,7 @@ from agentlake.plans.tables import (
     NODES_SQL,
     RECEIVED_SQL,
     TENSORS_SQL,
+    chunk_parts,
     chunks,
     links,
     manifest,
@@ -42,7 +43,7 @@ def chunk_plan(spark, sf_dir):
   FROM chunks WHERE actual_size > 0)
 SELECT transfer_id, path, chunk_no, sent, sent / (chunk_no + 1)::DOUBLE / 1e9 AS gbps FROM run""")
 def transfer_progress(spark, sf_dir):
-    progress = transfers.transfer_progress(chunks(spark, sf_dir))
+    progress = transfers.transfer_progress(chunks(spark, sf_dir), parts=chunk_parts(spark, sf_dir))
     return progress.select("transfer_id", "path", "chunk_no", "sent", "gbps")
 
 
