@@ -16,10 +16,10 @@ from agentlake.sources import records, workspaces
 
 
 def _workspaces(spark, sf_dir):
-    """Documents written as text files, a folder per source."""
+    """Documents written as text files of bounded numbers of rows, a folder per source: a file is read whole."""
     path = shared_dir(spark, "workspaces")
     documents = table(spark, sf_dir, "documents")
-    documents.select("text", F.col("source").alias("run")).write.partitionBy("run").text(path)
+    documents.select("text", F.col("source").alias("run")).write.option("maxRecordsPerFile", 4096).partitionBy("run").text(path)
     return workspaces.roots_table(documents, "source", f"{path}/run=")
 
 

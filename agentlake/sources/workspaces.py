@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from agentlake.operators.transfers import manifest_order
 
 _FOUND = "run_id string, root string, path string, size bigint, is_dir boolean"
 _BATCH_ROWS = 4096
-_BATCH_CHARS = 16 << 20
+_BATCH_BYTES = 2 << 20
 
 
 def _is_local(uri: str) -> bool:
@@ -53,22 +54,60 @@ def _children(root: str, rel: str, links: bool) -> Iterator[tuple[str, int, bool
             yield os.path.join(rel, info.base_name), info.size or 0, info.type == fs.FileType.Directory
 
 
-def _read(root: str, path: str) -> str:
-    """Text of one file; undecodable bytes make it empty, line ends become newlines. Failed reads fail the task."""
+def _read(root: str, path: str) -> bytes:
+    """Bytes of one file, line ends as newlines. Failed reads fail the task."""
+    if _is_local(root) or root.startswith("file:"):
+        base = _local(root)
+        with open(base if os.path.isfile(base) else os.path.join(base, path), "rb") as handle:
+            raw = handle.read()
+    else:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        with store.open_input_stream(f"{base}/{path}") as handle:
+            raw = handle.read()
+    return raw.replace(b"\r\n", b"\n").replace(b"\r", b"\n") if b"\r" in raw else raw
+
+
+def _texts(contents: list[bytes]) -> pa.Array:
+    """The contents as strings; undecodable ones are empty. Never held as Python text."""
+    raw = pa.array(contents, pa.binary())
     try:
-        if _is_local(root) or root.startswith("file:"):
-            base = _local(root)
-            with open(base if os.path.isfile(base) else os.path.join(base, path), "rb") as handle:
-                raw = handle.read()
-        else:
-            from pyarrow import fs
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.concat_arrays([_text(raw.slice(i, 1)) for i in range(len(raw))])
+
 
-            store, base = fs.FileSystem.from_uri(root)
-            with store.open_input_stream(f"{base}/{path}") as handle:
-                raw = handle.read()
-        return raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
-    except UnicodeDecodeError:
-        return ""
+def _text(one: pa.Array) -> pa.Array:
+    try:
+        return one.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([""])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``run_id, path, content`` of listed files, in batches of ``_BATCH_BYTES`` or one file more."""
+
+    def taken(rows, contents):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r["run_id"] for r in rows], pa.string()), pa.array([r["path"] for r in rows], pa.string()), _texts(contents)],
+            ["run_id", "path", "content"],
+        )
+
+    for batch in batches:
+        rows, contents, held = [], [], 0
+        for row in batch.select(["run_id", "root", "path"]).to_pylist():
+            rows.append(row)
+            contents.append(_read(row["root"], row["path"]))
+            held += len(contents[-1])
+            if held >= _BATCH_BYTES:
+                out = taken(rows, contents)
+                rows, contents, held = [], [], 0
+                yield out
+                out = None
+        if rows:
+            yield taken(rows, contents)
+    pa.default_memory_pool().release_unused()
 
 
 def _expander(links: bool, deep: bool):
@@ -129,21 +168,8 @@ def list_files(roots: DataFrame) -> DataFrame:
 
 def scan_workspaces(roots: DataFrame) -> DataFrame:
     """``(run_id, path, content)`` of every file not named ``.*`` or ``_exec_tmp*``."""
-
-    def read(batches):
-        for pdf in batches:
-            out, chars = [], 0
-            for row in pdf.itertuples(index=False):
-                content = _read(row.root, row.path)
-                out.append((row.run_id, row.path, content))
-                chars += len(content)
-                if chars >= _BATCH_CHARS:
-                    yield pd.DataFrame(out, columns=["run_id", "path", "content"])
-                    out, chars = [], 0
-            yield pd.DataFrame(out, columns=["run_id", "path", "content"])
-
     listed = filter_workspace_files(_list_files(roots, links=True))
-    return _spread(listed).mapInPandas(read, "run_id string, path string, content string")
+    return _spread(listed).mapInArrow(_contents, "run_id string, path string, content string")
 
 
 def roots_table(df: DataFrame, run_id: str, prefix: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,20 @@ def test_scan_workspaces(spark, tree):
         }
 
 
+def test_contents_come_in_small_batches_without_python_text(tmp_path):
+    """A worker held 16 million characters and their copies, at up to four bytes a character."""
+    texts = ["é\r\n🙂\rx" * (100_000 + i) for i in range(8)]
+    for i, text in enumerate(texts):
+        (tmp_path / str(i)).write_bytes(text.encode())
+    (tmp_path / "8").write_bytes(b"ok" * 1000 + b"\xc3\r\n\xa9")
+    names = [str(i) for i in range(9)]
+    listed = pa.RecordBatch.from_pydict({"run_id": ["r"] * 9, "root": [str(tmp_path)] * 9, "path": names})
+    got = list(workspaces._contents(iter([listed])))
+    assert max(b.column("content").nbytes for b in got) < workspaces._BATCH_BYTES + 1_300_000
+    content = {r["path"]: r["content"] for b in got for r in b.to_pylist()}
+    assert content == {str(i): t.replace("\r\n", "\n").replace("\r", "\n") for i, t in enumerate(texts)} | {"8": ""}
+
+
 def test_scan_manifest_and_order(spark, tree):
     root, files = tree
     roots = spark.createDataFrame([("r", root), ("one", f"{root}/a.b")], "run_id string, root string")
