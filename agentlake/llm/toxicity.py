@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentlake.llm.common import ranges, settle, slices, written
+from agentlake.llm.common import give_back, ranges, settle, slices, written
 from agentlake.llm.words import Words
 
 #: Words of a window, and between the starts of two: each word but the outer ones is in two windows.
@@ -38,9 +38,11 @@ _TRIM = b".,;:!?\"'()[]"
 #: Distinct words a task remembers before it starts anew.
 TABLE_WORDS = 1 << 17
 #: Distinct words hashed in one go.
-WORDS_AT_ONCE = 1 << 14
+WORDS_AT_ONCE = 1 << 12
 #: Windows scored in one go.
 BATCH = 1024
+#: Texts whose words and n-grams training counts in one go.
+TEXTS_AT_ONCE = 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,10 +63,11 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for n in range(max(GRAMS)):
             shifted = np.zeros_like(data)
-            shifted[: len(data) - n] = data[n:]
+            shifted[: max(0, len(data) - n)] = data[n:]
             rolling = rolling * _MULT + shifted
-            if n + 1 in GRAMS:
-                good = left >= n + 1
+            # The empty word has its two borders for an n-gram, as every word needs one.
+            good = left >= n + 1 if n + 1 in GRAMS else (lengths[row] == 2) & (left == 2) if n == 1 else None
+            if good is not None:
                 found.append((_mix(rolling[good] + np.uint64(n)) % np.uint64(GRAM_BUCKETS)).astype(np.int64))
                 owner.append(row[good])
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max(initial=1)), _MULT)]))
@@ -102,6 +105,31 @@ class WordIndex:
         return rows[number], words.counts
 
 
+def numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct bare words of ``texts``, the row of every word among them, and the texts' numbers of words.
+
+    Rows follow the hashes of the words as written, so they do not depend on the slices that
+    the texts are read in.
+    """
+    written, known, hashes, counts = [], np.zeros(0, np.uint64), [], []
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+        words = Words(part.column("text"))
+        found, first = np.unique(words.hashes, return_index=True)
+        new = ~np.isin(found, known)
+        data = words.data
+        written += [data[words.starts[i] : words.ends[i]].tobytes() for i in first[new]]
+        known = np.concatenate([known, found[new]])
+        hashes.append(words.hashes)
+        counts.append(words.counts)
+    order, distinct, rows = np.argsort(known), {}, np.zeros(len(known), np.int32)
+    for k, i in enumerate(order):
+        rows[k] = distinct.setdefault(bare(written[i]), len(distinct))
+    del written
+    known = known[order]
+    flat = np.concatenate([rows[np.searchsorted(known, h)] for h in hashes] or [rows])
+    return list(distinct), flat, np.concatenate(counts or [np.zeros(0, np.int64)])
+
+
 def window_starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
     """Starts of overlapping windows that together cover ``n`` words."""
     return np.arange(0, max(1, n - window + stride), stride) if n else np.zeros(0, np.int64)
@@ -125,21 +153,17 @@ class Network:
         self.small |= {"A": normal(2 * h, h), "v": normal(h), "o": normal(2 * h), "c": np.full(1, -1.0, np.float32)}
 
     # Words
-    def vectors(self, words: list[bytes], trace: bool = False):
-        """Input vectors of distinct words; with ``trace`` also what the gradient needs."""
-        parts = []
+    def looked_up(self, buckets, grams, starts):
+        """Input vectors of words, given as ``word_grams`` does."""
+        return np.concatenate([self.word[buckets], np.maximum.reduceat(self.gram[grams], starts)], 1)
+
+    def vectors(self, words: list[bytes]) -> np.ndarray:
+        """Input vectors of distinct words."""
+        x = np.zeros((len(words), 2 * DIM), np.float32)
         for i in range(0, len(words), WORDS_AT_ONCE):
-            buckets, grams, starts = word_grams(words[i : i + WORDS_AT_ONCE])
-            chars = np.maximum.reduceat(self.gram[grams], starts)
-            parts.append((np.concatenate([self.word[buckets], chars], 1), buckets, grams.astype(np.int32) if trace else None, starts))
-        if not parts:
-            return np.zeros((0, 2 * DIM), np.float32)
-        x = np.concatenate([p[0] for p in parts])
-        if not trace:
-            return x
-        before = np.cumsum([0, *(len(p[2]) for p in parts)])
-        starts = np.concatenate([p[3] + b for p, b in zip(parts, before, strict=False)])
-        return x, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), starts
+            part = slice(i, i + WORDS_AT_ONCE)
+            x[part] = self.looked_up(*word_grams(words[part]))
+        return x
 
     # Windows
     def _unit(self, way: str, inputs, at, live, keep: bool):
@@ -162,7 +186,7 @@ class Network:
 
     def forward(self, x, at, live, keep: bool = False):
         """Logits of windows: ``at`` indexes word vectors ``x``, ``live`` is 0 for padding."""
-        s = self.small
+        s, live = self.small, live.astype(np.float32)
         forth, tape_f = self._unit("f", x @ s["Wf"] + s["bf"], at, live, keep)
         back, tape_b = self._unit("b", x @ s["Wb"] + s["bb"], at, live, keep)
         states = np.concatenate([forth, back], 2)
@@ -176,7 +200,7 @@ class Network:
 
     def backward(self, x, at, live, kept, error):
         """Gradients of the small parameters and of the word vectors, for ``error`` = d loss / d logit."""
-        s, h_size = self.small, HIDDEN
+        s, h_size, live = self.small, HIDDEN, live.astype(np.float32)
         states, keys, attention, pooled, tape_f, tape_b = kept
         g = {"o": pooled.T @ error, "c": error.sum(keepdims=True)}
         d_pooled = error[:, None] * s["o"]
@@ -208,20 +232,28 @@ class Network:
         return g, d_x
 
     def score_windows(self, x, at, live) -> np.ndarray:
-        out = [self.forward(x, at[i : i + BATCH], live[i : i + BATCH]) for i in range(0, len(at), BATCH)]
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(at), BATCH):
+            # Word vectors of these windows only, so that projections stay small.
+            used, place = np.unique(at[i : i + BATCH], return_inverse=True)
+            out.append(self.forward(x[used], place.reshape(-1, at.shape[1]), live[i : i + BATCH]))
+        return np.concatenate(out)
 
 
-def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For documents of ``counts`` words that lie one after another: positions and liveness per window, and its document."""
-    starts = [window_starts(int(n)) for n in counts]
-    doc = np.repeat(np.arange(len(counts)), [len(s) for s in starts])
+def windows_of(counts: np.ndarray, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of ``counts`` words that lie one after another: positions and liveness per window, and its document.
+
+    With ``docs`` only the windows of these documents.
+    """
+    docs = np.arange(len(counts)) if docs is None else docs
+    starts = [window_starts(int(counts[d])) for d in docs]
+    doc = np.repeat(docs, [len(s) for s in starts])
     first = (np.concatenate(starts) if starts else np.zeros(0)).astype(np.int32)
     before = (np.cumsum(counts) - counts).astype(np.int32)
     place = first[:, None] + np.arange(WINDOW, dtype=np.int32)
     live = place < counts[doc][:, None]
     at = np.where(live, place + before[doc][:, None], before[doc][:, None])
-    return at, live.astype(np.float32), doc
+    return at, live, doc
 
 
 def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500, seed: int = 7) -> Network:
@@ -231,27 +263,26 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
     set last (``centred``), over these texts here and over whole texts in ``fit``.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
-    index = WordIndex()
-    flat, counts = index.add(pa.array(texts, pa.string()))
+    distinct, flat, counts = numbered(pa.array(texts, pa.string()))
     y = np.array(labels, np.float32)
     if not len(flat) or y.min() == y.max():
         return net
-    distinct = list(index.words)
     _log_odds(net, distinct, flat, counts, y)
-    flat = flat.astype(np.int32)
+    give_back()
     used_docs = np.zeros(len(y), bool)
     for side in (0, 1):
         used_docs[np.flatnonzero((y == side) & (counts > 0))[:most]] = True
-    at, live, doc = windows_of(counts)
-    at, live, doc = flat[at[used_docs[doc]]], live[used_docs[doc]], doc[used_docs[doc]]
+    runs = [np.flatnonzero(used_docs)[i : i + TEXTS_AT_ONCE] for i in range(0, int(used_docs.sum()), TEXTS_AT_ONCE)]
+    at, live, doc = (np.concatenate(c) for c in zip(*[_windows(flat, counts, run) for run in runs], strict=True))
     groups = [np.flatnonzero(doc == d) for d in np.unique(doc)]
     owner = np.array([doc[g[0]] for g in groups])
     weight = np.where(y > 0, 0.5 / max(1, y[owner].sum()), 0.5 / max(1, (1 - y[owner]).sum())) * len(owner)
     state, step = {}, 0
     for turn in range(passes):
-        x, buckets, grams, starts = net.vectors(distinct, trace=True)
+        x = None
+        x = net.vectors(distinct)
         # Before anything is learnt, the word with the highest log odds tells which window matters.
-        logits = np.where(live > 0, (x[:, 0] + x[:, DIM])[at], -np.inf).max(1) if turn == 0 else net.score_windows(x, at, live)
+        logits = (x[:, 0] + x[:, DIM])[at].max(1, initial=-np.inf, where=live) if turn == 0 else net.score_windows(x, at, live)
         chosen = [g[logits[g].argmax()] for g in groups]
         extra = [rng.choice(g) for g, d in zip(groups, owner, strict=True) if y[d] == 0]
         picked = np.array(chosen + extra)
@@ -268,7 +299,8 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
             rows = picked[i : i + size]
             used, place = np.unique(at_all[rows], return_inverse=True)
             place, here = place.reshape(len(rows), WINDOW), live_all[rows]
-            own = np.concatenate([net.word[buckets[used]], x[used][:, DIM:]], 1)
+            buckets, grams, starts = word_grams([distinct[j] for j in used])
+            own = np.concatenate([net.word[buckets], x[used][:, DIM:]], 1)
             logit, kept = net.forward(own, place, here, keep=True)
             truth = y[doc_all[rows]]
             error = ((_sigmoid(logit) - truth) * weight[doc_all[rows]] / len(rows)).astype(np.float32)
@@ -276,22 +308,26 @@ def train(texts: list[str], labels: list[int], passes: int = 6, most: int = 1500
             step += 1
             for name, value in g.items():
                 _adam(net.small[name], value, state, name, rate, step)
-            np.subtract.at(net.word, buckets[used], 2 * d_x[:, :DIM])
-            spans = (np.append(starts, len(grams))[used + 1] - starts[used]).astype(np.int64)
-            inner = grams[ranges(starts[used], spans)]
-            word_at = np.repeat(np.arange(len(used)), spans)
+            np.subtract.at(net.word, buckets, 2 * d_x[:, :DIM])
+            word_at = np.repeat(np.arange(len(used)), np.diff(np.append(starts, len(grams))))
             for k in range(DIM):  # the maximum's gradient goes to the n-gram that gave it
-                hit = net.gram[inner, k] == own[word_at, DIM + k]
-                np.subtract.at(net.gram[:, k], inner[hit], 2 * d_x[word_at[hit], DIM + k])
-            x[used] = net.vectors([distinct[j] for j in used])
-    at, live, doc = windows_of(counts)
+                hit = net.gram[grams, k] == own[word_at, DIM + k]
+                np.subtract.at(net.gram[:, k], grams[hit], 2 * d_x[word_at[hit], DIM + k])
+            x[used] = net.looked_up(buckets, grams, starts)
+    at = live = doc = x = None
     top, x = np.full(len(y), -np.inf), net.vectors(distinct)
-    for i in range(0, len(at), 64 * BATCH):
-        part = slice(i, i + 64 * BATCH)
-        np.maximum.at(top, doc[part], net.score_windows(x, flat[at[part]], live[part]))
+    for i in range(0, len(y), TEXTS_AT_ONCE):
+        at, live, doc = _windows(flat, counts, np.arange(i, min(i + TEXTS_AT_ONCE, len(y))))
+        np.maximum.at(top, doc, net.score_windows(x, at, live))
     return centred(net, top[counts > 0], y[counts > 0])
 
 
+def _windows(flat: np.ndarray, counts: np.ndarray, docs: np.ndarray):
+    """Words, liveness and documents of the windows of ``docs``."""
+    at, live, doc = windows_of(counts, docs)
+    return flat[at], live, doc
+
+
 def centred(net: Network, logits: np.ndarray, y: np.ndarray) -> Network:
     """Sets the bias so that one half lies midway between the highest clean and the lowest toxic documents, but for few."""
     clean, toxic = logits[y == 0], logits[y > 0]
@@ -304,8 +340,8 @@ def _log_odds(net: Network, distinct, flat, counts, y) -> None:
     """Starts the first dimension of both embeddings from log odds over the documents that hold a bucket."""
     ends = np.cumsum(counts)
     totals = [np.zeros((2, size)) for size in (WORD_BUCKETS, GRAM_BUCKETS)]
-    for i in range(0, len(counts), 128):
-        own = counts[i : i + 128]
+    for i in range(0, len(counts), TEXTS_AT_ONCE):
+        own = counts[i : i + TEXTS_AT_ONCE]
         words = flat[ends[i] - counts[i] : ends[i + len(own) - 1]]
         used, words = np.unique(words, return_inverse=True)
         if not len(used):
@@ -414,15 +450,9 @@ def score(docs: DataFrame, network: Network | Broadcast, text: str = "text", col
             if len(index.words) > len(x):
                 x = np.concatenate([x, model.vectors(list(index.words)[len(x) :])])
             scores = np.full(len(counts), -np.inf)
-            # Word vectors of this slice only, so that projections stay small.
-            place = np.zeros(len(x), np.int64)
-            place[flat] = 1
-            used = np.flatnonzero(place)
-            place[used] = np.arange(len(used))
-            flat = place[flat]
             at, live, doc = windows_of(counts)
             if len(at):
-                np.maximum.at(scores, doc, model.score_windows(x[used], flat[at], live).astype(np.float64))
+                np.maximum.at(scores, doc, model.score_windows(x, flat[at], live).astype(np.float64))
             out = pa.array(scores, pa.float64(), mask=counts == 0) if logits else pa.array(np.where(counts > 0, _sigmoid(np.clip(scores, -60, 60)), 0.0))
             yield pa.RecordBatch.from_arrays([part.column("row"), out], ["row", "score"])
 

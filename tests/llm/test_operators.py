@@ -570,3 +570,22 @@ def test_filters_grow_with_their_keys(spark, n, largest):
     assert common.passes(bits, np.array(keys, np.int64)).all()
     others = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 20000)
     assert common.passes(bits, others).mean() <= 1.5 * common.FILTER_SHARE
+
+
+def test_toxicity_trains_in_little_memory():
+    """What training holds at once follows the distinct words, not the words, windows and n-grams of the sample."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i:05d}{'abcdefgh'[i % 8] * 6}" for i in range(40000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 400)]) + (" zorgle" if i % 2 else "") for i in range(800)]
+    tracemalloc.start()
+    net = toxicity.train(texts, [i % 2 for i in range(800)], passes=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak  # 66 MB; with the n-grams of all words and the windows as floats it was 142 MB
+    distinct, flat, counts = toxicity.numbered(pa.array(texts))
+    assert [distinct[i] for i in flat[: counts[0]]] == [w.encode() for w in texts[0].split()] and counts.sum() == len(flat)
+    # A mark alone is a word without letters, wherever it stands among the others.
+    alone, among = net.vectors([b""])[0], net.vectors([b"zorgle", b"", b"w"])
+    assert (among[1] == alone).all() and len(toxicity.train([". ", "a ."], [0, 1]).vectors([b"a"])) == 1
