@@ -181,6 +181,27 @@ def test_resolve_eos_and_markers(spark):
     assert got == {"</s>": (7, None), "12": (12, None), " 5 ": (5, None), "nope": (None, "'nope' is not a token for this tokenizer")}
 
 
+def test_resolve_eos_casts_only_integers(spark):
+    """Ids are those of the cast alone; a cast that fails raises inside Spark, tens of times the time of a row."""
+    import time
+
+    odd = ["5", " 5 ", "+5", "-5", "\t7\n", "\x00 8\x7f", "007", "5.", "5.0", ".5", "1e3", "0x1f", "+", "-", "", " ", "- 5", "5 5", "5a", "\u0663", "\u00a05",
+           "\x855", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "1" * 40, "0" * 40 + "1", "<none-3>", None]
+    specs = spark.createDataFrame([(s,) for s in odd], "spec string").withColumn("want", F.trim("spec").try_cast("bigint"))
+    vocab = spark.createDataFrame([], "id bigint, token string")
+    assert all(r.eos_id == r.want for r in K.resolve_eos(specs, vocab).collect())
+    rows = spark.range(400_000).coalesce(1)
+
+    def seconds(spec):
+        started = time.time()
+        K.resolve_eos(rows.select(spec.alias("spec")), vocab).write.format("noop").mode("overwrite").save()
+        return time.time() - started
+
+    number, word = F.col("id").cast("string"), F.concat(F.lit("w"), F.col("id").cast("string"))
+    seconds(number), seconds(word)
+    assert seconds(word) < 4 * seconds(number) + 0.5
+
+
 @pytest.mark.parametrize(
     "decoder, kind",
     [
