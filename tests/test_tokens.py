@@ -202,6 +202,19 @@ def test_resolve_eos_casts_only_integers(spark):
     assert seconds(word) < 4 * seconds(number) + 0.5
 
 
+def test_resolve_eos_sorts_no_specs(spark):
+    specs = spark.range(50).select(F.concat(F.lit("w"), F.col("id") % 5).alias("spec"))
+    vocab = spark.range(3).select("id", F.concat(F.lit("w"), F.col("id")).alias("token"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = K.resolve_eos(specs, vocab)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan
+        assert out.groupBy("eos_id").count().orderBy("eos_id").collect() == [(None, 20), (0, 10), (1, 10), (2, 10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize(
     "decoder, kind",
     [
