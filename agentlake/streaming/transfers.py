@@ -32,7 +32,7 @@ def _combined(batches):
 class FileProcessor(BucketProcessor):
     """Adds up a file's chunks until it is complete, reports it once, and forgets it.
 
-    A reported file leaves a mark until the watermark has passed its last chunk; from then
+    A reported file leaves a mark, the time it is due alone, until the watermark has passed its last chunk; from then
     on Spark itself drops its rows as late. So rows that repeat never open it again, and
     nothing stays. A file that never completes is forgotten ``idle`` after its last chunk.
     """
@@ -45,17 +45,22 @@ class FileProcessor(BucketProcessor):
     def take(self, held, pdf, timerValues):
         for *file, newest, n, size, mark in columns(pdf, ["transfer_id", "path", "start_us", "ts_us", "chunks", "bytes", "end_no"]):
             key = tuple(file)
-            _, chunks, total, last, end_no, closed = held.get(key) or (None, 0, 0, None, None, False)
+            kept = held.get(key) or [None, 0, 0, None, None]
+            if len(kept) == 1:
+                kept[0] = max(kept[0], newest // 1000 + 1)
+                continue
+            _, chunks, total, last, end_no = kept
             last = newest if last is None else max(last, newest)
-            chunks, total = chunks + int(n), total + int(size)
             if mark is not None:
                 end_no = int(mark) if end_no is None else max(end_no, int(mark))
-            held[key] = [last // 1000 + (1 if closed else self.idle_ms), chunks, total, last, end_no, closed]
+            held[key] = [last // 1000 + self.idle_ms, chunks + int(n), total + int(size), last, end_no]
         # Judged on all rows of the batch, so that what comes with the last chunk counts.
         for key in dict.fromkeys(columns(pdf, ["transfer_id", "path", "start_us"])):
-            _, chunks, total, last, end_no, closed = held[key]
-            if not closed and end_no is not None and chunks >= end_no:
-                held[key] = [last // 1000 + 1, chunks, total, last, end_no, True]
+            if len(held[key]) == 1:
+                continue
+            _, chunks, total, last, end_no = held[key]
+            if end_no is not None and chunks >= end_no:
+                held[key] = [last // 1000 + 1]
                 yield (*key, chunks, total, last / 1e6)
 
 
@@ -72,7 +77,8 @@ def stream_transfer_progress(chunks: DataFrame, manifest: DataFrame, late: str =
     """
     slim = chunks.selectExpr("CAST(transfer_id AS BIGINT) AS transfer_id", "path", "start_ts", "ts", "CAST(chunk_no AS BIGINT) AS chunk_no", "CAST(actual_size AS BIGINT) AS actual_size")
     parts = before_end(slim.mapInArrow(_combined, _PART).withWatermark("ts", late), "ts")
-    files = parts.select(bucket(*_KEYS), "*", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("ts").alias("ts_us")).groupBy("bucket")
+    times = F.unix_micros("start_ts").alias("start_us"), F.unix_micros("ts").alias("ts_us")
+    files = parts.select(bucket(*_KEYS), "*", *times).drop("start_ts").groupBy("bucket")
     closed = files.transformWithStateInPandas(FileProcessor(milliseconds(idle)), _CLOSED, "append", "EventTime")
     expected = manifest.select("transfer_id", "path", F.col("size").alias("expected"))
     elapsed = F.col("ended") - F.timestamp_micros("start_us").cast("double")

@@ -277,6 +277,71 @@ def test_files_share_entries_of_the_state(spark, tmp_path, monkeypatch):
     assert left_in(spark, run, "file") == 0
 
 
+def shuffle_blocks(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+
+def test_disk_does_not_follow_the_number_of_batches(spark, tmp_path):
+    """Shuffle files go with their batch, old versions of the state and of the logs with later ones."""
+    import time
+
+    chunks = spark.range(600).selectExpr(
+        "1L AS transfer_id", "concat('a/rather/long/path/of/file/', id % 60) AS path", "id div 60 AS chunk_no", "IF(id < 540, 5L, 0L) AS actual_size",
+        "TIMESTAMP'2024-01-01 00:00:00' AS start_ts", "timestamp_seconds(1704067201 + id div 60) AS ts",
+    )
+    source, run = str(tmp_path / "in"), tmp_path / "run"
+    expected = chunks.groupBy("transfer_id", "path").agg(F.sum("actual_size").alias("size")).localCheckpoint()
+    before = shuffle_blocks(spark)
+    stream = as_stream(spark, chunks, source, [f"chunk_no = {i}" for i in (9, 1, 0, 3, 2, 5, 4, 7, 6, 8)])
+    got = drain(spark, stream_transfer_progress(stream, expected, late="1 hour"), str(run), partitions=2)
+    assert sorted((r.chunks, r.bytes, r.size_ok) for r in got.collect()) == [(9, 45, True)] * 60
+    assert len([f for f in (run / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) <= 3
+    deadline = time.time() + 20
+    while shuffle_blocks(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_blocks(spark) - before
+
+
+def test_a_reported_file_leaves_only_the_time_it_is_due():
+    import pickle
+    import zlib
+
+    from agentlake.streaming.transfers import FileProcessor
+
+    processor, held = FileProcessor(1000), {}
+    rows = pd.DataFrame({"transfer_id": [1, 1], "path": ["a", "b"], "start_us": [0, 0], "ts_us": [5_000_000, 7_000_000], "chunks": [2, 1], "bytes": [9, 4], "end_no": [2.0, None]})
+    assert list(processor.take(held, rows, None)) == [(1, "a", 0, 2, 9, 5.0)]
+    assert held == {(1, "a", 0): [5001], (1, "b", 0): [8000, 1, 4, 7_000_000, None]}
+    # What comes for it later only moves that time on.
+    assert not list(processor.take(held, rows.assign(ts_us=9_000_000, end_no=None), None))
+    assert held == {(1, "a", 0): [9001], (1, "b", 0): [10000, 2, 8, 9_000_000, None]}
+
+    class Value:
+        def update(self, value):
+            self.value = value
+
+    processor.entry, processor.due = Value(), Value()
+    processor.handle = type("Timers", (), {"registerTimer": lambda self, at: None})()
+    many = {(1, f"a/rather/long/path/of/file/{i}", 0): [5001] for i in range(500)}
+    processor._store(None, many)
+    assert len(processor.entry.value[0]) < len(pickle.dumps(many, protocol=5)) / 3
+    assert pickle.loads(zlib.decompress(processor.entry.value[0])) == many
+
+
+def test_files_of_a_stream_go_once_they_are_read(spark, tmp_path):
+    from agentlake.plans import all_queries
+
+    all_queries()
+    from agentlake.plans.stream_queries import _in_parts
+
+    source = str(tmp_path / "in")
+    stream = _in_parts(spark.range(40).repartition(40), source, ["id % 2 = 1", "id % 2 = 0"])
+    n_files = len(list((tmp_path / "in").glob("*.parquet")))
+    assert drain(spark, stream, str(tmp_path / "run")).count() == 40
+    assert len(list((tmp_path / "in").glob("*.parquet"))) < n_files
+
+
 def test_sessions_share_entries_of_the_state(spark, responses, tmp_path, monkeypatch):
     from agentlake.streaming import buckets, sessions
 
