@@ -299,3 +299,115 @@ def test_streams_of_tokens_share_entries_of_the_state(spark, tmp_path, monkeypat
     got = drain(spark, stream_detokenize(stream, vocab, "byte_level"), run, partitions=2).collect()
     assert sorted(map(tuple, got)) == [(s, 0, "abababab" if s % 2 == 0 else "c c c c") for s in range(100)]
     assert spark.read.format("statestore").option("stateVarName", "text").load(f"{run}/checkpoint").count() == 0
+
+
+class Held:
+    """State of a processor, with the bytes that were written to it."""
+
+    def __init__(self):
+        self.kept, self.written, self.reads = {}, 0, 0
+
+    def getValueState(self, *schema):
+        return self
+
+    getMapState = getValueState
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+        self.written += len(value[0])
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+
+def arriving(*runs):
+    """Rows of a bucket for runs of ``(stream, positions, pieces, ends)``."""
+    import numpy as np
+
+    from agentlake.streaming.buckets import packed
+    from agentlake.streaming.detokenize import _pack
+
+    packs = [
+        packed(([stream], [len(pos)], _pack(np.array(pos), np.array([len(p) for p in pieces]), np.array(ends, np.uint8), b"".join(pieces))))
+        for stream, pos, pieces, ends in runs
+    ]
+    return pd.DataFrame({"pack": packs})
+
+
+def processor(**options):
+    from agentlake.streaming.detokenize import DetokenizeProcessor
+
+    own, state = DetokenizeProcessor("byte_level", False, False, **{"most": 1 << 20} | options), Held()
+    own.init(state)
+    return own, state
+
+
+def test_waiting_tokens_are_written_once():
+    own, state = processor()
+    held, rng, n = {}, random.Random(3), 60
+    pieces = [bytes(rng.choices(range(97, 123), k=6)) for _ in range(100 * n + 1)]
+    sizes = []
+    for i in range(n):
+        pos = list(range(1 + 100 * i, 101 + 100 * i))
+        before = state.written
+        assert not list(own.take(held, arriving(("s", pos, [pieces[p] for p in pos], [0] * 100)), None))
+        sizes.append(state.written - before)
+    # A batch writes what it brings, whatever waits already, and reads nothing.
+    assert max(sizes) < 2 * min(sizes) and state.reads == 0 and len(state.kept) == n
+    got = list(own.take(held, arriving(("s", [0], [pieces[0]], [0])), None))
+    assert got == [("s", 0, b"".join(pieces).decode())]
+    assert not state.kept and held["s"][1] == len(pieces)
+    assert list(own.take(held, arriving(("s", [len(pieces)], [b"!"], [1])), None)) == [("s", len(pieces), "!")] and not held
+
+
+def test_entries_of_waiting_tokens_do_not_pile_up():
+    own, state = processor()
+    held = {}
+    many = [b"x"] * 20
+    list(own.take(held, arriving(("a", range(1, 21), many, [0] * 20), ("b", [1, 2], [b"y", b"z"], [0, 1]), (None, [2], [b"w"], [1])), None))
+    # Of what a release leaves, less than half is written again, with what is new.
+    assert list(own.take(held, arriving(("a", [0], [b"-"], [0]), ("c", [5], [b"v"], [0])), None)) == [("a", 0, "-" + "x" * 20)]
+    assert len(state.kept) == 1 and {s: [r[:2] for r in k[5]] for s, k in held.items()} == {"a": [], "b": [(1, 2)], None: [(2, 1)], "c": [(5, 1)]}
+    # Ends before its waiting tokens; a position that repeats counts once.
+    assert list(own.take(held, arriving(("c", [0, 1], [b"p", b"q"], [0, 1]), ("b", [0, 1], [b"o", b"y"], [0, 0])), None)) == [("c", 0, "pq"), ("b", 0, "oyz")]
+    assert set(held) == {"a", None}
+    assert list(own.take(held, arriving((None, [0, 1], [b"k", b"l"], [0, 0])), None)) == [(None, 0, "klw")]
+    assert not state.kept
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_waiting_tokens_of_many_streams_in_any_order(seed):
+    rng, (own, state), held, got = random.Random(seed), processor(), {}, {}
+    texts = {s: [bytes([97 + rng.randrange(26)]) for _ in range(rng.randint(1, 60))] for s in range(12)}
+    tokens = [(s, p) for s, t in texts.items() for p in range(len(t))]
+    rng.shuffle(tokens)
+    while tokens:
+        batch, tokens = tokens[:40], tokens[40:]
+        runs = [(s, [p], [texts[s][p]], [int(p == len(texts[s]) - 1)]) for s, p in batch]
+        for s, at, text in own.take(held, arriving(*runs), None):
+            got.setdefault(s, {})[at] = text
+    assert {s: "".join(t for _, t in sorted(parts.items())) for s, parts in got.items()} == {s: b"".join(t).decode() for s, t in texts.items()}
+    assert not held and not state.kept
+
+
+def test_tokens_travel_once_for_an_id_and_packed_by_bucket(spark):
+    from agentlake.streaming.buckets import unpacked
+    from agentlake.streaming.detokenize import _by_bucket, _by_id, _unpack
+
+    rows = [(s, p, p % 3 if p else None, p == 9 or None, (s or 0) % 2) for s in (1, 2, None) for p in reversed(range(10))]
+    tokens = spark.createDataFrame(rows, "stream_id bigint, pos bigint, id bigint, is_end boolean, bucket smallint").coalesce(1)
+    grouped = tokens.mapInArrow(_by_id, "id bigint, streams array<bigint>, at binary")
+    assert sorted((r.id if r.id is not None else -1, len(r.streams)) for r in grouped.collect()) == [(-1, 3), (0, 9), (1, 9), (2, 9)]
+    packs = grouped.withColumn("piece", F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")).mapInArrow(_by_bucket, "bucket bigint, pack binary")
+    got = {}
+    for r in packs.collect():
+        streams, counts, run = unpacked(r.pack)
+        pos, pieces, ends = _unpack(run)
+        got[r.bucket] = (sorted(map(str, streams)), counts.tolist(), pos.tolist(), ends.tolist())
+        assert len(pieces) == len(pos)
+    line, end = list(range(10)), [0] * 9 + [1]
+    assert got == {0: (["2", "None"], [10, 10], line * 2, end * 2), 1: (["1"], [10], line, end)}
