@@ -411,3 +411,21 @@ def test_tokens_travel_once_for_an_id_and_packed_by_bucket(spark):
         assert len(pieces) == len(pos)
     line, end = list(range(10)), [0] * 9 + [1]
     assert got == {0: (["2", "None"], [10, 10], line * 2, end * 2), 1: (["1"], [10], line, end)}
+
+
+def test_one_kind_at_a_time_is_in_shuffle_files(spark, sf_dir):
+    import time
+
+    from agentlake.plans import all_queries
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before = shuffled()
+    found = all_queries()[0]["detokenize_by_kind"](spark, sf_dir)
+    # What is left to do moves whole texts, not tokens; what moved these is gone.
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert {(r.kind, r.n) for r in found.groupBy("kind").agg(F.countDistinct("stream_id").alias("n")).collect()} == {(k, 50) for k in K.KINDS}
