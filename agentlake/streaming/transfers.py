@@ -42,6 +42,17 @@ class FileProcessor(BucketProcessor):
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
+    def freeze(self, held):
+        """Files in order, as columns: what is alike is compressed together."""
+        rows = [(*key, *kept, *[None] * (5 - len(kept))) for key, kept in sorted(held.items(), key=lambda file: str(file[0]))]
+        return list(map(list, zip(*rows)))  # noqa: B905
+
+    def thaw(self, frozen):
+        return {
+            (transfer, path, start): [due] if chunks is None else [due, chunks, *sums]
+            for transfer, path, start, due, chunks, *sums in zip(*frozen)  # noqa: B905
+        }
+
     def take(self, held, pdf, timerValues):
         for *file, newest, n, size, mark in columns(pdf, ["transfer_id", "path", "start_us", "ts_us", "chunks", "bytes", "end_no"]):
             key = tuple(file)
